@@ -14,7 +14,8 @@ from repochron.functions.scalars import _c, normalize_breaks
 # Keywords and file patterns of the workflow language.
 RULE_KEYWORD = "rule"
 MODULE_KEYWORD = "module"
-INCLUDE_KEYWORD = "include:"
+INCLUDE_KEYWORD = "include"
+INCLUDE_SEP = ":"
 INCLUDED_RULE_SUFFIX = ".smk"
 RULE_FILE_NAME = "snakefile"
 RULE_FILE_SUFFIXES = (".smk", ".snakefile", ".rules")
@@ -44,25 +45,27 @@ def module_names(code, keyword: str = MODULE_KEYWORD) -> Column:      # F12
     return names_after_keyword(code, keyword)
 
 
-def _include_targets(code, keyword: str) -> Column:
-    """Per include line: text between the 1st and 2nd colon, stripped, quotes removed."""
+def _include_targets(code, keyword: str, sep: str) -> Column:
+    """Per include line (stripped line starts with ``keyword + sep``): the text
+    between the 1st and 2nd ``sep``, stripped, quotes removed."""
     text = normalize_breaks(F.coalesce(_c(code), F.lit("")))
-    head, _, _ = keyword.partition(":")
-    pattern = f"(?mU)^{_HSPACE}*{_kw(head)}:([^:\\n]*)"
+    s = _kw(sep) if sep != " " else " "
+    stop = "\\n" if sep == "\n" else s + "\\n"
+    pattern = f"(?mU)^{_HSPACE}*{_kw(keyword)}{s}([^{stop}]*)"
     raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     return F.transform(raw, lambda x: F.translate(
         F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""), "\"'", ""))
 
 
-def included_files(code, keyword: str = INCLUDE_KEYWORD,
+def included_files(code, keyword: str = INCLUDE_KEYWORD, sep: str = INCLUDE_SEP,
                    suffix: str = INCLUDED_RULE_SUFFIX) -> Column:     # F13 / P17
-    return F.filter(_include_targets(code, keyword),
+    return F.filter(_include_targets(code, keyword, sep),
                     lambda x: (x != "") & x.endswith(suffix))
 
 
-def irregular_includes(code, keyword: str = INCLUDE_KEYWORD,
+def irregular_includes(code, keyword: str = INCLUDE_KEYWORD, sep: str = INCLUDE_SEP,
                        suffix: str = INCLUDED_RULE_SUFFIX) -> Column:  # F14 / P17
-    return F.filter(_include_targets(code, keyword),
+    return F.filter(_include_targets(code, keyword, sep),
                     lambda x: (x != "") & ~x.endswith(suffix))
 
 

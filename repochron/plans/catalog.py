@@ -84,3 +84,92 @@ def q_repo_workflow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related commits and number of cycles per repository."""
     s = cyc.repo_workflow_summary(sv.commits(spark, sf_dir))
     return s.select("owner", "repo", "n_commits_snakemake_related", "n_evolution_cycles")
+
+
+# --- commit facts: workflow code parsing (X02) -------------------------------
+from repochron.functions import workflow_code as wc  # noqa: E402
+from repochron.functions.scalars import file_extension  # noqa: E402
+from repochron.operators import commits as cf  # noqa: E402
+
+# Stand-in keywords: the documents hold prose, so "The" plays `rule`, "And"
+# plays `module`, and an include is "The <word>" ending in "." (blank separator).
+STANDIN_RULE_KW, STANDIN_MODULE_KW = "The", "And"
+STANDIN_INCLUDE = dict(keyword="The", sep=" ", suffix=".")
+
+
+def _names_query(spark, sf_dir, col):
+    c = sv.code(spark, sf_dir)
+    return c.select("repo", "pos", F.size(col).cast("bigint").alias("n_names"),
+                    F.array_join(col, "|").alias("names"))
+
+
+@query("rule_names")
+def q_rule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule names per file, in order, repeats kept (whole texts)."""
+    return _names_query(spark, sf_dir, wc.rule_names(F.col("source_code"), STANDIN_RULE_KW))
+
+
+@query("module_names")
+def q_module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Module names per file."""
+    return _names_query(spark, sf_dir, wc.module_names(F.col("source_code"), STANDIN_MODULE_KW))
+
+
+@query("included_files")
+def q_included_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Included rule files per file."""
+    return _names_query(spark, sf_dir, wc.included_files(F.col("source_code"), **STANDIN_INCLUDE))
+
+
+@query("irregular_includes")
+def q_irregular_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Included files without the rule-file suffix."""
+    return _names_query(spark, sf_dir, wc.irregular_includes(F.col("source_code"), **STANDIN_INCLUDE))
+
+
+def _code_wf(spark, sf_dir, compat=True):
+    return cf.file_workflow_columns(
+        sv.code(spark, sf_dir), rule_keyword=STANDIN_RULE_KW, module_keyword=STANDIN_MODULE_KW,
+        include_keyword=STANDIN_INCLUDE["keyword"], include_sep=STANDIN_INCLUDE["sep"],
+        include_suffix=STANDIN_INCLUDE["suffix"], compat=compat)
+
+
+@query("rule_diff_occurrences")
+def q_rule_diff_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U07 J15 P15 P16 X02 (file level, compat): occurrence differences after vs before;
+    module changes land in the rule counters."""
+    f = _code_wf(spark, sf_dir)
+    return f.select("repo", "pos", "new_path", "snakemake_related",
+                    "snakemake_n_rules_added", "snakemake_n_rules_removed",
+                    "snakemake_n_modules_added", "snakemake_n_modules_removed")
+
+
+@query("rule_diff_sets")
+def q_rule_diff_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U03 U04 U06 A26-A32 X02 (commit level): distinct sets and set differences."""
+    facts = cf.commit_workflow_facts(_code_wf(spark, sf_dir))
+    p = "snakemake"
+    return facts.select(
+        "owner", "repo", "hash", f"{p}_related",
+        *[F.array_join(f"{p}_{k}", ",").alias(f"{p}_{k}") for k in cf.SET_KINDS],
+        f"{p}_n_rules_added", f"{p}_n_rules_removed",
+        f"{p}_n_modules_added", f"{p}_n_modules_removed")
+
+
+@query("file_extensions")
+def q_file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct extensions and change types per commit."""
+    s = cf.commit_file_sets(sv.commit_files(spark, sf_dir), key=("repo",))
+    return s.select("repo", "hash", F.array_join("file_extensions", ",").alias("file_extensions"),
+                    F.array_join("change_types", ",").alias("change_types"))
+
+
+@query("script_paths")
+def q_script_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule files, scripts and the related flag per commit."""
+    files = sv.commit_files(spark, sf_dir).withColumn("source_code", F.lit(None).cast("string")) \
+        .withColumn("source_code_before", F.lit(None).cast("string"))
+    facts = cf.commit_workflow_facts(cf.file_workflow_columns(files), key=("repo",))
+    return facts.select("repo", "hash", "snakemake_related",
+                        F.array_join("snakemake_rule_files", ",").alias("rule_files"),
+                        F.array_join("snakemake_included_scripts", ",").alias("included_scripts"))

@@ -141,3 +141,140 @@ select rel.owner, rel.repo, cast(rel.n_commits_snakemake_related as bigint) as n
        cast(coalesce(nc.n_evolution_cycles, 0) as bigint) as n_evolution_cycles
 from rel left join nc on rel.owner = nc.owner and rel.repo = nc.repo
 """)
+
+
+V_CODE = """
+select 'acme' as owner, source as repo, sha1(source || ':' || cast(doc_id // 60 as varchar)) as hash,
+       doc_id as pos,
+       case lang when 'en' then 'Snakefile'
+                 when 'de' then 'rules/' || cast(doc_id as varchar) || '.smk'
+                 when 'es' then 'workflow/scripts/' || cast(doc_id as varchar) || '.py'
+                 else 'docs/' || cast(doc_id as varchar) || '.txt' end as new_path,
+       text as source_code,
+       lag(text) over (partition by source order by doc_id) as source_code_before
+from documents
+"""
+
+
+def _names(code: str, kw: str) -> str:
+    """Second token, cut at ':', of stripped lines starting with kw + blank."""
+    return (f"list_transform(list_filter(list_transform(string_split(coalesce({code}, ''), chr(10)),"
+            f" lambda l: trim(l)), lambda l: starts_with(l, '{kw} ')),"
+            f" lambda l: split_part(string_split_regex(l, '\\s+')[2], ':', 1))")
+
+
+def _includes(code: str, regular: bool) -> str:
+    """Blank-separated include stand-in: 2nd word of lines starting 'The ', quotes gone."""
+    cond = "ends_with(x, '.')" if regular else "not ends_with(x, '.')"
+    return (f"list_filter(list_transform(list_filter(list_transform(string_split(coalesce({code}, ''),"
+            f" chr(10)), lambda l: trim(l)), lambda l: starts_with(l, 'The ')),"
+            f" lambda l: replace(replace(trim(string_split(l, ' ')[2]), '\"', ''), '''', '')),"
+            f" lambda x: x <> '' and {cond})")
+
+
+for _name, _expr in (("rule_names", _names("source_code", "The")),
+                     ("module_names", _names("source_code", "And")),
+                     ("included_files", _includes("source_code", True)),
+                     ("irregular_includes", _includes("source_code", False))):
+    SQL[_name] = _q(f"""
+with v as ({V_CODE}), n as (select repo, pos, {_expr} as names from v)
+select repo, pos, cast(len(names) as bigint) as n_names, array_to_string(names, '|') as names from n
+""")
+
+CODE_WF = f"""
+v as ({V_CODE}),
+w as (
+  select *, (lower(split_part(new_path, '/', -1)) = 'snakefile'
+             or lower(new_path) similar to '.*\\.(smk|snakefile|rules)') as is_rule,
+         split_part(new_path, '/', -1) as filename
+  from v),
+x as (
+  select *, (not is_rule and new_path is not null and (lower(new_path) like 'scripts/%'
+             or lower(new_path) like 'workflow/scripts/%')) as is_script,
+         case when is_rule then {_names('source_code', 'The')} else [] end as ra_l,
+         case when is_rule then {_names('source_code_before', 'The')} else [] end as rb_l,
+         case when is_rule then {_names('source_code', 'And')} else [] end as ma_l,
+         case when is_rule then {_names('source_code_before', 'And')} else [] end as mb_l,
+         case when is_rule then {_includes('source_code', True)} else [] end as inc_l,
+         case when is_rule then {_includes('source_code', False)} else [] end as irr_l
+  from w)
+"""
+
+SQL["rule_diff_occurrences"] = _q(f"""
+with {CODE_WF}
+select repo, pos, new_path, (is_rule or is_script) as snakemake_related,
+       cast(len(list_filter(ra_l, lambda e: not list_contains(rb_l, e)))
+          + len(list_filter(ma_l, lambda e: not list_contains(mb_l, e))) as bigint) as snakemake_n_rules_added,
+       cast(len(list_filter(rb_l, lambda e: not list_contains(ra_l, e)))
+          + len(list_filter(mb_l, lambda e: not list_contains(ma_l, e))) as bigint) as snakemake_n_rules_removed,
+       cast(0 as bigint) as snakemake_n_modules_added, cast(0 as bigint) as snakemake_n_modules_removed
+from x
+""")
+
+SQL["rule_diff_sets"] = _q(f"""
+with {CODE_WF},
+y as (
+  select owner, repo, hash, bool_or(is_rule or is_script) as rel,
+         list_sort(list_distinct(flatten(list(ra_l)))) as ra,
+         list_sort(list_distinct(flatten(list(rb_l)))) as rb,
+         list_sort(list_distinct(flatten(list(ma_l)))) as ma,
+         list_sort(list_distinct(flatten(list(mb_l)))) as mb,
+         list_sort(list_distinct(flatten(list(inc_l)))) as inc,
+         list_sort(list_distinct(list(new_path) filter (where is_script))) as scr,
+         list_sort(list_distinct(flatten(list(irr_l)))) as irr,
+         list_sort(list_distinct(list(new_path) filter (where is_rule))) as rf
+  from x group by owner, repo, hash)
+select owner, repo, hash, rel as snakemake_related,
+       array_to_string(ra, ',') as snakemake_rules_from_code,
+       array_to_string(rb, ',') as snakemake_rules_from_code_before,
+       array_to_string(ma, ',') as snakemake_modules_from_code,
+       array_to_string(mb, ',') as snakemake_modules_from_code_before,
+       array_to_string(inc, ',') as snakemake_included_rules,
+       array_to_string(coalesce(scr, []), ',') as snakemake_included_scripts,
+       array_to_string(irr, ',') as snakemake_irregular_rule_files,
+       array_to_string(coalesce(rf, []), ',') as snakemake_rule_files,
+       cast(len(list_filter(ra, lambda e: not list_contains(rb, e))) as bigint) as snakemake_n_rules_added,
+       cast(len(list_filter(rb, lambda e: not list_contains(ra, e))) as bigint) as snakemake_n_rules_removed,
+       cast(len(list_filter(ma, lambda e: not list_contains(mb, e))) as bigint) as snakemake_n_modules_added,
+       cast(len(list_filter(mb, lambda e: not list_contains(ma, e))) as bigint) as snakemake_n_modules_removed
+from y
+""")
+
+V_FILES = """
+select o_orderpriority as repo, cast(o_orderkey as varchar) as hash,
+       'a' || cast(o_custkey % 50 as varchar) as author,
+       epoch_us(o_orderdate) / cast(1000000 as double) as committer_epoch,
+       case when l_partkey % 200 = 0 then 'Snakefile'
+            else 'f' || cast(l_partkey % 200 as varchar) ||
+                 case l_returnflag when 'R' then '.smk' when 'A' then '.py' else '.txt' end end as filename,
+       cast(l_quantity as bigint) as n_added_lines,
+       cast(round(l_tax * 100) as bigint) as n_deleted_lines,
+       case l_returnflag when 'R' then 'DELETE' when 'A' then 'ADD' else 'MODIFY' end as change_type,
+       l_linestatus, l_linenumber as line_no
+from lineitem join orders on l_orderkey = o_orderkey
+"""
+
+SQL["file_extensions"] = _q(f"""
+with f as ({V_FILES}),
+e as (select *, case when instr(filename, '.') > 0
+                     then lower(regexp_extract(filename, '\\.([^.]*)$', 1)) end as ext from f)
+select repo, hash,
+       array_to_string(list_sort(list_distinct(coalesce(list(ext) filter (where ext <> ''), []))), ',')
+         as file_extensions,
+       array_to_string(list_sort(list_distinct(list(change_type))), ',') as change_types
+from e group by repo, hash
+""")
+
+SQL["script_paths"] = _q(f"""
+with f as ({V_FILES}),
+p as (select *, case when l_linestatus = 'F' then 'workflow/scripts/' else 'src/' end || filename as new_path,
+             (lower(filename) = 'snakefile' or lower(filename) similar to '.*\\.(smk|snakefile|rules)') as is_rule
+      from f),
+s as (select *, (not is_rule and (lower(new_path) like 'scripts/%' or lower(new_path) like 'workflow/scripts/%'))
+               as is_script from p)
+select repo, hash, bool_or(is_rule or is_script) as snakemake_related,
+       array_to_string(list_sort(list_distinct(coalesce(list(new_path) filter (where is_rule), []))), ',') as rule_files,
+       array_to_string(list_sort(list_distinct(coalesce(list(new_path) filter (where is_script), []))), ',')
+         as included_scripts
+from s group by repo, hash
+""")

@@ -120,20 +120,33 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(folder, fname).alias("new_path"),
         F.col("l_quantity").cast("bigint").alias("n_added_lines"),
         F.round(F.col("l_tax") * 100).cast("bigint").alias("n_deleted_lines"),
+        F.when(F.col("l_returnflag") == "R", F.lit("DELETE"))
+         .when(F.col("l_returnflag") == "A", F.lit("ADD")).otherwise(F.lit("MODIFY"))
+         .alias("change_type"),
+        F.col("l_linenumber").alias("line_no"),
     )
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> code(repo, pos, filename, source_code, source_code_before).
-
-    The code before is the previous document of the same source (J15)."""
+    """documents -> commit_files with code: one file per document, commit = 3 documents
+    of a source; the code before is the previous document of the same source (J15).
+    en -> a rule file ``Snakefile``, de -> ``rules/<id>.smk``, es -> a script under
+    ``workflow/scripts/``, fr -> ``docs/<id>.txt``."""
     d = table(spark, sf_dir, "documents")
     from repochron.operators.ordered import ordered_scan
-    d = d.select(F.col("source").alias("repo"), F.col("doc_id").alias("pos"),
-                 "lang", F.col("text").alias("source_code"))
-    d = ordered_scan(d, ["repo"], ["pos"], F.expr("pos div 4096"),
-                     lags={"source_code_before": F.col("source_code")})
-    return d
+    pos = F.expr(f"doc_id div {DOCS_PER_COMMIT_SPAN}")
+    ident = F.col("doc_id").cast("string")
+    new_path = (F.when(F.col("lang") == "en", F.lit("Snakefile"))
+                 .when(F.col("lang") == "de", F.concat(F.lit("rules/"), ident, F.lit(".smk")))
+                 .when(F.col("lang") == "es", F.concat(F.lit("workflow/scripts/"), ident, F.lit(".py")))
+                 .otherwise(F.concat(F.lit("docs/"), ident, F.lit(".txt"))))
+    d = d.select(F.lit(OWNER).alias("owner"), F.col("source").alias("repo"),
+                 F.sha1(F.concat(F.col("source"), F.lit(":"), pos.cast("string"))).alias("hash"),
+                 F.col("doc_id").alias("pos"), new_path.alias("new_path"),
+                 F.element_at(F.split(new_path, "/"), -1).alias("filename"),
+                 F.col("text").alias("source_code"))
+    return ordered_scan(d, ["owner", "repo"], ["pos"], F.expr("pos div 4096"),
+                        lags={"source_code_before": F.col("source_code")})
 
 
 def issue_times(spark: SparkSession, sf_dir: str) -> DataFrame:
