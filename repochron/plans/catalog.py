@@ -173,3 +173,73 @@ def q_script_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("repo", "hash", "snakemake_related",
                         F.array_join("snakemake_rule_files", ",").alias("rule_files"),
                         F.array_join("snakemake_included_scripts", ",").alias("included_scripts"))
+
+
+# --- process metrics (X05) -----------------------------------------------------
+from repochron.operators import metrics as pm  # noqa: E402
+
+STANDIN_HUNK_MARKERS = "TA"     # prose lines starting with T or A play +/- lines
+
+
+def _file_metrics(spark, sf_dir):
+    ch = pm.file_changes(sv.commit_files(spark, sf_dir), key=("repo",))
+    return pm.file_metrics(ch, key=("repo",))
+
+
+@query("changeset_stats")
+def q_changeset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most / mean files per commit."""
+    ch = pm.file_changes(sv.commit_files(spark, sf_dir), key=("repo",))
+    s = pm.changeset_stats(ch, key=("repo",))
+    return s.select("repo", "changeset_max", _r6("changeset_avg").alias("changeset_avg"))
+
+
+@query("code_churn")
+def q_code_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churn per file."""
+    m = _file_metrics(spark, sf_dir)
+    return m.select("repo", "path", "codechurn_count", "codechurn_max",
+                    _r6("codechurn_avg").alias("codechurn_avg"),
+                    "codechurn_added_lines", "codechurn_removed_lines")
+
+
+@query("commits_per_file")
+def q_commits_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits per file."""
+    return _file_metrics(spark, sf_dir).select("repo", "path", "commitscount_files")
+
+
+@query("contributors_per_file")
+def q_contributors_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct and minor (< 5 % of lines) authors per file."""
+    return _file_metrics(spark, sf_dir).select("repo", "path", "contributorscount_count",
+                                               "contributorscount_minor")
+
+
+@query("contributor_experience")
+def q_contributor_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top author's share of a file's lines, in percent."""
+    m = _file_metrics(spark, sf_dir)
+    return m.select("repo", "path",
+                    _r6("contributorsexperience_count").alias("contributorsexperience_count"))
+
+
+@query("line_counts")
+def q_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added / removed line totals, maxima and means per file."""
+    m = _file_metrics(spark, sf_dir)
+    return m.select("repo", "path", "linescount_count", "linescount_count_added",
+                    "linescount_max_added", _r6("linescount_avg_added").alias("linescount_avg_added"),
+                    "linescount_count_removed", "linescount_max_removed",
+                    _r6("linescount_avg_removed").alias("linescount_avg_removed"))
+
+
+@query("hunks_median")
+def q_hunks_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median hunks per commit of each file (whole texts)."""
+    c = sv.code(spark, sf_dir).select("repo", "hash", "new_path", F.col("source_code").alias("patch"),
+                                      F.lit(0).alias("n_added_lines"), F.lit(0).alias("n_deleted_lines"),
+                                      F.lit("x").alias("author"))
+    ch = pm.file_changes(c, key=("repo",), path=F.col("new_path"), hunk_markers=STANDIN_HUNK_MARKERS)
+    h = pm.hunks_median(ch, key=("repo",))
+    return h.select("repo", "path", _r6("hunkscount_files").alias("hunkscount_files"))

@@ -250,7 +250,11 @@ select o_orderpriority as repo, cast(o_orderkey as varchar) as hash,
        cast(l_quantity as bigint) as n_added_lines,
        cast(round(l_tax * 100) as bigint) as n_deleted_lines,
        case l_returnflag when 'R' then 'DELETE' when 'A' then 'ADD' else 'MODIFY' end as change_type,
-       l_linestatus, l_linenumber as line_no
+       l_linestatus, l_linenumber as line_no,
+       case when l_linestatus = 'F' then 'workflow/scripts/' else 'src/' end ||
+       case when l_partkey % 200 = 0 then 'Snakefile'
+            else 'f' || cast(l_partkey % 200 as varchar) ||
+                 case l_returnflag when 'R' then '.smk' when 'A' then '.py' else '.txt' end end as new_path
 from lineitem join orders on l_orderkey = o_orderkey
 """
 
@@ -278,3 +282,84 @@ select repo, hash, bool_or(is_rule or is_script) as snakemake_related,
          as included_scripts
 from s group by repo, hash
 """)
+
+
+FILE_METRICS = f"""
+f as ({V_FILES}),
+ch as (select repo, new_path as path, hash, sum(n_added_lines) as added, sum(n_deleted_lines) as removed,
+              any_value(author) as author
+       from f group by repo, new_path, hash),
+pa as (select repo, path, author, sum(added + removed) as lines from ch group by repo, path, author),
+au as (select repo, path, count(*) as n_auth, sum(lines) as total, max(lines) as top from pa group by repo, path),
+mi as (select pa.repo, pa.path,
+              count(*) filter (where au.total > 0 and cast(pa.lines as double) / au.total < 0.05) as minor
+       from pa join au on pa.repo = au.repo and pa.path = au.path group by pa.repo, pa.path),
+fm as (
+  select ch.repo, ch.path, count(*) as commitscount_files,
+         sum(added - removed) as codechurn_count, max(added - removed) as codechurn_max,
+         avg(added - removed) as codechurn_avg,
+         sum(added) as codechurn_added_lines, sum(removed) as codechurn_removed_lines,
+         sum(added + removed) as linescount_count, sum(added) as linescount_count_added,
+         max(added) as linescount_max_added, avg(added) as linescount_avg_added,
+         sum(removed) as linescount_count_removed, max(removed) as linescount_max_removed,
+         avg(removed) as linescount_avg_removed
+  from ch group by ch.repo, ch.path),
+allm as (
+  select fm.*, au.n_auth as contributorscount_count, mi.minor as contributorscount_minor,
+         case when au.total > 0 then cast(au.top as double) * 100 / au.total else 0 end
+           as contributorsexperience_count
+  from fm join au on fm.repo = au.repo and fm.path = au.path
+          join mi on fm.repo = mi.repo and fm.path = mi.path)
+"""
+
+SQL["changeset_stats"] = _q(f"""
+with f as ({V_FILES}),
+ch as (select repo, hash, count(distinct new_path) as n_files from f group by repo, hash)
+select repo, cast(max(n_files) as bigint) as changeset_max, round(avg(n_files), 6) as changeset_avg
+from ch group by repo
+""")
+
+SQL["code_churn"] = _q(f"""
+with {FILE_METRICS}
+select repo, path, cast(codechurn_count as bigint) as codechurn_count,
+       cast(codechurn_max as bigint) as codechurn_max, round(codechurn_avg, 6) as codechurn_avg,
+       cast(codechurn_added_lines as bigint) as codechurn_added_lines,
+       cast(codechurn_removed_lines as bigint) as codechurn_removed_lines
+from allm
+""")
+
+SQL["commits_per_file"] = _q(f"""
+with {FILE_METRICS}
+select repo, path, cast(commitscount_files as bigint) as commitscount_files from allm
+""")
+
+SQL["contributors_per_file"] = _q(f"""
+with {FILE_METRICS}
+select repo, path, cast(contributorscount_count as bigint) as contributorscount_count,
+       cast(contributorscount_minor as bigint) as contributorscount_minor from allm
+""")
+
+SQL["contributor_experience"] = _q(f"""
+with {FILE_METRICS}
+select repo, path, round(contributorsexperience_count, 6) as contributorsexperience_count from allm
+""")
+
+SQL["line_counts"] = _q(f"""
+with {FILE_METRICS}
+select repo, path, cast(linescount_count as bigint) as linescount_count,
+       cast(linescount_count_added as bigint) as linescount_count_added,
+       cast(linescount_max_added as bigint) as linescount_max_added,
+       round(linescount_avg_added, 6) as linescount_avg_added,
+       cast(linescount_count_removed as bigint) as linescount_count_removed,
+       cast(linescount_max_removed as bigint) as linescount_max_removed,
+       round(linescount_avg_removed, 6) as linescount_avg_removed
+from allm
+""")
+
+SQL["hunks_median"] = _q(f"""
+with v as ({V_CODE}),
+h as (select repo, new_path as path, hash,
+             sum(len(regexp_extract_all(source_code, '(?m)(?:^[TA][^\n]*(?:\n|$))+'))) as hunks
+      from v group by repo, new_path, hash)
+select repo, path, round(median(hunks), 6) as hunkscount_files from h group by repo, path
+""")
