@@ -243,3 +243,156 @@ def q_hunks_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = pm.file_changes(c, key=("repo",), path=F.col("new_path"), hunk_markers=STANDIN_HUNK_MARKERS)
     h = pm.hunks_median(ch, key=("repo",))
     return h.select("repo", "path", _r6("hunkscount_files").alias("hunkscount_files"))
+
+
+# --- repository summary and list joins ------------------------------------------
+from repochron.operators import summary as sm  # noqa: E402
+
+AS_OF = 1767225600.0        # "now" pinned for A14 (2026-01-01T00:00:00Z)
+
+
+@query("repo_totals")
+def q_repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors, committers, first / last commit per repository."""
+    s = sm.repo_general_summary(sv.commits(spark, sf_dir), as_of=AS_OF)
+    return s.select("owner", "repo", "x_total_commits", "n_commits_distinct", "n_authors",
+                    "n_committers", _r6("first_commit_at_epoch").alias("first_commit_at_epoch"),
+                    _r6("last_commit_at_epoch").alias("last_commit_at_epoch"),
+                    "first_commit_at", "last_commit_at", "first_committer_date",
+                    "last_committer_date")
+
+
+@query("entity_counts_joined")
+def q_entity_counts_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-entity totals next to every repository, absent -> 0."""
+    commits = sv.commits(spark, sf_dir)
+    repos = commits.select("owner", "repo").distinct()
+    pages = sv.table(spark, sf_dir, "pages").select(
+        F.lit(sv.OWNER).alias("owner"),
+        F.concat(F.lit("r"), (F.col("page_id") % 150).cast("string")).alias("repo"))
+    ents = {"commits": commits, "issues": sv.issues(spark, sf_dir),
+            "issue_events": sv.issue_events(spark, sf_dir),
+            "issue_comments": sv.issue_comments(spark, sf_dir),
+            "pull_requests": sv.pull_requests(spark, sf_dir), "pages": pages}
+    return sm.entity_counts(repos, ents)
+
+
+def _customers(spark, sf_dir):
+    return sv.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("repo"),
+        F.col("c_name").alias("full_name"), "c_acctbal", "c_mktsegment")
+
+
+def _orders_repos(spark, sf_dir):
+    return sv.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("repo"), "o_orderstatus")
+
+
+@query("require_semi")
+def q_require_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories that have commits (orders) and repo info (non-negative balance)."""
+    cust = _customers(spark, sf_dir)
+    info = cust.filter(F.col("c_acctbal") >= 0)
+    return sm.require_all(cust, _orders_repos(spark, sf_dir), info, key=("repo",)) \
+        .select("repo", "full_name")
+
+
+@query("reject_anti")
+def q_reject_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories missing an input, with the reason."""
+    cust = _customers(spark, sf_dir)
+    info = cust.filter(F.col("c_acctbal") >= 0)
+    return sm.rejects(cust, "extend_repositories_info",
+                      {"no commits": _orders_repos(spark, sf_dir), "no repo info": info}, key=("repo",))
+
+
+@query("resume_anti")
+def q_resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories still to do (manifest = segment BUILDING already done)."""
+    cust = _customers(spark, sf_dir)
+    done = cust.filter(F.col("c_mktsegment") == "BUILDING")
+    return sm.resume(cust, done, key=("repo",)).select("repo", "full_name")
+
+
+@query("skiplist_anti")
+def q_skiplist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blacklist (negative balance) union skip list (AUTOMOBILE) removed."""
+    cust = _customers(spark, sf_dir)
+    merged = sm.merge_skiplists(cust.filter(F.col("c_acctbal") < 0),
+                                cust.filter(F.col("c_mktsegment") == "AUTOMOBILE"))
+    return sm.skip_list(cust, merged).select("repo", "full_name")
+
+
+@query("allowlist_semi")
+def q_allowlist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep repositories named in the allow list (customers with a finished order)."""
+    cust = _customers(spark, sf_dir)
+    allowed = (_orders_repos(spark, sf_dir).filter(F.col("o_orderstatus") == "F")
+               .join(cust.select("repo", "full_name"), "repo").select("full_name"))
+    return sm.allow_list(cust, allowed).select("repo", "full_name")
+
+
+# --- event logs -----------------------------------------------------------------------
+from repochron.operators import eventlog as el  # noqa: E402
+
+LOG_OUT = ("owner", "repo", "cycle_no", "case_id", "activity", "t", "timestamp", "user")
+
+
+def _cycles(spark, sf_dir):
+    return cyc.evolution_cycles(sv.commits(spark, sf_dir))
+
+
+@query("eventlog_issues")
+def q_eventlog_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue opened / closed inside each cycle."""
+    a = el.issue_activities(sv.issues(spark, sf_dir))
+    return el.attach_cycles(a, _cycles(spark, sf_dir)).select(*LOG_OUT)
+
+
+@query("eventlog_comments")
+def q_eventlog_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments inside each cycle."""
+    a = el.comment_activities(sv.issue_comments(spark, sf_dir))
+    return el.attach_cycles(a, _cycles(spark, sf_dir)).select(*LOG_OUT)
+
+
+@query("eventlog_events")
+def q_eventlog_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue events inside each cycle (null actor kept)."""
+    a = el.issue_event_activities(sv.issue_events(spark, sf_dir))
+    return el.attach_cycles(a, _cycles(spark, sf_dir)).select(*LOG_OUT)
+
+
+@query("eventlog_commits")
+def q_eventlog_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits inside each cycle; Committed-Snakemake when the
+    cycle added rules or modules."""
+    a = el.commit_activities(sv.commits(spark, sf_dir))
+    return el.attach_cycles(a, _cycles(spark, sf_dir)).select(*LOG_OUT)
+
+
+@query("eventlog_prs")
+def q_eventlog_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pull requests opened inside each cycle."""
+    a = el.pr_activities(sv.pull_requests(spark, sf_dir))
+    return el.attach_cycles(a, _cycles(spark, sf_dir)).select(*LOG_OUT)
+
+
+@query("eventlog_pr_commits")
+def q_eventlog_pr_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits under merged pull requests (no time filter)."""
+    cwp = sv.commits_with_parents(spark, sf_dir)
+    order = cyc.commit_order(sv.commits(spark, sf_dir))
+    pr = el.pr_commit_activities(sv.pull_requests(spark, sf_dir), cwp, order)
+    return pr.select("owner", "repo", "case_id", "activity", "t", "timestamp", "user", "commit_hash")
+
+
+@query("eventlog_all")
+def q_eventlog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log (per-cycle activities plus PR commits per repository)."""
+    commits = sv.commits(spark, sf_dir)
+    log = el.event_log(_cycles(spark, sf_dir), sv.issues(spark, sf_dir),
+                       sv.issue_comments(spark, sf_dir), sv.issue_events(spark, sf_dir),
+                       sv.pull_requests(spark, sf_dir), sv.commits_with_parents(spark, sf_dir),
+                       cyc.commit_order(commits))
+    return log.select(*LOG_OUT)

@@ -363,3 +363,196 @@ h as (select repo, new_path as path, hash,
       from v group by repo, new_path, hash)
 select repo, path, round(median(hunks), 6) as hunkscount_files from h group by repo, path
 """)
+
+
+SQL["repo_totals"] = _q(f"""
+with c as ({V_COMMITS}),
+a as (select owner, repo, count(*) as n, count(distinct hash) as nd, count(distinct author) as na,
+             count(distinct committer) as nc, least(1767225600, min(committer_epoch)) as fe,
+             greatest(0, max(committer_epoch)) as le,
+             arg_min(committer_date, committer_epoch) as fd, arg_max(committer_date, committer_epoch) as ld
+      from c group by owner, repo)
+select owner, repo, cast(n as bigint) as x_total_commits, cast(nd as bigint) as n_commits_distinct,
+       cast(na as bigint) as n_authors, cast(nc as bigint) as n_committers,
+       round(fe, 6) as first_commit_at_epoch, round(le, 6) as last_commit_at_epoch,
+       case when fe > 0 then strftime(make_timestamp(cast(floor(fe) as bigint) * 1000000),
+                                      '%Y-%m-%dT%H:%M:%S') || ' ' end as first_commit_at,
+       case when le > 0 then strftime(make_timestamp(cast(floor(le) as bigint) * 1000000),
+                                      '%Y-%m-%dT%H:%M:%S') || ' ' end as last_commit_at,
+       fd as first_committer_date, ld as last_committer_date
+from a
+""")
+
+ISSUES = """
+it as (select conv_id, max(turn) as max_turn, arg_min(role, turn) as opener,
+              1704067200 + (conv_id * 2621189) % 2592000 as ce
+       from conversations group by conv_id),
+iss as (select 'acme' as owner, 'r' || cast(conv_id % 150 as varchar) as repo, conv_id as number, ce,
+               case when max_turn >= 3 then ce + max_turn * 3600 end as xe, opener as login, max_turn
+        from it),
+com as (select 'acme' as owner, 'r' || cast(cv.conv_id % 150 as varchar) as repo, cv.conv_id as number,
+               it.ce + cv.turn * 1800 as e, cv.role as login
+        from conversations cv join it on cv.conv_id = it.conv_id where cv.turn > 0),
+iev as (select 'acme' as owner, 'r' || cast(cv.conv_id % 150 as varchar) as repo, cv.conv_id as number,
+               case when cv.turn % 4 = 1 then 'labeled' else 'assigned' end as event,
+               it.ce + cv.turn * 1800 + 60 as e,
+               case when cv.turn = 1 then null else cv.role end as login
+        from conversations cv join it on cv.conv_id = it.conv_id
+        where cv.turn > 0 and cv.role = 'assistant'),
+pr as (select 'acme' as owner, 'r' || cast(user_id as varchar) as repo, event_id + 100000 as number,
+              cast(floor(epoch_us(ts) / cast(1000000 as double)) as bigint) - 7200 as ce,
+              case when event_id % 8 = 4 then null
+                   when event_id % 12 = 8 then sha1('x' || cast(event_id as varchar))
+                   else sha1(cast(event_id as varchar)) end as sha,
+              'u' || cast(user_id as varchar) as login
+       from events where event_type = 'purchase')
+"""
+
+
+def _gh(e: str) -> str:
+    return f"strftime(make_timestamp(cast({e} as bigint) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+ACTS = {
+    "issues": f"""
+      select owner, repo, 'Issue-' || cast(number as varchar) as case_id, 'Issue Created' as activity,
+             ce as t, {_gh('ce')} as timestamp, login as "user" from iss
+      union all
+      select owner, repo, 'Issue-' || cast(number as varchar), 'Issue Closed', xe, {_gh('xe')}, login
+      from iss where xe is not null""",
+    "comments": f"""
+      select owner, repo, 'Issue-' || cast(number as varchar) as case_id, 'Issue Commented' as activity,
+             e as t, {_gh('e')} as timestamp, login as "user" from com""",
+    "events": f"""
+      select owner, repo, 'Issue-' || cast(number as varchar) as case_id, event as activity,
+             e as t, {_gh('e')} as timestamp, login as "user" from iev""",
+    "commits": """
+      select owner, repo, 'Commit-' || left(hash, 7) as case_id, 'Committed' as activity,
+             cast(floor(committer_epoch) as bigint) as t,
+             case when floor(committer_epoch) > 0 then
+               strftime(make_timestamp(cast(floor(committer_epoch) as bigint) * 1000000),
+                        '%Y-%m-%dT%H:%M:%S') || ' ' end as timestamp,
+             committer as "user" from c""",
+    "prs": f"""
+      select owner, repo, 'Issue-' || cast(number as varchar) as case_id, 'Pull Request Opened' as activity,
+             ce as t, {_gh('ce')} as timestamp, login as "user" from pr""",
+}
+
+
+def _attached(kinds: list[str]) -> str:
+    acts = "\n      union all\n".join(f"select * from ({ACTS[k]})" for k in kinds)
+    return f"""
+with {CYCLES}, {ISSUES},
+act as ({acts})
+select a.owner, a.repo, cast(y.cycle_no as bigint) as cycle_no, a.case_id,
+       case when a.activity = 'Committed' and a.case_id like 'Commit-%'
+                 and (y.n_snakemake_rules_added > 0 or y.n_snakemake_modules_added > 0)
+            then 'Committed-Snakemake' else a.activity end as activity,
+       cast(a.t as bigint) as t, a.timestamp, a."user"
+from act a join cyc y on a.owner = y.owner and a.repo = y.repo
+                     and a.t >= y.begin_epoch and a.t <= y.end_epoch
+"""
+
+
+for _k in ("issues", "comments", "events", "commits", "prs"):
+    SQL[f"eventlog_{_k}"] = _q(_attached([_k]))
+
+PR_COMMITS = f"""
+par as (
+  select owner, repo, hash, idx, committer_date, committer_epoch,
+         case when event_id % 10 = 0 and idx >= 5 then [lag(hash, 5) over w, lag(hash, 1) over w]
+              when event_id % 10 = 5 and idx >= 3
+                then [lag(hash, 1) over w, lag(hash, 2) over w, lag(hash, 3) over w]
+              when idx >= 1 then [lag(hash, 1) over w]
+              else [] end as parents
+  from o window w as (partition by owner, repo order by committer_epoch, hash)),
+m as (select pr.owner, pr.repo, pr.number, pr.login, par.parents
+      from pr join par on pr.owner = par.owner and pr.repo = par.repo and pr.sha = par.hash
+      where len(par.parents) > 0),
+e08 as (select m.owner, m.repo, 'Issue-' || cast(m.number as varchar) as case_id, 'Committed' as activity,
+               cast(floor(p.committer_epoch) as bigint) as t, p.committer_date as timestamp,
+               m.login as "user", p.hash as commit_hash
+        from m join par p on m.owner = p.owner and m.repo = p.repo and p.hash = m.parents[1]
+        where len(m.parents) = 1),
+rng as (select m.owner, m.repo, m.number, m.login, b.idx as bi, e.idx as ei
+        from m join par b on m.owner = b.owner and m.repo = b.repo and b.hash = m.parents[1]
+               join par e on m.owner = e.owner and m.repo = e.repo and e.hash = m.parents[2]
+        where len(m.parents) = 2 and b.idx < e.idx),
+e09 as (select r.owner, r.repo, 'Issue-' || cast(r.number as varchar) as case_id, 'Committed' as activity,
+               cast(floor(x.committer_epoch) as bigint) as t, x.committer_date as timestamp,
+               r.login as "user", x.hash as commit_hash
+        from rng r join par x on r.owner = x.owner and r.repo = x.repo and x.idx >= r.bi and x.idx < r.ei),
+prc as (select * from e08 union all select * from e09)
+"""
+
+SQL["eventlog_pr_commits"] = _q(f"""
+with {CYCLE_ROWS}, {ISSUES}, {PR_COMMITS}
+select owner, repo, case_id, activity, t, timestamp, "user", commit_hash from prc
+""")
+
+_ALL = _attached(["issues", "comments", "events", "commits", "prs"]).strip()
+_ALL_HEAD, _ALL_BODY = _ALL.split("\nselect a.owner", 1)
+SQL["eventlog_all"] = _q(f"""
+{_ALL_HEAD}, {PR_COMMITS}
+select a.owner{_ALL_BODY}
+union all
+select owner, repo, cast(null as bigint) as cycle_no, case_id, activity, t, timestamp, "user" from prc
+""")
+
+CUST = """
+cu as (select 'c' || cast(c_custkey as varchar) as repo, c_name as full_name, c_acctbal, c_mktsegment
+       from customer),
+orr as (select 'c' || cast(o_custkey as varchar) as repo, o_orderstatus from orders)
+"""
+
+SQL["require_semi"] = _q(f"""
+with {CUST}
+select repo, full_name from cu
+where exists (select 1 from orr where orr.repo = cu.repo) and c_acctbal >= 0
+""")
+
+SQL["reject_anti"] = _q(f"""
+with {CUST},
+miss as (select repo, 'no commits' as reason from cu where not exists (select 1 from orr where orr.repo = cu.repo)
+         union all
+         select repo, 'no repo info' from cu where c_acctbal < 0)
+select 'extend_repositories_info' as stage, repo, min(reason) as reason from miss group by repo
+""")
+
+SQL["resume_anti"] = _q(f"""
+with {CUST}
+select repo, full_name from cu where c_mktsegment <> 'BUILDING'
+""")
+
+SQL["skiplist_anti"] = _q(f"""
+with {CUST},
+sk as (select full_name from cu where c_acctbal < 0 union select full_name from cu where c_mktsegment = 'AUTOMOBILE')
+select repo, full_name from cu where full_name not in (select full_name from sk)
+""")
+
+SQL["allowlist_semi"] = _q(f"""
+with {CUST}
+select repo, full_name from cu
+where full_name in (select cu2.full_name from orr join cu cu2 on orr.repo = cu2.repo where orr.o_orderstatus = 'F')
+""")
+
+SQL["entity_counts_joined"] = _q(f"""
+with c as ({V_COMMITS}), {ISSUES},
+rp as (select distinct owner, repo from c),
+cnt as (
+  select owner, repo, 'commits' as k from c
+  union all select owner, repo, 'issues' from iss
+  union all select owner, repo, 'issue_events' from iev
+  union all select owner, repo, 'issue_comments' from com
+  union all select owner, repo, 'pull_requests' from pr
+  union all select 'acme', 'r' || cast(page_id % 150 as varchar), 'pages' from pages)
+select rp.owner, rp.repo,
+       cast(count(k) filter (where k = 'commits') as bigint) as x_total_commits,
+       cast(count(k) filter (where k = 'issues') as bigint) as x_total_issues,
+       cast(count(k) filter (where k = 'issue_events') as bigint) as x_total_issue_events,
+       cast(count(k) filter (where k = 'issue_comments') as bigint) as x_total_issue_comments,
+       cast(count(k) filter (where k = 'pull_requests') as bigint) as x_total_pull_requests,
+       cast(count(k) filter (where k = 'pages') as bigint) as x_total_pages
+from rp left join cnt on rp.owner = cnt.owner and rp.repo = cnt.repo
+group by rp.owner, rp.repo
+""")
