@@ -396,3 +396,115 @@ def q_eventlog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sv.pull_requests(spark, sf_dir), sv.commits_with_parents(spark, sf_dir),
                        cyc.commit_order(commits))
     return log.select(*LOG_OUT)
+
+
+# --- calendar, upsert, validation, commit-log parsing --------------------------------
+from repochron.operators import calendar as cal  # noqa: E402
+from repochron.operators import incremental as inc  # noqa: E402
+from repochron.operators import validate as val  # noqa: E402
+from repochron.sources import gitlog as gl  # noqa: E402
+from repochron.functions.scalars import last_url_segment  # noqa: E402
+
+
+def _order_spans(spark, sf_dir):
+    o = sv.table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("repo"), F.col("o_orderstatus").alias("status")) \
+        .agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end"))
+
+
+def _ranges(spark, sf_dir, interval):
+    r = cal.date_ranges(_order_spans(spark, sf_dir), "start", "end", interval)
+    return r.select("repo", "status", F.col("range_start").cast("string").alias("range_start"),
+                    F.col("range_end").cast("string").alias("range_end"))
+
+
+@query("date_ranges_month")
+def q_date_ranges_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month ranges between each group's first and last order."""
+    return _ranges(spark, sf_dir, "m")
+
+
+@query("date_ranges_week")
+def q_date_ranges_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monday-Sunday ranges, first Monday not clipped."""
+    return _ranges(spark, sf_dir, "w")
+
+
+@query("date_ranges_day")
+def q_date_ranges_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One range per day."""
+    return _ranges(spark, sf_dir, "d")
+
+
+@query("upsert_latest")
+def q_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as repository search results keyed by partkey % 500,
+    merged in partkey order (later wins); allow list = brands other than Brand#55."""
+    p = sv.table(spark, sf_dir, "part")
+    rows = p.select((F.col("p_partkey") % 500).alias("id"), F.col("p_name").alias("name"),
+                    F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name")).alias("full_name"),
+                    F.concat(F.lit("https://example.org/"), F.col("p_brand")).alias("html_url"),
+                    F.col("p_type").alias("description"),
+                    F.col("p_size").cast("bigint").alias("stargazers_count"),
+                    F.floor("p_retailprice").cast("bigint").alias("forks_count"),
+                    F.col("p_partkey").alias("load_order"))
+    allowed = rows.filter(~F.col("full_name").startswith("Brand#55/")).select("full_name")
+    return inc.upsert(None, rows, allowed=allowed)
+
+
+@query("key_by_last")
+def q_key_by_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last event per user by (ts, event_id)."""
+    ev = sv.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    out = inc.key_by_last(ev, "user_id", ["ts", "event_id"])
+    return out.select("user_id", "event_id", "event_type")
+
+
+@query("split_full_name")
+def q_split_full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL paths as owner/repo names, checks and last segment."""
+    pg = sv.table(spark, sf_dir, "pages")
+    path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]+/", "")
+    df = val.split_full_name(pg.select("page_id", "url", path.alias("full_name")))
+    return df.select("page_id", "full_name", "owner", "repo", "valid",
+                     val.is_full_name("full_name").alias("is_full_name"),
+                     val.is_commit_hash(F.sha1("url")).alias("hash_ok"),
+                     last_url_segment(F.col("url")).alias("last_segment"))
+
+
+@query("drop_url_columns")
+def q_drop_url_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository info with every top-level *_url column dropped, owner set."""
+    pg = sv.table(spark, sf_dir, "pages")
+    info = pg.select(F.col("page_id").alias("id"), F.col("url").alias("html_url"),
+                     F.concat(F.col("url"), F.lit(".git")).alias("clone_url"),
+                     F.col("url").alias("homepage"), F.length("html").alias("size"))
+    out = val.drop_suffix_columns(info).withColumn("owner", F.lit(sv.OWNER))
+    return out.select("id", "homepage", "size", "owner")
+
+
+@query("log_lines_parsed")
+def q_log_lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-formed log lines (a subject with a bar drops the commit)."""
+    log = gl.parse_log_lines(sv.log_lines(spark, sf_dir)).filter("valid")
+    return log.select("repo_name", "commit_hash", "author", "committer", "date", "message",
+                      "parent_commit")
+
+
+@query("numstat_totals")
+def q_numstat_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines added / deleted per commit from numstat text."""
+    return gl.numstat_totals(gl.parse_numstat(sv.numstat_lines(spark, sf_dir)))
+
+
+@query("git_commits")
+def q_git_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 14-field commit rows (no refs landed: branch unknown)."""
+    ns = gl.parse_numstat(sv.numstat_lines(spark, sf_dir))
+    files = gl.changed_files(ns.select(F.col("commit_hash").alias("hash"), F.col("path").alias("value")))
+    rows = gl.assemble_commits(gl.parse_log_lines(sv.log_lines(spark, sf_dir)),
+                               totals=gl.numstat_totals(ns), files=files)
+    return rows.select("repo_name", "commit_hash", "author", "committer", "date", "message",
+                       "parent_commit", "branch", F.array_join("tags", ",").alias("tags"),
+                       F.array_join("changed_files", ",").alias("changed_files"),
+                       "lines_added", "lines_deleted", "is_merge_commit", "merged_branch")

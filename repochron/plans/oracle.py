@@ -556,3 +556,120 @@ select rp.owner, rp.repo,
 from rp left join cnt on rp.owner = cnt.owner and rp.repo = cnt.repo
 group by rp.owner, rp.repo
 """)
+
+
+SPANS = """
+sp as (select o_orderpriority as repo, o_orderstatus as status, cast(min(o_orderdate) as date) as s,
+              cast(max(o_orderdate) as date) as e
+       from orders group by o_orderpriority, o_orderstatus)
+"""
+
+SQL["date_ranges_month"] = _q(f"""
+with {SPANS},
+m as (select repo, status, s, e, cast(unnest(generate_series(date_trunc('month', s), date_trunc('month', e),
+                                                              interval 1 month)) as date) as m from sp)
+select repo, status, cast(greatest(m, s) as varchar) as range_start,
+       cast(least(cast(last_day(m) as date), e) as varchar) as range_end from m
+""")
+
+SQL["date_ranges_week"] = _q(f"""
+with {SPANS},
+w as (select repo, status, s, e, cast(unnest(generate_series(cast(date_trunc('week', s) as date), e,
+                                                              interval 7 day)) as date) as w from sp)
+select repo, status, cast(w as varchar) as range_start,
+       cast(least(cast(w + interval 6 day as date), e) as varchar) as range_end from w
+""")
+
+SQL["date_ranges_day"] = _q(f"""
+with {SPANS},
+d as (select repo, status, cast(unnest(generate_series(s, e, interval 1 day)) as date) as d from sp)
+select repo, status, cast(d as varchar) as range_start, cast(d as varchar) as range_end from d
+""")
+
+SQL["upsert_latest"] = _q("""
+with r as (select p_partkey % 500 as id, p_name as name, p_brand || '/' || p_name as full_name,
+                  'https://example.org/' || p_brand as html_url, p_type as description,
+                  cast(p_size as bigint) as stargazers_count, cast(floor(p_retailprice) as bigint) as forks_count,
+                  p_partkey as load_order
+           from part),
+a as (select * from r where full_name in (select full_name from r where not starts_with(full_name, 'Brand#55/')))
+select id, arg_max(name, load_order) as name, arg_max(full_name, load_order) as full_name,
+       arg_max(html_url, load_order) as html_url, arg_max(description, load_order) as description,
+       arg_max(stargazers_count, load_order) as stargazers_count,
+       arg_max(forks_count, load_order) as forks_count, max(load_order) as load_order
+from a group by id
+""")
+
+SQL["key_by_last"] = _q("""
+select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type
+from events group by user_id
+""")
+
+SQL["split_full_name"] = _q("""
+with p as (select page_id, url,
+                  regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]+/', '') as full_name
+           from pages),
+s as (select *, string_split(trim(full_name), '/') as parts from p)
+select page_id, full_name,
+       case when len(parts) = 2 then parts[1] end as owner,
+       case when len(parts) = 2 then parts[2] end as repo,
+       len(parts) = 2 as valid,
+       coalesce(instr(full_name, '/') > 1, false) as is_full_name,
+       length(sha1(url)) = 40 as hash_ok,
+       string_split(url, '/')[-1] as last_segment
+from s
+""")
+
+SQL["drop_url_columns"] = _q("""
+select page_id as id, url as homepage, cast(length(html) as integer) as size, 'acme' as owner from pages
+""")
+
+LOGL = """
+ll as (select o_orderpriority as repo,
+              sha1('o' || cast(o_orderkey as varchar)) || '|' || 'a' || cast(o_custkey as varchar) || '|' ||
+              o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' +0000' || '|' ||
+              'order ' || cast(o_orderkey as varchar) || case when o_orderkey % 50 = 0 then ' | hotfix' else '' end
+              || '|' ||
+              case when o_orderkey % 97 = 1 then ''
+                   when o_orderkey % 7 = 0 then sha1('o' || cast(o_orderkey - 1 as varchar)) || ' ' ||
+                                                sha1('o' || cast(o_orderkey - 2 as varchar))
+                   else sha1('o' || cast(o_orderkey - 1 as varchar)) end as value
+       from orders),
+lp as (select repo, string_split(value, '|') as p from ll),
+lg as (select repo as repo_name, p[1] as commit_hash, p[2] as author, p[3] as committer, p[4] as date,
+              p[5] as message, p[6] as parent_commit from lp where len(p) = 6),
+ns as (select sha1('o' || cast(l_orderkey as varchar)) as commit_hash,
+              case when l_returnflag = 'R' then '-' when l_returnflag = 'A' and l_linenumber = 6 then 'bin'
+                   else cast(cast(l_quantity as bigint) as varchar) end as a,
+              case when l_linestatus = 'O' and l_linenumber = 7 then 'x'
+                   else cast(cast(round(l_tax * 100) as bigint) as varchar) end as d,
+              'src/f' || cast(l_partkey % 200 as varchar) || '.py' as path
+       from lineitem),
+nv as (select commit_hash, path,
+              case when a = '-' then 0 else try_cast(a as bigint) end as av,
+              case when d = '-' then 0 else try_cast(d as bigint) end as dv from ns),
+nt as (select commit_hash, cast(coalesce(sum(av), 0) as bigint) as lines_added,
+              cast(coalesce(sum(case when av is not null then dv end), 0) as bigint) as lines_deleted,
+              array_to_string(list_sort(list(path)), ',') as files
+       from nv group by commit_hash)
+"""
+
+SQL["log_lines_parsed"] = _q(f"""
+with {LOGL}
+select * from lg
+""")
+
+SQL["numstat_totals"] = _q(f"""
+with {LOGL}
+select commit_hash, lines_added, lines_deleted from nt
+""")
+
+SQL["git_commits"] = _q(f"""
+with {LOGL}
+select lg.repo_name, lg.commit_hash, lg.author, lg.committer, lg.date, lg.message, lg.parent_commit,
+       'unknown' as branch, '' as tags, coalesce(nt.files, 'unknown') as changed_files,
+       coalesce(nt.lines_added, 0) as lines_added, coalesce(nt.lines_deleted, 0) as lines_deleted,
+       len(string_split_regex(trim(lg.parent_commit), '\\s+')) > 1 as is_merge_commit,
+       case when len(string_split_regex(trim(lg.parent_commit), '\\s+')) > 1 then 'unknown' end as merged_branch
+from lg left join nt on lg.commit_hash = nt.commit_hash
+""")

@@ -226,3 +226,39 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha.alias("merge_commit_sha"),
         F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("login")).alias("user"),
     )
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> `git log` lines ``hash|author|committer|date|subject|parents``:
+    every 50th subject holds a bar, every 97th (+1) order is a root commit, every
+    7th a merge of the two previous orders."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+
+    def h(x):
+        return F.sha1(F.concat(F.lit("o"), x.cast("string")))
+
+    parents = (F.when(k % 97 == 1, F.lit(""))
+                .when(k % 7 == 0, F.concat(h(k - 1), F.lit(" "), h(k - 2)))
+                .otherwise(h(k - 1)))
+    subject = F.concat(F.lit("order "), k.cast("string"),
+                       F.when(k % 50 == 0, F.lit(" | hotfix")).otherwise(F.lit("")))
+    value = F.concat_ws("|", h(k), F.concat(F.lit("a"), F.col("o_custkey").cast("string")),
+                        F.col("o_orderstatus"),
+                        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")),
+                        subject, parents)
+    return o.select(F.col("o_orderpriority").alias("repo"), value.alias("value"))
+
+
+def numstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem -> numstat lines of the order's commit: R rows are binary ('-'),
+    line 6 of A rows has a non-numeric first count, line 7 of O rows a second."""
+    li = table(spark, sf_dir, "lineitem")
+    first = (F.when(F.col("l_returnflag") == "R", F.lit("-"))
+              .when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 6), F.lit("bin"))
+              .otherwise(F.col("l_quantity").cast("bigint").cast("string")))
+    second = (F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), F.lit("x"))
+               .otherwise(F.round(F.col("l_tax") * 100).cast("bigint").cast("string")))
+    path = F.concat(F.lit("src/f"), (F.col("l_partkey") % 200).cast("string"), F.lit(".py"))
+    return li.select(F.sha1(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("hash"),
+                     F.concat_ws("\t", first, second, path).alias("value"))
