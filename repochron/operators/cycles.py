@@ -40,30 +40,39 @@ def _cols(prefix: str) -> dict:
 
 
 def commit_order(commits: DataFrame, key: Sequence[str] = KEY, epoch: str = "committer_epoch",
-                 hash_col: str = "hash", bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                 hash_col: str = "hash", bucket_seconds: int = DAY_SECONDS,
+                 materialize: bool = False) -> DataFrame:
     """0-based position of each commit by (epoch, hash) within its repo,
     plus previous / next commit epoch and hash (W03)."""
     return ordered_scan(
         commits, key, [epoch, hash_col], day_bucket(epoch, bucket_seconds),
         lags={"prev_epoch": F.col(epoch), "prev_hash": F.col(hash_col)},
         leads={"next_epoch": F.col(epoch)},
-        index="idx")
+        index="idx", materialize=materialize)
+
+
+def burst_flags(order: DataFrame, epoch: str = "committer_epoch",
+                gap_seconds: int = DAY_SECONDS) -> DataFrame:
+    """W03 / W04 flags on ``commit_order`` output: gap to the next commit, and
+    whether the commit starts / ends a burst (a gap of exactly ``gap_seconds`` splits)."""
+    gap = F.col("next_epoch") - F.col(epoch)
+    return (order.withColumn("gap_next_seconds", gap)
+            .withColumn("gap_next_days", convert_seconds(gap, "d"))
+            .withColumn("burst_start", (F.col("prev_epoch").isNull()
+                        | ((F.col(epoch) - F.col("prev_epoch")) >= gap_seconds)))
+            .withColumn("burst_end", F.col("next_epoch").isNull() | (gap >= gap_seconds)))
 
 
 def commit_bursts(commits: DataFrame, key: Sequence[str] = KEY, epoch: str = "committer_epoch",
                   hash_col: str = "hash", gap_seconds: int = DAY_SECONDS,
-                  bucket_seconds: int = DAY_SECONDS) -> DataFrame:
-    """Gap to the next commit and burst number (commits less than
-    ``gap_seconds`` apart share a burst; a gap of exactly ``gap_seconds`` splits)."""
-    o = commit_order(commits, key, epoch, hash_col, bucket_seconds)
-    gap = F.col("next_epoch") - F.col(epoch)
-    o = (o.withColumn("gap_next_seconds", gap)
-          .withColumn("gap_next_days", convert_seconds(gap, "d"))
-          .withColumn("burst_start", (F.col("prev_epoch").isNull()
-                      | ((F.col(epoch) - F.col("prev_epoch")) >= gap_seconds)))
-          .withColumn("burst_end", F.col("next_epoch").isNull() | (gap >= gap_seconds)))
+                  bucket_seconds: int = DAY_SECONDS, materialize: bool = False) -> DataFrame:
+    """Burst number per commit (commits less than ``gap_seconds`` apart
+    share a burst)."""
+    o = burst_flags(commit_order(commits, key, epoch, hash_col, bucket_seconds, materialize=True),
+                    epoch, gap_seconds)
     return ordered_scan(o, key, [epoch, hash_col], day_bucket(epoch, bucket_seconds),
-                        sums={"burst_no": F.col("burst_start").cast("bigint")})
+                        sums={"burst_no": F.col("burst_start").cast("bigint")},
+                        materialize=materialize)
 
 
 def net_change(prefix: str = "snakemake"):
@@ -77,14 +86,19 @@ def net_change(prefix: str = "snakemake"):
 
 def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snakemake",
                epoch: str = "committer_epoch", hash_col: str = "hash",
-               gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
-    """Per commit: idx, burst, trigger, active (W05), close and cycle number."""
-    b = commit_bursts(commits, key, epoch, hash_col, gap_seconds, bucket_seconds)
+               gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS,
+               order: DataFrame | None = None) -> DataFrame:
+    """Per commit: idx, burst, trigger, active (W05), close and cycle number.
+    ``order``: a precomputed (materialized) ``commit_order`` of ``commits`` to reuse."""
+    if order is None:
+        order = commit_order(commits, key, epoch, hash_col, bucket_seconds, materialize=True)
+    b = burst_flags(order, epoch, gap_seconds)
     b = b.withColumn("trigger", net_change(prefix) & (F.col("idx") > 0))
     b = ordered_scan(
         b, key, [epoch, hash_col], day_bucket(epoch, bucket_seconds),
         maxes={"last_trigger_idx": F.when(F.col("trigger"), F.col("idx")).otherwise(F.lit(-1)),
-               "burst_start_idx": F.when(F.col("burst_start"), F.col("idx")).otherwise(F.lit(-1))})
+               "burst_start_idx": F.when(F.col("burst_start"), F.col("idx")).otherwise(F.lit(-1))},
+        materialize=True)
     b = (b.withColumn("active", F.col("last_trigger_idx") >= F.col("burst_start_idx"))
           .withColumn("closes", F.col("burst_end") & F.col("active")))
     b = ordered_scan(b, key, [epoch, hash_col], day_bucket(epoch, bucket_seconds),
@@ -94,10 +108,11 @@ def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snak
 
 def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snakemake",
                      epoch: str = "committer_epoch", hash_col: str = "hash",
-                     gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                     gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS,
+                     order: DataFrame | None = None) -> DataFrame:
     """One row per cycle with begin / end, durations, counts and extensions."""
     c = _cols(prefix)
-    rows = cycle_rows(commits, key, prefix, epoch, hash_col, gap_seconds, bucket_seconds)
+    rows = cycle_rows(commits, key, prefix, epoch, hash_col, gap_seconds, bucket_seconds, order)
     act = F.col("active")
     z = F.lit(0).cast("bigint")
 

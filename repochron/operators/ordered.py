@@ -3,11 +3,21 @@
 A plain ``Window.partitionBy(repo).orderBy(t)`` puts a whole repository in one
 task; one repository can hold a third of all commits. Here every key is split
 into buckets of a column that grows with the order (e.g. the day of the
-commit). Step 1 runs the window inside ``(key, bucket)``; step 2 summarises each
-bucket (one row per bucket, partial aggregation before the shuffle); step 3
-carries the summaries of earlier buckets forward with a window over that small
-table; step 4 joins the carry back on ``(key, bucket)``, which reuses the
-partitioning of step 1 so the large side is shuffled once.
+commit):
+
+1. one hash exchange on ``(key, bucket)``; the window runs inside each bucket;
+2. each bucket is summarised by a partial + final hash aggregate (one row per
+   bucket, so only small partial results are shuffled);
+3. the summaries of earlier buckets are carried forward with a window over that
+   small table (partitioned by key: #buckets rows for the hottest key);
+4. the carry is joined back on ``(key, bucket)``; the large side is already
+   partitioned that way, so only the small side moves (AQE may broadcast it
+   when its measured size is under the threshold).
+
+The input is read by both branches. When a scan feeds another scan, pass
+``materialize=True``: the result is written once as a table under the cluster's
+checkpoint folder and read back, so chained passes stay linear in cost instead
+of re-evaluating every earlier pass in both branches (and survive executor loss).
 """
 
 from __future__ import annotations
@@ -17,6 +27,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repochron.session import write_through
+
 _BK = "__bkt"
 _RN = "__rn"
 
@@ -31,7 +43,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
                  maxes: Mapping[str, Column] | None = None,
                  lags: Mapping[str, Column] | None = None,
                  leads: Mapping[str, Column] | None = None,
-                 index: str | None = None) -> DataFrame:
+                 index: str | None = None, materialize: bool = False) -> DataFrame:
     """Add, per row, in the order ``order`` within ``keys``:
 
     * ``sums[name]``: running sum up to and including the row,
@@ -104,4 +116,5 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
                         .otherwise(F.col(f"__ld_{n}")).alias(n))
     if index:
         out_cols.append((F.col("__ccnt") + F.col(_RN) - 1).cast("bigint").alias(index))
-    return joined.select(*out_cols)
+    out = joined.select(*out_cols)
+    return write_through(out, "scan") if materialize else out

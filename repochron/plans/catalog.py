@@ -381,8 +381,8 @@ def q_eventlog_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("eventlog_pr_commits")
 def q_eventlog_pr_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits under merged pull requests (no time filter)."""
-    cwp = sv.commits_with_parents(spark, sf_dir)
-    order = cyc.commit_order(sv.commits(spark, sf_dir))
+    order = cyc.commit_order(sv.commits(spark, sf_dir), materialize=True)
+    cwp = sv.commits_with_parents(spark, sf_dir, order)
     pr = el.pr_commit_activities(sv.pull_requests(spark, sf_dir), cwp, order)
     return pr.select("owner", "repo", "case_id", "activity", "t", "timestamp", "user", "commit_hash")
 
@@ -391,10 +391,12 @@ def q_eventlog_pr_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_eventlog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log (per-cycle activities plus PR commits per repository)."""
     commits = sv.commits(spark, sf_dir)
-    log = el.event_log(_cycles(spark, sf_dir), sv.issues(spark, sf_dir),
+    order = cyc.commit_order(commits, materialize=True)
+    cycles = cyc.evolution_cycles(commits, order=order)
+    log = el.event_log(cycles, sv.issues(spark, sf_dir),
                        sv.issue_comments(spark, sf_dir), sv.issue_events(spark, sf_dir),
-                       sv.pull_requests(spark, sf_dir), sv.commits_with_parents(spark, sf_dir),
-                       cyc.commit_order(commits))
+                       sv.pull_requests(spark, sf_dir), sv.commits_with_parents(spark, sf_dir, order),
+                       order)
     return log.select(*LOG_OUT)
 
 

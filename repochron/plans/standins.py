@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from repochron.functions.scalars import GITHUB_TS_FORMAT, ts_to_epoch, ts_to_text
 from repochron.operators.cycles import commit_order
+from repochron.session import spread_small_input
 
 # Fixed values of the stand-in mapping (identical in the oracle SQL).
 OWNER = "acme"
@@ -31,7 +32,7 @@ ISSUE_SPREAD = 2592000           # 30 days
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _repo_of(user_col) -> F.Column:
@@ -62,12 +63,14 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def commits_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commits_with_parents(spark: SparkSession, sf_dir: str, order: DataFrame | None = None) -> DataFrame:
     """Parents by position in commit order: every 10th event is a two-parent merge
     of the commits 5 and 1 back, every 10th+5 a three-parent merge (1, 2, 3 back),
     the rest have the previous commit as parent; the first commit is a root."""
-    c = commits(spark, sf_dir)
-    o = commit_order(c).select("owner", "repo", "hash", "idx", "event_id")
+    c = commits(spark, sf_dir) if order is None else order.select(*commits(spark, sf_dir).columns)
+    if order is None:
+        order = commit_order(c, materialize=True)
+    o = order.select("owner", "repo", "hash", "idx", "event_id")
     back = (F.when((F.col("event_id") % 10 == 0) & (F.col("idx") >= 5), F.array(F.lit(5), F.lit(1)))
              .when((F.col("event_id") % 10 == 5) & (F.col("idx") >= 3),
                    F.array(F.lit(1), F.lit(2), F.lit(3)))
