@@ -14,9 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from repochron.functions.scalars import strip
-from repochron.operators.validate import split_full_name
+from repochron.operators.validate import is_full_name, split_full_name
 from repochron.sources import schemas as S
 
 # Suffixes of the landed files per entity (as configured in the
@@ -64,9 +65,11 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def repo_list_from_files(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """S01 + P03: ``(valid repos, rejects)``; blanks and malformed names are rejected."""
+    """S01 + P03 + P04: ``(valid repos, rejects)``; blanks, names without exactly two
+    parts and names starting with the slash are rejected."""
     lines = read_lines(spark, paths).withColumnRenamed("value", "full_name")
-    split = split_full_name(lines, "full_name")
+    split = split_full_name(lines, "full_name").withColumn(
+        "valid", F.col("valid") & is_full_name("full_name"))
     ok = split.filter("valid").select("full_name", "owner", "repo")
     bad = split.filter(~F.col("valid")).select(
         F.lit("list").alias("stage"), "full_name", F.lit("not owner/repo").alias("reason"))
@@ -142,9 +145,25 @@ def read_repo_info(spark: SparkSession, root: str) -> DataFrame:
 
 
 # --- provider entities (S09-S19, S21) -----------------------------------------------
+def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    cols = [T.StructField("owner", T.StringType()), T.StructField("repo", T.StringType())]
+    return spark.createDataFrame([], T.StructType(cols + list(schema.fields)))
+
+
 def read_entity(spark: SparkSession, root: str, entity: str, schema: T.StructType | None = None) -> DataFrame:
     """Every landed file of one entity; envelopes unwrapped (S19); a missing
-    file simply contributes no rows ("missing = empty")."""
+    file contributes no rows, and no file at all gives an empty table ("missing = empty")."""
+    try:
+        return _read_entity(spark, root, entity, schema)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        if entity == "pull_requests":
+            return _empty(spark, S.PULL_REQUEST)
+        return _empty(spark, schema or S.ENTITY_SCHEMAS.get(entity, S.RAW_ITEM))
+
+
+def _read_entity(spark: SparkSession, root: str, entity: str, schema: T.StructType | None) -> DataFrame:
     if entity == "pull_requests":
         return read_pull_requests(spark, root)
     schema = schema or S.ENTITY_SCHEMAS.get(entity, S.RAW_ITEM)
