@@ -510,3 +510,31 @@ def q_git_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "parent_commit", "branch", F.array_join("tags", ",").alias("tags"),
                        F.array_join("changed_files", ",").alias("changed_files"),
                        "lines_added", "lines_deleted", "is_merge_commit", "merged_branch")
+
+
+# --- commit graph ------------------------------------------------------------------------
+from repochron.operators import dag  # noqa: E402
+
+
+def _graph(spark, sf_dir):
+    commits = sv.commits(spark, sf_dir)
+    order = cyc.commit_order(commits, materialize=True)
+    cwp = sv.commits_with_parents(spark, sf_dir, order)
+    edges = dag.parent_edges(cwp)
+    refs = (order.filter(F.col("snakemake_n_rules_added") == 1)
+            .select("owner", "repo", "hash", F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("ref")))
+    return edges, refs
+
+
+@query("nearest_ref")
+def q_nearest_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest ref (signup events play tags) of every reachable commit."""
+    edges, refs = _graph(spark, sf_dir)
+    return dag.nearest_ref(edges, refs).select("owner", "repo", "hash", "ref", "depth", "name")
+
+
+@query("tags_containing")
+def q_tags_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (commit, tag) with the commit in the tag's history."""
+    edges, refs = _graph(spark, sf_dir)
+    return dag.tags_containing(edges, refs.withColumnRenamed("ref", "tag"))

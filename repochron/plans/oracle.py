@@ -673,3 +673,33 @@ select lg.repo_name, lg.commit_hash, lg.author, lg.committer, lg.date, lg.messag
        case when len(string_split_regex(trim(lg.parent_commit), '\\s+')) > 1 then 'unknown' end as merged_branch
 from lg left join nt on lg.commit_hash = nt.commit_hash
 """)
+
+
+GRAPH = f"""
+{CYCLE_ROWS}, {ISSUES}, {PR_COMMITS},
+edges as (select owner, repo, hash as child, unnest(parents) as parent from par),
+refs as (select owner, repo, hash, 'v' || cast(event_id as varchar) as ref from o where ra = 1)
+"""
+
+SQL["nearest_ref"] = _q(f"""
+with recursive {GRAPH},
+walk(owner, repo, hash, ref, depth) as (
+  select owner, repo, hash, ref, 0 from refs
+  union
+  select w.owner, w.repo, e.parent, w.ref, w.depth + 1
+  from walk w join edges e on w.owner = e.owner and w.repo = e.repo and e.child = w.hash),
+best as (select *, row_number() over (partition by owner, repo, hash order by depth, ref) as rn from walk)
+select owner, repo, hash, ref, cast(depth as bigint) as depth,
+       case when depth = 0 then ref else ref || '~' || cast(depth as varchar) end as name
+from best where rn = 1
+""")
+
+SQL["tags_containing"] = _q(f"""
+with recursive {GRAPH},
+walk(owner, repo, hash, tag) as (
+  select owner, repo, hash, ref from refs
+  union
+  select w.owner, w.repo, e.parent, w.tag
+  from walk w join edges e on w.owner = e.owner and w.repo = e.repo and e.child = w.hash)
+select owner, repo, hash as commit_hash, tag from walk
+""")
