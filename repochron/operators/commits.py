@@ -162,3 +162,14 @@ def attach_facts(commits: DataFrame, facts: DataFrame, key: Sequence[str] = KEY,
               for x in ("rules_added", "rules_removed", "modules_added", "modules_removed")]
     keep = [c for c in commits.columns]
     return j.select(*keep, *fills)
+
+
+def attach_code_before(files: DataFrame, key: Sequence[str] = KEY, path_col: str = "new_path",
+                       order: Sequence[str] = ("committer_epoch", "hash"),
+                       bucket_seconds: int = 86400) -> DataFrame:
+    """When only snapshots after each change are landed, the code before is the
+    previous snapshot of the same path in commit order (skew-safe ordered scan,
+    bucketed by day, so a file changed in a third of all commits is still split)."""
+    from repochron.operators.ordered import day_bucket, ordered_scan
+    return ordered_scan(files, [*key, path_col], list(order), day_bucket(order[0], bucket_seconds),
+                        lags={"source_code_before": F.col("source_code")})

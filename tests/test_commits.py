@@ -60,3 +60,12 @@ def test_extensions_and_change_types(spark):
     assert got["file_extensions"] == ["py"] and got["change_types"] == ["ADD", "MODIFY"]
     p = cf.project_commits(spark.createDataFrame([("o", "x", "h")], "owner string, repo string, hash string"))
     assert len(p.columns) == 2 + len(cf.COMMIT_FIELDS) and p.select(F.col("msg")).collect()[0][0] is None
+
+
+def test_attach_code_before(spark):
+    rows = [("o", "x", "h1", "a.smk", 1.0, "rule a:"), ("o", "x", "h2", "a.smk", 200000.0, "rule b:"),
+            ("o", "x", "h3", "b.smk", 5.0, "rule c:"), ("o", "x", "h4", "a.smk", 200001.0, "rule d:")]
+    df = spark.createDataFrame(rows, "owner string, repo string, hash string, new_path string, "
+                               "committer_epoch double, source_code string")
+    got = {r["hash"]: r["source_code_before"] for r in cf.attach_code_before(df, bucket_seconds=3600).collect()}
+    assert got == {"h1": None, "h2": "rule a:", "h3": None, "h4": "rule b:"}
