@@ -103,38 +103,42 @@ def changeset_stats(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def file_metrics(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """A37-A44, A46-A52, W11 per (key, path)."""
+    """A37-A44, A46-A52, W11 per (key, path), as one chain of aggregations.
+
+    A commit has one author, so per-(file, author) sums, counts and maxima compose
+    into the per-file ones: (file, commit) -> (file, author) -> file. Every shuffle
+    moves pre-aggregated rows, and a hot file stays spread over commits and authors
+    until the last step, where it is one row per author."""
     churn = F.col("added") - F.col("removed")
-    base = changes.groupBy(*key, "path").agg(
-        F.count(F.lit(1)).cast("bigint").alias("commitscount_files"),
-        F.sum(churn).cast("bigint").alias("codechurn_count"),
-        F.max(churn).cast("bigint").alias("codechurn_max"),
-        F.avg(churn).alias("codechurn_avg"),
-        F.sum("added").cast("bigint").alias("codechurn_added_lines"),
-        F.sum("removed").cast("bigint").alias("codechurn_removed_lines"),
-        F.sum(F.col("added") + F.col("removed")).cast("bigint").alias("linescount_count"),
-        F.sum("added").cast("bigint").alias("linescount_count_added"),
-        F.max("added").cast("bigint").alias("linescount_max_added"),
-        F.avg("added").alias("linescount_avg_added"),
-        F.sum("removed").cast("bigint").alias("linescount_count_removed"),
-        F.max("removed").cast("bigint").alias("linescount_max_removed"),
-        F.avg("removed").alias("linescount_avg_removed"),
-    )
-    # Lines per (file, author), then shares against the file total.
     per_author = changes.groupBy(*key, "path", "author").agg(
-        F.sum(F.col("added") + F.col("removed")).alias("lines"))
-    authors = per_author.groupBy(*key, "path").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("added").alias("s_add"), F.sum("removed").alias("s_rem"),
+        F.sum(churn).alias("s_churn"), F.max(churn).alias("m_churn"),
+        F.max("added").alias("m_add"), F.max("removed").alias("m_rem"))
+    # Each author's share of the file's lines (window over one row per author).
+    lines = F.col("s_add") + F.col("s_rem")
+    total = F.sum(lines).over(Window.partitionBy(*key, "path"))
+    per_author = per_author.withColumn("__lines", lines).withColumn("__total", total)
+    n = F.sum("n")
+    return per_author.groupBy(*key, "path").agg(
+        n.cast("bigint").alias("commitscount_files"),
+        F.sum("s_churn").cast("bigint").alias("codechurn_count"),
+        F.max("m_churn").cast("bigint").alias("codechurn_max"),
+        (F.sum("s_churn") / n).alias("codechurn_avg"),
+        F.sum("s_add").cast("bigint").alias("codechurn_added_lines"),
+        F.sum("s_rem").cast("bigint").alias("codechurn_removed_lines"),
+        F.sum("__lines").cast("bigint").alias("linescount_count"),
+        F.sum("s_add").cast("bigint").alias("linescount_count_added"),
+        F.max("m_add").cast("bigint").alias("linescount_max_added"),
+        (F.sum("s_add") / n).alias("linescount_avg_added"),
+        F.sum("s_rem").cast("bigint").alias("linescount_count_removed"),
+        F.max("m_rem").cast("bigint").alias("linescount_max_removed"),
+        (F.sum("s_rem") / n).alias("linescount_avg_removed"),
         F.count(F.lit(1)).cast("bigint").alias("contributorscount_count"),
-        F.sum("lines").alias("__total"),
-        F.max("lines").alias("__top"))
-    share = per_author.join(authors.select(*key, "path", "__total"), [*key, "path"])
-    minor = share.groupBy(*key, "path").agg(
-        F.count_if((F.col("__total") > 0) & (F.col("lines") / F.col("__total") < MINOR_SHARE))
-         .cast("bigint").alias("contributorscount_minor"))
-    exp = authors.select(*key, "path", "contributorscount_count",
-                         F.when(F.col("__total") > 0, F.col("__top") * 100.0 / F.col("__total"))
-                          .otherwise(F.lit(0.0)).alias("contributorsexperience_count"))
-    return (base.join(exp, [*key, "path"]).join(minor, [*key, "path"]))
+        F.count_if((F.col("__total") > 0) & (F.col("__lines") / F.col("__total") < MINOR_SHARE))
+         .cast("bigint").alias("contributorscount_minor"),
+        F.when(F.max("__total") > 0, F.max("__lines") * 100.0 / F.max("__total"))
+         .otherwise(F.lit(0.0)).alias("contributorsexperience_count"))
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str = "median") -> DataFrame:

@@ -502,10 +502,8 @@ def q_numstat_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("git_commits")
 def q_git_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 14-field commit rows (no refs landed: branch unknown)."""
-    ns = gl.parse_numstat(sv.numstat_lines(spark, sf_dir))
-    files = gl.changed_files(ns.select(F.col("commit_hash").alias("hash"), F.col("path").alias("value")))
-    rows = gl.assemble_commits(gl.parse_log_lines(sv.log_lines(spark, sf_dir)),
-                               totals=gl.numstat_totals(ns), files=files)
+    stats = gl.numstat_commit_stats(gl.parse_numstat(sv.numstat_lines(spark, sf_dir)))
+    rows = gl.assemble_commits(gl.parse_log_lines(sv.log_lines(spark, sf_dir)), totals=stats)
     return rows.select("repo_name", "commit_hash", "author", "committer", "date", "message",
                        "parent_commit", "branch", F.array_join("tags", ",").alias("tags"),
                        F.array_join("changed_files", ",").alias("changed_files"),

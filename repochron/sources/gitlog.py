@@ -62,6 +62,15 @@ def numstat_totals(numstat: DataFrame) -> DataFrame:
         F.coalesce(F.sum("deleted"), F.lit(0)).cast("bigint").alias("lines_deleted"))
 
 
+def numstat_commit_stats(numstat: DataFrame) -> DataFrame:
+    """A21 / A22 / S23 in one aggregation: totals and the changed paths per commit
+    (when no separate name-only listing is landed)."""
+    return numstat.groupBy("commit_hash").agg(
+        F.coalesce(F.sum("added"), F.lit(0)).cast("bigint").alias("lines_added"),
+        F.coalesce(F.sum("deleted"), F.lit(0)).cast("bigint").alias("lines_deleted"),
+        F.array_sort(F.collect_list(F.when(F.col("path") != "", F.col("path")))).alias("changed_files"))
+
+
 def changed_files(names: DataFrame, hash_col: str = "hash", value_col: str = "value") -> DataFrame:
     """Changed file names per commit, blanks dropped (the list of one commit)."""
     return (names.filter(F.col(value_col) != "")
@@ -86,7 +95,7 @@ def assemble_commits(log: DataFrame, totals: DataFrame | None = None,
                  .withColumn("lines_deleted", F.lit(None).cast("bigint"))
     if files is not None:
         out = out.join(files, "commit_hash", "left")
-    else:
+    elif "changed_files" not in out.columns:
         out = out.withColumn("changed_files", F.lit(None).cast("array<string>"))
     if tags is not None:
         t = tags.groupBy("commit_hash").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
