@@ -21,11 +21,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repochron.functions.scalars import DAY_SECONDS, convert_seconds
 from repochron.operators.ordered import day_bucket, ordered_scan
+from repochron.session import write_through
 
 KEY = ("owner", "repo")
 
@@ -86,62 +87,147 @@ def net_change(prefix: str = "snakemake"):
 
 def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snakemake",
                epoch: str = "committer_epoch", hash_col: str = "hash",
-               gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS,
-               order: DataFrame | None = None) -> DataFrame:
-    """Per commit: idx, burst, trigger, active (W05), close and cycle number.
-    ``order``: a precomputed (materialized) ``commit_order`` of ``commits`` to reuse."""
-    if order is None:
-        order = commit_order(commits, key, epoch, hash_col, bucket_seconds, materialize=True)
-    b = burst_flags(order, epoch, gap_seconds)
-    b = b.withColumn("trigger", net_change(prefix) & (F.col("idx") > 0))
-    b = ordered_scan(
-        b, key, [epoch, hash_col], day_bucket(epoch, bucket_seconds),
-        maxes={"last_trigger_idx": F.when(F.col("trigger"), F.col("idx")).otherwise(F.lit(-1)),
-               "burst_start_idx": F.when(F.col("burst_start"), F.col("idx")).otherwise(F.lit(-1))},
-        materialize=True)
-    b = (b.withColumn("active", F.col("last_trigger_idx") >= F.col("burst_start_idx"))
-          .withColumn("closes", F.col("burst_end") & F.col("active")))
-    b = ordered_scan(b, key, [epoch, hash_col], day_bucket(epoch, bucket_seconds),
-                     sums={"closes_upto": F.col("closes").cast("bigint")})
-    return b.withColumn("cycle_no", F.col("closes_upto") - F.col("closes").cast("bigint") + 1)
+               gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Per commit, in one fused skew-safe pass: ``idx``, previous / next commit,
+    ``burst_start`` / ``burst_end``, ``trigger``, ``active`` (W05), ``closes`` and the
+    burst it belongs to (``burst_id`` = position of the burst's first commit).
 
+    The window runs inside (repo, day). Each day is summarised by its row count,
+    first / last commit, last local trigger and last local burst start (local
+    positions); two chained windows over that small day table turn these into
+    global positions and carry them forward. Joined back, every row gets its
+    global last trigger / last burst start, hence ``active`` without a second pass
+    over the rows."""
+    k = list(key)
+    g = F.lit(gap_seconds)
+    part = [*k, "__bkt"]
+    base = commits.withColumn("__bkt", day_bucket(epoch, bucket_seconds)) \
+                  .withColumn("__net", net_change(prefix))
+    w = Window.partitionBy(*part).orderBy(epoch, hash_col)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rn, lag_e = F.row_number().over(w), F.lag(epoch).over(w)
+    local = base.select(
+        "*", rn.alias("__rn"), lag_e.alias("__lag_e"), F.lag(hash_col).over(w).alias("__lag_h"),
+        F.lead(epoch).over(w).alias("__lead_e"))
+    inner_start = (F.col("__rn") > 1) & ((F.col(epoch) - F.col("__lag_e")) >= g)
+    local = local.select(
+        "*",
+        F.max(F.when(F.col("__net") & (F.col("__rn") > 1), F.col("__rn")).otherwise(F.lit(-1)))
+         .over(run).alias("__lt"),
+        F.max(F.when(inner_start, F.col("__rn")).otherwise(F.lit(-1))).over(run).alias("__lb"))
 
-def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snakemake",
-                     epoch: str = "committer_epoch", hash_col: str = "hash",
-                     gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS,
-                     order: DataFrame | None = None) -> DataFrame:
-    """One row per cycle with begin / end, durations, counts and extensions."""
+    row = F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch"))
+    summary = local.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("__cnt"),
+        F.min_by(row, "__rn").alias("__first"), F.max_by(row, "__rn").alias("__last"),
+        F.max(F.when(F.col("__rn") == 1, F.col("__net"))).alias("__net_first"),
+        F.max("__lt").alias("__lt_max"), F.max("__lb").alias("__lb_max"))
+    ws = Window.partitionBy(*k).orderBy("__bkt")
+    before = ws.rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(
+        *part, "__lt_max", "__lb_max", "__net_first", "__first",
+        F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__c"),
+        F.lag("__last").over(ws).alias("__prev_last"),
+        F.lead("__first.epoch").over(ws).alias("__next_first_e"))
+    c = F.col("__c")
+    carry = carry.select(
+        "*",
+        (F.col("__prev_last").isNull() | ((F.col("__first.epoch") - F.col("__prev_last.epoch")) >= g))
+         .alias("__bs_first"),
+        (F.col("__net_first") & (c > 0)).alias("__trig_first"))
+    t_b = F.greatest(F.when(F.col("__lt_max") >= 2, c + F.col("__lt_max") - 1),
+                     F.when(F.col("__trig_first"), c), F.lit(-1))
+    b_b = F.greatest(F.when(F.col("__lb_max") >= 2, c + F.col("__lb_max") - 1),
+                     F.when(F.col("__bs_first"), c), F.lit(-1))
+    carry = carry.select("*", t_b.alias("__t_b"), b_b.alias("__b_b"))
+    carry = carry.select(
+        *part, "__c", "__prev_last", "__next_first_e", "__bs_first", "__trig_first",
+        F.coalesce(F.max("__t_b").over(before), F.lit(-1)).alias("__ct"),
+        F.coalesce(F.max("__b_b").over(before), F.lit(-1)).alias("__cb"))
+
+    j = local.join(carry, part, "inner")
+    first = F.col("__rn") == 1
+    idx = (c + F.col("__rn") - 1).cast("bigint")
+    nxt = F.when(F.col("__lead_e").isNull(), F.col("__next_first_e")).otherwise(F.col("__lead_e"))
+    last_t = F.greatest(F.col("__ct"), F.when(F.col("__trig_first"), c).otherwise(F.lit(-1)),
+                        F.when(F.col("__lt") >= 2, c + F.col("__lt") - 1).otherwise(F.lit(-1)))
+    last_b = F.greatest(F.col("__cb"), F.when(F.col("__bs_first"), c).otherwise(F.lit(-1)),
+                        F.when(F.col("__lb") >= 2, c + F.col("__lb") - 1).otherwise(F.lit(-1)))
+    out = j.select(
+        *commits.columns, idx.alias("idx"),
+        F.when(first, F.col("__prev_last.epoch")).otherwise(F.col("__lag_e")).alias("prev_epoch"),
+        F.when(first, F.col("__prev_last.hash")).otherwise(F.col("__lag_h")).alias("prev_hash"),
+        nxt.alias("next_epoch"),
+        F.when(first, F.col("__bs_first")).otherwise(F.col("__lag_e").isNotNull()
+                                                     & ((F.col(epoch) - F.col("__lag_e")) >= g))
+         .alias("burst_start"),
+        (nxt.isNull() | ((nxt - F.col(epoch)) >= g)).alias("burst_end"),
+        F.when(first, F.col("__trig_first")).otherwise(F.col("__net")).alias("trigger"),
+        last_t.cast("bigint").alias("last_trigger_idx"), last_b.cast("bigint").alias("burst_id"))
+    return out.withColumn("active", F.col("last_trigger_idx") >= F.col("burst_id")) \
+              .withColumn("closes", F.col("burst_end") & F.col("active"))
+
+
+def _bursts(rows: DataFrame, key: Sequence[str], prefix: str, epoch: str, hash_col: str) -> DataFrame:
+    """One row per burst: rows are pre-aggregated map-side, so even a burst holding a
+    third of all commits is reduced before the shuffle."""
     c = _cols(prefix)
-    rows = cycle_rows(commits, key, prefix, epoch, hash_col, gap_seconds, bucket_seconds, order)
     act = F.col("active")
     z = F.lit(0).cast("bigint")
 
     def active_sum(name):
         return F.coalesce(F.sum(F.when(act, F.col(name).cast("bigint"))), z)
 
-    first_row = F.min_by(F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch")), "idx")
-    prev_row = F.min_by(F.struct(F.col("prev_hash").alias("hash"),
-                                 F.col("prev_epoch").alias("epoch")), "idx")
-    agg = rows.groupBy(*key, "cycle_no").agg(
-        F.when(F.col("cycle_no") == 1, first_row).otherwise(prev_row).alias("begin"),
-        F.max_by(F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch")),
-                 "idx").alias("end"),
+    cur = F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch"))
+    prev = F.struct(F.col("prev_hash").alias("hash"), F.col("prev_epoch").alias("epoch"))
+    b = rows.groupBy(*key, "burst_id").agg(
+        F.min_by(cur, "idx").alias("first_row"), F.min_by(prev, "idx").alias("first_prev"),
+        F.max_by(cur, "idx").alias("last_row"), F.max("idx").alias("last_idx"),
+        F.max("closes").alias("closes"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.coalesce(F.col(c["related"]), F.lit(False)) & (F.col("idx") > 0)).alias("n_rel"),
+        active_sum(c["ra"]).alias("ra"), active_sum(c["rr"]).alias("rr"),
+        active_sum(c["ma"]).alias("ma"), active_sum(c["mr"]).alias("mr"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(act, F.col("file_extensions")))))
+         .alias("exts"))
+    return b
+
+
+def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snakemake",
+                     epoch: str = "committer_epoch", hash_col: str = "hash",
+                     gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+    """One row per cycle with begin / end, durations, counts and extensions.
+
+    Rows -> bursts (one fused row pass + a pre-aggregating shuffle); the cycle
+    number of a burst = 1 + closing bursts before it, a running sum over the much
+    smaller burst table (skew-safe scan bucketed by the burst's start day)."""
+    k = list(key)
+    rows = cycle_rows(commits, k, prefix, epoch, hash_col, gap_seconds, bucket_seconds)
+    bursts = write_through(_bursts(rows, k, prefix, epoch, hash_col), "bursts")
+    numbered = ordered_scan(bursts, k, ["burst_id"],
+                            F.floor(F.col("first_row.epoch") / F.lit(bucket_seconds)).cast("bigint"),
+                            sums={"__closes_upto": F.col("closes").cast("bigint")})
+    numbered = numbered.withColumn(
+        "cycle_no", F.col("__closes_upto") - F.col("closes").cast("bigint") + 1)
+    agg = numbered.groupBy(*k, "cycle_no").agg(
+        F.when(F.col("cycle_no") == 1, F.min_by("first_row", "burst_id"))
+         .otherwise(F.min_by("first_prev", "burst_id")).alias("begin"),
+        F.max_by("last_row", "last_idx").alias("end"),
         F.max("closes").alias("closed"),
-        F.count(F.lit(1)).alias("n_commits"),
-        F.count_if(F.coalesce(F.col(c["related"]), F.lit(False)) & (F.col("idx") > 0))
-         .alias(f"n_commits_{prefix}_related"),
-        active_sum(c["ra"]).alias(f"n_{prefix}_rules_added"),
-        active_sum(c["rr"]).alias(f"n_{prefix}_rules_removed"),
-        active_sum(c["ma"]).alias(f"n_{prefix}_modules_added"),
-        active_sum(c["mr"]).alias(f"n_{prefix}_modules_removed"),
+        F.sum("n").cast("bigint").alias("n_commits"),
+        F.sum("n_rel").cast("bigint").alias(f"n_commits_{prefix}_related"),
+        F.sum("ra").cast("bigint").alias(f"n_{prefix}_rules_added"),
+        F.sum("rr").cast("bigint").alias(f"n_{prefix}_rules_removed"),
+        F.sum("ma").cast("bigint").alias(f"n_{prefix}_modules_added"),
+        F.sum("mr").cast("bigint").alias(f"n_{prefix}_modules_removed"),
         # Distinct extension lists only: bounded by the few combinations, not by rows.
-        F.collect_set(F.when(act, F.col("file_extensions"))).alias("__ext_sets"),
+        F.collect_set("exts").alias("__ext_sets"),
     )
     # A leftover (unclosed) cycle needs begin != end: a one-commit history has none.
     agg = agg.filter(F.col("closed") | (F.col("begin.hash") != F.col("end.hash")))
     span = F.col("end.epoch") - F.col("begin.epoch")
     return agg.select(
-        *key, "cycle_no", "begin", "end",
+        *k, "cycle_no", "begin", "end",
         convert_seconds(span, "d").alias("diff_days"),
         convert_seconds(span, "m").alias("diff_mins"),
         convert_seconds(span, "h").alias("diff_hours"),
@@ -154,21 +240,29 @@ def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str =
 
 
 def repo_workflow_summary(commits: DataFrame, key: Sequence[str] = KEY,
-                          prefix: str = "snakemake", **kw) -> DataFrame:
-    """A18 (related commits, first commit included), A19 (cycle count) and
-    the cycles nested back per repo, ordered by cycle number."""
+                          prefix: str = "snakemake", nest: bool = False, **kw) -> DataFrame:
+    """A18 (related commits, first commit included) and A19 (cycle count) per repo.
+
+    The flat ``evolution_cycles`` table is the primary output. ``nest=True`` also
+    nests the cycles per repository, ordered by number, for the one-document-per-
+    repository JSON sink; that list grows with a repository's history, so use it
+    only for writing that format."""
     c = _cols(prefix)
-    cycles = evolution_cycles(commits, key, prefix, **kw)
-    nested = cycles.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_evolution_cycles"),
-        F.sort_array(F.collect_list(F.struct(*[col for col in cycles.columns if col not in key])))
-         .alias("evolution_cycles"))
-    related = commits.groupBy(*key).agg(
+    k = list(key)
+    cycles = evolution_cycles(commits, k, prefix, **kw)
+    aggs = [F.count(F.lit(1)).alias("n_evolution_cycles")]
+    if nest:
+        aggs.append(F.sort_array(F.collect_list(F.struct(*[x for x in cycles.columns if x not in k])))
+                    .alias("evolution_cycles"))
+    per_repo = cycles.groupBy(*k).agg(*aggs)
+    related = commits.groupBy(*k).agg(
         F.count_if(F.coalesce(F.col(c["related"]), F.lit(False)))
          .alias(f"n_commits_{prefix}_related"))
-    return (related.join(nested, list(key), "left")
-            .select(*key, f"n_commits_{prefix}_related",
-                    F.coalesce("n_evolution_cycles", F.lit(0).cast("bigint")).alias("n_evolution_cycles"),
-                    F.coalesce("evolution_cycles",
-                               F.array().cast(nested.schema["evolution_cycles"].dataType))
-                     .alias("evolution_cycles")))
+    out = related.join(per_repo, k, "left")
+    cols = [*k, f"n_commits_{prefix}_related",
+            F.coalesce("n_evolution_cycles", F.lit(0).cast("bigint")).alias("n_evolution_cycles")]
+    if nest:
+        cols.append(F.coalesce("evolution_cycles",
+                               F.array().cast(per_repo.schema["evolution_cycles"].dataType))
+                    .alias("evolution_cycles"))
+    return out.select(*cols)

@@ -158,4 +158,4 @@ def _general(repo_info: DataFrame, commits: DataFrame, key: Sequence[str] = KEY,
 def _snakemake(repo_info: DataFrame, commits: DataFrame, key: Sequence[str] = KEY, **kw) -> DataFrame:
     from repochron.operators.cycles import repo_workflow_summary
     base = _general(repo_info, commits, key, **kw)
-    return base.join(repo_workflow_summary(commits, key), list(key), "left")
+    return base.join(repo_workflow_summary(commits, key, nest=kw.get("nest", False)), list(key), "left")

@@ -392,7 +392,7 @@ def q_eventlog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log (per-cycle activities plus PR commits per repository)."""
     commits = sv.commits(spark, sf_dir)
     order = cyc.commit_order(commits, materialize=True)
-    cycles = cyc.evolution_cycles(commits, order=order)
+    cycles = cyc.evolution_cycles(commits)
     log = el.event_log(cycles, sv.issues(spark, sf_dir),
                        sv.issue_comments(spark, sf_dir), sv.issue_events(spark, sf_dir),
                        sv.pull_requests(spark, sf_dir), sv.commits_with_parents(spark, sf_dir, order),
