@@ -536,3 +536,20 @@ def q_tags_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (commit, tag) with the commit in the tag's history."""
     edges, refs = _graph(spark, sf_dir)
     return dag.tags_containing(edges, refs.withColumnRenamed("ref", "tag"))
+
+
+# --- entity filters and joins ----------------------------------------------------------
+from repochron.operators import entities as ent  # noqa: E402
+
+
+@query("issue_comment_counts")
+def q_issue_comment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of issues with comments, per issue, plus their events."""
+    issues = sv.issues(spark, sf_dir)
+    com = ent.issue_comment_rows(issues, sv.issue_comments(spark, sf_dir))
+    evs = ent.issue_event_rows(issues, sv.issue_events(spark, sf_dir))
+    rows = ent.concat_lists(com.select("owner", "repo", "number", F.lit("comment").alias("kind")),
+                            evs.select("owner", "repo", "number", F.lit("event").alias("kind")))
+    return rows.groupBy("owner", "repo", "number").agg(
+        F.count_if(F.col("kind") == "comment").cast("bigint").alias("n_comments"),
+        F.count_if(F.col("kind") == "event").cast("bigint").alias("n_events"))

@@ -703,3 +703,17 @@ walk(owner, repo, hash, tag) as (
   from walk w join edges e on w.owner = e.owner and w.repo = e.repo and e.child = w.hash)
 select owner, repo, hash as commit_hash, tag from walk
 """)
+
+
+SQL["issue_comment_counts"] = _q(f"""
+with {ISSUES},
+r as (select i.owner, i.repo, i.number, 'comment' as kind
+      from iss i join com c on i.owner = c.owner and i.repo = c.repo and i.number = c.number
+      where coalesce(i.max_turn, 0) <> 0
+      union all
+      select i.owner, i.repo, i.number, 'event'
+      from iss i join iev e on i.owner = e.owner and i.repo = e.repo and i.number = e.number)
+select owner, repo, number, cast(count(*) filter (where kind = 'comment') as bigint) as n_comments,
+       cast(count(*) filter (where kind = 'event') as bigint) as n_events
+from r group by owner, repo, number
+""")

@@ -60,3 +60,22 @@ def test_entry_contract(spark):
     assert df.count() > 0 and "codebase_size" in df.columns
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 40
+
+
+def test_entity_filters_and_joins(spark):
+    from repochron.operators import entities as ent
+    issues = spark.createDataFrame(
+        [("o", "r", 1, 2, {"url": "u"}), ("o", "r", 2, 0, None), ("o", "r", 3, None, None)],
+        "owner string, repo string, number bigint, comments bigint, pull_request map<string,string>")
+    assert [r["number"] for r in ent.issues_that_are_prs(issues).collect()] == [1]
+    assert [r["number"] for r in ent.issues_with_comments(issues).collect()] == [1]
+    prs = spark.createDataFrame([("o", "r", 1, "sha")], "owner string, repo string, number bigint, merge_commit_sha string")
+    assert ent.issue_pull_requests(issues, prs).collect()[0]["merge_commit_sha"] == "sha"
+    com = spark.createDataFrame([("o", "r", "https://x/issues/1"), ("o", "r", "https://x/issues/2")],
+                                "owner string, repo string, issue_url string")
+    assert ent.issue_comment_rows(issues, com).count() == 1
+    info = spark.createDataFrame([("a", True), ("b", None)], "repo string, has_pages boolean")
+    assert [r[0] for r in ent.feature_gate(info, "has_pages").collect()] == ["a"]
+    c = spark.createDataFrame([("h", True), ("g", None)], "hash string, snakemake_related boolean")
+    assert [r[0] for r in ent.related_commits(c).collect()] == ["h"]
+    assert ent.concat_lists(info, info.select("repo")).count() == 4
