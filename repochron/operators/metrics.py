@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repochron.functions.scalars import hunk_count
-from repochron.session import cut_lineage
+from repochron.session import write_through
 
 KEY = ("owner", "repo")
 MINOR_SHARE = 0.05          # fixed value: an author below 5 % of a file's lines is minor
@@ -64,7 +64,7 @@ def resolve_renames(files: DataFrame, key: Sequence[str] = KEY, max_rounds: int
                    .select(*key, "src", F.coalesce("dst2", "dst").alias("dst"),
                            (F.col("dst2").isNotNull() & (F.col("dst2") != F.col("src"))).alias("moved")))
         if (i + 1) % checkpoint_every == 0:
-            stepped = cut_lineage(stepped)
+            stepped = write_through(stepped, "renames")
             if stepped.filter("moved").isEmpty():
                 nxt = stepped.drop("moved")
                 break
