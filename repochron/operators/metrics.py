@@ -47,33 +47,72 @@ def history_range(files: DataFrame, order: DataFrame | None = None,
 
 
 def resolve_renames(files: DataFrame, key: Sequence[str] = KEY, max_rounds: int = 32,
-                    checkpoint_every: int = 4) -> DataFrame:
-    """Map every old path to the last name of its rename chain (pointer doubling).
-
-    Returns ``files`` with column ``path`` = final name of ``coalesce(new_path, old_path)``.
-    Each round doubles the followed chain length; lineage is cut every few rounds.
-    """
-    edges = (files.filter((F.col("change_type") == "RENAME") & F.col("old_path").isNotNull()
-                          & F.col("new_path").isNotNull() & (F.col("old_path") != F.col("new_path")))
-             .groupBy(*key, F.col("old_path").alias("src"))
-             .agg(F.max_by("new_path", "committer_epoch").alias("dst")))
-    nxt = edges
+                    check_every: int = 2, epoch: str = "committer_epoch") -> DataFrame:
+    """Follow renames the way the metric library does (newest commit first): a change
+    to path ``q`` at commit ``t`` is counted under the name ``q`` ends up with through
+    the *earliest rename of q after t*, then that rename's own later renames.
+
+    * "next rename of this path after me" = running count of rename events per
+      (key, path) in commit order (skew-safe ordered scan, bucketed by day) and an
+      equi join on count + 1 -- an as-of join without a range join;
+    * the end of each rename chain = pointer doubling over rename events
+      (each round doubles the followed length; lineage cut when checking).
+
+    Returns ``files`` with column ``path``."""
+    from repochron.operators.ordered import day_bucket, ordered_scan
+    k = list(key)
+    path0 = F.coalesce(F.col("new_path"), F.col("old_path"))
+    # A file appears once per commit: (key, hash, path) identifies a row deterministically.
+    rows = files.withColumn("__rid", F.concat_ws("\u0000", *[F.col(c) for c in k], F.col("hash"), path0))
+    is_ren = ((F.col("change_type") == "RENAME") & F.col("old_path").isNotNull()
+              & F.col("new_path").isNotNull() & (F.col("old_path") != F.col("new_path")))
+    events = (rows.filter(is_ren)
+              .select(*k, F.col("old_path").alias("src"), F.col("new_path").alias("dst"),
+                      F.col(epoch).alias("__t"), F.col("hash").alias("__h"))
+              .withColumn("__eid", F.concat_ws("\u0000", *[F.col(c) for c in k], F.col("__h"),
+                                               F.col("src"))))
+    # Points on each path's time line: events (kind 0 sorts first at the same commit,
+    # so a rename in the same commit is not "later") and lookups (kind 1).
+    ev_pts = events.select(*k, F.col("src").alias("__p"), "__t", "__h", F.lit(0).alias("__kind"),
+                           F.lit(None).cast("string").alias("__q"), "__eid")
+    row_q = rows.select(*k, path0.alias("__p"), F.col(epoch).alias("__t"), F.col("hash").alias("__h"),
+                        F.lit(1).alias("__kind"), F.concat(F.lit("r"), F.col("__rid"))
+                        .alias("__q"), F.lit(None).cast("string").alias("__eid"))
+    ev_q = events.select(*k, F.col("dst").alias("__p"), "__t", "__h", F.lit(1).alias("__kind"),
+                         F.concat(F.lit("e"), F.col("__eid")).alias("__q"),
+                         F.lit(None).cast("string").alias("__eid"))
+    pts = ev_pts.unionByName(row_q).unionByName(ev_q).filter(F.col("__p").isNotNull())
+    pts = ordered_scan(pts, [*k, "__p"], ["__t", "__h", "__kind"], day_bucket("__t"),
+                       sums={"__seq": (F.col("__kind") == 0).cast("bigint")})
+    seq_ev = pts.filter(F.col("__kind") == 0).select(*k, "__p", "__seq", F.col("__eid").alias("__next"))
+    nxt = (pts.filter(F.col("__kind") == 1)
+           .withColumn("__seq", F.col("__seq") + 1)
+           .join(seq_ev, [*k, "__p", "__seq"], "left")
+           .select("__q", "__next"))
+    nxt = write_through(nxt, "renames_next")
+    # Pointer doubling over events: jump[e] = next event after e's rename, or itself at the end.
+    ev_next = (nxt.filter(F.col("__q").startswith("e"))
+               .select(F.expr("substring(__q, 2)").alias("__e"), "__next"))
+    jump = ev_next.select("__e", F.coalesce("__next", "__e").alias("__j"))
     for i in range(max_rounds):
-        hop = nxt.select(*key, F.col("src").alias("dst"), F.col("dst").alias("dst2"))
-        stepped = (nxt.join(hop, [*key, "dst"], "left")
-                   .select(*key, "src", F.coalesce("dst2", "dst").alias("dst"),
-                           (F.col("dst2").isNotNull() & (F.col("dst2") != F.col("src"))).alias("moved")))
-        if (i + 1) % checkpoint_every == 0:
-            stepped = write_through(stepped, "renames")
-            if stepped.filter("moved").isEmpty():
-                nxt = stepped.drop("moved")
+        hop = jump.select(F.col("__e").alias("__j"), F.col("__j").alias("__j2"))
+        stepped = jump.join(hop, "__j", "left").select(
+            "__e", F.coalesce("__j2", "__j").alias("__j"),
+            (F.coalesce("__j2", "__j") != F.col("__j")).alias("__moved"))
+        if (i + 1) % check_every == 0:
+            stepped = write_through(stepped, "renames_jump")
+            done = stepped.filter("__moved").isEmpty()
+            jump = stepped.drop("__moved")
+            if done:
                 break
-        nxt = stepped.drop("moved")
-    path = F.coalesce(F.col("new_path"), F.col("old_path"))
-    j = files.withColumn("__p", path).join(
-        nxt.select(*key, F.col("src").alias("__p"), F.col("dst").alias("__final")),
-        [*key, "__p"], "left")
-    return j.withColumn("path", F.coalesce("__final", "__p")).drop("__p", "__final")
+        else:
+            jump = stepped.drop("__moved")
+    final = jump.join(events.select(F.col("__eid").alias("__j"), F.col("dst").alias("__final")), "__j")
+    row_next = nxt.filter(F.col("__q").startswith("r")).select(
+        F.expr("substring(__q, 2)").alias("__rid"), F.col("__next").alias("__e"))
+    mapped = row_next.join(final.select("__e", "__final"), "__e", "inner").select("__rid", "__final")
+    out = rows.join(mapped.dropDuplicates(["__rid"]), "__rid", "left")
+    return out.withColumn("path", F.coalesce(F.col("__final"), path0)).drop("__rid", "__final")
 
 
 def file_changes(files: DataFrame, key: Sequence[str] = KEY, path: Column | None = None,

@@ -59,3 +59,14 @@ def test_history_range(spark):
     assert sorted(r["hash"] for r in cut.collect()) == ["c1", "c2", "c3"]
     since = pm.history_range(df, since="1970-01-03 00:00:00")
     assert sorted(r["hash"] for r in since.collect()) == ["c2", "c3", "c4"]
+
+
+def test_renames_are_time_aware(spark):
+    # t1 create a, t2 rename a->b, t3 a new a, t4 rename b->c, t5 modify the new a
+    rows = [("o", "r", "c1", "x", 1.0, None, "a", "ADD", 1, 0, ""),
+            ("o", "r", "c2", "x", 2.0, "a", "b", "RENAME", 1, 0, ""),
+            ("o", "r", "c3", "x", 3.0, None, "a", "ADD", 1, 0, ""),
+            ("o", "r", "c4", "x", 4.0, "b", "c", "RENAME", 1, 0, ""),
+            ("o", "r", "c5", "x", 5.0, "a", "a", "MODIFY", 1, 0, "")]
+    got = {r["hash"]: r["path"] for r in pm.resolve_renames(files(spark, rows)).collect()}
+    assert got == {"c1": "c", "c2": "c", "c3": "a", "c4": "c", "c5": "a"}
