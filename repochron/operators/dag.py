@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repochron.session import write_through
+from repochron.session import write_through, write_through_counted
 
 KEY = ("owner", "repo")
 
@@ -56,13 +56,13 @@ def nearest_ref(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY,
                 .select(*k, F.col("parent").alias("hash"), "ref", (F.col("depth") + 1).alias("depth")))
         best = step.groupBy(*k, "hash").agg(F.min(F.struct("depth", "ref")).alias("b")) \
                    .select(*k, "hash", "b.depth", "b.ref")
-        new = write_through(best.join(settled.select(*k, "hash"), [*k, "hash"], "left_anti"),
-                            "frontier")
+        new, n_new = write_through_counted(
+            best.join(settled.select(*k, "hash"), [*k, "hash"], "left_anti"), "frontier")
+        if n_new == 0:
+            break
         settled = settled.unionByName(new.select(*settled.columns))
         if level % cut_every == 0:
             settled = write_through(settled, "settled")
-        if new.isEmpty():
-            break
         frontier = new
     name = F.when(F.col("depth") == 0, F.col("ref")).otherwise(
         F.concat(F.col("ref"), F.lit("~"), F.col("depth").cast("string")))
@@ -83,11 +83,12 @@ def tags_containing(edges: DataFrame, tags: DataFrame, key: Sequence[str] = KEY,
         level += 1
         step = (frontier.join(e.withColumnRenamed("child", "hash"), [*k, "hash"], "inner")
                 .select(*k, F.col("parent").alias("hash"), "tag").distinct())
-        new = write_through(step.join(seen, [*k, "hash", "tag"], "left_anti"), "tagfrontier")
+        new, n_new = write_through_counted(step.join(seen, [*k, "hash", "tag"], "left_anti"),
+                                           "tagfrontier")
+        if n_new == 0:
+            break
         seen = seen.unionByName(new)
         if level % cut_every == 0:
             seen = write_through(seen, "tagseen")
-        if new.isEmpty():
-            break
         frontier = new
     return seen.select(*k, F.col("hash").alias("commit_hash"), "tag")

@@ -78,11 +78,20 @@ def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it
     back: one evaluation for any number of consumers, lineage cut, and the files
     outlive lost executors. (The folder is the cluster's to clean.)"""
+    return write_through_counted(df, name)[0]
+
+
+def write_through_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """``write_through`` that also returns the row count, observed while writing
+    (no second job)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/repochron-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), int(obs.get["n"])
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
