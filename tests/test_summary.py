@@ -79,3 +79,23 @@ def test_entity_filters_and_joins(spark):
     c = spark.createDataFrame([("h", True), ("g", None)], "hash string, snakemake_related boolean")
     assert [r[0] for r in ent.related_commits(c).collect()] == ["h"]
     assert ent.concat_lists(info, info.select("repo")).count() == 4
+
+
+def test_name_checks_and_url_columns(spark):
+    from repochron.operators import validate as val
+    df = spark.createDataFrame([("a/b",), ("/b",), ("a",), ("a/b/c",), ("",), (None,)], "full_name string")
+    got = df.select("full_name", val.is_full_name("full_name").alias("p04")).collect()
+    assert [r["p04"] for r in got] == [True, False, False, True, False, False]
+    s = val.split_full_name(df).collect()
+    assert [(r["owner"], r["repo"], r["valid"]) for r in s] == [
+        ("a", "b", True), ("", "b", True), (None, None, False), (None, None, False),
+        (None, None, False), (None, None, False)]
+    h = spark.createDataFrame([("a" * 40,), ("a" * 39,), (None,)], "h string")
+    assert [r[0] for r in h.select(val.is_commit_hash("h")).collect()] == [True, False, False]
+    info = spark.createDataFrame([(1, "u", "v", ("acme", "w"))],
+                                 "id int, html_url string, url string, owner struct<login:string,html_url:string>")
+    out = val.drop_suffix_columns(info)
+    assert out.columns == ["id", "url", "owner"] and out.collect()[0]["owner"]["html_url"] == "w"
+    rej = val.rejects_of(spark.createDataFrame([("x",)], "full_name string").withColumn("ok", F.lit(False)),
+                         F.col("ok"), "list", "bad", "full_name").collect()
+    assert [(r["stage"], r["full_name"], r["reason"]) for r in rej] == [("list", "x", "bad")]
