@@ -89,43 +89,43 @@ def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snak
                epoch: str = "committer_epoch", hash_col: str = "hash",
                gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Per commit, in one fused skew-safe pass: ``idx``, previous / next commit,
-    ``burst_start`` / ``burst_end``, ``trigger``, ``active`` (W05), ``closes`` and the
-    burst it belongs to (``burst_id`` = position of the burst's first commit).
-
-    The window runs inside (repo, day). Each day is summarised by its row count,
-    first / last commit, last local trigger and last local burst start (local
-    positions); two chained windows over that small day table turn these into
-    global positions and carry them forward. Joined back, every row gets its
-    global last trigger / last burst start, hence ``active`` without a second pass
-    over the rows."""
+    ``burst_start`` / ``burst_end``, ``trigger``, ``active`` (W05), ``closes`` and its
+    burst (``burst_epoch`` / ``burst_hash`` = the burst's first commit).
+
+    Buckets are at most as wide as the gap, so two commits of one bucket are always
+    less than a gap apart: a burst can only start at a bucket's first commit. Each
+    bucket is then summarised by a plain partial aggregate (count, first / last
+    commit, last commit with a net change); two chained windows over that small
+    table carry counts and "last trigger / last burst start" forward. Positions are
+    compared as ``(epoch, hash)`` keys. Joined back, every row has ``active``
+    without a second pass over the rows."""
     k = list(key)
+    bucket_seconds = min(bucket_seconds, gap_seconds)
     g = F.lit(gap_seconds)
     part = [*k, "__bkt"]
-    base = commits.withColumn("__bkt", day_bucket(epoch, bucket_seconds)) \
-                  .withColumn("__net", net_change(prefix))
+    okey = F.struct(F.col(epoch).alias("e"), F.col(hash_col).alias("h"))
+    base = (commits.withColumn("__bkt", day_bucket(epoch, bucket_seconds))
+            .withColumn("__net", net_change(prefix)).withColumn("__key", okey))
     w = Window.partitionBy(*part).orderBy(epoch, hash_col)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rn, lag_e = F.row_number().over(w), F.lag(epoch).over(w)
+    rn = F.row_number().over(w)
     local = base.select(
-        "*", rn.alias("__rn"), lag_e.alias("__lag_e"), F.lag(hash_col).over(w).alias("__lag_h"),
-        F.lead(epoch).over(w).alias("__lead_e"))
-    inner_start = (F.col("__rn") > 1) & ((F.col(epoch) - F.col("__lag_e")) >= g)
+        "*", rn.alias("__rn"), F.lag(epoch).over(w).alias("__lag_e"),
+        F.lag(hash_col).over(w).alias("__lag_h"), F.lead(epoch).over(w).alias("__lead_e"))
     local = local.select(
-        "*",
-        F.max(F.when(F.col("__net") & (F.col("__rn") > 1), F.col("__rn")).otherwise(F.lit(-1)))
-         .over(run).alias("__lt"),
-        F.max(F.when(inner_start, F.col("__rn")).otherwise(F.lit(-1))).over(run).alias("__lb"))
+        "*", F.max(F.when(F.col("__net") & (F.col("__rn") > 1), F.col("__key"))).over(run).alias("__lt"))
 
     row = F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch"))
-    summary = local.groupBy(*part).agg(
+    summary = base.groupBy(*part).agg(
         F.count(F.lit(1)).alias("__cnt"),
-        F.min_by(row, "__rn").alias("__first"), F.max_by(row, "__rn").alias("__last"),
-        F.max(F.when(F.col("__rn") == 1, F.col("__net"))).alias("__net_first"),
-        F.max("__lt").alias("__lt_max"), F.max("__lb").alias("__lb_max"))
+        F.min_by(row, "__key").alias("__first"), F.max_by(row, "__key").alias("__last"),
+        F.min("__key").alias("__first_key"),
+        F.min_by("__net", "__key").alias("__net_first"),
+        F.max(F.when(F.col("__net"), F.col("__key"))).alias("__net_max"))
     ws = Window.partitionBy(*k).orderBy("__bkt")
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *part, "__lt_max", "__lb_max", "__net_first", "__first",
+        *part, "__first", "__first_key", "__net_first", "__net_max",
         F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__c"),
         F.lag("__last").over(ws).alias("__prev_last"),
         F.lead("__first.epoch").over(ws).alias("__next_first_e"))
@@ -135,37 +135,32 @@ def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snak
         (F.col("__prev_last").isNull() | ((F.col("__first.epoch") - F.col("__prev_last.epoch")) >= g))
          .alias("__bs_first"),
         (F.col("__net_first") & (c > 0)).alias("__trig_first"))
-    t_b = F.greatest(F.when(F.col("__lt_max") >= 2, c + F.col("__lt_max") - 1),
-                     F.when(F.col("__trig_first"), c), F.lit(-1))
-    b_b = F.greatest(F.when(F.col("__lb_max") >= 2, c + F.col("__lb_max") - 1),
-                     F.when(F.col("__bs_first"), c), F.lit(-1))
+    # Last trigger of the bucket: its last net change, unless that is the history's first commit.
+    t_b = F.when((F.col("__net_max") == F.col("__first_key")) & ~F.col("__trig_first"),
+                 F.lit(None)).otherwise(F.col("__net_max"))
+    b_b = F.when(F.col("__bs_first"), F.col("__first_key"))
     carry = carry.select("*", t_b.alias("__t_b"), b_b.alias("__b_b"))
     carry = carry.select(
-        *part, "__c", "__prev_last", "__next_first_e", "__bs_first", "__trig_first",
-        F.coalesce(F.max("__t_b").over(before), F.lit(-1)).alias("__ct"),
-        F.coalesce(F.max("__b_b").over(before), F.lit(-1)).alias("__cb"))
+        *part, "__c", "__prev_last", "__next_first_e", "__bs_first", "__trig_first", "__first_key",
+        F.max("__t_b").over(before).alias("__ct"), F.max("__b_b").over(before).alias("__cb"))
 
     j = local.join(carry, part, "inner")
     first = F.col("__rn") == 1
     idx = (c + F.col("__rn") - 1).cast("bigint")
     nxt = F.when(F.col("__lead_e").isNull(), F.col("__next_first_e")).otherwise(F.col("__lead_e"))
-    last_t = F.greatest(F.col("__ct"), F.when(F.col("__trig_first"), c).otherwise(F.lit(-1)),
-                        F.when(F.col("__lt") >= 2, c + F.col("__lt") - 1).otherwise(F.lit(-1)))
-    last_b = F.greatest(F.col("__cb"), F.when(F.col("__bs_first"), c).otherwise(F.lit(-1)),
-                        F.when(F.col("__lb") >= 2, c + F.col("__lb") - 1).otherwise(F.lit(-1)))
+    last_t = F.greatest(F.col("__ct"), F.when(F.col("__trig_first"), F.col("__first_key")), F.col("__lt"))
+    last_b = F.greatest(F.col("__cb"), F.when(F.col("__bs_first"), F.col("__first_key")))
     out = j.select(
         *commits.columns, idx.alias("idx"),
         F.when(first, F.col("__prev_last.epoch")).otherwise(F.col("__lag_e")).alias("prev_epoch"),
         F.when(first, F.col("__prev_last.hash")).otherwise(F.col("__lag_h")).alias("prev_hash"),
         nxt.alias("next_epoch"),
-        F.when(first, F.col("__bs_first")).otherwise(F.col("__lag_e").isNotNull()
-                                                     & ((F.col(epoch) - F.col("__lag_e")) >= g))
-         .alias("burst_start"),
+        (first & F.col("__bs_first")).alias("burst_start"),
         (nxt.isNull() | ((nxt - F.col(epoch)) >= g)).alias("burst_end"),
         F.when(first, F.col("__trig_first")).otherwise(F.col("__net")).alias("trigger"),
-        last_t.cast("bigint").alias("last_trigger_idx"), last_b.cast("bigint").alias("burst_id"))
-    return out.withColumn("active", F.col("last_trigger_idx") >= F.col("burst_id")) \
-              .withColumn("closes", F.col("burst_end") & F.col("active"))
+        F.coalesce(last_t >= last_b, F.lit(False)).alias("active"),
+        last_b["e"].alias("burst_epoch"), last_b["h"].alias("burst_hash"))
+    return out.withColumn("closes", F.col("burst_end") & F.col("active"))
 
 
 def _bursts(rows: DataFrame, key: Sequence[str], prefix: str, epoch: str, hash_col: str) -> DataFrame:
@@ -180,7 +175,7 @@ def _bursts(rows: DataFrame, key: Sequence[str], prefix: str, epoch: str, hash_c
 
     cur = F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch"))
     prev = F.struct(F.col("prev_hash").alias("hash"), F.col("prev_epoch").alias("epoch"))
-    b = rows.groupBy(*key, "burst_id").agg(
+    b = rows.groupBy(*key, "burst_epoch", "burst_hash").agg(
         F.min_by(cur, "idx").alias("first_row"), F.min_by(prev, "idx").alias("first_prev"),
         F.max_by(cur, "idx").alias("last_row"), F.max("idx").alias("last_idx"),
         F.max("closes").alias("closes"),
@@ -204,14 +199,14 @@ def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str =
     k = list(key)
     rows = cycle_rows(commits, k, prefix, epoch, hash_col, gap_seconds, bucket_seconds)
     bursts = write_through(_bursts(rows, k, prefix, epoch, hash_col), "bursts")
-    numbered = ordered_scan(bursts, k, ["burst_id"],
-                            F.floor(F.col("first_row.epoch") / F.lit(bucket_seconds)).cast("bigint"),
+    numbered = ordered_scan(bursts, k, ["burst_epoch", "burst_hash"],
+                            F.floor(F.col("burst_epoch") / F.lit(bucket_seconds)).cast("bigint"),
                             sums={"__closes_upto": F.col("closes").cast("bigint")})
     numbered = numbered.withColumn(
         "cycle_no", F.col("__closes_upto") - F.col("closes").cast("bigint") + 1)
     agg = numbered.groupBy(*k, "cycle_no").agg(
-        F.when(F.col("cycle_no") == 1, F.min_by("first_row", "burst_id"))
-         .otherwise(F.min_by("first_prev", "burst_id")).alias("begin"),
+        F.when(F.col("cycle_no") == 1, F.min_by("first_row", "burst_epoch"))
+         .otherwise(F.min_by("first_prev", F.struct("burst_epoch", "burst_hash"))).alias("begin"),
         F.max_by("last_row", "last_idx").alias("end"),
         F.max("closes").alias("closed"),
         F.sum("n").cast("bigint").alias("n_commits"),
