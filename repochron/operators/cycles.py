@@ -190,14 +190,18 @@ def _bursts(rows: DataFrame, key: Sequence[str], prefix: str, epoch: str, hash_c
 
 def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snakemake",
                      epoch: str = "committer_epoch", hash_col: str = "hash",
-                     gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+                     gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS,
+                     rows: DataFrame | None = None) -> DataFrame:
     """One row per cycle with begin / end, durations, counts and extensions.
+    ``rows``: a precomputed ``cycle_rows`` of ``commits`` (it also serves as the
+    commit order, so callers needing both compute it once).
 
     Rows -> bursts (one fused row pass + a pre-aggregating shuffle); the cycle
     number of a burst = 1 + closing bursts before it, a running sum over the much
     smaller burst table (skew-safe scan bucketed by the burst's start day)."""
     k = list(key)
-    rows = cycle_rows(commits, k, prefix, epoch, hash_col, gap_seconds, bucket_seconds)
+    if rows is None:
+        rows = cycle_rows(commits, k, prefix, epoch, hash_col, gap_seconds, bucket_seconds)
     bursts = write_through(_bursts(rows, k, prefix, epoch, hash_col), "bursts")
     numbered = ordered_scan(bursts, k, ["burst_epoch", "burst_hash"],
                             F.floor(F.col("burst_epoch") / F.lit(bucket_seconds)).cast("bigint"),

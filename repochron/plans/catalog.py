@@ -25,6 +25,7 @@ from repochron.operators import metrics as pm
 from repochron.operators import summary as sm
 from repochron.operators import validate as val
 from repochron.plans import standins as sv
+from repochron.session import write_through
 from repochron.sources import gitlog as gl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,14 +396,15 @@ def q_eventlog_pr_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("eventlog_all")
 def q_eventlog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole log (per-cycle activities plus PR commits per repository)."""
+    """The whole log (per-cycle activities plus PR commits per repository).
+    The cycle rows are computed once and also serve as the commit order."""
     commits = sv.commits(spark, sf_dir)
-    order = cyc.commit_order(commits, materialize=True)
-    cycles = cyc.evolution_cycles(commits)
+    rows = write_through(cyc.cycle_rows(commits), "cyclerows")
+    cycles = cyc.evolution_cycles(commits, rows=rows)
     log = el.event_log(cycles, sv.issues(spark, sf_dir),
                        sv.issue_comments(spark, sf_dir), sv.issue_events(spark, sf_dir),
-                       sv.pull_requests(spark, sf_dir), sv.commits_with_parents(spark, sf_dir, order),
-                       order)
+                       sv.pull_requests(spark, sf_dir), sv.commits_with_parents(spark, sf_dir, rows),
+                       rows)
     return log.select(*LOG_OUT)
 
 
