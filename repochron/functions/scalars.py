@@ -108,9 +108,13 @@ def split_lines(code) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(lines)
 
 
+# Python's white space (str.isspace), derived by rule; every such code point is below U+3001.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def strip(text) -> Column:
-    """Python-style strip (Unicode white space both ends)."""
-    return F.regexp_replace(_c(text), "(?U)^\\s+|\\s+$", "")
+    """Python-style strip (Unicode white space both ends); linear time, no regex."""
+    return F.btrim(_c(text), F.lit(PY_WHITESPACE))
 
 
 # F16 / F17 -------------------------------------------------------------------
@@ -157,7 +161,14 @@ def message_strip(msg) -> Column:
 
 # F30 -------------------------------------------------------------------------
 def hunk_count(patch, markers: str = "+-") -> Column:
-    """Number of maximal runs of lines that start with one of ``markers``."""
+    """Number of maximal runs of lines that start with one of ``markers``.
+
+    Counted as run starts -- a marker line that opens the text or follows a
+    non-marker line -- with no repeated group in the pattern, so a run of a
+    hundred thousand added lines cannot exhaust the regex engine's stack."""
     cls = "".join("\\" + m if not m.isalnum() else m for m in markers)
     text = normalize_breaks(F.coalesce(_c(patch), F.lit("")))
-    return F.size(F.regexp_extract_all(text, F.lit(f"(?m)(?:^[{cls}][^\\n]*(?:\\n|$))+"), F.lit(0)))
+    after_other = F.size(F.regexp_extract_all(
+        text, F.lit(f"(?m)^(?:[^{cls}\\n][^\\n]*)?\\n(?=[{cls}])"), F.lit(0)))
+    at_start = F.when(text.rlike(f"^[{cls}]"), F.lit(1)).otherwise(F.lit(0))
+    return after_other + at_start

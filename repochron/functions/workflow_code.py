@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repochron.functions.scalars import _c, normalize_breaks
+from repochron.functions.scalars import _c, normalize_breaks, strip
 
 # Keywords and file patterns of the workflow language.
 RULE_KEYWORD = "rule"
@@ -53,8 +53,7 @@ def _include_targets(code, keyword: str, sep: str) -> Column:
     stop = "\\n" if sep == "\n" else s + "\\n"
     pattern = f"(?mU)^{_HSPACE}*{_kw(keyword)}{s}([^{stop}]*)"
     raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.transform(raw, lambda x: F.translate(
-        F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""), "\"'", ""))
+    return F.transform(raw, lambda x: F.translate(strip(x), "\"'", ""))
 
 
 def included_files(code, keyword: str = INCLUDE_KEYWORD, sep: str = INCLUDE_SEP,
