@@ -60,3 +60,21 @@ def test_pr_commit_ranges(spark):
                  for r in el.pr_commit_activities(prs, commits, order).collect())
     assert got == [("Issue-1", "c1", "d1"), ("Issue-2", "c1", "d1"), ("Issue-2", "c2", "d2"),
                    ("Issue-2", "c3", "d3")]
+
+
+def test_dedupe_switch_and_sort(spark):
+    order = spark.createDataFrame([("o", "r", f"c{i}", i, f"d{i}", float(i)) for i in range(4)],
+                                  "owner string, repo string, hash string, idx bigint, "
+                                  "committer_date string, committer_epoch double")
+    commits = spark.createDataFrame([("o", "r", "m", ["c0", "c3"])],
+                                    "owner string, repo string, hash string, parents array<string>")
+    prs = spark.createDataFrame([("o", "r", 1, "x", "m", ("u",)), ("o", "r", 1, "x", "m", ("u",))],
+                                "owner string, repo string, number bigint, created_at string, "
+                                "merge_commit_sha string, user struct<login:string>")
+    raw = el.pr_commit_activities(prs, commits, order)
+    assert raw.count() == 6                      # the PR listed twice: every range commit twice
+    assert el.pr_commit_activities(prs, commits, order, dedupe=True).count() == 3
+    log = raw.select("owner", "repo", F.lit(1).cast("bigint").alias("cycle_no"), "case_id",
+                     "activity", "t", "timestamp", "user")
+    ts = [r["t"] for r in el.sort_event_log(log).collect()]
+    assert ts == sorted(ts)

@@ -99,3 +99,19 @@ def test_name_checks_and_url_columns(spark):
     rej = val.rejects_of(spark.createDataFrame([("x",)], "full_name string").withColumn("ok", F.lit(False)),
                          F.col("ok"), "list", "bad", "full_name").collect()
     assert [(r["stage"], r["full_name"], r["reason"]) for r in rej] == [("list", "x", "bad")]
+
+
+def test_partition_overwrite_and_non_empty(spark):
+    import tempfile
+    path = tempfile.mkdtemp(prefix="repochron-k10-") + "/out"
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "repo string, n int")
+    inc.overwrite_partitions(a, path, ["repo"])
+    inc.overwrite_partitions(spark.createDataFrame([("x", 9)], "repo string, n int"), path, ["repo"])
+    got = sorted((r["repo"], r["n"]) for r in spark.read.parquet(path).collect())
+    assert got == [("x", 9), ("y", 2)]             # only partition x replaced
+    assert sm.assert_non_empty(a).count() == 2
+    try:
+        sm.assert_non_empty(a.filter("n > 5"), "clones")
+        raise AssertionError("empty input must raise")
+    except RuntimeError:
+        pass
