@@ -174,7 +174,7 @@ def file_metrics(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
         F.max("m_rem").cast("bigint").alias("linescount_max_removed"),
         (F.sum("s_rem") / n).alias("linescount_avg_removed"),
         F.count(F.lit(1)).cast("bigint").alias("contributorscount_count"),
-        F.count_if((F.col("__total") > 0) & (F.col("__lines") / F.col("__total") < MINOR_SHARE))
+        F.count_if(F.when(F.col("__total") > 0, F.col("__lines") / F.col("__total")) < MINOR_SHARE)
          .cast("bigint").alias("contributorscount_minor"),
         F.when(F.max("__total") > 0, F.max("__lines") * 100.0 / F.max("__total"))
          .otherwise(F.lit(0.0)).alias("contributorsexperience_count"))

@@ -70,3 +70,12 @@ def test_renames_are_time_aware(spark):
             ("o", "r", "c5", "x", 5.0, "a", "a", "MODIFY", 1, 0, "")]
     got = {r["hash"]: r["path"] for r in pm.resolve_renames(files(spark, rows)).collect()}
     assert got == {"c1": "c", "c2": "c", "c3": "a", "c4": "c", "c5": "a"}
+
+
+def test_binary_only_file_has_no_lines(spark):
+    rows = [("o", "r", "c1", "a", 1.0, None, "img.png", "ADD", 0, 0, ""),
+            ("o", "r", "c2", "b", 2.0, None, "img.png", "MODIFY", 0, 0, "")]
+    per_file, _ = pm.process_metrics(files(spark, rows), hunk_markers=None)
+    r = per_file.collect()[0]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert (r["contributorscount_minor"], r["contributorsexperience_count"]) == (0, 0.0)
