@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job of this library relies on.
 SESSION_CONF = {
@@ -82,8 +83,6 @@ def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
 def write_through_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
     """``write_through`` that also returns the row count, observed while writing
     (no second job)."""
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/repochron-{name}-{uuid.uuid4().hex}"
