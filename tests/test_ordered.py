@@ -29,3 +29,22 @@ def test_ordered_scan_matches_windows(spark, width):
                      (F.row_number().over(w) - 1).alias("i"))
     cols = ["k", "h", "s", "m", "p", "n", "i"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_hot_key_is_split_across_tasks(spark):
+    # One repository holds a third of all rows; its window work must not land in one task.
+    rows = [("hot", d * 86400 + i, f"h{d}-{i}", 1) for d in range(60) for i in range(50)]
+    rows += [(f"r{k}", d * 86400 + i, f"c{d}-{i}", 1) for k in range(40) for d in range(3) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, t long, h string, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordered_scan(df, ["k"], ["t", "h"], F.floor(F.col("t") / 86400).cast("bigint"),
+                           sums={"s": F.col("v")}, index="i")
+        hot = out.filter(F.col("k") == "hot").select(F.spark_partition_id().alias("p"), "s", "i")
+        parts = {r["p"] for r in hot.collect()}
+        assert len(parts) >= 3
+        assert hot.agg(F.max("s")).collect()[0][0] == 3000 and hot.agg(F.max("i")).collect()[0][0] == 2999
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
