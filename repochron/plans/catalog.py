@@ -554,3 +554,26 @@ def q_issue_comment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("owner", "repo", "number").agg(
         F.count_if(F.col("kind") == "comment").cast("bigint").alias("n_comments"),
         F.count_if(F.col("kind") == "event").cast("bigint").alias("n_events"))
+
+
+@query("repo_info_extended")
+def q_repo_info_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extended repository info of the default pipeline
+    target -- entity totals, general summary and workflow summary by analysis name."""
+    commits = sv.commits(spark, sf_dir)
+    repos = commits.select("owner", "repo").distinct() \
+        .withColumn("full_name", F.concat_ws("/", "owner", "repo"))
+    pages = sv.table(spark, sf_dir, "pages").select(
+        F.lit(sv.OWNER).alias("owner"),
+        F.concat(F.lit("r"), (F.col("page_id") % 150).cast("string")).alias("repo"))
+    info = sm.entity_counts(repos, {"issues": sv.issues(spark, sf_dir),
+                                    "issue_events": sv.issue_events(spark, sf_dir),
+                                    "issue_comments": sv.issue_comments(spark, sf_dir),
+                                    "pull_requests": sv.pull_requests(spark, sf_dir), "pages": pages})
+    ext = sm.analysis("snakemake")(info, commits, as_of=AS_OF)
+    return ext.select(
+        "owner", "repo", "full_name", "x_total_commits", "x_total_issues", "x_total_issue_events",
+        "x_total_issue_comments", "x_total_pull_requests", "x_total_pages", "n_authors", "n_committers",
+        _r6("first_commit_at_epoch").alias("first_commit_at_epoch"),
+        _r6("last_commit_at_epoch").alias("last_commit_at_epoch"), "first_commit_at", "last_commit_at",
+        "n_commits_snakemake_related", "n_evolution_cycles")

@@ -717,3 +717,45 @@ select owner, repo, number, cast(count(*) filter (where kind = 'comment') as big
        cast(count(*) filter (where kind = 'event') as bigint) as n_events
 from r group by owner, repo, number
 """)
+
+
+SQL["repo_info_extended"] = _q(f"""
+with {CYCLES}, {ISSUES},
+rp as (select distinct owner, repo, owner || '/' || repo as full_name from c),
+cnt as (
+  select owner, repo, 'issues' as k from iss
+  union all select owner, repo, 'issue_events' from iev
+  union all select owner, repo, 'issue_comments' from com
+  union all select owner, repo, 'pull_requests' from pr
+  union all select 'acme', 'r' || cast(page_id % 150 as varchar), 'pages' from pages),
+ec as (
+  select rp.owner, rp.repo, rp.full_name,
+         count(k) filter (where k = 'issues') as x_total_issues,
+         count(k) filter (where k = 'issue_events') as x_total_issue_events,
+         count(k) filter (where k = 'issue_comments') as x_total_issue_comments,
+         count(k) filter (where k = 'pull_requests') as x_total_pull_requests,
+         count(k) filter (where k = 'pages') as x_total_pages
+  from rp left join cnt on rp.owner = cnt.owner and rp.repo = cnt.repo
+  group by rp.owner, rp.repo, rp.full_name),
+gs as (select owner, repo, count(*) as n, count(distinct author) as na, count(distinct committer) as nc,
+             least(1767225600, min(committer_epoch)) as fe, greatest(0, max(committer_epoch)) as le,
+             count(*) filter (where related) as nrel
+      from c group by owner, repo),
+nc as (select owner, repo, count(*) as n_evolution_cycles from cyc group by owner, repo)
+select ec.owner, ec.repo, ec.full_name, cast(gs.n as bigint) as x_total_commits,
+       cast(ec.x_total_issues as bigint) as x_total_issues,
+       cast(ec.x_total_issue_events as bigint) as x_total_issue_events,
+       cast(ec.x_total_issue_comments as bigint) as x_total_issue_comments,
+       cast(ec.x_total_pull_requests as bigint) as x_total_pull_requests,
+       cast(ec.x_total_pages as bigint) as x_total_pages,
+       cast(gs.na as bigint) as n_authors, cast(gs.nc as bigint) as n_committers,
+       round(gs.fe, 6) as first_commit_at_epoch, round(gs.le, 6) as last_commit_at_epoch,
+       case when gs.fe > 0 then strftime(make_timestamp(cast(floor(gs.fe) as bigint) * 1000000),
+                                        '%Y-%m-%dT%H:%M:%S') || ' ' end as first_commit_at,
+       case when gs.le > 0 then strftime(make_timestamp(cast(floor(gs.le) as bigint) * 1000000),
+                                        '%Y-%m-%dT%H:%M:%S') || ' ' end as last_commit_at,
+       cast(gs.nrel as bigint) as n_commits_snakemake_related,
+       cast(coalesce(nc.n_evolution_cycles, 0) as bigint) as n_evolution_cycles
+from ec join gs on ec.owner = gs.owner and ec.repo = gs.repo
+        left join nc on ec.owner = nc.owner and ec.repo = nc.repo
+""")
