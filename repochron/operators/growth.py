@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from repochron.functions.scalars import message_strip, patch_length
 from repochron.operators.ordered import ordered_scan
 
+# ISO 8601 text with a numeric offset ("+00:00", as isoformat() writes it).
+ISO_TS_OUT = "yyyy-MM-dd'T'HH:mm:ssxxx"
 # File suffixes whose patches count towards the codebase size.
 SOURCE_SUFFIXES = (".py", ".smk")
 
@@ -52,10 +54,11 @@ def codebase_growth(sizes: DataFrame, key: Sequence[str] = ("repo",),
                         sums={"codebase_size": F.col(size_col).cast("bigint")})
 
 
-def commit_size_rows(growth: DataFrame, hash_col: str = "hash", ts_col: str = "committed_at",
-                     msg_col: str = "message") -> DataFrame:
+def commit_size_rows(growth: DataFrame, key: Sequence[str] = ("repo",), hash_col: str = "hash",
+                     ts_col: str = "committed_at", msg_col: str = "message") -> DataFrame:
     """K08 output rows: commit_id, commit_size, datetime (ISO 8601), message, codebase_size."""
     return growth.select(
+        *key,
         F.col(hash_col).alias("commit_id"), "commit_size",
-        F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("datetime"),
+        F.date_format(F.col(ts_col), ISO_TS_OUT).alias("datetime"),
         message_strip(F.col(msg_col)).alias("commit_message"), "codebase_size")

@@ -57,6 +57,21 @@ def q_codebase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("repo", "pos", "hash", "commit_size", "codebase_size")
 
 
+@query("commit_size_rows")
+def q_commit_size_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth output rows -- commit id, size, ISO date, stripped
+    message (first line of the commit's first document), running codebase size."""
+    p = sv.patches(spark, sf_dir)
+    d = sv.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("repo"), F.expr(f"doc_id div {sv.DOCS_PER_COMMIT_SPAN}").alias("pos"),
+        F.split("text", "\n")[0].alias("first_line"))
+    meta = d.groupBy("repo", "pos").agg(F.min_by("first_line", "doc_id").alias("message"))
+    sizes = growth.commit_sizes(p, key=("repo",), commit_cols=("pos", "hash")).join(meta, ["repo", "pos"])
+    sizes = sizes.withColumn("committed_at", F.timestamp_seconds(F.lit(sv.BASE_EPOCH) + F.col("pos") * 86400))
+    g = growth.codebase_growth(sizes, key=("repo",), order=("pos",), bucket=F.expr("pos div 1024"))
+    return growth.commit_size_rows(g, key=("repo",))
+
+
 # --- commit order, bursts, cycles --------------------------------------------
 @query("commit_order")
 def q_commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:

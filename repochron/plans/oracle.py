@@ -759,3 +759,25 @@ select ec.owner, ec.repo, ec.full_name, cast(gs.n as bigint) as x_total_commits,
 from ec join gs on ec.owner = gs.owner and ec.repo = gs.repo
         left join nc on ec.owner = nc.owner and ec.repo = nc.repo
 """)
+
+
+SQL["commit_size_rows"] = _q("""
+with p as (
+  select source as repo, doc_id // 60 as pos, sha1(source || ':' || cast(doc_id // 60 as varchar)) as hash,
+         'd' || cast(doc_id as varchar) ||
+           case lang when 'en' then '.py' when 'de' then '.smk' else '.txt' end as a_path,
+         text as patch, doc_id, split_part(text, chr(10), 1) as first_line
+  from documents),
+s as (
+  select repo, pos, hash,
+         cast(sum(case when a_path like '%.py' or a_path like '%.smk' then strlen(patch) else 0 end) as bigint)
+           as commit_size,
+         arg_min(first_line, doc_id) as message
+  from p group by repo, pos, hash)
+select repo, hash as commit_id, commit_size,
+       strftime(make_timestamp((1704067200 + pos * 86400) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' as datetime,
+       trim(message) as commit_message,
+       cast(sum(commit_size) over (partition by repo order by pos
+            rows between unbounded preceding and current row) as bigint) as codebase_size
+from s
+""")
