@@ -592,3 +592,17 @@ def q_repo_info_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
         _r6("first_commit_at_epoch").alias("first_commit_at_epoch"),
         _r6("last_commit_at_epoch").alias("last_commit_at_epoch"), "first_commit_at", "last_commit_at",
         "n_commits_snakemake_related", "n_evolution_cycles")
+
+
+@query("commit_parents")
+def q_commit_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent edges with position, the parent's commit date and the merge flag."""
+    commits = sv.commits(spark, sf_dir)
+    order = cyc.commit_order(commits, materialize=True)
+    cwp = sv.commits_with_parents(spark, sf_dir, order)
+    e = dag.with_parent_dates(cwp)
+    merges = cwp.select("owner", "repo", F.col("hash").alias("child"),
+                        (F.size("parents") > 1).alias("is_merge"))
+    return e.join(merges, ["owner", "repo", "child"]).select(
+        "owner", "repo", "child", F.col("pos").cast("bigint").alias("pos"), "parent",
+        "parent_committer_date", "is_merge")

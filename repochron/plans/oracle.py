@@ -781,3 +781,14 @@ select repo, hash as commit_id, commit_size,
             rows between unbounded preceding and current row) as bigint) as codebase_size
 from s
 """)
+
+
+SQL["commit_parents"] = _q(f"""
+with {CYCLE_ROWS}, {ISSUES}, {PR_COMMITS},
+ed as (select owner, repo, hash as child, len(parents) > 1 as is_merge,
+              unnest(generate_series(0, len(parents) - 1)) as pos, parents
+       from par where len(parents) > 0)
+select ed.owner, ed.repo, ed.child, cast(ed.pos as bigint) as pos, ed.parents[ed.pos + 1] as parent,
+       p.committer_date as parent_committer_date, ed.is_merge
+from ed left join par p on p.owner = ed.owner and p.repo = ed.repo and p.hash = ed.parents[ed.pos + 1]
+""")
