@@ -36,7 +36,7 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str = "id",
     operations use ``DataFrame.mergeInto`` instead."""
     inc = incoming
     if allowed is not None:
-        inc = inc.join(allowed.select(allow_col).distinct(), [allow_col], "left_semi")
+        inc = inc.join(allowed.select(allow_col), [allow_col], "left_semi")
     cols = [key, *attributes, order]
     inc = inc.select(*cols)
     both = inc if existing is None else existing.select(*cols).unionByName(inc)

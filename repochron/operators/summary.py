@@ -94,7 +94,7 @@ def allow_list(repos: DataFrame, allowed: DataFrame | None, col: str = "full_nam
     """Keep names in the allow list; no list means no filter."""
     if allowed is None:
         return repos
-    return repos.join(allowed.select(col).distinct(), [col], "left_semi")
+    return repos.join(allowed.select(col), [col], "left_semi")
 
 
 def merge_skiplists(*lists: DataFrame | None, col: str = "full_name") -> DataFrame | None:
