@@ -23,7 +23,13 @@ COMMIT = T.StructType([_f(n, t) for n, t in (
     ("files", T.ArrayType(FILE)), ("file_extensions", T.ArrayType(_s)),
     ("change_types", T.ArrayType(_s)), ("n_deletions", _l), ("n_insertions", _l),
     ("n_lines", _l), ("n_files", _l), ("dmm_unit_size", _d), ("dmm_unit_complexity", _d),
-    ("dmm_unit_interfacing", _d))])
+    ("dmm_unit_interfacing", _d))] + [
+    # Workflow columns present when commits were extracted for the workflow analysis.
+    _f("snakemake_related", _b)] + [
+    _f(f"snakemake_{n}", T.ArrayType(_s)) for n in (
+        "modules_from_code", "modules_from_code_before", "rules_from_code", "rules_from_code_before",
+        "included_rules", "included_scripts", "irregular_rule_files", "rule_files")] + [
+    _f(f"snakemake_n_{n}", _l) for n in ("modules_added", "modules_removed", "rules_added", "rules_removed")])
 
 ISSUE = T.StructType([_f("number", _l), _f("created_at", _s), _f("closed_at", _s),
                       _f("comments", _l), _f("pull_request", T.MapType(_s, _s)), _f("user", LOGIN)])

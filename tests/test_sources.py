@@ -98,3 +98,24 @@ def test_sinks_round_trip(spark):
     assert spark.read.parquet(f"{out}/manifest").count() == 3
     sinks.write_lines(df.select(F.concat_ws("/", "owner", "repo").alias("full_name")), f"{out}/lines")
     assert sorted(r[0] for r in spark.read.text(f"{out}/lines").collect()) == ["o/a", "o/b"]
+
+
+def test_extend_repositories_info_stage(spark):
+    from repochron.plans.stages import extend_repositories_info
+    root, h1, h2 = make_root()
+    # a repository with commits but no repo info is rejected
+    write(f"{root}/other/lib.commits.json", json.dumps({"3" * 40: {"committer_epoch": 5.0, "author": "x"}}))
+    ext, rej = extend_repositories_info(spark, root, kind="snakemake", as_of=1e10)
+    rows = {(r["owner"], r["repo"]): r for r in ext.collect()}
+    assert list(rows) == [("acme", "tool")]
+    r = rows[("acme", "tool")]
+    assert (r["x_total_commits"], r["x_total_issues"], r["x_total_pull_requests"],
+            r["x_total_cicd_workflows"], r["x_total_pages"]) == (2, 2, 2, 2, 0)
+    assert r["n_committers"] == 2 and r["first_commit_at_epoch"] == 10.5
+    assert "html_url" not in ext.columns and r["n_evolution_cycles"] == 1
+    assert [(x["repo"], x["reason"]) for x in rej.collect()] == [("lib", "no repository info")]
+    done = spark.createDataFrame([("acme", "tool")], "owner string, repo string")
+    again, _ = extend_repositories_info(spark, root, done=done)
+    assert again.count() == 0
+    forced, _ = extend_repositories_info(spark, root, done=done, force=True)
+    assert forced.count() == 1
