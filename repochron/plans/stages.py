@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repochron.operators import cycles as cyc
+from repochron.operators import eventlog as el
+from repochron.operators import growth
 from repochron.operators import summary as sm
 from repochron.operators.validate import drop_suffix_columns
 from repochron.sources import landing as ld
@@ -42,3 +45,29 @@ def extend_repositories_info(spark: SparkSession, root: str, kind: str = "genera
     totals = sm.entity_counts(todo, {name: ld.read_entity(spark, root, name) for name in ENTITIES}, key=k)
     extended = sm.analysis(kind)(totals, commits.join(todo.select(*k), k, "left_semi"), key=k, as_of=as_of)
     return extended, rejects
+
+
+def event_logs(spark: SparkSession, root: str, prefix: str = "snakemake",
+               key: Sequence[str] = KEY) -> DataFrame:
+    """Event logs of every evolution cycle of every repository under ``root``
+    (issues, comments, issue events, pull requests and commits from the landed files)."""
+    k = list(key)
+    commits = ld.read_commits(spark, root)
+    rows = cyc.cycle_rows(commits, k, prefix)
+    cycles = cyc.evolution_cycles(commits, k, prefix, rows=rows)
+    return el.event_log(cycles, ld.read_entity(spark, root, "issues"),
+                        ld.read_entity(spark, root, "issue_comments"),
+                        ld.read_entity(spark, root, "issue_events"),
+                        ld.read_entity(spark, root, "pull_requests"), commits, rows, k, prefix)
+
+
+def codebase_growth_of(spark: SparkSession, patches_path: str, commits: DataFrame,
+                       key: Sequence[str] = ("repo",)) -> DataFrame:
+    """Growth rows per repository from exported patches and commits
+    (``hash, committed_at, message``): size per commit, running total oldest first."""
+    k = list(key)
+    sizes = growth.commit_sizes(ld.read_patches(spark, patches_path), commits, key=k)
+    g = growth.codebase_growth(sizes.withColumn("__t", F.unix_micros("committed_at")), key=k,
+                               order=("__t", "hash"),
+                               bucket=F.floor(F.col("__t") / F.lit(86_400_000_000)).cast("bigint"))
+    return growth.commit_size_rows(g, key=k)

@@ -119,3 +119,29 @@ def test_extend_repositories_info_stage(spark):
     assert again.count() == 0
     forced, _ = extend_repositories_info(spark, root, done=done, force=True)
     assert forced.count() == 1
+
+
+def test_event_log_and_growth_stages(spark):
+    import datetime as dt
+    from repochron.plans.stages import codebase_growth_of, event_logs
+    root, h1, h2 = make_root()
+    log = event_logs(spark, root).collect()
+    kinds = sorted({(r["case_id"], r["activity"]) for r in log})
+    # one leftover cycle (10.5 .. 99): h1 at whole second 10 < 10.5 falls outside, as in the
+    # reference; the PR merge commit h2 has parent h1 (E08, no time filter)
+    assert ("Commit-2222222", "Committed") in kinds and ("Issue-2", "Committed") in kinds
+    assert ("Commit-1111111", "Committed") not in kinds
+    out = tempfile.mkdtemp(prefix="repochron-patch-") + "/p"
+    spark.createDataFrame([("r", "a", None, "x.py", "+1\n+2"), ("r", "a", None, "y.md", "+z"),
+                           ("r", "b", "a", "x.py", "-1")],
+                          "repo string, hash string, parent string, a_path string, patch string") \
+        .write.parquet(out)
+    commits = spark.createDataFrame([("r", "a", dt.datetime(2024, 1, 1), " first\n"),
+                                     ("r", "b", dt.datetime(2024, 1, 2), "second"),
+                                     ("r", "c", dt.datetime(2024, 1, 3), "third")],
+                                    "repo string, hash string, committed_at timestamp, message string")
+    rows = [(r["commit_id"], r["commit_size"], r["codebase_size"], r["commit_message"], r["datetime"])
+            for r in codebase_growth_of(spark, out, commits).orderBy("datetime").collect()]
+    assert rows == [("a", 5, 5, "first", "2024-01-01T00:00:00+00:00"),
+                    ("b", 2, 7, "second", "2024-01-02T00:00:00+00:00"),
+                    ("c", 0, 7, "third", "2024-01-03T00:00:00+00:00")]
