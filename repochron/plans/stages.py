@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repochron.operators import commits as cf
 from repochron.operators import cycles as cyc
 from repochron.operators import eventlog as el
 from repochron.operators import growth
@@ -71,3 +72,20 @@ def codebase_growth_of(spark: SparkSession, patches_path: str, commits: DataFram
                                order=("__t", "hash"),
                                bucket=F.floor(F.col("__t") / F.lit(86_400_000_000)).cast("bigint"))
     return growth.commit_size_rows(g, key=k)
+
+
+def commit_facts_of(commits: DataFrame, prefix: str = "snakemake",
+                    key: Sequence[str] = KEY) -> DataFrame:
+    """Extraction-time analysis of landed commits: workflow columns computed from the
+    files' code (X02), extension and change-type sets (A23, A24), attached to every
+    commit (commits without workflow files get the defaults)."""
+    k = list(key)
+    files = ld.commit_files_of(commits)
+    facts = cf.commit_workflow_facts(cf.file_workflow_columns(files, prefix=prefix), k, prefix)
+    sets = cf.commit_file_sets(files, k)
+    base = commits.drop(*[c for c in commits.columns
+                          if c.startswith(f"{prefix}_") or c in ("file_extensions", "change_types")])
+    out = cf.attach_facts(base, facts, k, prefix).join(sets, [*k, "hash"], "left")
+    empty = F.array().cast("array<string>")
+    return out.withColumn("file_extensions", F.coalesce("file_extensions", empty)) \
+              .withColumn("change_types", F.coalesce("change_types", empty))

@@ -145,3 +145,19 @@ def test_event_log_and_growth_stages(spark):
     assert rows == [("a", 5, 5, "first", "2024-01-01T00:00:00+00:00"),
                     ("b", 2, 7, "second", "2024-01-02T00:00:00+00:00"),
                     ("c", 0, 7, "third", "2024-01-03T00:00:00+00:00")]
+
+
+def test_commit_facts_stage(spark):
+    from repochron.plans.stages import commit_facts_of
+    root, h1, h2 = make_root()
+    write(f"{root}/x/y.commits.json", json.dumps({"4" * 40: {
+        "committer_epoch": 1.0, "files": [
+            {"filename": "Snakefile", "new_path": "Snakefile", "change_type": "MODIFY",
+             "source_code": "rule a:\nrule b:\ninclude: 'r.smk'", "source_code_before": "rule a:"},
+            {"filename": "run.py", "new_path": "workflow/scripts/run.py", "change_type": "ADD"}]}}))
+    facts = {r["hash"]: r for r in commit_facts_of(ld.read_commits(spark, root)).collect()}
+    f = facts["4" * 40]
+    assert f["snakemake_related"] and f["snakemake_n_rules_added"] == 1
+    assert f["snakemake_included_rules"] == ["r.smk"] and f["file_extensions"] == ["py"]
+    assert f["snakemake_included_scripts"] == ["workflow/scripts/run.py"]
+    assert facts[h2]["snakemake_related"] is False and facts[h2]["change_types"] == []
