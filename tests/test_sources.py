@@ -161,3 +161,20 @@ def test_commit_facts_stage(spark):
     assert f["snakemake_included_rules"] == ["r.smk"] and f["file_extensions"] == ["py"]
     assert f["snakemake_included_scripts"] == ["workflow/scripts/run.py"]
     assert facts[h2]["snakemake_related"] is False and facts[h2]["change_types"] == []
+
+
+def test_pages_text_and_lists(spark):
+    root = tempfile.mkdtemp(prefix="repochron-misc-")
+    write(f"{root}/pages/issues_1.json", json.dumps([{"id": i} for i in range(100)]))
+    write(f"{root}/pages/issues_2.json", json.dumps([{"id": i} for i in range(100, 130)]))
+    chk = {r["page"]: (r["n"], r["short"]) for r in ld.page_check(spark, f"{root}/pages/*.json").collect()}
+    assert chk == {1: (100, False), 2: (30, True)}
+    write(f"{root}/repos/alpha/log.txt", "l1\nl2\n")
+    write(f"{root}/repos/beta/log.txt", "m1\n")
+    got = sorted((r["repo"], r["value"]) for r in ld.read_repo_text(spark, f"{root}/repos", ".txt").collect())
+    assert got == [("alpha", "l1"), ("alpha", "l2"), ("beta", "m1")]
+    write(f"{root}/black.txt", "a/b\nc/d\n")
+    assert sorted(r[0] for r in ld.read_blacklist(spark, f"{root}/black.txt").collect()) == ["a/b", "c/d"]
+    whole = ld.read_whole_text(spark, f"{root}/black.txt").collect()
+    assert len(whole) == 1 and whole[0]["value"] == "a/b\nc/d\n"
+    assert [r["full_name"] for r in ld.repo_list_inline(spark, ["x/y", "bad"]).collect()] == ["x/y"]
