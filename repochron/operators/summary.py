@@ -38,18 +38,21 @@ def entity_counts(repos: DataFrame, entities: Mapping[str, DataFrame],
 
 
 def repo_general_summary(commits: DataFrame, key: Sequence[str] = KEY,
-                         as_of: float | None = None) -> DataFrame:
+                         as_of: float | None = None, approx_distinct: bool = False) -> DataFrame:
     """A12 authors, A13 committers, A14 first and A15 last commit (epoch and
     text), A16 first / last committer date, A17 distinct hashes, A01 total.
 
     ``first_commit_at_epoch = min(now, min epoch)``, ``last = max(0, max epoch)``;
-    ``as_of`` pins "now" for reproducible runs."""
+    ``as_of`` pins "now" for reproducible runs. ``approx_distinct`` counts authors and
+    committers with HyperLogLog sketches (mergeable partial aggregates, no exact
+    distinct step) for very large histories; exact is the default."""
     e = F.col("committer_epoch")
+    distinct = (lambda c: F.approx_count_distinct(c)) if approx_distinct else F.count_distinct
     agg = commits.groupBy(*key).agg(
         F.count(F.lit(1)).cast("bigint").alias("x_total_commits"),
-        F.count_distinct("hash").cast("bigint").alias("n_commits_distinct"),
-        F.count_distinct("author").cast("bigint").alias("n_authors"),
-        F.count_distinct("committer").cast("bigint").alias("n_committers"),
+        distinct("hash").cast("bigint").alias("n_commits_distinct"),
+        distinct("author").cast("bigint").alias("n_authors"),
+        distinct("committer").cast("bigint").alias("n_committers"),
         F.min(e).alias("__min"), F.max(e).alias("__max"),
         F.min_by("committer_date", e).alias("first_committer_date"),
         F.max_by("committer_date", e).alias("last_committer_date"))

@@ -115,3 +115,11 @@ def test_partition_overwrite_and_non_empty(spark):
         raise AssertionError("empty input must raise")
     except RuntimeError:
         pass
+
+
+def test_approx_distinct_option(spark):
+    commits = spark.createDataFrame([("o", "r", f"h{i}", f"a{i % 7}", "c", float(i), "d") for i in range(200)],
+                                    "owner string, repo string, hash string, author string, committer string, "
+                                    "committer_epoch double, committer_date string")
+    r = sm.repo_general_summary(commits, as_of=1e9, approx_distinct=True).collect()[0]
+    assert r["n_authors"] == 7 and r["n_committers"] == 1 and abs(r["n_commits_distinct"] - 200) <= 10
