@@ -65,3 +65,18 @@ def test_log_lines_and_numstat(spark):
     root = rows["c" * 40]
     assert not root["is_merge_commit"] and root["merged_branch"] is None
     assert root["changed_files"] == ["unknown"] and root["tags"] == [] and root["branch"] == "unknown"
+
+
+def test_date_ranges_random_spans(spark):
+    import random
+    rnd = random.Random(4)
+    spans = []
+    for _ in range(40):
+        s = dt.date(2019, 1, 1) + dt.timedelta(days=rnd.randrange(0, 2200))
+        spans.append((s, s + dt.timedelta(days=rnd.randrange(-3, 120))))
+    df = spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(spans)], "id int, s date, e date")
+    for interval in ("m", "w", "d"):
+        got = cal.date_ranges(df, "s", "e", interval).collect()
+        for i, (s, e) in enumerate(spans):
+            mine = sorted((r["range_start"], r["range_end"]) for r in got if r["id"] == i)
+            assert mine == py_ranges(s, e, interval), (interval, s, e)
