@@ -107,6 +107,13 @@ def q_evolution_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_cycles(cyc.evolution_cycles(sv.commits(spark, sf_dir)))
 
 
+@query("cycle_durations")
+def q_cycle_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole days / hours / minutes between cycle begin and end."""
+    c = cyc.evolution_cycles(sv.commits(spark, sf_dir))
+    return c.select("owner", "repo", "cycle_no", "diff_days", "diff_hours", "diff_mins")
+
+
 @query("repo_workflow_summary")
 def q_repo_workflow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related commits and number of cycles per repository."""

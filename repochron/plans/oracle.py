@@ -792,3 +792,13 @@ select ed.owner, ed.repo, ed.child, cast(ed.pos as bigint) as pos, ed.parents[ed
        p.committer_date as parent_committer_date, ed.is_merge
 from ed left join par p on p.owner = ed.owner and p.repo = ed.repo and p.hash = ed.parents[ed.pos + 1]
 """)
+
+
+SQL["cycle_durations"] = _q(f"""
+with {CYCLES}
+select owner, repo, cast(cycle_no as bigint) as cycle_no,
+       cast(floor((end_epoch - begin_epoch) / 86400) as bigint) as diff_days,
+       cast(floor((end_epoch - begin_epoch) / 3600) as bigint) as diff_hours,
+       cast(floor((end_epoch - begin_epoch) / 60) as bigint) as diff_mins
+from cyc
+""")
