@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from repochron.functions.scalars import DAY_SECONDS, convert_seconds
 from repochron.operators.ordered import day_bucket, ordered_scan
-from repochron.session import write_through
 
 KEY = ("owner", "repo")
 
@@ -125,7 +124,7 @@ def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snak
     ws = Window.partitionBy(*k).orderBy("__bkt")
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *part, "__first", "__first_key", "__net_first", "__net_max",
+        *part, "__first", "__last", "__first_key", "__net_first", "__net_max",
         F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__c"),
         F.lag("__last").over(ws).alias("__prev_last"),
         F.lead("__first.epoch").over(ws).alias("__next_first_e"))
@@ -140,9 +139,18 @@ def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snak
                  F.lit(None)).otherwise(F.col("__net_max"))
     b_b = F.when(F.col("__bs_first"), F.col("__first_key"))
     carry = carry.select("*", t_b.alias("__t_b"), b_b.alias("__b_b"))
+    carry = carry.select(
+        "*", F.max("__t_b").over(before).alias("__ct"), F.max("__b_b").over(before).alias("__cb"))
+    # A burst can only end at a bucket's last commit, so a bucket closes at most one
+    # cycle, and whether it does is known from the bucket summary alone.
+    end_t = F.greatest(F.col("__ct"), F.col("__t_b"))
+    end_b = F.greatest(F.col("__cb"), F.col("__b_b"))
+    bucket_end = F.col("__next_first_e").isNull() | ((F.col("__next_first_e") - F.col("__last.epoch")) >= g)
+    carry = carry.select("*", (bucket_end & F.coalesce(end_t >= end_b, F.lit(False)))
+                         .cast("bigint").alias("__close_b"))
     carry = carry.select(
         *part, "__c", "__prev_last", "__next_first_e", "__bs_first", "__trig_first", "__first_key",
-        F.max("__t_b").over(before).alias("__ct"), F.max("__b_b").over(before).alias("__cb"))
+        "__ct", "__cb", F.coalesce(F.sum("__close_b").over(before), F.lit(0)).alias("__closes_before"))
 
     j = local.join(carry, part, "inner")
     first = F.col("__rn") == 1
@@ -159,35 +167,11 @@ def cycle_rows(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snak
         (nxt.isNull() | ((nxt - F.col(epoch)) >= g)).alias("burst_end"),
         F.when(first, F.col("__trig_first")).otherwise(F.col("__net")).alias("trigger"),
         F.coalesce(last_t >= last_b, F.lit(False)).alias("active"),
-        last_b["e"].alias("burst_epoch"), last_b["h"].alias("burst_hash"))
+        last_b["e"].alias("burst_epoch"), last_b["h"].alias("burst_hash"),
+        (F.col("__closes_before") + 1).cast("bigint").alias("cycle_no"))
     return out.withColumn("closes", F.col("burst_end") & F.col("active"))
 
 
-def _bursts(rows: DataFrame, key: Sequence[str], prefix: str, epoch: str, hash_col: str) -> DataFrame:
-    """One row per burst: rows are pre-aggregated map-side, so even a burst holding a
-    third of all commits is reduced before the shuffle."""
-    c = _cols(prefix)
-    act = F.col("active")
-    z = F.lit(0).cast("bigint")
-
-    def active_sum(name):
-        return F.coalesce(F.sum(F.when(act, F.col(name).cast("bigint"))), z)
-
-    cur = F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch"))
-    prev = F.struct(F.col("prev_hash").alias("hash"), F.col("prev_epoch").alias("epoch"))
-    b = rows.groupBy(*key, "burst_epoch", "burst_hash").agg(
-        F.min_by(cur, "idx").alias("first_row"), F.min_by(prev, "idx").alias("first_prev"),
-        F.max_by(cur, "idx").alias("last_row"), F.max("idx").alias("last_idx"),
-        F.max("closes").alias("closes"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.coalesce(F.col(c["related"]), F.lit(False)) & (F.col("idx") > 0)).alias("n_rel"),
-        active_sum(c["ra"]).alias("ra"), active_sum(c["rr"]).alias("rr"),
-        active_sum(c["ma"]).alias("ma"), active_sum(c["mr"]).alias("mr"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(act, F.col("file_extensions")))))
-         .alias("exts"))
-    return b
-
-
 def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str = "snakemake",
                      epoch: str = "committer_epoch", hash_col: str = "hash",
                      gap_seconds: int = DAY_SECONDS, bucket_seconds: int = DAY_SECONDS,
@@ -196,31 +180,34 @@ def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str =
     ``rows``: a precomputed ``cycle_rows`` of ``commits`` (it also serves as the
     commit order, so callers needing both compute it once).
 
-    Rows -> bursts (one fused row pass + a pre-aggregating shuffle); the cycle
-    number of a burst = 1 + closing bursts before it, a running sum over the much
-    smaller burst table (skew-safe scan bucketed by the burst's start day)."""
+    Every row gets its cycle number in the fused row pass (a bucket closes at most
+    one cycle, at its last commit); the cycles are then one pre-aggregating
+    ``groupBy`` of the rows."""
     k = list(key)
     if rows is None:
         rows = cycle_rows(commits, k, prefix, epoch, hash_col, gap_seconds, bucket_seconds)
-    bursts = write_through(_bursts(rows, k, prefix, epoch, hash_col), "bursts")
-    numbered = ordered_scan(bursts, k, ["burst_epoch", "burst_hash"],
-                            F.floor(F.col("burst_epoch") / F.lit(bucket_seconds)).cast("bigint"),
-                            sums={"__closes_upto": F.col("closes").cast("bigint")})
-    numbered = numbered.withColumn(
-        "cycle_no", F.col("__closes_upto") - F.col("closes").cast("bigint") + 1)
-    agg = numbered.groupBy(*k, "cycle_no").agg(
-        F.when(F.col("cycle_no") == 1, F.min_by("first_row", "burst_epoch"))
-         .otherwise(F.min_by("first_prev", F.struct("burst_epoch", "burst_hash"))).alias("begin"),
-        F.max_by("last_row", "last_idx").alias("end"),
+    c = _cols(prefix)
+    act = F.col("active")
+    z = F.lit(0).cast("bigint")
+
+    def active_sum(name):
+        return F.coalesce(F.sum(F.when(act, F.col(name).cast("bigint"))), z)
+
+    cur = F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch"))
+    prev = F.struct(F.col("prev_hash").alias("hash"), F.col("prev_epoch").alias("epoch"))
+    agg = rows.groupBy(*k, "cycle_no").agg(
+        F.when(F.col("cycle_no") == 1, F.min_by(cur, "idx")).otherwise(F.min_by(prev, "idx")).alias("begin"),
+        F.max_by(cur, "idx").alias("end"),
         F.max("closes").alias("closed"),
-        F.sum("n").cast("bigint").alias("n_commits"),
-        F.sum("n_rel").cast("bigint").alias(f"n_commits_{prefix}_related"),
-        F.sum("ra").cast("bigint").alias(f"n_{prefix}_rules_added"),
-        F.sum("rr").cast("bigint").alias(f"n_{prefix}_rules_removed"),
-        F.sum("ma").cast("bigint").alias(f"n_{prefix}_modules_added"),
-        F.sum("mr").cast("bigint").alias(f"n_{prefix}_modules_removed"),
+        F.count(F.lit(1)).alias("n_commits"),
+        F.count_if(F.coalesce(F.col(c["related"]), F.lit(False)) & (F.col("idx") > 0))
+         .alias(f"n_commits_{prefix}_related"),
+        active_sum(c["ra"]).alias(f"n_{prefix}_rules_added"),
+        active_sum(c["rr"]).alias(f"n_{prefix}_rules_removed"),
+        active_sum(c["ma"]).alias(f"n_{prefix}_modules_added"),
+        active_sum(c["mr"]).alias(f"n_{prefix}_modules_removed"),
         # Distinct extension lists only: bounded by the few combinations, not by rows.
-        F.collect_set("exts").alias("__ext_sets"),
+        F.collect_set(F.when(act, F.col("file_extensions"))).alias("__ext_sets"),
     )
     # A leftover (unclosed) cycle needs begin != end: a one-commit history has none.
     agg = agg.filter(F.col("closed") | (F.col("begin.hash") != F.col("end.hash")))
