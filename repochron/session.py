@@ -51,8 +51,9 @@ def build_session(master: str | None = None, app: str = "repochron",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local runs, tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Only a local master may leave
+    it unset (tests, single machine): then a fresh scratch folder is set. On a cluster an
+    unset folder is an error, since executors could not read each other's files."""
     try:
         sc = spark.sparkContext
     except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
@@ -65,6 +66,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="repochron-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(configured)
