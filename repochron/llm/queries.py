@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
+from repochron.llm.toxicity import op1_nnpu_toxicity
 
 QUERIES = {
+    "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
