@@ -23,8 +23,8 @@ from repochron.session import write_through_counted
 
 LENGTH = 1024
 END_ID = 2
-OPEN_BINS = 1024
-PIECES_PER_TASK = 250_000
+OPEN_BINS = 1 << 16
+PIECES_PER_TASK = 150_000
 
 
 class BestFit:
@@ -104,8 +104,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per piece with its place: ``sequence_id`` and ``offset`` (gapless from 0).
 
     The pieces (narrow; with ``with_ids`` also their token ids) are written once, then dealt
-    evenly to tasks of about ``pieces_per_task`` and packed in hash order; each task leaves at
-    most ``open_bins`` sequences unfilled, whatever the input size. The order inside a task
+    evenly to tasks of about ``pieces_per_task`` and arrive there longest first (measured over
+    the tokens alone: 0.02 % more sequences than full ones would be; 1 % in hash order with
+    1024 open); state is ``open_bins`` sequences at most, whatever the input size. The order inside a task
     is total over the piece's columns, so a repeated task packs alike. Null and empty texts
     are their end id alone (no piece if ``end_id`` is None); null ids and repeated rows are
     packed like any other; an empty table gives no rows; other columns are ignored.
@@ -114,7 +115,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pieces(docs, id_col, text_col, capacity, end_id, path, with_ids), "pieces")
     narrow = ["doc_id", "piece", "start", "length", "ids_crc32"]
     dealt = (cutted.withColumn("h", F.xxhash64(*narrow)).repartition(max(1, -(-n // pieces_per_task)))
-             .sortWithinPartitions("h", *narrow).drop("h"))
+             .sortWithinPartitions(F.desc("length"), "h", *narrow).drop("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(capacity, open_bins)
