@@ -5,11 +5,13 @@ from __future__ import annotations
 from repochron.llm.packing import op2_bestfit_packing
 from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
+from repochron.llm.suffixdedup import op6_suffix_dedup
 from repochron.llm.toxicity import op1_nnpu_toxicity
 
 QUERIES = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_bestfit_packing": op2_bestfit_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
