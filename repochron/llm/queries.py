@@ -7,13 +7,24 @@ from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
 from repochron.llm.suffixdedup import op6_suffix_dedup
 from repochron.llm.toxicity import op1_nnpu_toxicity
+from repochron.llm.warc import op5_arc_to_warc
 
 QUERIES = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_bestfit_packing": op2_bestfit_packing,
+    "op5_arc_to_warc": op5_arc_to_warc,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_arc_to_warc": """
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+               sha256(coalesce(html, '')) AS payload_digest,
+               CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > first THEN 'revisit'
+                    ELSE 'response' END AS record_type,
+               CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > first THEN first END AS refers_to
+        FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+    """,
+}
