@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from repochron.llm.ann import op3_rp_forest
 from repochron.llm.packing import op2_bestfit_packing
 from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
@@ -12,6 +13,7 @@ from repochron.llm.warc import op5_arc_to_warc
 QUERIES = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_bestfit_packing": op2_bestfit_packing,
+    "op3_rp_forest": op3_rp_forest,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_rp_forest": op3_rp_forest,
     "op5_arc_to_warc": """
         SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                sha256(coalesce(html, '')) AS payload_digest,
