@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from repochron.llm.ann import op3_rp_forest
+from repochron.llm.decontam import op8_lsa_decontamination
 from repochron.llm.packing import op2_bestfit_packing
 from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_lsa_decontamination": op8_lsa_decontamination,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
