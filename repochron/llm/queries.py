@@ -5,6 +5,7 @@ from __future__ import annotations
 from repochron.llm.ann import op3_rp_forest
 from repochron.llm.decontam import op8_lsa_decontamination
 from repochron.llm.packing import op2_bestfit_packing
+from repochron.llm.pii import op4_feistel_pseudonyms
 from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
 from repochron.llm.suffixdedup import op6_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_bestfit_packing": op2_bestfit_packing,
     "op3_rp_forest": op3_rp_forest,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
