@@ -9,6 +9,7 @@ from repochron.llm.pii import op4_feistel_pseudonyms
 from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
 from repochron.llm.suffixdedup import op6_suffix_dedup
+from repochron.llm.tokencount import op9_edit_counts
 from repochron.llm.toxicity import op1_nnpu_toxicity
 from repochron.llm.warc import op5_arc_to_warc
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_lsa_decontamination": op8_lsa_decontamination,
+    "op9_edit_counts": op9_edit_counts,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
