@@ -1,19 +1,59 @@
-"""Training-data pipeline over ``documents``: five stages, each written before the next."""
+"""Training-data pipeline over ``documents``: five stages, each written before the next.
+
+Toxic documents go, one document of each near-duplicate group stays, documents that hold a
+benchmark item go, personal data become pseudonyms, and what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from repochron.llm.common import cut, table
-from repochron.llm.simhash import near_duplicates
+from repochron.llm.decontam import without_leaks
+from repochron.llm.packing import pack_documents
+from repochron.llm.pii import DEMO_KEY, pseudonyms
+from repochron.llm.simhash import one_of_each
+from repochron.llm.toxicity import without_toxic
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays."""
+    return one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms; ``n_chars`` follows the text."""
+    done = pseudonyms(docs, DEMO_KEY).drop("pii")
+    if "n_chars" in done.columns:
+        done = done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return done
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 1024."""
+    return pack_documents(docs)
 
 
-STAGES = [("simhash near-dedup", dedup_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("best-fit packing", packing_stage),
+]
 
+#: Training, latent search and tokenisation are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

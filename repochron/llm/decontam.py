@@ -287,60 +287,93 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")
                       ).where(F.col("doc_id").isNotNull())
+    found = spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double")
+    for index in _indexes(src, benchmark, item_col, item_text, answer_col, rank, block):
+        found = found.unionByName(_found(src, index, cosine, share, answer))
+    return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text: str = "text", answer_col: str | None = None, rank: int = RANK, cosine: float = COSINE,
+                  share: float = LCS, answer: float = ANSWER, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` (all columns) in which ``leaks`` finds no item; ids are not used.
+
+    Each row is judged where it lies: no shuffle."""
+    names = docs.columns
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    for index in _indexes(rows, benchmark, item_col, item_text, answer_col, rank, block):
+        rows = _clean(rows, index, cosine, share, answer)
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _indexes(src: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None, rank: int,
+             block: int) -> Iterator[Index]:
+    """The index of each block of whole items (about ``block`` pieces)."""
+    spark = src.sparkSession
     pieces = cut(make_pieces(benchmark, item_col, item_text, answer_col), "benchmark")
-    n_pieces = pieces.count()
-    n_blocks = max(1, -(-n_pieces // block))
-    found = None
+    n_blocks = max(1, -(-pieces.count() // block))
     for b in range(n_blocks):
-        got = pieces.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).orderBy("item", "k").toArrow()
+        got = pieces.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).toArrow()
         if not got.num_rows:
             continue
-        part = _search_block(src, spark, got, rank, cosine, share, answer)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double")
-    return found
+        got = got.sort_by([("item", "ascending"), ("k", "ascending")])
+        said, asked = ([np.array(x, np.int64).view(np.uint64).tolist() for x in got[c].to_pylist()] for c in ("w", "a"))
+        index = Index(np.zeros(0, np.uint64), np.zeros(0), got["item"].to_pylist(), said, asked, {})
+        for i in index.item:
+            index.size[i] = index.size.get(i, 0) + 1
+        index.vocabulary = np.unique(np.array([w for p in index.pieces for w in p], np.uint64))
+        n, df = document_frequency(src, index.vocabulary)
+        index.idf = np.log((n + 1.0) / (df + 1.0)) + 0.05
+        index.basis = randomised_svd(spark, index, rank)
+        rows = index.matrix(list(range(len(index.pieces))))
+        index.least = float(np.linalg.norm(rows, axis=1).min())
+        latent = rows @ index.basis
+        index.latent = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        yield index
+
+
+def _items(idx: Index, texts: list[str | None], cosine: float, share: float, answer: float) -> Iterator[tuple]:
+    """(text number, item, cosine, lcs share) of the items found."""
+    for rows, h, first in word_lists(texts):
+        best: dict[tuple[int, int], dict[int, tuple]] = {}
+        for row, piece, cos, part in search(idx, h, first, cosine, share, answer):
+            seen = best.setdefault((rows[row], idx.item[piece]), {})
+            seen[piece] = max(seen.get(piece, (0.0, 0.0)), (part, cos))
+        for (row, item), seen in sorted(best.items()):
+            if 2 * len(seen) >= idx.size[item]:
+                part, cos = max(seen.values())
+                yield row, item, cos, part
+
+
+def _found(src: DataFrame, index: Index, cosine: float, share: float, answer: float) -> DataFrame:
+    shared = src.sparkSession.sparkContext.broadcast(index)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = part.column(1).to_pylist()
+                out = [(ids[row], *rest) for row, *rest in
+                       _items(shared.value, part.column(0).to_pylist(), cosine, share, answer)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
+                                                     ["doc_id", "item_id", "cosine", "lcs"])
 
-def _search_block(src: DataFrame, spark: SparkSession, got: pa.Table, rank: int, cosine: float, share: float,
-                  answer: float) -> DataFrame:
-    def hashes(column) -> list[list[int]]:
-        return [np.array(x, np.int64).view(np.uint64).tolist() for x in column.to_pylist()]
-
-    index = Index(np.zeros(0, np.uint64), np.zeros(0), got["item"].to_pylist(), hashes(got["w"]), hashes(got["a"]), {})
-    for i in index.item:
-        index.size[i] = index.size.get(i, 0) + 1
-    index.vocabulary = np.unique(np.array([w for p in index.pieces for w in p], np.uint64))
-    n, df = document_frequency(src, index.vocabulary)
-    index.idf = np.log((n + 1.0) / (df + 1.0)) + 0.05
-    index.basis = randomised_svd(spark, index, rank)
-    rows = index.matrix(list(range(len(index.pieces))))
-    index.least = float(np.linalg.norm(rows, axis=1).min())
-    latent = rows @ index.basis
-    index.latent = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
-    shared = spark.sparkContext.broadcast(index)
+    return src.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double")
+
+
+def _clean(rows: DataFrame, index: Index, cosine: float, share: float, answer: float) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx = shared.value
         for b in batches:
-            ids = b.column(1).to_pylist()
             for at in range(0, b.num_rows, 256):
-                out: tuple[list, ...] = ([], [], [], [])
-                for rows_, h, first in word_lists(b.slice(at, 256).column(0).to_pylist()):
-                    best: dict[tuple[int, int], dict[int, tuple]] = {}
-                    for row, piece, cos, part in search(idx, h, first, cosine, share, answer):
-                        seen = best.setdefault((row, idx.item[piece]), {})
-                        seen[piece] = max(seen.get(piece, (0.0, 0.0)), (part, cos))
-                    for (row, item), seen in sorted(best.items()):
-                        if 2 * len(seen) >= idx.size[item]:
-                            part, cos = max(seen.values())
-                            for o, v in zip(out, (ids[at + rows_[row]], item, cos, part)):
-                                o.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)],
-                                                 ["doc_id", "item_id", "cosine", "lcs"])
+                part = b.slice(at, 256)
+                hit = {row for row, *_ in _items(shared.value, part.column(0).to_pylist(), cosine, share, answer)}
+                yield part.filter(pa.array([i not in hit for i in range(part.num_rows)]))
 
-    return src.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def op8_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from repochron.llm.common import U64, connected, cut, table, text_bytes
 
@@ -47,14 +48,22 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  words: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint as a signed long) of every row; null text is empty."""
+    """``doc_id``, ``t`` (hash of the text) and ``fp`` (the fingerprint as a signed long) of every row;
+    null text is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in text_bytes(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                fps = np.array([fingerprint(t, words) for t in text_bytes(part.column(2))], np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["doc_id", "t", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, t long, fp long")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def within(queries: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
@@ -193,27 +202,48 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def components(docs: DataFrame, words: int, distance: int, id_col: str, text_col: str, block: int) -> DataFrame:
+    """``doc_id``, ``t``, ``fp`` and ``root`` (a fingerprint that names the component) of every row."""
+    fps = cut(fingerprints(docs, id_col, text_col, words), "simhash")
+    each = fps.select("fp").distinct()
+    roots = connected(near_links(each, distance, block)).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE,
                     id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``doc_id``, ``fp``, ``fingerprint`` (16 hex digits), ``component_id`` of every row.
+    """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` of every row.
 
     Fingerprints at ``distance`` or fewer differing bits are linked; ``component_id`` is the
     smallest id reachable. Null and empty texts have fingerprint zero and link like others;
     rows with a null id link too but never give the component's name (null if no member has
     an id); repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words), "simhash")
-    each = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected(near_links(each.select("fp"), distance, block))
-    named = (each.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-             .withColumn("root", F.coalesce("root", "fp")))
-    named = cut(named, "simhash-roots")
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(names, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = cut(components(docs, words, distance, id_col, text_col, block), "simhash-rows")
+    names = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-names")
+    return rows.join(names, "root").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE,
+                id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` (all columns) with one row of each near-duplicate component.
+
+    The row with the smallest id stays (rows without an id only where no member has one; then,
+    and between rows that share the id, the smallest hash of the text decides; of equal rows
+    one stays). Handles nulls, empty texts and empty tables like ``near_duplicates``.
+    """
+    rows = components(docs, words, distance, id_col, text_col, block)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")).alias("r")
+    kept = cut(rows.groupBy("root").agg(first).select(F.coalesce("r.doc_id", F.lit(0)).alias("_i"), F.col("r.n").alias("_n"),
+                                                      F.col("r.t").alias("_t")).distinct(), "simhash-kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_i"),
+                        F.col(id_col).cast("long").isNull().alias("_n"), F.xxhash64(text).alias("_t"))
+    again = F.row_number().over(Window.partitionBy("_i", "_n", "_t").orderBy("_i", "_n", "_t"))
+    return (whole.join(kept, ["_i", "_n", "_t"], "left_semi").withColumn("_k", again).where("_k = 1").select("_row.*"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+    return near_duplicates(table(spark, sf_dir, "documents"))

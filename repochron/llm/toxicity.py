@@ -119,8 +119,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, members: int = 3,
              epochs: int = 20, batch: int = 512, rate: float = 0.1, l2: float = 3e-3,
-             tolerance: float = 0.0, seed: int = 7, smooth: float = 1.0,
-             least: float = 0.02, floor: float = 1.0, scale: float = 0.5) -> Model:
+             tolerance: float = 0.0, seed: int = 7, smooth: float = 2.0, doubt: float = 1.0,
+             least: float = 0.02, floor: float = 1.0, scale: float = 0.5, ridge: float = 2.0) -> Model:
     """Train ``members`` classifiers with the non-negative risk and average them.
 
     Loss is the logistic loss; ``prior`` is the share of positives among the unlabelled.
@@ -135,8 +135,9 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, members: int =
     # seen in several positives), so that few positives suffice against many rare words.
     in_p = np.bincount(p[1], minlength=1 << BITS)
     in_u = np.bincount(u[1], minlength=1 << BITS)
-    odds = (np.log((in_p + smooth) / (n_p + 2 * smooth))
-            - np.log((in_u + smooth) / (n_u + 2 * smooth)))
+    usual = (in_u + 1.0) / (n_u + 2.0)
+    sure = np.maximum(in_p - doubt * np.sqrt(in_p), 0.0)             # lower bound of the positive count
+    odds = np.log((sure + smooth * usual) / (n_p + smooth) / usual)
     odds = np.where((in_p >= max(2, least * n_p)) & (odds > floor), odds, 0.0) * scale
 
     def csr(x, n):
@@ -181,7 +182,7 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, members: int =
                     gu = -su / len(ui)
                 cols = np.concatenate((pcc, ucc))
                 grad = np.bincount(cols, np.concatenate((pvv * gp[pr], uvv * gu[ur])), 1 << BITS)
-                grad += l2 * w
+                grad = grad + l2 * w
                 gb = float(gp.sum() + gu.sum())
                 g2 += grad * grad
                 gb2 += gb * gb
@@ -189,7 +190,32 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, members: int =
                 b -= rate * gb / np.sqrt(gb2)
         total += w * odds / members
         bias += b / members
-    return Model(total, bias)
+    plain = total / np.where(odds == 0, 1, odds)
+    zp, zu = (np.bincount(np.repeat(np.arange(n), np.diff(ptr)), v * plain[c], n) + bias
+              for n, ptr, c, v in ((n_p, pp, pc, pv), (n_u, up, uc, uv)))
+    slope, shift = calibrate(zp, zu, prior, ridge / n_p)
+    return Model(total * slope, bias * slope + shift)
+
+
+def calibrate(zp: np.ndarray, zu: np.ndarray, prior: float, ridge: float = 1e-4) -> tuple[float, float]:
+    """Slope and shift that minimise the same risk over two numbers (convex, damped Newton steps)."""
+    a, b = 1.0, 0.0
+
+    def risk(a, b):
+        return -prior * np.mean(a * zp + b) + np.mean(np.logaddexp(0, a * zu + b)) + ridge * (a - 1) ** 2
+
+    for _ in range(50):
+        s = _sigmoid(a * zu + b)
+        h = s * (1 - s)
+        grad = np.array([-prior * zp.mean() + np.mean(s * zu) + 2 * ridge * (a - 1), -prior + s.mean()])
+        hess = np.array([[np.mean(h * zu * zu) + 2 * ridge, np.mean(h * zu)], [np.mean(h * zu), h.mean()]])
+        step, size = np.linalg.solve(hess + 1e-9 * np.eye(2), grad), 1.0
+        while size > 1e-4 and risk(a - size * step[0], b - size * step[1]) > risk(a, b):
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(a, 0.05), b
 
 
 def _fold(id_col: str):
@@ -272,7 +298,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     keep = list(keep or [])
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                      *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+                      *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep) if c != text_col])
     model = fit_nnpu(*training_rows(src.select("doc_id", "text"), labels, max_positive, max_unlabelled))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
@@ -282,16 +308,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 score = _sigmoid(m.logits(part.column(1).to_pylist()))
-                cols = [part.column(i) for i in range(part.num_columns) if i != 1]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names)
-
-    held = F.coalesce(_fold("doc_id") == 2, F.lit(False)).alias("held_out")
-    src = src.select("doc_id", "text", held, *[f"k{i}" for i in range(len(keep))])
-    out = src.drop("text").withColumn("score", F.lit(0.0)).schema
-    names = out.names
-    scored = src.mapInArrow(run, out)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
-                         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+                cols = [part.column(i) for i in range(part.num_columns) if i != 1 or text_col in keep]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], out.names)
+
+    src = src.withColumn("held_out", F.coalesce(_fold("doc_id") == 2, F.lit(False)))
+    out = (src if text_col in keep else src.drop("text")).withColumn("score", F.lit(0.0)).schema
+    return src.mapInArrow(run, out).select(
+        "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *[F.col("text" if c == text_col else f"k{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all their columns) that are not predicted toxic, by ``score_toxicity``."""
+    names = docs.columns
+    plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)
+                                                                               if c != text_col])
+    kept = ["t" if c == text_col else f"c{k}" for k, c in enumerate(names)]
+    scored = score_toxicity(plain, labels, "i", "t", keep=kept).where("predicted = 0")
+    return scored.select(*[F.col(k).alias(c) for k, c in zip(kept, names)])
 
 
 def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
