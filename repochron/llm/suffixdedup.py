@@ -284,14 +284,15 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM,
     """
     gram = min(gram, min_len)
     found = cut(anchor_rows(docs, min_len, gram), "anchors")
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # counts are written first: a join of two plain scans lets Spark split a hot bucket
+    keys = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     found = cut(found.join(keys, "key", "left_semi"), "anchors2")
     first = F.min(F.struct("doc_id", "t", "lo", "n_win")).alias("r")
     each = found.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), first)
     each = cut(each.select("key", "c", "n", "r.*"), "contexts")
     whole = (found.join(each.where("n > 1").select("key", "c"), ["key", "c"], "left_semi")
              .select("doc_id", "t", "lo", "n_win"))
-    many = each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    many = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "key-sizes")
     asked = (each.join(many, "key")
              .groupBy("doc_id", "t").agg(F.collect_list(F.struct("key", "c", "n", "n_win", "lo", "d")).alias("asked")))
 
