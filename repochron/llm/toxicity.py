@@ -276,8 +276,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_unl
         vals = [np.frombuffer(x, np.float32) for x in part["vals"].to_pylist()]
         if not cols:
             return sparse([])
-        row = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
-        return len(cols), row, np.concatenate(cols).astype(np.int64), np.concatenate(vals).astype(float)
+        row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(x) for x in cols])
+        return len(cols), row, np.concatenate(cols), np.concatenate(vals)
 
     return gather("is_p"), gather("is_u"), prior
 
