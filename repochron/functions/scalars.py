@@ -46,7 +46,7 @@ def epoch_to_str(epoch, fmt: str = NAIVE_EPOCH_TEXT_FORMAT) -> Column:
 def convert_seconds(seconds, unit: str = "d") -> Column:
     """Whole days / hours / minutes (truncated); null or negative give null."""
     if unit not in SECONDS_PER_UNIT:
-        raise ValueError("Invalid unit. Use 'd', 'h', or 'm'.")
+        raise ValueError(f"unit {unit!r} is none of {sorted(SECONDS_PER_UNIT)}")
     s = _c(seconds)
     return F.when(s >= 0, F.floor(s / F.lit(SECONDS_PER_UNIT[unit])).cast("bigint"))
 
@@ -143,10 +143,10 @@ def is_merge(parents_arr) -> Column:
 
 # F22 -------------------------------------------------------------------------
 def lenient_int(text) -> Column:
-    """'-' -> 0, an integer -> its value, anything else -> null (skipped)."""
+    """'-' -> 0, an integer -> its value, anything else (also over 64 bits) -> null (skipped)."""
     t = _c(text)
     return F.when(t == "-", F.lit(0).cast("bigint")).otherwise(
-        F.when(t.rlike("^\\s*[+-]?\\d+\\s*$"), F.trim(t).cast("bigint")))
+        F.when(t.rlike("^\\s*[+-]?\\d+\\s*$"), F.trim(t).try_cast("bigint")))
 
 
 # F23 / F24 -------------------------------------------------------------------

@@ -36,7 +36,7 @@ def with_parent_dates(commits: DataFrame, key: Sequence[str] = KEY) -> DataFrame
 
 
 def nearest_ref(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY,
-                cut_every: int = 4, max_rounds: int | None = None) -> DataFrame:
+                cut_every: int = 4) -> DataFrame:
     """For every commit reachable from a ref, the nearest ref by number of
     parent hops (ties: smallest ref name) and the name ``ref`` / ``ref~n``.
 
@@ -50,7 +50,7 @@ def nearest_ref(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY,
                              .withColumn("depth", F.lit(0).cast("bigint")), "refs")
     settled = frontier
     level = 0
-    while max_rounds is None or level < max_rounds:
+    while True:
         level += 1
         step = (frontier.join(e.withColumnRenamed("child", "hash"), [*k, "hash"], "inner")
                 .select(*k, F.col("parent").alias("hash"), "ref", (F.col("depth") + 1).alias("depth")))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repochron.operators.summary import allow_list
+
 # Attributes the repository upsert sets.
 UPSERT_ATTRIBUTES = ("name", "full_name", "html_url", "description", "stargazers_count", "forks_count")
 
@@ -31,16 +33,21 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str = "id",
            allowed: DataFrame | None = None, allow_col: str = "full_name") -> DataFrame:
     """Merge ``incoming`` into ``existing`` on ``key``; later rows win and set
     ``attributes``; incoming rows outside a non-empty allow list are skipped (J04).
+    Other columns of an existing row stay as they are (null for a new one).
 
-    Portable form of MERGE (union + last-wins); on a table format with row-level
-    operations use ``DataFrame.mergeInto`` instead."""
-    inc = incoming
-    if allowed is not None:
-        inc = inc.join(allowed.select(allow_col), [allow_col], "left_semi")
+    Portable form of MERGE (last of the incoming per key, then one outer join); on a
+    table format with row-level operations use ``DataFrame.mergeInto`` instead."""
     cols = [key, *attributes, order]
-    inc = inc.select(*cols)
-    both = inc if existing is None else existing.select(*cols).unionByName(inc)
-    return key_by_last(both, key, [order])
+    inc = key_by_last(allow_list(incoming, allowed, allow_col).select(*cols), key, [order])
+    if existing is None:
+        return inc
+    new = inc.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in cols[1:]],
+                     F.lit(True).alias("__in"))
+    both = existing.join(new, F.col(key) == F.col("__key"), "full")
+    hit = F.col("__in").isNotNull()
+    return both.select(*[F.coalesce(F.col(key), F.col("__key")).alias(c) if c == key
+                         else F.when(hit, F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in cols
+                         else F.col(c) for c in existing.columns])
 
 
 def written_keys(result: DataFrame, key: str = "full_name") -> DataFrame:
@@ -51,6 +58,4 @@ def written_keys(result: DataFrame, key: str = "full_name") -> DataFrame:
 def overwrite_partitions(df: DataFrame, path: str, partition_cols: Sequence[str],
                          fmt: str = "parquet") -> None:
     """Replace only the partitions present in ``df`` (dynamic overwrite)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(*partition_cols).format(fmt).save(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).format(fmt).save(path)

@@ -27,7 +27,8 @@ def history_range(files: DataFrame, order: DataFrame | None = None,
                   since=None, to=None, key: Sequence[str] = KEY,
                   epoch: str = "committer_epoch") -> DataFrame:
     """Keep commits between two hashes (by commit order, inclusive; needs
-    ``order`` = output of ``commit_order``) and / or between two instants."""
+    ``order`` = output of ``commit_order``) and / or between two instants. A hash that no
+    repository holds is an error."""
     out = files
     if since is not None:
         out = out.filter(F.col(epoch) >= F.unix_timestamp(F.lit(since).cast("timestamp")))
@@ -40,6 +41,12 @@ def history_range(files: DataFrame, order: DataFrame | None = None,
         bounds = idx.groupBy(*key).agg(
             F.max(F.when(F.col("hash") == F.lit(from_commit), F.col("idx"))).alias("__lo"),
             F.max(F.when(F.col("hash") == F.lit(to_commit), F.col("idx"))).alias("__hi"))
+        asked = [h for h in (from_commit, to_commit) if h]
+        found = idx.where(F.col("hash").isin(asked)).agg(F.count_distinct("hash").alias("n")).first()["n"]
+        if found < len(set(asked)):
+            raise ValueError("a commit hash of the range is in no repository")
+        # repositories that hold neither bound have no part in the range
+        bounds = bounds.where(F.col("__lo").isNotNull() | F.col("__hi").isNotNull())
         sel = idx.join(bounds, list(key)).filter(
             (F.col("__lo").isNull() | (F.col("idx") >= F.col("__lo")))
             & (F.col("__hi").isNull() | (F.col("idx") <= F.col("__hi"))))
@@ -47,7 +54,7 @@ def history_range(files: DataFrame, order: DataFrame | None = None,
     return out
 
 
-def resolve_renames(files: DataFrame, key: Sequence[str] = KEY, max_rounds: int = 32,
+def resolve_renames(files: DataFrame, key: Sequence[str] = KEY,
                     check_every: int = 2, epoch: str = "committer_epoch") -> DataFrame:
     """Follow renames the way the metric library does (newest commit first): a change
     to path ``q`` at commit ``t`` is counted under the name ``q`` ends up with through
@@ -94,7 +101,9 @@ def resolve_renames(files: DataFrame, key: Sequence[str] = KEY, max_rounds: int
     ev_next = (nxt.filter(F.col("__q").startswith("e"))
                .select(F.expr("substring(__q, 2)").alias("__e"), "__next"))
     jump = ev_next.select("__e", F.coalesce("__next", "__e").alias("__j"))
-    for i in range(max_rounds):
+    i = -1
+    while True:                  # until no chain moves (rounds double the length followed)
+        i += 1
         hop = jump.select(F.col("__e").alias("__j"), F.col("__j").alias("__j2"))
         stepped = jump.join(hop, "__j", "left").select(
             "__e", F.coalesce("__j2", "__j").alias("__j"),

@@ -54,8 +54,8 @@ def repo_general_summary(commits: DataFrame, key: Sequence[str] = KEY,
         distinct("author").cast("bigint").alias("n_authors"),
         distinct("committer").cast("bigint").alias("n_committers"),
         F.min(e).alias("__min"), F.max(e).alias("__max"),
-        F.min_by("committer_date", e).alias("first_committer_date"),
-        F.max_by("committer_date", e).alias("last_committer_date"))
+        F.min_by("committer_date", F.struct(e, "hash")).alias("first_committer_date"),
+        F.max_by("committer_date", F.struct(e, "hash")).alias("last_committer_date"))
     first = F.least(now(is_epoch=True, fractional=False, as_of=as_of).cast("double"), F.col("__min"))
     last = F.greatest(F.lit(0.0), F.col("__max"))
     return agg.select(
@@ -94,8 +94,8 @@ def resume(todo: DataFrame, done: DataFrame, key: Sequence[str] = KEY,
 
 
 def allow_list(repos: DataFrame, allowed: DataFrame | None, col: str = "full_name") -> DataFrame:
-    """Keep names in the allow list; no list means no filter."""
-    if allowed is None:
+    """Keep names in the allow list; no list and an empty list mean no filter."""
+    if allowed is None or allowed.isEmpty():
         return repos
     return repos.join(allowed.select(col), [col], "left_semi")
 

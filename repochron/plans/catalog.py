@@ -60,12 +60,13 @@ def q_codebase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("commit_size_rows")
 def q_commit_size_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth output rows -- commit id, size, ISO date, stripped
-    message (first line of the commit's first document), running codebase size."""
+    message (the whole texts of the commit's documents, one after the other), running
+    codebase size. A commit holds 60 document ids at most."""
     p = sv.patches(spark, sf_dir)
     d = sv.table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("source").alias("repo"), F.expr(f"doc_id div {sv.DOCS_PER_COMMIT_SPAN}").alias("pos"),
-        F.split("text", "\n")[0].alias("first_line"))
-    meta = d.groupBy("repo", "pos").agg(F.min_by("first_line", "doc_id").alias("message"))
+        "doc_id", F.col("source").alias("repo"), F.expr(f"doc_id div {sv.DOCS_PER_COMMIT_SPAN}").alias("pos"), "text")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    meta = d.groupBy("repo", "pos").agg(F.concat(F.lit(" \t\n"), F.array_join(texts, "\n")).alias("message"))
     sizes = growth.commit_sizes(p, key=("repo",), commit_cols=("pos", "hash")).join(meta, ["repo", "pos"])
     sizes = sizes.withColumn("committed_at", F.timestamp_seconds(F.lit(sv.BASE_EPOCH) + F.col("pos") * 86400))
     g = growth.codebase_growth(sizes, key=("repo",), order=("pos",), bucket=F.expr("pos div 1024"))
@@ -512,29 +513,47 @@ def q_drop_url_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log_lines_parsed")
 def q_log_lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Well-formed log lines (a subject with a bar drops the commit)."""
+    """Commit rows of all log lines (a subject may hold bars)."""
     log = gl.parse_log_lines(sv.log_lines(spark, sf_dir)).filter("valid")
     return log.select("repo_name", "commit_hash", "author", "committer", "date", "message",
                       "parent_commit")
 
 
+@query("log_rejects")
+def q_log_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the strict reading (exactly six parts) rejects, with the reason."""
+    return gl.log_rejects(sv.log_lines(spark, sf_dir), strict=True)
+
+
 @query("numstat_totals")
 def q_numstat_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines added / deleted per commit from numstat text."""
+    """Lines added / deleted per commit of a repository from numstat text."""
     return gl.numstat_totals(gl.parse_numstat(sv.numstat_lines(spark, sf_dir)))
 
 
-@query("git_commits")
-def q_git_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 14-field commit rows (no refs landed: branch unknown)."""
-    stats = gl.numstat_commit_stats(gl.parse_numstat(sv.numstat_lines(spark, sf_dir)))
-    rows = gl.assemble_commits(gl.parse_log_lines(sv.log_lines(spark, sf_dir)), totals=stats)
+def _commit_rows(rows: DataFrame) -> DataFrame:
     return rows.select("repo_name", "commit_hash", "author", "committer", "date", "message",
                        "parent_commit", "branch", F.array_join("tags", ",").alias("tags"),
                        F.array_join("changed_files", ",").alias("changed_files"),
                        "lines_added", "lines_deleted", "is_merge_commit", "merged_branch")
 
 
+@query("git_commits")
+def q_git_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 14-field commit rows (no refs landed: branch unknown)."""
+    stats = gl.numstat_commit_stats(gl.parse_numstat(sv.numstat_lines(spark, sf_dir)))
+    return _commit_rows(gl.assemble_commits(gl.parse_log_lines(sv.log_lines(spark, sf_dir)), totals=stats))
+
+
+@query("git_commits_with_refs")
+def q_git_commits_with_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with tags, branch names and merged branches joined in."""
+    stats = gl.numstat_commit_stats(gl.parse_numstat(sv.numstat_lines(spark, sf_dir)))
+    tags, branches = sv.log_refs(spark, sf_dir)
+    return _commit_rows(gl.assemble_commits(gl.parse_log_lines(sv.log_lines(spark, sf_dir)), totals=stats,
+                                            tags=tags, branches=branches))
+
+
 # --- commit graph ------------------------------------------------------------------------
 
 

@@ -625,33 +625,35 @@ select page_id as id, url as homepage, cast(length(html) as integer) as size, 'a
 """)
 
 LOGL = """
-ll as (select o_orderpriority as repo,
-              sha1('o' || cast(o_orderkey as varchar)) || '|' || 'a' || cast(o_custkey as varchar) || '|' ||
-              o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' +0000' || '|' ||
+ll as (select unnest(case when o_orderkey % 5 = 0 then ['g' || cast(o_orderkey % 7 as varchar), 'fork']
+                          else ['g' || cast(o_orderkey % 7 as varchar)] end) as repo,
+              sha1('o' || cast(o_orderkey as varchar)) as hash, 'a' || cast(o_custkey as varchar) as author,
+              o_orderstatus as committer, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' +0000' as date,
               'order ' || cast(o_orderkey as varchar) || case when o_orderkey % 50 = 0 then ' | hotfix' else '' end
-              || '|' ||
+                as subject,
               case when o_orderkey % 97 = 1 then ''
                    when o_orderkey % 7 = 0 then sha1('o' || cast(o_orderkey - 1 as varchar)) || ' ' ||
                                                 sha1('o' || cast(o_orderkey - 2 as varchar))
-                   else sha1('o' || cast(o_orderkey - 1 as varchar)) end as value
+                   else sha1('o' || cast(o_orderkey - 1 as varchar)) end as parents
        from orders),
-lp as (select repo, string_split(value, '|') as p from ll),
-lg as (select repo as repo_name, p[1] as commit_hash, p[2] as author, p[3] as committer, p[4] as date,
-              p[5] as message, p[6] as parent_commit from lp where len(p) = 6),
-ns as (select sha1('o' || cast(l_orderkey as varchar)) as commit_hash,
+lg as (select repo as repo_name, hash as commit_hash, author, committer, date, subject as message,
+              parents as parent_commit from ll),
+ns as (select unnest(case when l_orderkey % 5 = 0 then ['g' || cast(l_orderkey % 7 as varchar), 'fork']
+                          else ['g' || cast(l_orderkey % 7 as varchar)] end) as repo_name,
+              sha1('o' || cast(l_orderkey as varchar)) as commit_hash,
               case when l_returnflag = 'R' then '-' when l_returnflag = 'A' and l_linenumber = 6 then 'bin'
                    else cast(cast(l_quantity as bigint) as varchar) end as a,
               case when l_linestatus = 'O' and l_linenumber = 7 then 'x'
                    else cast(cast(round(l_tax * 100) as bigint) as varchar) end as d,
               'src/f' || cast(l_partkey % 200 as varchar) || '.py' as path
        from lineitem),
-nv as (select commit_hash, path,
+nv as (select repo_name, commit_hash, path,
               case when a = '-' then 0 else try_cast(a as bigint) end as av,
               case when d = '-' then 0 else try_cast(d as bigint) end as dv from ns),
-nt as (select commit_hash, cast(coalesce(sum(av), 0) as bigint) as lines_added,
+nt as (select repo_name, commit_hash, cast(coalesce(sum(av), 0) as bigint) as lines_added,
               cast(coalesce(sum(case when av is not null then dv end), 0) as bigint) as lines_deleted,
               array_to_string(list_sort(list(path)), ',') as files
-       from nv group by commit_hash)
+       from nv group by repo_name, commit_hash)
 """
 
 SQL["log_lines_parsed"] = _q(f"""
@@ -661,17 +663,41 @@ select * from lg
 
 SQL["numstat_totals"] = _q(f"""
 with {LOGL}
-select commit_hash, lines_added, lines_deleted from nt
+select repo_name, commit_hash, lines_added, lines_deleted from nt
 """)
 
-SQL["git_commits"] = _q(f"""
-with {LOGL}
+COMMIT_ROW = """
 select lg.repo_name, lg.commit_hash, lg.author, lg.committer, lg.date, lg.message, lg.parent_commit,
-       'unknown' as branch, '' as tags, coalesce(nt.files, 'unknown') as changed_files,
+       {branch} as branch, {tags} as tags, coalesce(nt.files, 'unknown') as changed_files,
        coalesce(nt.lines_added, 0) as lines_added, coalesce(nt.lines_deleted, 0) as lines_deleted,
-       len(string_split_regex(trim(lg.parent_commit), '\\s+')) > 1 as is_merge_commit,
-       case when len(string_split_regex(trim(lg.parent_commit), '\\s+')) > 1 then 'unknown' end as merged_branch
-from lg left join nt on lg.commit_hash = nt.commit_hash
+       len(string_split(lg.parent_commit, ' ')) > 1 as is_merge_commit,
+       case when len(string_split(lg.parent_commit, ' ')) > 1 then {merged} end as merged_branch
+from lg left join nt on lg.repo_name = nt.repo_name and lg.commit_hash = nt.commit_hash
+"""
+
+SQL["git_commits"] = _q(f"""
+with {LOGL}
+{COMMIT_ROW.format(branch="'unknown'", tags="''", merged="''")}
+""")
+
+SQL["git_commits_with_refs"] = _q(f"""
+with {LOGL},
+rf as (select 'g' || cast(o_orderkey % 7 as varchar) as repo_name, sha1('o' || cast(o_orderkey as varchar)) as commit_hash,
+              o_orderkey as k from orders),
+tg as (select repo_name, commit_hash,
+              case when k % 22 = 0 then 'latest,' else '' end || 'v' || cast(k as varchar) as tags from rf where k % 11 = 0),
+br as (select repo_name, commit_hash, 'main~' || cast(k as varchar) as branch from rf where k % 3 = 0)
+{COMMIT_ROW.format(branch="coalesce(br.branch, 'unknown')", tags="coalesce(tg.tags, '')", merged="coalesce(b0.branch, '')")}
+left join tg on lg.repo_name = tg.repo_name and lg.commit_hash = tg.commit_hash
+left join br on lg.repo_name = br.repo_name and lg.commit_hash = br.commit_hash
+left join br b0 on lg.repo_name = b0.repo_name and string_split(lg.parent_commit, ' ')[1] = b0.commit_hash
+""")
+
+SQL["log_rejects"] = _q(f"""
+with {LOGL}
+select 'commit_log' as stage, repo_name,
+       concat_ws('|', commit_hash, author, committer, date, message, parent_commit) as line, 'bar in a field' as reason
+from lg where contains(message, '|')
 """)
 
 
@@ -766,17 +792,17 @@ with p as (
   select source as repo, doc_id // 60 as pos, sha1(source || ':' || cast(doc_id // 60 as varchar)) as hash,
          'd' || cast(doc_id as varchar) ||
            case lang when 'en' then '.py' when 'de' then '.smk' else '.txt' end as a_path,
-         text as patch, doc_id, split_part(text, chr(10), 1) as first_line
+         text as patch, doc_id
   from documents),
 s as (
   select repo, pos, hash,
          cast(sum(case when a_path like '%.py' or a_path like '%.smk' then strlen(patch) else 0 end) as bigint)
            as commit_size,
-         arg_min(first_line, doc_id) as message
+         string_agg(patch, chr(10) order by doc_id) as message
   from p group by repo, pos, hash)
 select repo, hash as commit_id, commit_size,
        strftime(make_timestamp((1704067200 + pos * 86400) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' as datetime,
-       trim(message) as commit_message,
+       regexp_replace(message, '^\\s+|\\s+$', '', 'g') as commit_message,
        cast(sum(commit_size) over (partition by repo order by pos
             rows between unbounded preceding and current row) as bigint) as codebase_size
 from s

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from repochron.functions.scalars import GITHUB_TS_FORMAT, ts_to_epoch, ts_to_text
 from repochron.operators.cycles import commit_order
 from repochron.operators.ordered import ordered_scan
-from repochron.session import spread_small_input
 
 # Fixed values of the stand-in mapping (identical in the oracle SQL).
 OWNER = "acme"
@@ -33,7 +32,7 @@ ISSUE_SPREAD = 2592000           # 30 days
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _repo_of(user_col) -> F.Column:
@@ -250,7 +249,28 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("o_orderstatus"),
                         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")),
                         subject, parents)
-    return o.select(F.col("o_orderpriority").alias("repo"), value.alias("value"))
+    return o.select(F.explode(_log_repos(k)).alias("repo"), value.alias("value"))
+
+
+def _log_repos(order_key) -> F.Column:
+    """Repositories that hold an order's commit: seven, and a fork with every fifth commit."""
+    own = F.concat(F.lit("g"), (order_key % 7).cast("string"))
+    return F.when(order_key % 5 == 0, F.array(own, F.lit("fork"))).otherwise(F.array(own))
+
+
+def log_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """orders -> tags (every 11th commit, two on every 22nd) and branch names (every third),
+    of their own repositories only."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("g"), (k % 7).cast("string")).alias("repo_name"),
+        F.sha1(F.concat(F.lit("o"), k.cast("string"))).alias("commit_hash"), k.alias("k"))
+    tags = rows.where("k % 11 = 0").select("repo_name", "commit_hash", F.explode(
+        F.when(F.col("k") % 22 == 0, F.array(F.concat(F.lit("v"), F.col("k").cast("string")), F.lit("latest")))
+         .otherwise(F.array(F.concat(F.lit("v"), F.col("k").cast("string"))))).alias("tag"))
+    branches = rows.where("k % 3 = 0").select("repo_name", "commit_hash",
+                                              F.concat(F.lit("main~"), F.col("k").cast("string")).alias("branch"))
+    return tags, branches
 
 
 def numstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,5 +283,6 @@ def numstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = (F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), F.lit("x"))
                .otherwise(F.round(F.col("l_tax") * 100).cast("bigint").cast("string")))
     path = F.concat(F.lit("src/f"), (F.col("l_partkey") % 200).cast("string"), F.lit(".py"))
-    return li.select(F.sha1(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("hash"),
+    return li.select(F.explode(_log_repos(F.col("l_orderkey"))).alias("repo"),
+                     F.sha1(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("hash"),
                      F.concat_ws("\t", first, second, path).alias("value"))

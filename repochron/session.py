@@ -93,17 +93,3 @@ def write_through_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), int(obs.get["n"])
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores
-    (one small file, one row group), so per-row work before the first shuffle uses
-    every core. Large inputs already have enough splits and pass through untouched."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. Spark Connect): leave the plan alone
-        return df
-    if splits < target:
-        return df.repartition(target)
-    return df

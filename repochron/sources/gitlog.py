@@ -17,18 +17,22 @@ from repochron.functions.scalars import is_merge, lenient_int, split_parents
 _LOG_RE = r"^([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)\|([0-9A-Fa-f ]*)$"
 
 
+# Forks share hashes: a commit is known by repository and hash.
+COMMIT = ("repo_name", "commit_hash")
+
+
 def _unquote(col):
     """The format string reaches git unquoted-by-shell: drop one leading / trailing quote."""
     return F.regexp_replace(col, "^'|'$", "")
 
 
 def parse_log_lines(lines: DataFrame, repo_col: str = "repo", value_col: str = "value",
-                    strict: bool = True) -> DataFrame:
-    """One commit row per well-formed line.
+                    strict: bool = False) -> DataFrame:
+    """One row per line; ``valid`` tells whether it is a commit.
 
-    ``strict=True`` keeps exactly six bar-separated parts (a subject with a bar
-    drops the commit, as in the reference); ``strict=False`` parses with an
-    anchored pattern, keeping such commits. Either way, ``valid`` tells."""
+    A subject may hold bars: the line is read from both ends. ``strict=True`` is the
+    compatibility switch that takes exactly six bar-separated parts. What is not valid
+    is for ``log_rejects``, never dropped unseen."""
     v = _unquote(F.col(value_col))
     if strict:
         parts = F.split(v, r"\|", -1)
@@ -44,20 +48,33 @@ def parse_log_lines(lines: DataFrame, repo_col: str = "repo", value_col: str = "
     return out
 
 
-def parse_numstat(lines: DataFrame, hash_col: str = "hash", value_col: str = "value") -> DataFrame:
+def log_rejects(lines: DataFrame, repo_col: str = "repo", value_col: str = "value",
+                strict: bool = False) -> DataFrame:
+    """The lines that are no commit, with the reason."""
+    rows = lines.select(F.col(repo_col).alias("repo_name"), F.col(value_col).alias("line"))
+    v = _unquote(F.col("line"))
+    ok = (F.size(F.split(v, r"\|", -1)) == 6) if strict else v.rlike(_LOG_RE)
+    return rows.where(~F.coalesce(ok, F.lit(False))).select(
+        F.lit("commit_log").alias("stage"), "repo_name", "line",
+        F.when(F.size(F.split(v, r"\|", -1)) > 6, F.lit("bar in a field"))
+         .otherwise(F.lit("not six fields")).alias("reason"))
+
+
+def parse_numstat(lines: DataFrame, repo_col: str = "repo", hash_col: str = "hash",
+                  value_col: str = "value") -> DataFrame:
     """``added, deleted, path`` per line; '-' counts 0; a line whose first
     count is not an integer adds nothing, one whose second is not adds only the first."""
     parts = F.split(F.col(value_col), "\t", -1)
     added = lenient_int(parts[0])
     deleted = F.when(added.isNotNull(), lenient_int(parts[1]))
     return (lines.filter(F.size(parts) == 3)
-            .select(F.col(hash_col).alias("commit_hash"), added.alias("added"),
+            .select(F.col(repo_col).alias("repo_name"), F.col(hash_col).alias("commit_hash"), added.alias("added"),
                     deleted.alias("deleted"), parts[2].alias("path")))
 
 
 def numstat_totals(numstat: DataFrame) -> DataFrame:
     """Lines added and deleted per commit (0 when nothing parses)."""
-    return numstat.groupBy("commit_hash").agg(
+    return numstat.groupBy(*COMMIT).agg(
         F.coalesce(F.sum("added"), F.lit(0)).cast("bigint").alias("lines_added"),
         F.coalesce(F.sum("deleted"), F.lit(0)).cast("bigint").alias("lines_deleted"))
 
@@ -65,50 +82,52 @@ def numstat_totals(numstat: DataFrame) -> DataFrame:
 def numstat_commit_stats(numstat: DataFrame) -> DataFrame:
     """A21 / A22 / S23 in one aggregation: totals and the changed paths per commit
     (when no separate name-only listing is landed)."""
-    return numstat.groupBy("commit_hash").agg(
+    return numstat.groupBy(*COMMIT).agg(
         F.coalesce(F.sum("added"), F.lit(0)).cast("bigint").alias("lines_added"),
         F.coalesce(F.sum("deleted"), F.lit(0)).cast("bigint").alias("lines_deleted"),
         F.array_sort(F.collect_list(F.when(F.col("path") != "", F.col("path")))).alias("changed_files"))
 
 
-def changed_files(names: DataFrame, hash_col: str = "hash", value_col: str = "value") -> DataFrame:
+def changed_files(names: DataFrame, repo_col: str = "repo", hash_col: str = "hash",
+                  value_col: str = "value") -> DataFrame:
     """Changed file names per commit, blanks dropped (the list of one commit)."""
     return (names.filter(F.col(value_col) != "")
-            .groupBy(F.col(hash_col).alias("commit_hash"))
+            .groupBy(F.col(repo_col).alias("repo_name"), F.col(hash_col).alias("commit_hash"))
             .agg(F.array_sort(F.collect_list(value_col)).alias("changed_files")))
 
 
 def assemble_commits(log: DataFrame, totals: DataFrame | None = None,
                      files: DataFrame | None = None, tags: DataFrame | None = None,
                      branches: DataFrame | None = None) -> DataFrame:
-    """The 14-field commit row.
+    """The 14-field commit row, every join by ``(repo_name, commit_hash)``.
 
-    ``tags``: ``(commit_hash, tag)`` rows (S25, or J16 output); ``branches``:
-    ``(commit_hash, branch)`` (S26, or J17 output). Defaults: branch ``unknown``,
-    tags ``[]``, files ``["unknown"]``, counts 0 (P14). ``merged_branch`` is the
-    branch of parent 0 for merges (F19-F21)."""
+    ``tags``: ``(repo_name, commit_hash, tag)`` rows (S25, or J16 output); ``branches``:
+    ``(repo_name, commit_hash, branch)`` (S26, or J17 output). Defaults: branch ``unknown``,
+    tags ``[]``, files ``["unknown"]``, counts 0 (P14). ``merged_branch`` is the name
+    of parent 0 for merges, empty where it has none, null for others (F19-F21)."""
+    key = list(COMMIT)
     out = log.filter("valid").drop("valid")
     if totals is not None:
-        out = out.join(totals, "commit_hash", "left")
+        out = out.join(totals, key, "left")
     else:
         out = out.withColumn("lines_added", F.lit(None).cast("bigint")) \
                  .withColumn("lines_deleted", F.lit(None).cast("bigint"))
     if files is not None:
-        out = out.join(files, "commit_hash", "left")
+        out = out.join(files, key, "left")
     elif "changed_files" not in out.columns:
         out = out.withColumn("changed_files", F.lit(None).cast("array<string>"))
     if tags is not None:
-        t = tags.groupBy("commit_hash").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-        out = out.join(t, "commit_hash", "left")
+        t = tags.groupBy(*key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+        out = out.join(t, key, "left")
     else:
         out = out.withColumn("tags", F.lit(None).cast("array<string>"))
     parents = split_parents(F.col("parent_commit"))
-    out = out.withColumn("__p0", parents[0]).withColumn("is_merge_commit", is_merge(parents))
+    out = out.withColumn("__p0", F.get(parents, F.lit(0))).withColumn("is_merge_commit", is_merge(parents))
     if branches is not None:
-        b = branches.select("commit_hash", "branch")
-        out = out.join(b, "commit_hash", "left")
-        b0 = b.select(F.col("commit_hash").alias("__p0"), F.col("branch").alias("__b0"))
-        out = out.join(b0, "__p0", "left")
+        b = branches.groupBy(*key).agg(F.min("branch").alias("branch"))
+        out = out.join(b, key, "left")
+        b0 = b.select("repo_name", F.col("commit_hash").alias("__p0"), F.col("branch").alias("__b0"))
+        out = out.join(b0, ["repo_name", "__p0"], "left")
     else:
         out = out.withColumn("branch", F.lit(None).cast("string")) \
                  .withColumn("__b0", F.lit(None).cast("string"))
@@ -122,4 +141,4 @@ def assemble_commits(log: DataFrame, totals: DataFrame | None = None,
         F.coalesce("lines_added", F.lit(0).cast("bigint")).alias("lines_added"),
         F.coalesce("lines_deleted", F.lit(0).cast("bigint")).alias("lines_deleted"),
         "is_merge_commit",
-        F.when(F.col("is_merge_commit"), F.coalesce("__b0", unknown)).alias("merged_branch"))
+        F.when(F.col("is_merge_commit"), F.coalesce("__b0", F.lit(""))).alias("merged_branch"))
