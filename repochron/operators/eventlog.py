@@ -116,8 +116,10 @@ def pr_commit_activities(prs: DataFrame, commits: DataFrame, order: DataFrame,
     the commit order (J11, half-open; empty when not increasing). More parents: none.
     ``commits`` needs ``hash, parents, committer_date``; ``order`` is ``commit_order``.
     """
-    pr = prs.select(*key, F.col("number"), F.col("merge_commit_sha").alias("hash"),
-                    F.col("user.login").alias("user")).filter(F.col("hash").isNotNull())
+    created, _ = _parsed(prs, "created_at")
+    pr = (prs.where(created.isNotNull())                  # P20: undated pull requests are skipped whole
+          .select(*key, F.col("number"), F.col("merge_commit_sha").alias("hash"),
+                  F.col("user.login").alias("user")).filter(F.col("hash").isNotNull()))
     merges = pr.join(commits.select(*key, "hash", "parents").filter(F.size("parents") > 0),
                      [*key, "hash"], "inner")
     idx = order.select(*key, "hash", "idx", "committer_date", "committer_epoch")
@@ -166,6 +168,35 @@ def event_log(cycles: DataFrame, issues: DataFrame, comments: DataFrame, events:
     return per_cycle.unionByName(pr_commits)
 
 
+def event_rejects(issues: DataFrame, comments: DataFrame, events: DataFrame, prs: DataFrame,
+                  commits: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """What the log leaves out, ``(stage, key, kind, id, reason)``: rows without a
+    creation date or with one that is no date, closing dates that are none, and merged pull
+    requests whose merge commit or one of its parents is not among the commits."""
+    def dated(df, kind, id_col, col="created_at", required=True):
+        ts, _ = _parsed(df, col)
+        none = F.coalesce(F.col(col), F.lit("")) == ""
+        reason = F.when(none, F.lit(f"no {col}") if required else F.lit(None)).when(
+            ts.isNull(), F.lit(f"malformed {col}"))
+        return df.select(*key, F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("id"),
+                         reason.alias("reason")).where("reason is not null")
+
+    bad = (dated(issues, "issue", "number").unionByName(dated(issues, "issue", "number", "closed_at", False))
+           .unionByName(dated(comments, "comment", "id")).unionByName(dated(events, "issue_event", "id"))
+           .unionByName(dated(prs, "pull_request", "number")))
+    merged = prs.where(F.col("merge_commit_sha").isNotNull()).select(
+        *key, F.lit("pull_request").alias("kind"), F.col("number").cast("string").alias("id"),
+        F.col("merge_commit_sha").alias("hash"))
+    lost = merged.join(commits.select(*key, "hash"), [*key, "hash"], "left_anti").select(
+        *key, "kind", "id", F.lit("merge commit not found").alias("reason"))
+    parents = (merged.join(commits.select(*key, "hash", "parents"), [*key, "hash"])
+               .select(*key, "kind", "id", F.explode("parents").alias("hash"))
+               .join(commits.select(*key, "hash"), [*key, "hash"], "left_anti")
+               .select(*key, "kind", "id").distinct().withColumn("reason", F.lit("parent commit not found")))
+    out = bad.unionByName(lost).unionByName(parents)
+    return out.select(F.lit("event_log").alias("stage"), *key, "kind", "id", "reason")
+
+
 def sort_event_log(log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Order by real time (not by text, whose formats differ), then case and activity.
     A global sort is a range shuffle: use it for writing, not inside pipelines."""

@@ -554,6 +554,48 @@ def q_git_commits_with_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             tags=tags, branches=branches))
 
 
+@query("eventlog_rejects")
+def q_eventlog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects of the event log, with every ninth date broken and the next one missing."""
+    def broken(df, id_col):
+        n = F.col(id_col) % 9
+        return df.withColumn("created_at", F.when(n == 0, F.concat(F.lit("x"), "created_at")).when(n != 1, F.col("created_at")))
+
+    iss = broken(sv.issues(spark, sf_dir), "number")
+    iss = iss.withColumn("closed_at", F.when(F.col("number") % 7 == 3, F.lit("2024-13-01T00:00:00Z")).otherwise(F.col("closed_at")))
+    commits = sv.commits_with_parents(spark, sf_dir)
+    return el.event_rejects(iss, broken(sv.issue_comments(spark, sf_dir), "id"), broken(sv.issue_events(spark, sf_dir), "id"),
+                            broken(sv.pull_requests(spark, sf_dir), "number"), commits.where("event_id % 13 <> 0"))
+
+
+@query("upsert_existing")
+def q_upsert_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge into an existing table that has a column of its own; an empty allow list is no filter."""
+    pg = sv.table(spark, sf_dir, "pages")
+    info = pg.select(F.col("page_id").alias("id"), F.col("url").alias("name"),
+                     F.concat(F.lit("o/"), (F.col("page_id") % 40).cast("string")).alias("full_name"),
+                     F.col("url").alias("html_url"), F.lit("d").alias("description"),
+                     F.length("url").alias("stargazers_count"), F.length("html").alias("forks_count"),
+                     F.col("page_id").alias("load_order"))
+    old = info.where("id % 3 = 0").withColumn("name", F.lit("old")).withColumn("note", F.concat(F.lit("n"), F.col("id").cast("string")))
+    allowed = info.select("full_name").where("full_name is null")
+    out = inc.upsert(old, info.where("id % 2 = 0"), allowed=allowed)
+    return out.select("id", "name", "full_name", "stargazers_count", "forks_count", "note")
+
+
+@query("written_keys")
+def q_written_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written by an upsert with an allow list."""
+    pg = sv.table(spark, sf_dir, "pages")
+    info = pg.select(F.col("page_id").alias("id"), F.col("url").alias("name"),
+                     F.concat(F.lit("o/"), (F.col("page_id") % 40).cast("string")).alias("full_name"),
+                     F.col("url").alias("html_url"), F.lit("d").alias("description"),
+                     F.length("url").alias("stargazers_count"), F.length("html").alias("forks_count"),
+                     F.col("page_id").alias("load_order"))
+    allowed = info.where("id % 40 < 25").select("full_name")
+    return inc.written_keys(inc.upsert(None, info, allowed=allowed))
+
+
 # --- commit graph ------------------------------------------------------------------------
 
 

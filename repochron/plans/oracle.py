@@ -701,6 +701,48 @@ from lg where contains(message, '|')
 """)
 
 
+SQL["eventlog_rejects"] = _q(f"""
+with {CYCLE_ROWS}, {ISSUES}, {PR_COMMITS},
+dt as (
+  select owner, repo, 'issue' as kind, number as id from iss
+  union all
+  select 'acme', 'r' || cast(conv_id % 150 as varchar), 'comment', conv_id * 1000 + turn from conversations where turn > 0
+  union all
+  select 'acme', 'r' || cast(conv_id % 150 as varchar), 'issue_event', conv_id * 1000 + turn
+  from conversations where turn > 0 and role = 'assistant'
+  union all
+  select owner, repo, 'pull_request', number from pr),
+known as (select par.* from par join o on par.owner = o.owner and par.repo = o.repo and par.hash = o.hash
+          where o.event_id % 13 <> 0),
+mp as (select pr.owner, pr.repo, pr.number, unnest(known.parents) as parent
+       from pr join known on pr.owner = known.owner and pr.repo = known.repo and pr.sha = known.hash)
+select 'event_log' as stage, owner, repo, kind, cast(id as varchar) as id,
+       case when id % 9 = 0 then 'malformed created_at' else 'no created_at' end as reason
+from dt where id % 9 in (0, 1)
+union all
+select 'event_log', owner, repo, 'issue', cast(number as varchar), 'malformed closed_at' from iss where number % 7 = 3
+union all
+select 'event_log', pr.owner, pr.repo, 'pull_request', cast(pr.number as varchar), 'merge commit not found'
+from pr where sha is not null and not exists (
+  select 1 from known k where k.owner = pr.owner and k.repo = pr.repo and k.hash = pr.sha)
+union all
+select distinct 'event_log', mp.owner, mp.repo, 'pull_request', cast(mp.number as varchar), 'parent commit not found'
+from mp where not exists (
+  select 1 from known k where k.owner = mp.owner and k.repo = mp.repo and k.hash = mp.parent)
+""")
+
+SQL["upsert_existing"] = _q("""
+select page_id as id, case when page_id % 2 = 0 then url else 'old' end as name,
+       'o/' || cast(page_id % 40 as varchar) as full_name, length(url) as stargazers_count, length(html) as forks_count,
+       case when page_id % 3 = 0 then 'n' || cast(page_id as varchar) end as note
+from pages where page_id % 2 = 0 or page_id % 3 = 0
+""")
+
+SQL["written_keys"] = _q("""
+select distinct 'o/' || cast(page_id % 40 as varchar) as full_name from pages where page_id % 40 < 25
+""")
+
+
 GRAPH = f"""
 {CYCLE_ROWS}, {ISSUES}, {PR_COMMITS},
 edges as (select owner, repo, hash as child, unnest(parents) as parent from par),

@@ -1,4 +1,4 @@
-"""Date ranges vs a plain restatement; commit-log text parsing."""
+"""Date ranges: literal rows and properties; commit-log text parsing."""
 
 import datetime as dt
 
@@ -8,35 +8,28 @@ from repochron.operators import calendar as cal
 from repochron.sources import gitlog as gl
 
 
-def py_ranges(start, end, interval):
-    out, cur = [], start
-    if interval == "m":
-        while cur <= end:
-            nxt = dt.date(cur.year + cur.month // 12, cur.month % 12 + 1, 1)
-            out.append((cur, min(nxt - dt.timedelta(days=1), end)))
-            cur = nxt
-    elif interval == "w":
-        while cur <= end:
-            ws = cur - dt.timedelta(days=cur.weekday())
-            we = min(ws + dt.timedelta(days=6), end)
-            out.append((ws, we))
-            cur = we + dt.timedelta(days=1)
-    elif interval == "d":
-        while cur <= end:
-            out.append((cur, cur))
-            cur += dt.timedelta(days=1)
-    return out
+def day(text):
+    return dt.date.fromisoformat(text)
 
 
-def test_date_ranges(spark):
-    spans = [(dt.date(2023, 11, 17), dt.date(2024, 2, 3)), (dt.date(2024, 1, 10), dt.date(2024, 1, 10)),
-             (dt.date(2024, 3, 6), dt.date(2024, 3, 1)), (dt.date(2023, 12, 31), dt.date(2024, 1, 1))]
-    df = spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(spans)], "id int, s date, e date")
-    for interval in ("m", "w", "d", "q"):
-        got = cal.date_ranges(df, "s", "e", interval).collect()
-        for i, (s, e) in enumerate(spans):
-            mine = sorted((r["range_start"], r["range_end"]) for r in got if r["id"] == i)
-            assert mine == py_ranges(s, e, interval), (interval, s, e)
+# (first day, last day, interval) and the ranges, worked by hand from a calendar.
+LITERAL = [
+    ("2023-11-17", "2024-02-03", "m", [("2023-11-17", "2023-11-30"), ("2023-12-01", "2023-12-31"),
+                                       ("2024-01-01", "2024-01-31"), ("2024-02-01", "2024-02-03")]),
+    ("2024-02-10", "2024-02-10", "m", [("2024-02-10", "2024-02-10")]),
+    ("2024-01-10", "2024-01-16", "w", [("2024-01-08", "2024-01-14"), ("2024-01-15", "2024-01-16")]),
+    ("2024-01-08", "2024-01-14", "w", [("2024-01-08", "2024-01-14")]),
+    ("2023-12-31", "2024-01-01", "d", [("2023-12-31", "2023-12-31"), ("2024-01-01", "2024-01-01")]),
+    ("2024-03-06", "2024-03-01", "m", []), ("2024-03-06", "2024-03-01", "w", []), ("2024-03-06", "2024-03-01", "d", []),
+    ("2024-01-01", "2024-12-31", "q", []),
+]
+
+
+def test_date_ranges_literal(spark):
+    for start, end, interval, want in LITERAL:
+        df = spark.createDataFrame([(day(start), day(end))], "s date, e date")
+        got = sorted((r["range_start"], r["range_end"]) for r in cal.date_ranges(df, "s", "e", interval).collect())
+        assert got == [(day(a), day(b)) for a, b in want], (start, end, interval)
 
 
 def test_log_lines_and_numstat(spark):
@@ -47,27 +40,51 @@ def test_log_lines_and_numstat(spark):
         ("r", f"{'c' * 40}|Ann|Cy|2024-01-01|root|"),
         ("r", ""),
     ], "repo string, value string")
-    strict = gl.parse_log_lines(lines).filter("valid").collect()
+    strict = gl.parse_log_lines(lines, strict=True).filter("valid").collect()
     assert [r["commit_hash"] for r in strict] == [h, "c" * 40]
     assert strict[0]["date"] == "2024-01-01 10:00:00 +0100"
-    loose = gl.parse_log_lines(lines, strict=False).filter("valid").collect()
+    loose = gl.parse_log_lines(lines).filter("valid").collect()
     assert [r["message"] for r in loose] == ["fix", "a | b", "root"]
-    ns = spark.createDataFrame([(h, "3\t1\ta.py"), (h, "-\t-\tbin.png"), (h, "x\t5\tc.py"),
-                                (h, "4\tz\td.py"), (h, "")], "hash string, value string")
+    bad = gl.log_rejects(lines).collect()
+    assert [(r["line"], r["reason"]) for r in bad] == [("", "not six fields")]
+    assert {r["reason"] for r in gl.log_rejects(lines, strict=True).collect()} == {"not six fields", "bar in a field"}
+    ns = spark.createDataFrame([("r", h, "3\t1\ta.py"), ("r", h, "-\t-\tbin.png"), ("r", h, "x\t5\tc.py"),
+                                ("r", h, "4\tz\td.py"), ("r", h, ""), ("r", h, "99999999999999999999\t1\te.py")],
+                               "repo string, hash string, value string")
     parsed = gl.parse_numstat(ns)
     t = gl.numstat_totals(parsed).collect()[0]
     assert (t["lines_added"], t["lines_deleted"]) == (7, 1)
-    files = gl.changed_files(parsed.select(F.col("commit_hash").alias("hash"), F.col("path").alias("value")))
+    files = gl.changed_files(parsed.select(F.col("repo_name").alias("repo"), F.col("commit_hash").alias("hash"),
+                                           F.col("path").alias("value")))
     rows = {r["commit_hash"]: r for r in gl.assemble_commits(
         gl.parse_log_lines(lines), totals=gl.numstat_totals(parsed), files=files).collect()}
-    assert rows[h]["is_merge_commit"] and rows[h]["merged_branch"] == "unknown"
-    assert rows[h]["changed_files"] == ["a.py", "bin.png", "c.py", "d.py"]
+    assert rows[h]["is_merge_commit"] and rows[h]["merged_branch"] == ""
+    assert rows[h]["changed_files"] == ["a.py", "bin.png", "c.py", "d.py", "e.py"]
     root = rows["c" * 40]
     assert not root["is_merge_commit"] and root["merged_branch"] is None
     assert root["changed_files"] == ["unknown"] and root["tags"] == [] and root["branch"] == "unknown"
 
 
-def test_date_ranges_random_spans(spark):
+def test_forks_share_hashes_and_roots_have_no_parent(spark):
+    h, p = "a" * 40, "b" * 40
+    lines = spark.createDataFrame([(r, f"{x}|A|C|d|m|{parents}") for r in ("one", "two") for x, parents in
+                                   ((h, f"{p} {'c' * 40}"), (p, ""))], "repo string, value string")
+    ns = spark.createDataFrame([("one", h, "3\t1\tf.py"), ("two", h, "5\t0\tg.py")], "repo string, hash string, value string")
+    tags = spark.createDataFrame([("one", h, "v2"), ("one", h, "v1"), ("two", p, "w")], "repo_name string, commit_hash string, tag string")
+    names = spark.createDataFrame([("one", h, "main"), ("one", p, "main~1"), ("two", h, "dev")],
+                                  "repo_name string, commit_hash string, branch string")
+    rows = gl.assemble_commits(gl.parse_log_lines(lines), totals=gl.numstat_commit_stats(gl.parse_numstat(ns)),
+                               tags=tags, branches=names).collect()
+    got = {(r["repo_name"], r["commit_hash"][0]): r for r in rows}
+    assert len(rows) == 4
+    assert [(got[k]["lines_added"], got[k]["changed_files"]) for k in (("one", "a"), ("two", "a"), ("one", "b"))] == [
+        (3, ["f.py"]), (5, ["g.py"]), (0, ["unknown"])]
+    assert got["one", "a"]["tags"] == ["v1", "v2"] and got["two", "a"]["tags"] == [] and got["two", "b"]["tags"] == ["w"]
+    assert [got[k]["merged_branch"] for k in (("one", "a"), ("two", "a"), ("one", "b"))] == ["main~1", "", None]
+    assert [got[k]["branch"] for k in (("one", "b"), ("two", "a"), ("two", "b"))] == ["main~1", "dev", "unknown"]
+
+
+def test_date_ranges_cover_without_gap_or_overlap(spark):
     import random
     rnd = random.Random(4)
     spans = []
@@ -75,8 +92,23 @@ def test_date_ranges_random_spans(spark):
         s = dt.date(2019, 1, 1) + dt.timedelta(days=rnd.randrange(0, 2200))
         spans.append((s, s + dt.timedelta(days=rnd.randrange(-3, 120))))
     df = spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(spans)], "id int, s date, e date")
+    one = dt.timedelta(days=1)
     for interval in ("m", "w", "d"):
         got = cal.date_ranges(df, "s", "e", interval).collect()
         for i, (s, e) in enumerate(spans):
             mine = sorted((r["range_start"], r["range_end"]) for r in got if r["id"] == i)
-            assert mine == py_ranges(s, e, interval), (interval, s, e)
+            if e < s:
+                assert mine == []
+                continue
+            assert mine[0][0] <= s <= mine[0][1] and mine[-1][1] == e
+            assert interval == "w" or mine[0][0] == s
+            assert all(b + one == a for (_, b), (a, _) in zip(mine, mine[1:]))
+            for k, (a, b) in enumerate(mine):
+                assert a <= b
+                if interval == "d":
+                    assert a == b
+                if interval == "m":
+                    assert (a.year, a.month) == (b.year, b.month) and (k == 0 or a.day == 1)
+                    assert b == e or (b + one).day == 1
+                if interval == "w":
+                    assert a.weekday() == 0 and (b == e or b.weekday() == 6)

@@ -1,4 +1,4 @@
-"""Evolution cycles against a plain sequential fold of the reference's loop."""
+"""Evolution cycles against their definition by bursts, and literal histories."""
 
 import random
 
@@ -10,35 +10,29 @@ from repochron.operators import cycles as cyc
 DAY = 86400.0
 
 
-def fold(rows):
-    """Sequential restatement of the carried-flag loop (one repository)."""
+def by_bursts(rows):
+    """The cycles of one repository from their definition: a burst (commits less than a day
+    apart) with a net change of rules or modules after the very first commit closes a cycle at
+    its last commit; what changed is summed from the first such commit to the burst's end."""
     rows = sorted(rows, key=lambda c: (c["epoch"], c["hash"]))
-    out, begin, end = [], None, None
-    n = nrel = 0
-    pend, pend_ext, carrying = [0, 0, 0, 0], [], False
-    for i, c in enumerate(rows):
-        n += 1
-        cur = (c["hash"], c["epoch"])
-        if begin is None:
-            begin = cur
-            n = 1 if end is None else 0
+    starts = [0] + [i for i in range(1, len(rows)) if rows[i]["epoch"] - rows[i - 1]["epoch"] >= DAY]
+    closing = {}                                   # last commit of a closing burst -> first net change
+    for s, e in zip(starts, [*starts[1:], len(rows)]):
+        net = [i for i in range(max(s, 1), e) if rows[i]["ra"] != rows[i]["rr"] or rows[i]["ma"] != rows[i]["mr"]]
+        if net:
+            closing[e - 1] = net[0]
+    out, begin = [], 0
+    for last in [*closing, len(rows) - 1]:
+        open_ = last not in closing or (out and last == begin)
+        members = range(0 if begin == 0 else begin + 1, last + 1)
+        ends = [(rows[i]["hash"], rows[i]["epoch"]) for i in (begin, last)]
+        if last == begin or ends[0] == ends[1]:
             continue
-        end = cur
-        if c["related"]:
-            nrel += 1
-        vals = (c["ra"], c["rr"], c["ma"], c["mr"])
-        net = (vals[0] - vals[1]) != 0 or (vals[2] - vals[3]) != 0
-        if net or carrying:
-            if i + 1 < len(rows) and rows[i + 1]["epoch"] - c["epoch"] < DAY:
-                pend = [p + v for p, v in zip(pend, vals)]
-                pend_ext += c["exts"]
-                carrying = True
-                continue
-            tot = [p + v for p, v in zip(pend, vals)]
-            out.append((begin, end, n, nrel, tuple(tot), tuple(sorted(set(pend_ext + c["exts"]))), True))
-            begin, n, nrel, pend, pend_ext, carrying = end, 0, 0, [0, 0, 0, 0], [], False
-    if begin is not None and end is not None and begin != end:
-        out.append((begin, end, n, nrel, (0, 0, 0, 0), (), False))
+        changed = [] if open_ else range(closing[last], last + 1)
+        out.append((*ends, len(members), sum(rows[i]["related"] for i in members if i),
+                    tuple(sum(rows[i][k] for i in changed) for k in ("ra", "rr", "ma", "mr")),
+                    tuple(sorted({x for i in changed for x in rows[i]["exts"]})), not open_))
+        begin = last
     return out
 
 
@@ -71,7 +65,7 @@ def to_df(spark, rows):
 
 
 @pytest.mark.parametrize("seed,bucket", [(1, 7200), (2, 7200), (3, 86400), (4, 1)])
-def test_cycles_match_sequential_fold(spark, seed, bucket):
+def test_cycles_match_their_definition(spark, seed, bucket):
     rnd = random.Random(seed)
     rows = []
     for r in range(12):
@@ -82,7 +76,7 @@ def test_cycles_match_sequential_fold(spark, seed, bucket):
     for g in got:
         have.setdefault(g["repo"], []).append(g)
     for repo in {r["repo"] for r in rows}:
-        want = fold([r for r in rows if r["repo"] == repo])
+        want = by_bursts([r for r in rows if r["repo"] == repo])
         mine = sorted(have.get(repo, []), key=lambda g: g["cycle_no"])
         assert len(mine) == len(want), repo
         for g, w in zip(mine, want):

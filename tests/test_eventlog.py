@@ -68,7 +68,7 @@ def test_dedupe_switch_and_sort(spark):
                                   "committer_date string, committer_epoch double")
     commits = spark.createDataFrame([("o", "r", "m", ["c0", "c3"])],
                                     "owner string, repo string, hash string, parents array<string>")
-    prs = spark.createDataFrame([("o", "r", 1, "x", "m", ("u",)), ("o", "r", 1, "x", "m", ("u",))],
+    prs = spark.createDataFrame([("o", "r", 1, "2024-01-01T00:00:00Z", "m", ("u",)), ("o", "r", 1, "2024-01-01T00:00:00Z", "m", ("u",))],
                                 "owner string, repo string, number bigint, created_at string, "
                                 "merge_commit_sha string, user struct<login:string>")
     raw = el.pr_commit_activities(prs, commits, order)
@@ -80,107 +80,55 @@ def test_dedupe_switch_and_sort(spark):
     assert ts == sorted(ts)
 
 
-def test_event_log_matches_per_cycle_loop(spark):
-    import datetime as dt
-    import random
-
-    from repochron.operators import cycles as cyc
-
-    rnd = random.Random(21)
-    base = 1_700_000_000
-    ts = lambda e: dt.datetime.fromtimestamp(e, dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    n = 30
-    epochs = sorted(base + rnd.randrange(0, 20 * 86400) + rnd.choice([0.0, 0.25, 0.75]) for _ in range(n))
-    hashes = [f"{i:02d}" + "%038x" % rnd.getrandbits(152) for i in range(n)]
-    parents = [[]] + [[hashes[i - 1]] for i in range(1, n)]
-    for i in (8, 17, 25):
-        parents[i] = [hashes[i - 4], hashes[i - 1]]
-    parents[20] = [hashes[19], hashes[18], hashes[17]]
-    commits = [dict(hash=h, epoch=e, parents=p, date=f"d{e}", committer=f"c{i % 3}",
-                    ra=int(rnd.random() < 0.3), rr=0, ma=0, mr=0)
-               for i, (h, e, p) in enumerate(zip(hashes, epochs, parents))]
-    cdf = spark.createDataFrame(
-        [("o", "r", c["hash"], c["epoch"], c["date"], c["committer"], c["parents"], c["ra"], 0, 0, 0, False, [])
-         for c in commits],
-        "owner string, repo string, hash string, committer_epoch double, committer_date string, "
-        "committer string, parents array<string>, snakemake_n_rules_added bigint, "
-        "snakemake_n_rules_removed bigint, snakemake_n_modules_added bigint, snakemake_n_modules_removed bigint, "
-        "snakemake_related boolean, file_extensions array<string>")
-    cycles_df = cyc.evolution_cycles(cdf)
-    cycles = cycles_df.collect()
-    span = (base, base + 21 * 86400)
-    issues = [dict(number=k, ce=rnd.randrange(*span), xe=rnd.choice([None, rnd.randrange(*span)]), login=f"u{k}")
-              for k in range(12)]
-    comments = [dict(num=rnd.randrange(12), ce=rnd.randrange(*span), login=f"v{j}") for j in range(15)]
-    events = [dict(num=rnd.randrange(12), ce=rnd.randrange(*span), event=rnd.choice(["labeled", "closed"]),
-                   actor=rnd.choice([None, "bot"])) for _ in range(15)]
-    prs = [dict(number=100 + j, ce=rnd.randrange(*span), login=f"p{j}",
-                sha=rnd.choice([hashes[8], hashes[17], hashes[5], hashes[20], "f" * 40, None]))
-           for j in range(10)]
-
-    # The reference's loop for one cycle (restated), PR commits separated.
-    order = sorted(commits, key=lambda c: (c["epoch"], c["hash"]))
-    idx = {c["hash"]: i for i, c in enumerate(order)}
-    by_hash = {c["hash"]: c for c in commits}
-
-    def timed(cy):
-        b, e = cy["begin"]["epoch"], cy["end"]["epoch"]
-        inr = lambda t: b <= t <= e
-        out = []
-        for i in issues:
-            if inr(i["ce"]):
-                out.append((f"Issue-{i['number']}", "Issue Created", ts(i["ce"]), i["login"]))
-            if i["xe"] is not None and inr(i["xe"]):
-                out.append((f"Issue-{i['number']}", "Issue Closed", ts(i["xe"]), i["login"]))
-        for c in comments:
-            if inr(c["ce"]):
-                out.append((f"Issue-{c['num']}", "Issue Commented", ts(c["ce"]), c["login"]))
-        for ev in events:
-            if inr(ev["ce"]):
-                out.append((f"Issue-{ev['num']}", ev["event"], ts(ev["ce"]), ev["actor"]))
-        wf = cy["n_snakemake_rules_added"] > 0 or cy["n_snakemake_modules_added"] > 0
-        for c in order:
-            t = int(c["epoch"])
-            if inr(t):
-                text = dt.datetime.fromtimestamp(t, dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S ")
-                out.append((f"Commit-{c['hash'][:7]}", "Committed-Snakemake" if wf else "Committed", text,
-                            c["committer"]))
-        for p in prs:
-            if inr(p["ce"]):
-                out.append((f"Issue-{p['number']}", "Pull Request Opened", ts(p["ce"]), p["login"]))
-        return sorted(out, key=repr)
-
-    pr_commits = []
-    for p in prs:
-        m = by_hash.get(p["sha"]) if p["sha"] else None
-        if not m or not m["parents"]:
-            continue
-        if len(m["parents"]) == 1:
-            pr_commits.append((f"Issue-{p['number']}", "Committed", by_hash[m["parents"][0]]["date"], p["login"]))
-        elif len(m["parents"]) == 2:
-            for i in range(idx[m["parents"][0]], idx[m["parents"][1]]):
-                pr_commits.append((f"Issue-{p['number']}", "Committed", order[i]["date"], p["login"]))
-
-    def df(rows, schema):
-        return spark.createDataFrame(rows, schema)
+def test_event_log_of_a_small_history(spark):
+    """Two cycles, worked by hand: times are seconds, cycle 1 is [100, 300.5], cycle 2 [300.5, 500]."""
+    def gh(t):
+        return f"1970-01-01T00:{t // 60:02d}:{t % 60:02d}Z"
+
+    key = "owner string, repo string, "
+    issues = spark.createDataFrame([("o", "r", 1, gh(150), gh(400), ("ann",)), ("o", "r", 2, gh(99), None, ("bob",))],
+                                   key + "number bigint, created_at string, closed_at string, user struct<login:string>")
+    comments = spark.createDataFrame([("o", "r", 1, "https://x/issues/1", gh(301), ("cid",)), ("o", "s", 2, "x/9", gh(301), ("d",))],
+                                     key + "id bigint, issue_url string, created_at string, user struct<login:string>")
+    events = spark.createDataFrame([("o", "r", 5, "labeled", gh(500), None, (2,)), ("o", "r", 6, "late", gh(501), None, (2,))],
+                                   key + "id bigint, event string, created_at string, actor struct<login:string>, "
+                                         "issue struct<number:bigint>")
+    commits = spark.createDataFrame(
+        [("o", "r", "a" * 40, 100.0, "A", "eve", []), ("o", "r", "b" * 40, 300.5, "B", "eve", ["a" * 40]),
+         ("o", "r", "c" * 40, 450.0, "C", "fay", ["a" * 40, "b" * 40]), ("o", "r", "d" * 40, 500.0, "D", "fay", ["c" * 40])],
+        key + "hash string, committer_epoch double, committer_date string, committer string, parents array<string>")
+    order = commits.withColumn("idx", F.expr("ascii(hash) - 97").cast("bigint"))
+    prs = spark.createDataFrame([("o", "r", 7, gh(200), "c" * 40, ("gus",)), ("o", "r", 8, gh(480), "d" * 40, ("gus",)),
+                                 ("o", "r", 9, None, "d" * 40, ("hal",)), ("o", "r", 10, "2024-13-01", "d" * 40, ("hal",))],
+                                key + "number bigint, created_at string, merge_commit_sha string, user struct<login:string>")
+    log = el.event_log(cycles(spark), issues, comments, events, prs, commits, order).collect()
+    got = sorted(((r["cycle_no"] or 0, r["case_id"], r["activity"], r["user"]) for r in log), key=str)
+    assert got == sorted([
+        (1, "Issue-1", "Issue Created", "ann"), (2, "Issue-1", "Issue Closed", "ann"), (2, "Issue-1", "Issue Commented", "cid"),
+        (2, "Issue-2", "labeled", None), (1, "Commit-aaaaaaa", "Committed-Snakemake", "eve"),
+        (1, "Commit-bbbbbbb", "Committed-Snakemake", "eve"),           # 300 < 300.5: not in cycle 2
+        (2, "Commit-ccccccc", "Committed", "fay"), (2, "Commit-ddddddd", "Committed", "fay"),
+        (1, "Issue-7", "Pull Request Opened", "gus"), (2, "Issue-8", "Pull Request Opened", "gus"),
+        (0, "Issue-7", "Committed", "gus"),                             # commit a: positions [0, 1)
+        (0, "Issue-8", "Committed", "gus"),                             # commit c, the parent; 9 and 10 have no date
+    ], key=str)
+
+
+def test_rejects_name_every_skipped_row(spark):
     key = "owner string, repo string, "
-    issues_df = df([("o", "r", i["number"], ts(i["ce"]), ts(i["xe"]) if i["xe"] else None, (i["login"],))
-                    for i in issues], key + "number bigint, created_at string, closed_at string, "
-                                            "user struct<login:string>")
-    com_df = df([("o", "r", j, f"https://x/issues/{c['num']}", ts(c["ce"]), (c["login"],))
-                 for j, c in enumerate(comments)],
-                key + "id bigint, issue_url string, created_at string, user struct<login:string>")
-    ev_df = df([("o", "r", j, e["event"], ts(e["ce"]), (e["actor"],) if e["actor"] else None, (e["num"],))
-                for j, e in enumerate(events)],
-               key + "id bigint, event string, created_at string, actor struct<login:string>, "
-                     "issue struct<number:bigint>")
-    pr_df = df([("o", "r", p["number"], ts(p["ce"]), p["sha"], (p["login"],)) for p in prs],
-               key + "number bigint, created_at string, merge_commit_sha string, user struct<login:string>")
-    log = el.event_log(cycles_df, issues_df, com_df, ev_df, pr_df, cdf, cyc.commit_order(cdf)).collect()
-    for cy in cycles:
-        mine = sorted(((r["case_id"], r["activity"], r["timestamp"], r["user"]) for r in log
-                       if r["cycle_no"] == cy["cycle_no"]), key=repr)
-        assert mine == timed(cy), cy["cycle_no"]
-    mine_pr = sorted(((r["case_id"], r["activity"], r["timestamp"], r["user"]) for r in log
-                      if r["cycle_no"] is None), key=repr)
-    assert mine_pr == sorted(pr_commits, key=repr) and len(cycles) >= 2
+    issues = spark.createDataFrame([("o", "r", 1, "2024-13-01T00:00:00Z", None), ("o", "r", 2, None, None),
+                                    ("o", "r", 3, "2024-01-01T00:00:00Z", "junk"), ("o", "r", 4, "2024-01-01T00:00:00Z", None)],
+                                   key + "number bigint, created_at string, closed_at string")
+    dated = key + "id bigint, created_at string"
+    comments = spark.createDataFrame([("o", "r", 11, "x")], dated)
+    events = spark.createDataFrame([("o", "r", 12, "2024-01-01T00:00:00Z")], dated)
+    prs = spark.createDataFrame([("o", "r", 7, "2024-01-01T00:00:00Z", "zz"), ("o", "r", 8, "2024-01-01T00:00:00Z", "m"),
+                                 ("o", "r", 9, "", None)], key + "number bigint, created_at string, merge_commit_sha string")
+    commits = spark.createDataFrame([("o", "r", "m", ["gone", "a"]), ("o", "r", "a", [])], key + "hash string, parents array<string>")
+    got = sorted(tuple(r) for r in el.event_rejects(issues, comments, events, prs, commits).collect())
+    assert got == sorted([
+        ("event_log", "o", "r", "issue", "1", "malformed created_at"), ("event_log", "o", "r", "issue", "2", "no created_at"),
+        ("event_log", "o", "r", "issue", "3", "malformed closed_at"), ("event_log", "o", "r", "comment", "11", "malformed created_at"),
+        ("event_log", "o", "r", "pull_request", "7", "merge commit not found"),
+        ("event_log", "o", "r", "pull_request", "8", "parent commit not found"),
+        ("event_log", "o", "r", "pull_request", "9", "no created_at")])
