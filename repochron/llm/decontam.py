@@ -107,6 +107,12 @@ class Index:
     basis: np.ndarray | None = None   # words x rank
     latent: np.ndarray | None = None  # unit rows
     least: float = 0.0                # smallest piece norm
+    flat: np.ndarray | None = None    # vocabulary indices of all pieces' words
+    at: np.ndarray | None = None      # where each piece starts in ``flat``
+
+    def lay_out(self) -> None:
+        self.flat = self.features(np.array([w for p in self.pieces for w in p], np.uint64)).astype(np.int64)
+        self.at = np.concatenate(([0], np.cumsum([len(p) for p in self.pieces]))).astype(np.int64)
 
     def features(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary index of each word, or -1."""
@@ -249,7 +255,16 @@ def search(index: Index, h: np.ndarray, first: np.ndarray, cosine: float, share:
         folded = np.add.reduceat(index.basis[word] * index.idf[word, None].astype(np.float32), cuts, axis=0)
         norm = np.linalg.norm(folded, axis=1)
         sims = (folded / np.maximum(norm, 1e-9)[:, None]) @ index.latent.T
-        for r, piece in zip(*np.nonzero(sims >= cosine)):
+        r, piece = np.nonzero(sims >= cosine)
+        # a common subsequence has at most the piece's words that the passage holds at all
+        inside = np.zeros((len(cuts), len(index.vocabulary)), bool)
+        inside[np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(row)))), word] = True
+        size = index.at[piece + 1] - index.at[piece]
+        ends = np.cumsum(size)
+        place = np.repeat(index.at[piece] - (ends - size), size) + np.arange(size.sum())
+        held = np.concatenate(([0], np.cumsum(inside[np.repeat(r, size), index.flat[place]])))
+        enough = held[ends] - held[ends - size] >= share * size
+        for r, piece in zip(r[enough].tolist(), piece[enough].tolist()):
             p = these[row[cuts[r]]]
             passage = h[start[p]: end[p]].tolist()
             want = index.pieces[piece]
@@ -329,6 +344,7 @@ def _indexes(src: DataFrame, benchmark: DataFrame, item_col: str, item_text: str
         index.least = float(np.linalg.norm(rows, axis=1).min())
         latent = rows @ index.basis
         index.latent = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        index.lay_out()
         yield index
 
 
