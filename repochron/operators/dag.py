@@ -1,11 +1,13 @@
 """Commit-graph traversal.
 
 The graph is an edge table ``(key, child, parent, pos)`` exploded from the
-``parents`` arrays. Traversals go level by level from the refs: each round is one
-equi join of the frontier with the edges plus an anti join with what is already
-settled, so the work is proportional to the output; lineage is cut every few
-rounds by writing the state under the checkpoint folder. The number of rounds is
-the longest distance walked (the depth of history below a ref).
+``parents`` arrays. Refs are walked from child to parent. A commit with exactly one
+child and no ref of its own only hands on what its child has, so such commits are
+collapsed first: pointer doubling finds the head of each straight chain in a number
+of rounds that grows with the logarithm of the chain's length. Labels then travel
+over heads alone (refs, merge bases and forks), only changed labels in each round,
+and the chains take theirs from their heads in one join at the end. Every round is
+written under the checkpoint folder, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -35,6 +37,36 @@ def with_parent_dates(commits: DataFrame, key: Sequence[str] = KEY) -> DataFrame
     return e.join(p, [*key, "parent"], "left")
 
 
+def collapse_chains(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
+    """``(chains, links)``: ``chains`` has ``(key, hash, head, dist)`` for every commit that hangs on
+    one child alone, ``links`` the weighted edges ``(key, head, hash, dist)`` into all others.
+
+    Raises if the edges run in a circle, which no commit history does."""
+    k = list(key)
+    e = write_through(edges.select(*k, "child", F.col("parent").alias("hash")).distinct(), "edges")
+    lone = (e.groupBy(*k, "hash").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("up")).where("n = 1")
+            .join(refs.select(*k, "hash"), [*k, "hash"], "left_anti"))
+    ptr, n = write_through_counted(
+        lone.select(*k, "hash", F.col("up").alias("head"), F.lit(1).cast("bigint").alias("dist")), "chain")
+    for _ in range(n.bit_length() + 1):              # the followed length doubles each round
+        onward = ptr.select(*k, F.col("hash").alias("head"), F.col("head").alias("__h"), F.col("dist").alias("__d"))
+        step = ptr.join(onward, [*k, "head"], "left").select(
+            *k, "hash", F.coalesce("__h", "head").alias("head"),
+            (F.col("dist") + F.coalesce("__d", F.lit(0))).alias("dist"), F.col("__h").isNotNull().alias("__moved"))
+        step = write_through(step, "chain")
+        ptr = step.drop("__moved")
+        if step.where("__moved").isEmpty():
+            break
+    else:
+        raise ValueError("the parent edges run in a circle")
+    into = e.join(ptr.select(*k, "hash"), [*k, "hash"], "left_anti")
+    tail = ptr.select(*k, F.col("hash").alias("child"), "head", "dist")
+    links = into.join(tail, [*k, "child"], "left").select(
+        *k, F.coalesce("head", "child").alias("head"), "hash", (F.coalesce("dist", F.lit(0)) + 1).alias("dist"))
+    links = links.groupBy(*k, "head", "hash").agg(F.min("dist").alias("dist"))
+    return ptr, write_through(links, "links")
+
+
 def nearest_ref(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY,
                 cut_every: int = 4) -> DataFrame:
     """For every commit reachable from a ref, the nearest ref by number of
@@ -42,53 +74,59 @@ def nearest_ref(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY,
 
     ``refs``: ``(key, hash, ref)``. The best (depth, ref) label of a commit is the
     minimum over its children's labels plus one, so propagating only the best
-    label per commit and level is exact."""
+    label per commit is exact; a label that improves travels again."""
     k = list(key)
-    # Read by every round: materialise once.
-    e = write_through(edges.select(*k, "child", "parent"), "edges")
-    frontier = write_through(refs.groupBy(*k, "hash").agg(F.min("ref").alias("ref"))
-                             .withColumn("depth", F.lit(0).cast("bigint")), "refs")
-    settled = frontier
+    start = write_through(refs.groupBy(*k, "hash").agg(F.min("ref").alias("ref"))
+                          .select(*k, "hash", F.struct(F.lit(0).cast("bigint").alias("depth"), "ref").alias("b")), "refs")
+    chains, links = collapse_chains(edges, start, k)
+    settled = frontier = start
     level = 0
     while True:
         level += 1
-        step = (frontier.join(e.withColumnRenamed("child", "hash"), [*k, "hash"], "inner")
-                .select(*k, F.col("parent").alias("hash"), "ref", (F.col("depth") + 1).alias("depth")))
-        best = step.groupBy(*k, "hash").agg(F.min(F.struct("depth", "ref")).alias("b")) \
-                   .select(*k, "hash", "b.depth", "b.ref")
-        new, n_new = write_through_counted(
-            best.join(settled.select(*k, "hash"), [*k, "hash"], "left_anti"), "frontier")
+        step = (frontier.withColumnRenamed("hash", "head").join(links, [*k, "head"])
+                .groupBy(*k, "hash").agg(F.min(F.struct((F.col("b.depth") + F.col("dist")).alias("depth"),
+                                                        F.col("b.ref").alias("ref"))).alias("b")))
+        old = settled.groupBy(*k, "hash").agg(F.min("b").alias("__old"))
+        better = (step.join(old, [*k, "hash"], "left").where(F.col("__old").isNull() | (F.col("b") < F.col("__old")))
+                  .select(*k, "hash", "b"))
+        frontier, n_new = write_through_counted(better, "frontier")
         if n_new == 0:
             break
-        settled = settled.unionByName(new.select(*settled.columns))
+        settled = settled.unionByName(frontier)
         if level % cut_every == 0:
-            settled = write_through(settled, "settled")
-        frontier = new
+            settled = write_through(settled.groupBy(*k, "hash").agg(F.min("b").alias("b")), "settled")
+    heads = settled.groupBy(*k, "hash").agg(F.min("b").alias("b")).select(*k, "hash", "b.depth", "b.ref")
+    heads = write_through(heads, "heads")
+    rest = chains.join(heads.withColumnRenamed("hash", "head"), [*k, "head"]).select(
+        *k, "hash", (F.col("depth") + F.col("dist")).alias("depth"), "ref")
+    out = heads.unionByName(rest)
     name = F.when(F.col("depth") == 0, F.col("ref")).otherwise(
         F.concat(F.col("ref"), F.lit("~"), F.col("depth").cast("string")))
-    return settled.select(*k, "hash", "ref", "depth", name.alias("name"))
+    return out.select(*k, "hash", "ref", "depth", name.alias("name"))
 
 
 def tags_containing(edges: DataFrame, tags: DataFrame, key: Sequence[str] = KEY,
                     cut_every: int = 4) -> DataFrame:
     """Every (commit, tag) with the commit in the tag's history (the tagged
-    commit included). The output itself is tags x ancestors, so pass only the tags
-    asked for; the work is proportional to that output."""
+    commit included). Tag sets travel over chain heads; a chain's commits take their
+    head's set in the final join. That output is tags x ancestors by its meaning, so
+    pass only the tags asked for."""
     k = list(key)
-    e = write_through(edges.select(*k, "child", "parent"), "edges")
-    frontier = write_through(tags.select(*k, "hash", "tag").distinct(), "tags")
-    seen = frontier
+    start = write_through(tags.select(*k, "hash", "tag").distinct(), "tags")
+    chains, links = collapse_chains(edges, start, k)
+    links = links.select(*k, "head", "hash")
+    seen = frontier = start
     level = 0
     while True:
         level += 1
-        step = (frontier.join(e.withColumnRenamed("child", "hash"), [*k, "hash"], "inner")
-                .select(*k, F.col("parent").alias("hash"), "tag").distinct())
-        new, n_new = write_through_counted(step.join(seen, [*k, "hash", "tag"], "left_anti"),
-                                           "tagfrontier")
+        step = (frontier.withColumnRenamed("hash", "head").join(links, [*k, "head"])
+                .select(*k, "hash", "tag").distinct())
+        frontier, n_new = write_through_counted(step.join(seen, [*k, "hash", "tag"], "left_anti"), "tagfrontier")
         if n_new == 0:
             break
-        seen = seen.unionByName(new)
+        seen = seen.unionByName(frontier)
         if level % cut_every == 0:
             seen = write_through(seen, "tagseen")
-        frontier = new
-    return seen.select(*k, F.col("hash").alias("commit_hash"), "tag")
+    seen = write_through(seen, "tagheads")
+    rest = chains.join(seen.withColumnRenamed("hash", "head"), [*k, "head"]).select(*k, "hash", "tag")
+    return seen.unionByName(rest).select(*k, F.col("hash").alias("commit_hash"), "tag")

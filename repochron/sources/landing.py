@@ -136,12 +136,29 @@ def commit_files_of(commits: DataFrame) -> DataFrame:
 
 
 def read_repo_info(spark: SparkSession, root: str) -> DataFrame:
-    """One JSON object per repository: typed columns for the used fields, the
-    open remainder kept whole as VARIANT (``tail``)."""
+    """One JSON object per repository: typed columns for the used fields, all
+    fields as a map of VARIANT values (``tail``). Unreadable files give no row (they are
+    in ``unreadable_files``)."""
     raw = _with_key(spark.read.text(_glob(root, "repo_info"), wholetext=True), "repo_info")
     typed = F.from_json(F.col("value"), S.REPO_INFO)
-    return raw.select("owner", "repo", typed.alias("t"), F.parse_json("value").alias("tail")) \
-              .select("owner", "repo", "t.*", "tail")
+    tail = F.from_json(F.col("value"), "map<string,variant>")
+    return (raw.select("owner", "repo", typed.alias("t"), tail.alias("tail")).where("tail is not null")
+            .select("owner", "repo", "t.*", "tail"))
+
+
+def unreadable_files(spark: SparkSession, root: str, entities: Sequence[str]) -> DataFrame:
+    """S05-S18 rejects: landed files that hold no valid JSON, ``(stage, owner, repo, reason)``."""
+    out = spark.createDataFrame([], "stage string, owner string, repo string, reason string")
+    for entity in entities:
+        try:
+            raw = _with_key(spark.read.text(_glob(root, entity), wholetext=True), entity)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        out = out.unionByName(raw.where(F.try_parse_json("value").isNull()).select(
+            F.lit("landing").alias("stage"), "owner", "repo", F.lit(f"unreadable {entity} file").alias("reason")))
+    return out
 
 
 # --- provider entities (S09-S19, S21) -----------------------------------------------
@@ -176,8 +193,10 @@ def _read_entity(spark: SparkSession, root: str, entity: str, schema: T.StructTy
         listed = F.from_json(F.col("value"), T.ArrayType(schema))
         items = F.coalesce(parsed[field], listed, F.array().cast(T.ArrayType(schema)))
         return raw.select("owner", "repo", F.inline(items))
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
-    return _with_key(df, entity)
+    whole = T.StructType([*schema.fields, T.StructField("__unreadable", T.StringType())])
+    df = (spark.read.schema(whole).option("multiLine", True)
+          .option("columnNameOfCorruptRecord", "__unreadable").json(path))
+    return _with_key(df, entity).where(F.col("__unreadable").isNull()).drop("__unreadable")
 
 
 def read_pull_requests(spark: SparkSession, root: str, schema: T.StructType = S.PULL_REQUEST) -> DataFrame:

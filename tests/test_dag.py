@@ -47,3 +47,54 @@ def test_tags_containing(spark):
            dag.tags_containing(edges, refs.withColumnRenamed("ref", "tag")).collect()}
     want = {(c, r) for h, rs in REFS.items() for r in rs for c in brute_dist(h)}
     assert got == want
+
+
+def test_random_histories_with_long_chains(spark):
+    import random
+    rnd = random.Random(6)
+    parents = {}
+    names = [f"n{i:03d}" for i in range(150)]
+    for i, h in enumerate(names):
+        kind = rnd.random()
+        if i == 0 or kind < 0.03:
+            parents[h] = []
+        elif kind < 0.15:
+            parents[h] = rnd.sample(names[max(0, i - 20): i], min(2, i))
+        else:
+            parents[h] = [names[i - 1]]
+    refs = {"n149": ["main"], "n070": ["t1"], "n071": ["t2"], "n020": ["t3", "t0"]}
+    commits = spark.createDataFrame([("o", r, h, p) for r in ("a", "b") for h, p in parents.items()],
+                                    "owner string, repo string, hash string, parents array<string>")
+    tags = spark.createDataFrame([("o", "a", h, t) for h, ts in refs.items() for t in ts] + [("o", "b", "n010", "x")],
+                                 "owner string, repo string, hash string, ref string")
+    edges = dag.parent_edges(commits)
+
+    def walk(start):
+        dist, queue = {start: 0}, collections.deque([start])
+        while queue:
+            u = queue.popleft()
+            for p in parents[u]:
+                if p not in dist:
+                    dist[p] = dist[u] + 1
+                    queue.append(p)
+        return dist
+
+    every = {("a", c, t): d for h, ts in refs.items() for t in ts for c, d in walk(h).items()}
+    every |= {("b", c, "x"): d for c, d in walk("n010").items()}
+    got = {(r["repo"], r["commit_hash"], r["tag"])
+           for r in dag.tags_containing(edges, tags.withColumnRenamed("ref", "tag")).collect()}
+    assert got == set(every)
+    best = {}
+    for (repo, c, t), d in every.items():
+        best[repo, c] = min(best.get((repo, c), (d, t)), (d, t))
+    near = dag.nearest_ref(edges, tags).collect()
+    assert {(r["repo"], r["hash"]): (r["depth"], r["ref"]) for r in near} == best and len(near) == len(best)
+
+
+def test_a_circle_is_an_error(spark):
+    import pytest
+    ring = spark.createDataFrame([("o", "r", a, [b]) for a, b in (("x", "y"), ("y", "z"), ("z", "x"))],
+                                 "owner string, repo string, hash string, parents array<string>")
+    none = spark.createDataFrame([], "owner string, repo string, hash string, ref string")
+    with pytest.raises(ValueError):
+        dag.collapse_chains(dag.parent_edges(ring), none)

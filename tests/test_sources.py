@@ -70,7 +70,7 @@ def test_repo_info_tail_and_lists(spark):
     root, _, _ = make_root()
     info = ld.read_repo_info(spark, root).collect()[0]
     assert info["full_name"] == "acme/tool" and info["has_issues"] is True
-    tail = ld.read_repo_info(spark, root).select(F.variant_get("tail", "$.topics[0]", "string")).collect()[0][0]
+    tail = ld.read_repo_info(spark, root).select(F.variant_get(F.col("tail")["topics"], "$[0]", "string")).collect()[0][0]
     assert tail == "x"
     write(f"{root}/lists/a.txt", "acme/tool\n\n/bad\nx/y/z\n  other/lib  \n")
     ok, bad = ld.repo_list_from_files(spark, f"{root}/lists/a.txt")
@@ -178,3 +178,51 @@ def test_pages_text_and_lists(spark):
     whole = ld.read_whole_text(spark, f"{root}/black.txt").collect()
     assert len(whole) == 1 and whole[0]["value"] == "a/b\nc/d\n"
     assert [r["full_name"] for r in ld.repo_list_inline(spark, ["x/y", "bad"]).collect()] == ["x/y"]
+
+
+def test_unreadable_files_are_rejected_not_counted(spark, tmp_path):
+    import json
+
+    from repochron.plans import stages
+    for repo in ("good", "bad", "bare"):
+        (tmp_path / "o").mkdir(exist_ok=True)
+        if repo != "bare":
+            (tmp_path / "o" / f"{repo}.repo_info.json").write_text(json.dumps(
+                {"id": 1, "full_name": f"o/{repo}", "name": repo, "html_url": "h", "clone_url": "c", "topics": ["x"]}))
+        (tmp_path / "o" / f"{repo}.commits.json").write_text(json.dumps(
+            {"a" * 40: {"author": "a", "committer": "c", "committer_date": "d", "committer_epoch": 5.0, "parents": []}}))
+    (tmp_path / "o" / "good.issues.json").write_text('[{"number": 1}, {"number": 2}]')
+    (tmp_path / "o" / "bad.issues.json").write_text('[{"number": 1}')
+    (tmp_path / "o" / "bad.pullrequests.json").write_text('[[{"number"')
+    root = str(tmp_path)
+    landed = stages.land(spark, root)
+    wanted = spark.createDataFrame([("o", r) for r in ("good", "bad", "bare", "none")], "owner string, repo string")
+    extended, rejects = stages.extend_repositories_info(spark, root, repos=wanted, landed=landed, as_of=1e9)
+    rows = {r["repo"]: r for r in extended.collect()}
+    assert {k: (r["x_total_issues"], r["x_total_pull_requests"]) for k, r in rows.items()} == {"good": (2, 0), "bad": (0, 0)}
+    assert not [c for c in extended.columns if c.endswith("_url")]
+    assert not [k for k in rows["good"]["tail"] if k.endswith("_url")] and "topics" in rows["good"]["tail"]
+    assert sorted((r["repo"], r["reason"]) for r in rejects.collect()) == [
+        ("bad", "unreadable issues file"), ("bad", "unreadable pull_requests file"), ("bare", "no repository info"),
+        ("none", "no extracted commits")]
+    plan = extended._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan json" not in plan and "FileScan text" not in plan
+
+
+def test_commit_table_of_landed_text(spark, tmp_path):
+    from repochron.plans import stages
+    h, p = "a" * 40, "b" * 40
+    for repo, added in (("one", 3), ("two", 5)):
+        d = tmp_path / "x" / repo
+        d.mkdir(parents=True)
+        (d / "commits.log").write_text(f"{h}|A|C|d|one | two|{p} {'c' * 40}\n{p}|A|C|d|root|\nnoise\n")
+        (d / "numstat.txt").write_text(f"{h}\t{added}\t1\tf.py\n{h}\t-\t-\tb.png\n")
+        (d / "tags.txt").write_text(f"{h}\tv1\n")
+    (tmp_path / "x" / "one" / "branches.txt").write_text(f"{p}\tmain~1\n{h}\tmain\n")
+    rows, rejects = stages.commit_log_of(spark, str(tmp_path / "x"))
+    got = {(r["repo_name"], r["commit_hash"][0]): r for r in rows.collect()}
+    assert len(got) == 4 and got["one", "a"]["lines_added"] == 3 and got["two", "a"]["lines_added"] == 5
+    assert got["one", "a"]["message"] == "one | two" and got["one", "a"]["changed_files"] == ["b.png", "f.py"]
+    assert got["one", "a"]["merged_branch"] == "main~1" and got["two", "a"]["merged_branch"] == ""
+    assert got["one", "b"]["changed_files"] == ["unknown"] and got["one", "a"]["tags"] == ["v1"]
+    assert [(r["repo_name"], r["line"]) for r in rejects.orderBy("repo_name").collect()] == [("one", "noise"), ("two", "noise")]
