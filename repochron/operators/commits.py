@@ -57,13 +57,13 @@ def file_workflow_columns(files: DataFrame, prefix: str = "snakemake",
                           include_keyword: str = wc.INCLUDE_KEYWORD,
                           include_sep: str = wc.INCLUDE_SEP,
                           include_suffix: str = wc.INCLUDED_RULE_SUFFIX,
-                          rule_file=None, compat: bool = True) -> DataFrame:
+                          rule_file=None, compat: bool = False) -> DataFrame:
     """X02 per-file columns.
 
     Rule files (P15) get rule / module names of the code after and before
     (F11, F12), includes (F13, F14) and per-file added / removed occurrence
-    counts (U07). ``compat=True`` reproduces the reference: module changes are
-    added to the rule counters and module counters stay 0. Script paths (P16)
+    counts (U07), modules apart from rules. ``compat=True`` is the compatibility switch:
+    module changes are added to the rule counters and module counters stay 0. Script paths (P16)
     are related but carry no names. ``rule_file`` overrides the P15 predicate.
     """
     is_rule = rule_file if rule_file is not None else wc.is_rule_file(F.col("filename"))

@@ -86,7 +86,7 @@ def q_commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("commit_bursts")
 def q_commit_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of commits less than 24 h apart (exactly 24 h splits)."""
-    b = cyc.commit_bursts(sv.commits(spark, sf_dir))
+    b = cyc.commit_bursts(sv.commits(spark, sf_dir).select("owner", "repo", "hash", "committer_epoch"))
     return b.select("owner", "repo", "hash", "idx", "burst_no", "burst_start", "burst_end",
                     "gap_next_days")
 
@@ -411,7 +411,7 @@ def q_eventlog_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("eventlog_pr_commits")
 def q_eventlog_pr_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits under merged pull requests (no time filter)."""
-    order = cyc.commit_order(sv.commits(spark, sf_dir), materialize=True)
+    order = sv.narrow_order(spark, sf_dir)
     cwp = sv.commits_with_parents(spark, sf_dir, order)
     pr = el.pr_commit_activities(sv.pull_requests(spark, sf_dir), cwp, order)
     return pr.select("owner", "repo", "case_id", "activity", "t", "timestamp", "user", "commit_hash")
@@ -600,8 +600,7 @@ def q_written_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark, sf_dir):
-    commits = sv.commits(spark, sf_dir)
-    order = cyc.commit_order(commits, materialize=True)
+    order = sv.narrow_order(spark, sf_dir, "snakemake_n_rules_added")
     cwp = sv.commits_with_parents(spark, sf_dir, order)
     edges = dag.parent_edges(cwp)
     refs = (order.filter(F.col("snakemake_n_rules_added") == 1)
@@ -665,9 +664,7 @@ def q_repo_info_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("commit_parents")
 def q_commit_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent edges with position, the parent's commit date and the merge flag."""
-    commits = sv.commits(spark, sf_dir)
-    order = cyc.commit_order(commits, materialize=True)
-    cwp = sv.commits_with_parents(spark, sf_dir, order)
+    cwp = sv.commits_with_parents(spark, sf_dir)
     e = dag.with_parent_dates(cwp)
     merges = cwp.select("owner", "repo", F.col("hash").alias("child"),
                         (F.size("parents") > 1).alias("is_merge"))

@@ -63,13 +63,19 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def narrow_order(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Commit order written with the columns that positions, dates and parents need (and ``more``)."""
+    c = commits(spark, sf_dir).select("owner", "repo", "hash", "event_id", "committer_epoch", "committer_date", *more)
+    return commit_order(c, materialize=True)
+
+
 def commits_with_parents(spark: SparkSession, sf_dir: str, order: DataFrame | None = None) -> DataFrame:
     """Parents by position in commit order: every 10th event is a two-parent merge
     of the commits 5 and 1 back, every 10th+5 a three-parent merge (1, 2, 3 back),
     the rest have the previous commit as parent; the first commit is a root."""
-    c = commits(spark, sf_dir) if order is None else order.select(*commits(spark, sf_dir).columns)
+    c = commits(spark, sf_dir)
     if order is None:
-        order = commit_order(c, materialize=True)
+        order = narrow_order(spark, sf_dir)
     o = order.select("owner", "repo", "hash", "idx", "event_id")
     back = (F.when((F.col("event_id") % 10 == 0) & (F.col("idx") >= 5), F.array(F.lit(5), F.lit(1)))
              .when((F.col("event_id") % 10 == 5) & (F.col("idx") >= 3),

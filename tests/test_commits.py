@@ -31,9 +31,9 @@ def test_rule_moved_between_files(spark):
 
 def test_module_mixup_compat_switch(spark):
     rows = [("o", "x", "c1", "Snakefile", "Snakefile", "module m:\n", "", "MODIFY")]
-    compat = cf.file_workflow_columns(files_df(spark, rows)).collect()[0]
+    compat = cf.file_workflow_columns(files_df(spark, rows), compat=True).collect()[0]
     assert (compat["snakemake_n_rules_added"], compat["snakemake_n_modules_added"]) == (1, 0)
-    fixed = cf.file_workflow_columns(files_df(spark, rows), compat=False).collect()[0]
+    fixed = cf.file_workflow_columns(files_df(spark, rows)).collect()[0]
     assert (fixed["snakemake_n_rules_added"], fixed["snakemake_n_modules_added"]) == (0, 1)
 
 
