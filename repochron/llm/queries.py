@@ -27,7 +27,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op3_rp_forest": op3_rp_forest,
     "op5_arc_to_warc": """
         SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
                sha256(coalesce(html, '')) AS payload_digest,
