@@ -77,10 +77,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Folders written by this process, for ``drop_written``.
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote, once no result that reads them is
+    needed any more; returns their number. Goes through Spark's file systems, so it works
+    wherever the shared folder lies."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it
     back: one evaluation for any number of consumers, lineage cut, and the files
-    outlive lost executors. (The folder is the cluster's to clean.)"""
+    outlive lost executors. ``drop_written`` removes them when the results are out."""
     return write_through_counted(df, name)[0]
 
 
@@ -92,4 +108,5 @@ def write_through_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame
     path = f"{base}/repochron-{name}-{uuid.uuid4().hex}"
     obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path), int(obs.get["n"])

@@ -48,3 +48,13 @@ def test_hot_key_is_split_across_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from repochron.session import drop_written, write_through
+    df = write_through(spark.range(5), "probe")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and drop_written(spark) >= 1 and not os.path.exists(folder)
+    assert drop_written(spark) == 0
