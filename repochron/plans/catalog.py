@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repochron.functions import workflow_code as wc
-from repochron.functions.scalars import last_url_segment
+from repochron.functions.scalars import identity, last_url_segment, text_to_utc
 from repochron.operators import calendar as cal
 from repochron.operators import commits as cf
 from repochron.operators import cycles as cyc
@@ -671,3 +671,95 @@ def q_commit_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(merges, ["owner", "repo", "child"]).select(
         "owner", "repo", "child", F.col("pos").cast("bigint").alias("pos"), "parent",
         "parent_committer_date", "is_merge")
+
+
+# --- filters, projections, totals and scalars on the given tables ---------------------------
+@query("issue_pull_requests")
+def q_issue_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail of every issue that is a pull request."""
+    issues = sv.issues(spark, sf_dir)
+    marked = issues.withColumn("pull_request", F.when(F.col("number") % 3 == 0, F.struct(F.lit("u").alias("url"))))
+    detail = issues.where("number % 2 = 0").select("owner", "repo", "number", F.col("comments").alias("n_reviews"))
+    return ent.issue_pull_requests(marked, detail)
+
+
+@query("related_commits")
+def q_related_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits flagged as related to the workflow."""
+    return ent.related_commits(sv.commits(spark, sf_dir)).select("owner", "repo", "hash")
+
+
+@query("repos_with_issues")
+def q_repos_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories whose feature flag is set (absent = false)."""
+    k = F.col("c_custkey")
+    flag = F.when(k % 5 == 0, F.lit(None).cast("boolean")).otherwise(k % 3 == 0)
+    repos = sv.table(spark, sf_dir, "customer").select(F.col("c_name").alias("repo"), flag.alias("has_issues"))
+    return ent.feature_gate(repos, "has_issues").select("repo")
+
+
+@query("commit_fields")
+def q_commit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the kept commit fields, missing ones null."""
+    out = cf.project_commits(sv.commits(spark, sf_dir))
+    return out.select("owner", "repo", "hash", "author", "committer", "committer_date",
+                      _r6("committer_epoch").alias("committer_epoch"), F.col("msg").cast("string").alias("msg"))
+
+
+@query("file_fields")
+def q_file_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept fields of modified files, missing ones null."""
+    out = cf.project_files(sv.commit_files(spark, sf_dir), key=("repo",))
+    return out.select("repo", "hash", "new_path", "filename", "change_type", "n_added_lines", "n_deleted_lines",
+                      F.col("old_path").cast("string").alias("old_path"))
+
+
+@query("entity_totals_other")
+def q_entity_totals_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of comments on commits, CI artifacts, workflows, runs and releases."""
+    def of(name, col, n):
+        return sv.table(spark, sf_dir, name).select(
+            F.lit(sv.OWNER).alias("owner"), F.concat(F.lit("r"), (F.col(col) % n).cast("string")).alias("repo"))
+
+    ents = {"commit_comments": of("orders", "o_orderkey", 150), "cicd_artifacts": of("lineitem", "l_partkey", 90),
+            "cicd_workflows": of("supplier", "s_suppkey", 150), "cicd_workflow_runs": of("customer", "c_custkey", 70),
+            "releases": of("part", "p_partkey", 40)}
+    return sm.entity_counts(sv.commits(spark, sf_dir).select("owner", "repo").distinct(), ents)
+
+
+@query("stage_totals")
+def q_stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Done and failed counts of a stage."""
+    o = sv.table(spark, sf_dir, "orders")
+    return sm.stage_totals(o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 7 = 0"), "extract")
+
+
+@query("identities")
+def q_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities and instants parsed from texts with an offset."""
+    o = sv.table(spark, sf_dir, "orders")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    return o.select("o_orderkey", identity(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("who"),
+                    F.unix_timestamp(text_to_utc(text)).alias("epoch"))
+
+
+@query("date_ranges_backwards")
+def q_date_ranges_backwards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A start after the end gives no range, others stay; an unknown interval gives none."""
+    sp = _order_spans(spark, sf_dir)
+    back = F.col("status") == "F"
+    sp = sp.select("repo", "status", F.when(back, F.col("end")).otherwise(F.col("start")).alias("start"),
+                   F.when(back, F.col("start")).otherwise(F.col("end")).alias("end"))
+    out = cal.date_ranges(sp, "start", "end", "m").unionByName(cal.date_ranges(sp, "start", "end", "y"))
+    return out.select("repo", "status", F.col("range_start").cast("string").alias("range_start"),
+                      F.col("range_end").cast("string").alias("range_end"))
+
+
+@query("eventlog_sorted")
+def q_eventlog_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits under merged pull requests in time order."""
+    order = sv.narrow_order(spark, sf_dir)
+    cwp = sv.commits_with_parents(spark, sf_dir, order)
+    log = el.pr_commit_activities(sv.pull_requests(spark, sf_dir), cwp, order).withColumn(
+        "cycle_no", F.lit(None).cast("bigint"))
+    return el.sort_event_log(log).select("owner", "repo", "case_id", "activity", "t", "timestamp", "user", "commit_hash")

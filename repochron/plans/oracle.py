@@ -870,3 +870,62 @@ select owner, repo, cast(cycle_no as bigint) as cycle_no,
        cast(floor((end_epoch - begin_epoch) / 60) as bigint) as diff_mins
 from cyc
 """)
+
+
+SQL["issue_pull_requests"] = _q(f"""
+with {ISSUES}
+select owner, repo, number, max_turn as n_reviews from iss where number % 6 = 0
+""")
+
+SQL["related_commits"] = _q(f"""
+with c as ({V_COMMITS})
+select owner, repo, hash from c where related
+""")
+
+SQL["repos_with_issues"] = _q("""
+select c_name as repo from customer where c_custkey % 5 <> 0 and c_custkey % 3 = 0
+""")
+
+SQL["commit_fields"] = _q(f"""
+with c as ({V_COMMITS})
+select owner, repo, hash, author, committer, committer_date, round(committer_epoch, 6) as committer_epoch,
+       cast(null as varchar) as msg from c
+""")
+
+SQL["file_fields"] = _q(f"""
+with f as ({V_FILES})
+select repo, hash, new_path, filename, change_type, n_added_lines, n_deleted_lines, cast(null as varchar) as old_path from f
+""")
+
+SQL["entity_totals_other"] = _q(f"""
+with c as ({V_COMMITS}),
+rp as (select distinct owner, repo from c),
+cnt as (
+  select 'r' || cast(o_orderkey % 150 as varchar) as repo, 'a' as k from orders
+  union all select 'r' || cast(l_partkey % 90 as varchar), 'b' from lineitem
+  union all select 'r' || cast(s_suppkey % 150 as varchar), 'c' from supplier
+  union all select 'r' || cast(c_custkey % 70 as varchar), 'd' from customer
+  union all select 'r' || cast(p_partkey % 40 as varchar), 'e' from part)
+select rp.owner, rp.repo,
+       cast(count(k) filter (where k = 'a') as bigint) as x_total_commit_comments,
+       cast(count(k) filter (where k = 'b') as bigint) as x_total_cicd_artifacts,
+       cast(count(k) filter (where k = 'c') as bigint) as x_total_cicd_workflows,
+       cast(count(k) filter (where k = 'd') as bigint) as x_total_cicd_workflow_runs,
+       cast(count(k) filter (where k = 'e') as bigint) as x_total_releases
+from rp left join cnt on rp.owner = 'acme' and rp.repo = cnt.repo
+group by rp.owner, rp.repo
+""")
+
+SQL["stage_totals"] = _q("""
+select 'extract' as stage, cast(count(*) filter (where o_orderkey % 7 <> 0) as bigint) as n_done,
+       cast(count(*) filter (where o_orderkey % 7 = 0) as bigint) as n_failed from orders
+""")
+
+SQL["identities"] = _q("""
+select o_orderkey, o_orderpriority || ':' || o_orderstatus as who,
+       cast(floor(epoch_us(cast(o_orderdate as timestamp)) / cast(1000000 as double)) as bigint) - 7200 as epoch from orders
+""")
+
+SQL["date_ranges_backwards"] = SQL["date_ranges_month"] + " where status <> 'F'"
+
+SQL["eventlog_sorted"] = SQL["eventlog_pr_commits"]
