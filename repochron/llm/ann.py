@@ -222,11 +222,10 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.list_(pa.int32()))], ["cid", "v", "leaves"])
 
     queries = routed.select("cid", "v").join(asked.select("cid").distinct(), "cid", "left_semi")
-    probes = (queries.mapInArrow(probe, "cid long, v array<double>, leaves array<int>")
-              .select("cid", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(parts_of), "leaf")
-              .select("leaf", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("part"), F.lit(1).alias("ask"), "cid", "v"))
+    probes = cut(queries.mapInArrow(probe, "cid long, v array<double>, leaves array<int>"), "ann-probes")
     filed = (members.join(F.broadcast(parts_of), "leaf")
-             .select("leaf", F.pmod(F.xxhash64("cid"), F.col("g")).cast("int").alias("part"), F.lit(0).alias("ask"), "cid", "v"))
+             .select("leaf", F.pmod(F.xxhash64("cid"), F.col("g")).cast("int").alias("part"), F.lit(0).alias("ask"),
+                     "cid", "v", F.lit(0.0).alias("floor")))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids, vecs = None, [], []
@@ -236,6 +235,7 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 continue
             leaf_, part_, ask = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             cid, v = b.column(3).to_numpy(zero_copy_only=False), vectors(b.column(4))
+            floor = b.column(5).to_numpy(zero_copy_only=False)
             new = np.flatnonzero(np.concatenate(([True], (np.diff(leaf_) != 0) | (np.diff(part_) != 0) | (np.diff(ask) != 0))))
             out: tuple[list, ...] = ([], [], [])
             for s, e in zip(new, [*new[1:], b.num_rows]):
@@ -253,14 +253,33 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     rows_, names_ = np.concatenate(vecs), np.concatenate(ids)
                 for i in range(s, e):
                     at, score = best(v[i], rows_, names_, k + 1)
+                    at, score = at[score >= floor[i]], score[score >= floor[i]]
                     out[0].append(np.full(len(at), cid[i]))
                     out[1].append(names_[at])
                     out[2].append(score)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["q", "cid", "score"])
 
-    found = (filed.unionByName(probes).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "ask")
-             .mapInArrow(rank, "q long, cid long, score double").dropDuplicates(["q", "cid"]))
+    def compare(asks: DataFrame) -> DataFrame:
+        """Best members of each opened leaf (``cid``, ``v``, ``leaf``, ``floor``) that reach the floor."""
+        dealt = (asks.join(F.broadcast(parts_of), "leaf")
+                 .select("leaf", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("part"), F.lit(1).alias("ask"),
+                         "cid", "v", "floor"))
+        return (filed.unionByName(dealt).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "ask")
+                .mapInArrow(rank, "q long, cid long, score double").dropDuplicates(["q", "cid"]))
+
+    # The leaves that a query itself falls into come first. Their k + 1-th best score is a floor
+    # that every row of the result reaches, so the other leaves give only what passes it.
+    own = len(forest.value.roots)
+    near_leaves = probes.select("cid", "v", F.explode(F.slice("leaves", 1, own)).alias("leaf"), F.lit(float("-inf")).alias("floor"))
+    first = cut(compare(near_leaves), "ann-first")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
+    floors = (first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1)
+              .select(F.col("q").alias("cid"), F.col("score").alias("floor")))
+    far_leaves = (probes.join(floors, "cid", "left")
+                  .select("cid", "v", F.explode(F.slice("leaves", own + 1, forest.value.leaves)).alias("leaf"),
+                          F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
+    found = first.unionByName(compare(far_leaves)).dropDuplicates(["q", "cid"])
     top = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     found = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
     pairs = found.join(routed.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
