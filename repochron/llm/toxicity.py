@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repochron.llm.common import U64, mix64, table
+from repochron.llm.common import U64, cut, mix64, table
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -131,14 +131,8 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, members: int =
         return Model(np.zeros(1 << BITS), -9.2)
     p, u = positive[1:], unlabelled[1:]
 
-    # Scale each feature by its log-odds of documents in P against U (a feature has to be
-    # seen in several positives), so that few positives suffice against many rare words.
-    in_p = np.bincount(p[1], minlength=1 << BITS)
-    in_u = np.bincount(u[1], minlength=1 << BITS)
-    usual = (in_u + 1.0) / (n_u + 2.0)
-    sure = np.maximum(in_p - doubt * np.sqrt(in_p), 0.0)             # lower bound of the positive count
-    odds = np.log((sure + smooth * usual) / (n_p + smooth) / usual)
-    odds = np.where((in_p >= max(2, least * n_p)) & (odds > floor), odds, 0.0) * scale
+    odds = feature_odds(np.bincount(p[1], minlength=1 << BITS), np.bincount(u[1], minlength=1 << BITS), n_p, n_u,
+                        smooth, doubt, least, floor) * scale
 
     def csr(x, n):
         r, c, v = x
@@ -197,6 +191,18 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, members: int =
     return Model(total * slope, bias * slope + shift)
 
 
+def feature_odds(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, smooth: float = 2.0, doubt: float = 1.0,
+                 least: float = 0.02, floor: float = 1.0) -> np.ndarray:
+    """Log-odds of each feature's documents in P against U; 0 for features that take no part.
+
+    They scale the features, so that few positives suffice against many rare words: a feature
+    has to be seen in several positives, and its count there enters by a lower bound."""
+    usual = (in_u + 1.0) / (n_u + 2.0)
+    sure = np.maximum(in_p - doubt * np.sqrt(in_p), 0.0)
+    odds = np.log((sure + smooth * usual) / (n_p + smooth) / usual)
+    return np.where((in_p >= max(2, least * n_p)) & (odds > floor), odds, 0.0)
+
+
 def calibrate(zp: np.ndarray, zu: np.ndarray, prior: float, ridge: float = 1e-4) -> tuple[float, float]:
     """Slope and shift that minimise the same risk over two numbers (convex, damped Newton steps)."""
     a, b = 1.0, 0.0
@@ -267,15 +273,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_unl
                      pa.array([x.astype(np.float32).tobytes() for x in np.split(v, cut_)], pa.binary())],
                     ["doc_id", "h", "is_p", "is_u", "cols", "vals"])
 
-    found = picked.mapInArrow(run, "doc_id long, h long, is_p boolean, is_u boolean, cols binary, vals binary"
-                              ).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    found = cut(picked.mapInArrow(
+        run, "doc_id long, h long, is_p boolean, is_u boolean, cols binary, vals binary"), "toxicity-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << BITS), np.int64)
+        for b in batches:
+            for p_, u_, c in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                c = np.frombuffer(c, np.int32)
+                total[0, c] += bool(p_)
+                total[1, c] += bool(u_)
+        f = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(total[0, f]), pa.array(total[1, f])], ["f", "p", "u"])
+
+    # which features take part is settled by counts, so only those come to the driver
+    got = found.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(
+        F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    in_p, in_u = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    in_p[got["f"].to_numpy()], in_u[got["f"].to_numpy()] = got["p"].to_numpy(), got["u"].to_numpy()
+    size = found.agg(F.count_if("is_p").alias("p"), F.count_if("is_u").alias("u")).first()
+    if not size["p"] or not size["u"]:
+        return sparse([]), sparse([]), prior
+    kept = docs.sparkSession.sparkContext.broadcast(feature_odds(in_p, in_u, size["p"], size["u"]) != 0)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32))
+                     for c, v in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(i) for i in range(4)], pa.array([c[kept.value[c]].tobytes() for c, _ in pairs], pa.binary()),
+                 pa.array([v[kept.value[c]].tobytes() for c, v in pairs], pa.binary())], b.schema.names)
+
+    part = found.mapInArrow(narrow, found.schema).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
 
     def gather(flag: str) -> Sparse:
-        part = found.filter(found[flag])
-        cols = [np.frombuffer(x, np.int32) for x in part["cols"].to_pylist()]
-        vals = [np.frombuffer(x, np.float32) for x in part["vals"].to_pylist()]
-        if not cols:
-            return sparse([])
+        rows_ = part.filter(part[flag])
+        cols = [np.frombuffer(x, np.int32) for x in rows_["cols"].to_pylist()]
+        vals = [np.frombuffer(x, np.float32) for x in rows_["vals"].to_pylist()]
         row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(x) for x in cols])
         return len(cols), row, np.concatenate(cols), np.concatenate(vals)
 
