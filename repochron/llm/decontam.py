@@ -3,7 +3,8 @@
 Benchmark items are cut into pieces; TF-IDF vectors of the pieces (document frequencies from the
 whole corpus) are reduced by a distributed randomised SVD. Every passage of every document is
 folded into that latent space, pieces with a high cosine are its candidates, and a candidate
-counts if the longest common subsequence covers most of the piece and the answer is there too.
+counts if the longest common subsequence covers most of the piece and, where the benchmark has an
+answer column, the answer is there too.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ STRIDE = 32               # any 64 words in a row lie in one passage
 RANK = 128                # dimensions of the latent space
 COSINE = 0.4
 LCS = 0.7
-ANSWER = 0.6
-ANSWER_WORDS = 5          # without an answer column the last words of an item are its answer
+ANSWER = 0.6              # of an answer's words; without an answer column the LCS decides alone
 BLOCK = 1024              # pieces searched in one pass over the corpus
 BUFFER = 1 << 20
 _WORD = np.zeros(256, bool)
@@ -102,7 +102,7 @@ class Index:
     idf: np.ndarray
     item: list[int]                   # item of each piece
     pieces: list[list[int]]           # word hashes
-    answers: list[list[int]]          # of each piece's item
+    answers: list[list[int]]          # of each piece's item; empty without an answer
     size: dict[int, int]              # pieces of each item
     basis: np.ndarray | None = None   # words x rank
     latent: np.ndarray | None = None  # unit rows
@@ -143,7 +143,7 @@ def make_pieces(benchmark: DataFrame, id_col: str, text_col: str, answer_col: st
             texts, answers = b.column(1).to_pylist(), b.column(2).to_pylist()
             for item, text, answer in zip(b.column(0).to_pylist(), texts, answers):
                 w = next(word_lists([text]))[1].tolist()
-                said = next(word_lists([answer]))[1].tolist() if answer else w[-ANSWER_WORDS:]
+                said = next(word_lists([answer]))[1].tolist() if answer else []
                 for k, at in enumerate(range(0, len(w), PIECE_WORDS)):
                     at = max(0, min(at, len(w) - PIECE_WORDS))
                     for o, v in zip(out, (item, k, w[at: at + PIECE_WORDS], said)):
@@ -292,8 +292,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     An item is found in a document if at least half of its pieces are: a piece counts in a
     passage if their latent cosine reaches ``cosine``, their longest common subsequence of
-    words reaches ``share`` of the piece, and ``share`` of the answer (``answer_col``, else the last
-    words of the item) follows in order. The benchmark is the query set: ``block`` pieces at a
+    words reaches ``share`` of the piece, and, if the item has an answer (``answer_col``), the share
+    ``answer`` of it is there in order. The benchmark is the query set: ``block`` pieces at a
     time are searched in one pass over all documents, each document where it lies (no
     shuffle of texts). Rows with a null id, null and empty texts and items without a word
     find nothing; repeated rows each give their row; empty tables give no rows; other columns are

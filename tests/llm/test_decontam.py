@@ -95,6 +95,23 @@ def test_paraphrases_blocks_and_answers(spark):
     assert leaks(d, strange, answer_col="answer").count() == 0
 
 
+def test_copies_whose_end_is_cut_or_reworded_are_found(spark):
+    rng = random.Random(4)
+    prose = [f"w{i}" for i in range(300)]
+    items = [[f"{rng.choice(prose)}x{i}" if rng.random() < 0.5 else rng.choice(prose) for _ in range(rng.randrange(20, 60))]
+             for i in range(40)]
+    docs = []
+    for i, item in enumerate(items):
+        reworded = [w if rng.random() > 0.2 else "other" for w in item[:-3]] + ["new", "end", "here"]
+        for k, text in enumerate((item[:-3], item[:-5], item[:-3] + ["new", "end", "here"], reworded)):
+            docs.append((4 * i + k, i, rng.choices(prose, k=40) + text + rng.choices(prose, k=40)))
+    want = {(n, i) for n, i, t in docs if slow_lcs(items[i], t) >= 0.72 * len(items[i])}
+    d = spark.createDataFrame([(n, " ".join(t)) for n, _, t in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], BENCH)
+    got = {(r.doc_id, r.item_id) for r in leaks(d, b).collect()}
+    assert len(want) > 120 and want <= got
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     bench = spark.createDataFrame([(1, "some words here some words here some words here"), (2, None), (None, "x y z"), (3, ""),
