@@ -2,7 +2,8 @@
 
 Benchmark items are cut into pieces; TF-IDF vectors of the pieces (document frequencies from the
 whole corpus) are reduced by a distributed randomised SVD. Every passage of every document is
-folded into that latent space, pieces with a high cosine are its candidates, and a candidate
+folded into that latent space, pieces with a high cosine are its candidates (pieces that the space
+holds badly are also compared by their exact TF-IDF vectors), and a candidate
 counts if the longest common subsequence covers most of the piece and, where the benchmark has an
 answer column, the answer is there too.
 """
@@ -22,11 +23,12 @@ from repochron.llm.common import U64, cut, mix64, table
 PIECE_WORDS = 64          # words of a benchmark piece at most
 PASSAGE = 96              # words of a corpus passage
 STRIDE = 32               # any 64 words in a row lie in one passage
-RANK = 128                # dimensions of the latent space
+RANK = 256                # dimensions of the latent space at most
+KEPT = 0.95               # pieces that keep less of their norm there are compared by exact TF-IDF too
 COSINE = 0.4
 LCS = 0.7
 ANSWER = 0.6              # of an answer's words; without an answer column the LCS decides alone
-BLOCK = 1024              # pieces searched in one pass over the corpus
+BLOCK = 256               # pieces searched in one pass over the corpus; not above RANK, so that the space holds them
 BUFFER = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
@@ -106,7 +108,9 @@ class Index:
     size: dict[int, int]              # pieces of each item
     basis: np.ndarray | None = None   # words x rank
     latent: np.ndarray | None = None  # unit rows
-    least: float = 0.0                # smallest piece norm
+    weak: np.ndarray | None = None    # pieces that lose too much of their norm in the latent space
+    exact: np.ndarray | None = None   # words x weak pieces, unit columns
+    least: float = 0.0                # smallest weight of the wanted share of a piece's words
     flat: np.ndarray | None = None    # vocabulary indices of all pieces' words
     at: np.ndarray | None = None      # where each piece starts in ``flat``
 
@@ -114,6 +118,14 @@ class Index:
         self.flat = self.features(np.array([w for p in self.pieces for w in p], np.uint64)).astype(np.int64)
         self.at = np.concatenate(([0], np.cumsum([len(p) for p in self.pieces]))).astype(np.int64)
 
+    def lightest(self, share: float) -> float:
+        """No passage with a common subsequence of ``share`` of some piece has less squared weight."""
+        def light(words: list[int]) -> float:
+            weight = np.sort(self.idf[self.features(np.array(words, np.uint64))] ** 2)
+            return float(weight[: int(np.ceil(share * len(words) - 1e-9))].sum())
+
+        return min(light(p) for p in self.pieces)
+
     def features(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary index of each word, or -1."""
         known = np.zeros(1 << 20, bool)
@@ -238,8 +250,7 @@ def search(index: Index, h: np.ndarray, first: np.ndarray, cosine: float, share:
     k = np.arange(len(own)) - np.repeat(np.cumsum(n_pass) - n_pass, n_pass)
     start = first[own] + k * STRIDE
     end = np.minimum(start + PASSAGE, first[own + 1])
-    # a passage with the wanted share of a piece has at least that part of its norm
-    open_ = np.flatnonzero(upto[end] - upto[start] >= (share * index.least) ** 2)
+    open_ = np.flatnonzero(upto[end] - upto[start] >= index.least - 1e-6)
     out = []
     for at in range(0, len(open_), 512):
         these = open_[at: at + 512]
@@ -255,6 +266,10 @@ def search(index: Index, h: np.ndarray, first: np.ndarray, cosine: float, share:
         folded = np.add.reduceat(index.basis[word] * index.idf[word, None].astype(np.float32), cuts, axis=0)
         norm = np.linalg.norm(folded, axis=1)
         sims = (folded / np.maximum(norm, 1e-9)[:, None]) @ index.latent.T
+        if len(index.weak):
+            whole = np.sqrt(np.add.reduceat(index.idf[word] ** 2, cuts))
+            exact = np.add.reduceat(index.exact[word] * index.idf[word, None].astype(np.float32), cuts, axis=0)
+            sims[:, index.weak] = np.maximum(sims[:, index.weak], exact / whole[:, None])
         r, piece = np.nonzero(sims >= cosine)
         # a common subsequence has at most the piece's words that the passage holds at all
         inside = np.zeros((len(cuts), len(index.vocabulary)), bool)
@@ -291,7 +306,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """Benchmark items found in documents: ``doc_id``, ``item_id``, ``cosine``, ``lcs`` (best piece).
 
     An item is found in a document if at least half of its pieces are: a piece counts in a
-    passage if their latent cosine reaches ``cosine``, their longest common subsequence of
+    passage if their latent cosine (or the exact one, for pieces that the ``rank`` dimensions hold
+    badly) reaches ``cosine``, their longest common subsequence of
     words reaches ``share`` of the piece, and, if the item has an answer (``answer_col``), the share
     ``answer`` of it is there in order. The benchmark is the query set: ``block`` pieces at a
     time are searched in one pass over all documents, each document where it lies (no
@@ -303,7 +319,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")
                       ).where(F.col("doc_id").isNotNull())
     found = spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double")
-    for index in _indexes(src, benchmark, item_col, item_text, answer_col, rank, block):
+    for index in _indexes(src, benchmark, item_col, item_text, answer_col, rank, share, block):
         found = found.unionByName(_found(src, index, cosine, share, answer))
     return found
 
@@ -316,13 +332,13 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Each row is judged where it lies: no shuffle."""
     names = docs.columns
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    for index in _indexes(rows, benchmark, item_col, item_text, answer_col, rank, block):
+    for index in _indexes(rows, benchmark, item_col, item_text, answer_col, rank, share, block):
         rows = _clean(rows, index, cosine, share, answer)
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _indexes(src: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None, rank: int,
-             block: int) -> Iterator[Index]:
+             share: float, block: int) -> Iterator[Index]:
     """The index of each block of whole items (about ``block`` pieces)."""
     spark = src.sparkSession
     pieces = cut(make_pieces(benchmark, item_col, item_text, answer_col), "benchmark")
@@ -341,9 +357,12 @@ def _indexes(src: DataFrame, benchmark: DataFrame, item_col: str, item_text: str
         index.idf = np.log((n + 1.0) / (df + 1.0)) + 0.05
         index.basis = randomised_svd(spark, index, rank)
         rows = index.matrix(list(range(len(index.pieces))))
-        index.least = float(np.linalg.norm(rows, axis=1).min())
-        latent = rows @ index.basis
-        index.latent = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        index.least = index.lightest(share)
+        norm, latent = np.linalg.norm(rows, axis=1), rows @ index.basis
+        held = np.linalg.norm(latent, axis=1)
+        index.latent = latent / np.maximum(held, 1e-9)[:, None]
+        index.weak = np.flatnonzero(held < KEPT * norm)
+        index.exact = np.ascontiguousarray((rows[index.weak] / norm[index.weak, None]).T)
         index.lay_out()
         yield index
 

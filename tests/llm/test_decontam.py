@@ -112,6 +112,14 @@ def test_copies_whose_end_is_cut_or_reworded_are_found(spark):
     assert len(want) > 120 and want <= got
 
 
+def test_pieces_outside_the_latent_space_are_found(spark):
+    items = [[f"h{i}x{k}" for k in range(10)] for i in range(30)]
+    docs = [(i, items[i] + [w for j in (1, 4, 9, 16, 23) for w in items[(i + j) % 30][:6]]) for i in range(30)]
+    d = spark.createDataFrame([(n, " ".join(w)) for n, w in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], BENCH)
+    assert {(r.doc_id, r.item_id) for r in leaks(d, b, rank=4).collect()} == {(i, i) for i in range(30)}
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     bench = spark.createDataFrame([(1, "some words here some words here some words here"), (2, None), (None, "x y z"), (3, ""),
