@@ -102,21 +102,21 @@ def _iban_rest(country: str, account: str) -> int:
     return int("".join(str(int(ch, 36)) for ch in account + country + "00")) % 97
 
 
-def iban(text: str, key: bytes) -> str | None:
-    """The longest start of the match (whole groups) that passes mod 97; what follows it stays."""
+def iban_start(text: str) -> str:
+    """The longest start of the match (whole groups) that passes mod 97, or nothing."""
     end = len(text)
     while end > 0:
-        new = _iban(text[:end], key)
-        if new is not None:
-            return new + text[end:]
+        flat = text[:end].replace(" ", "")
+        if 15 <= len(flat) <= 34 and 98 - _iban_rest(flat[:2], flat[4:]) == int(flat[2:4]):
+            return text[:end]
         end = text.rfind(" ", 0, end)
-    return None
+    return ""
 
 
-def _iban(text: str, key: bytes) -> str | None:
-    flat = text.replace(" ", "")
-    if not 15 <= len(flat) <= 34 or 98 - _iban_rest(flat[:2], flat[4:]) != int(flat[2:4]):
+def iban(text: str, key: bytes) -> str | None:
+    if not iban_start(text) == text:
         return None
+    flat = text.replace(" ", "")
     account = permute_text(flat[4:], key, f"iban/{flat[:2]}")
     new = flat[:2] + str(98 - _iban_rest(flat[:2], account)).zfill(2) + account
     it = iter(new)
@@ -204,22 +204,34 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it held."""
     count: dict[str, int] = {}
 
-    def replace(m: re.Match, kind: str) -> str:
-        new = _pseudonym(kind, m.group(), key)
-        if new is None:
-            return m.group()
-        count[kind] = count.get(kind, 0) + 1
+    def replace(old: str, kind: str) -> str | None:
+        new = _pseudonym(kind, old, key)
+        if new is not None:
+            count[kind] = count.get(kind, 0) + 1
         return new
 
+    def numbers(text: str) -> str:
+        out, at, pos = [], 0, 0
+        while m := _NUMBER.search(text, pos):
+            # what an IBAN's pattern took beyond a valid IBAN is searched again
+            old = iban_start(m.group()) if m.lastgroup == "iban" else m.group()
+            new = replace(old, m.lastgroup) if old else None
+            if new is None:
+                pos = m.end() if old else m.start() + 1
+                continue
+            out += text[at: m.start()], new
+            at = pos = m.start() + len(old)
+        return "".join(out) + text[at:]
+
     if not _ANY.search(text):
         return text, count
     # addresses first; their spans are not searched again
     parts, at = [], 0
     for m in _EMAIL.finditer(text) if "@" in text else ():
-        parts.append(_NUMBER.sub(lambda x: replace(x, x.lastgroup), text[at: m.start()]))
-        parts.append(replace(m, "email"))
+        parts.append(numbers(text[at: m.start()]))
+        parts.append(replace(m.group(), "email") or m.group())
         at = m.end()
-    parts.append(_NUMBER.sub(lambda x: replace(x, x.lastgroup), text[at:]))
+    parts.append(numbers(text[at:]))
     return "".join(parts), count
 
 

@@ -71,6 +71,15 @@ def test_adjacent_values():
     assert count == {"phone": 1, "ip": 1, "card": 2} and new.split()[-1] == new.split()[-2]
 
 
+def test_values_after_letters_that_look_like_an_iban():
+    card = "4111 1111 1111 1111"
+    for text, kinds in ((f"order AB12 {card}", {"card": 1}), (f"BE68 5390 0754 7034 {card}", {"iban": 1, "card": 1}),
+                        ("AB12 GB82 WEST 1234 5698 7654 32", {"iban": 1})):
+        new, count = pseudonymise(text, KEY)
+        assert count == kinds and card not in new and "1234 5698" not in new and len(new) == len(text)
+    assert pseudonymise(card, KEY)[0] == pseudonymise(f"order AB12 {card}", KEY)[0][11:]
+
+
 def test_planted_values_go_and_texts_without_them_stay(spark):
     before = {r.doc_id: r.text for r in docs_of(spark, SF01).collect()}
     rows = op4_feistel_pseudonyms(spark, SF01).collect()
