@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from repochron.llm.ann import op3_rp_forest
 from repochron.llm.decontam import op8_lsa_decontamination
+from repochron.llm.licenses import op11_rare_token_licenses
 from repochron.llm.packing import op2_bestfit_packing
+from repochron.llm.periodic import op13_tiled_runs
 from repochron.llm.pii import op4_feistel_pseudonyms
 from repochron.llm.sharding import op10_feistel_sharding
 from repochron.llm.simhash import op7_simhash_near_dedup
 from repochron.llm.suffixdedup import op6_suffix_dedup
 from repochron.llm.tokencount import op9_edit_counts
 from repochron.llm.toxicity import op1_nnpu_toxicity
+from repochron.llm.variants import op12_vgram_variants
 from repochron.llm.warc import op5_arc_to_warc
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_lsa_decontamination": op8_lsa_decontamination,
     "op9_edit_counts": op9_edit_counts,
     "op10_feistel_sharding": op10_feistel_sharding,
+    "op11_rare_token_licenses": op11_rare_token_licenses,
+    "op12_vgram_variants": op12_vgram_variants,
+    "op13_tiled_runs": op13_tiled_runs,
 }
 
 SQL: dict[str, str] = {

@@ -6,7 +6,7 @@ from repochron.llm.queries import QUERIES, SQL
 
 def test_one_query_for_each_operator_and_sql_is_text():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES]
-    assert numbers == list(range(1, 11)) and all(callable(f) for f in QUERIES.values())
+    assert numbers == list(range(1, 14)) and all(callable(f) for f in QUERIES.values())
     assert set(SQL) <= set(QUERIES) and all(isinstance(s, str) for s in SQL.values())
 
 
