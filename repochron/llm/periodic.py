@@ -15,6 +15,7 @@ from repochron.llm.common import U64, cut, mix64, table, text_bytes
 EXPONENT = 4       # a run is at least so many periods long
 SHORTEST = 6       # and at least so many words
 TILE = 4096        # words that a tile answers for, unless its octave asks for more
+SIDE_BY_SIDE = 1 << 18   # words of texts that are screened together
 
 
 def codes_of(words: list[bytes]) -> np.ndarray:
@@ -28,37 +29,113 @@ def tile_words(scale: int) -> int:
     return max(TILE, 8 * scale)
 
 
-def tiles_of(codes: np.ndarray, exponent: int = EXPONENT) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Overlapping tiles (scale, start, words) that may hold a part of a run, octave by octave.
+def blocks_of_a_run(scale: int, exponent: int, shortest: int) -> int:
+    """Whole neighbouring aligned blocks of ``scale`` words that recur one period on, in any run of the octave
+    (``scale`` <= period < 2 ``scale``): two at least."""
+    return max(2, (max(shortest, exponent * scale) - 2 * scale + 1) // scale)
+
+
+def widen(h: np.ndarray, scale: int) -> np.ndarray:
+    """Hashes of all windows of ``2 * scale`` words from those of ``scale`` words."""
+    return mix64(h[:-scale] * U64(0x9E3779B97F4A7C15) + h[scale:])
+
+
+def recurring(h: np.ndarray, scale: int) -> np.ndarray:
+    """Row j, column c: whether the block at ``j * scale`` may recur ``scale + c`` words on."""
+    blocks = len(h) // scale
+    anchors, body = h[: blocks * scale: scale], h[scale:]
+    same = np.zeros((blocks, scale), bool)
+    np.equal(body[: (blocks - 1) * scale].reshape(blocks - 1, scale), anchors[:-1, None], out=same[:-1])
+    rest = body[(blocks - 1) * scale:]
+    same[-1, : len(rest)] = rest == anchors[-1]
+    return same
+
+
+def tiles_in_question(h: np.ndarray, exponent: int = EXPONENT, shortest: int = SHORTEST) -> Iterator[tuple[int, int]]:
+    """(scale, number) of the tiles that may hold a part of a run, from hashes of the words.
 
     The octave of scale P has the periods P to 2P - 1. Words that equal those one period on stand in
-    stretches of at least ``(exponent - 1)`` periods, so such a stretch holds two whole neighbouring blocks of
-    P words, aligned to P, that recur one period on. Block hashes (of twice the width in each octave)
-    tell which blocks may do so; equal blocks always have equal hashes, so no run is missed. A tile answers
-    for ``tile_words`` words and carries one block before and three after them.
+    stretches of at least ``(exponent - 1)`` periods, so such a stretch holds neighbouring whole blocks of
+    P words, aligned to P, that all recur one period on (``blocks_of_a_run``). Block hashes, of twice the
+    width in each octave, tell which blocks may do so; equal blocks have equal hashes, so no run is missed.
     """
-    n, scale, h = len(codes), 1, mix64(codes.astype(np.uint64) + U64(0x9E3779B97F4A7C15))
-    while exponent * scale <= n:
-        blocks = len(h) // scale
-        anchors = h[: blocks * scale: scale]
-        # h[i] against the anchor that lies one to two blocks before it
-        body = h[scale:]
-        same = body[: (blocks - 1) * scale].reshape(blocks - 1, scale) == anchors[: blocks - 1, None]
-        if len(body) > (blocks - 1) * scale:
-            rest = body[(blocks - 1) * scale:] == anchors[-1]
-            same = np.vstack((same, np.pad(rest, (0, scale - len(rest)))[None]))
-        # row j of ``same``: period scale + column recurs at block j; two neighbouring blocks must agree
-        pair = same[1:] & same[:-1]
-        hit = np.zeros(len(same), bool)
-        both = pair.any(axis=1)
-        hit[1:] |= both
-        hit[:-1] |= both
+    n, scale = len(h), 1
+    while max(shortest, exponent * scale) <= n:
+        same = recurring(h, scale)
+        need = blocks_of_a_run(scale, exponent, shortest)
+        chain = same[: max(0, len(same) - need + 1)].copy()
+        for k in range(1, need):
+            chain &= same[k: k + len(chain)]
+        rows = np.flatnonzero(chain.any(axis=1))
+        if len(rows):
+            step = tile_words(scale)
+            rows = (rows[:, None] + np.arange(need)).ravel()
+            for k in np.unique(rows * scale // step).tolist():
+                yield scale, k
+        h = widen(h, scale)
+        scale *= 2
+
+
+def tiles_of(words: list[bytes], exponent: int = EXPONENT, shortest: int = SHORTEST) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Overlapping tiles (scale, start, word codes) of one text, octave by octave. A tile answers for ``tile_words``
+    words and carries one block before and three after them."""
+    codes = codes_of(words)
+    for scale, k in tiles_in_question(hashes_of(words), exponent, shortest):
         step = tile_words(scale)
-        for k in np.unique(np.flatnonzero(hit) * scale // step).tolist():
-            start = max(0, k * step - scale)
-            yield scale, start, codes[start: (k + 1) * step + 3 * scale]
-        h = mix64(h[: max(0, len(h) - scale)] * U64(0x9E3779B97F4A7C15) + h[scale:]) if len(h) > scale else h[:0]
+        start = max(0, k * step - scale)
+        yield scale, start, codes[start: (k + 1) * step + 3 * scale]
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return mix64(np.fromiter(map(hash, words), np.int64, len(words)).view(U64))
+
+
+def screen(texts: list[list[bytes]], exponent: int = EXPONENT, shortest: int = SHORTEST) -> np.ndarray:
+    """Which texts have a tile in question. Texts are tested side by side first: a single block of any
+    alignment that recurs puts a text forward, which every text with a tile in question has."""
+    hashes = [hashes_of(t) for t in texts]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    out = np.zeros(len(texts), bool)
+    group: list[int] = []
+    held = 0
+    for i in [*order.tolist(), None]:
+        if i is None or held > SIDE_BY_SIDE:
+            for j in _put_forward(group, hashes, exponent, shortest):
+                out[j] = next(tiles_in_question(hashes[j], exponent, shortest), None) is not None
+            group, held = [], 0
+        if i is not None and sizes[i] >= shortest:
+            group.append(i)
+            held += int(sizes[i])
+    return out
+
+
+def _put_forward(group: list[int], hashes: list[np.ndarray], exponent: int, shortest: int) -> list[int]:
+    """Members of ``group`` (longest first) with a recurring block; a separator of its own ends each."""
+    if not group:
+        return []
+    sizes = np.array([len(hashes[i]) for i in group])
+    ends = np.cumsum(sizes + 1)
+    h = np.empty(ends[-1], U64)
+    for i, end, size in zip(group, ends.tolist(), sizes.tolist()):
+        h[end - size - 1: end - 1] = hashes[i]
+    h[ends - 1] = mix64(np.arange(len(group), dtype=U64) + U64(0x632BE59BD9B4E019))
+    hit, scale = np.zeros(len(group), bool), 1
+    while True:
+        last = int(np.searchsorted(-sizes, -max(shortest, exponent * scale), "right"))
+        if not last:
+            break
+        h = h[: ends[last - 1] - scale + 1]
+        same = recurring(h, scale)
+        if scale == 1:      # every alignment is the same here
+            need = blocks_of_a_run(1, exponent, shortest)
+            for k in range(1, need):
+                same = same[:-1] & recurring(h, 1)[k:]
+        rows = np.flatnonzero(same.any(axis=1)) * scale
+        hit[np.searchsorted(ends, rows, "right")] = True
+        h = widen(h, scale)
         scale *= 2
+    return [i for i, x in zip(group, hit.tolist()) if x]
 
 
 def z_function(s: list[int], stop: int) -> list[int]:
@@ -109,7 +186,7 @@ def fragments(words: np.ndarray, scale: int, start: int) -> dict[int, list[list[
 TILE_SCHEMA = "key long, scale long, start long, words array<int>"
 
 
-def explode_tiles(docs: DataFrame, exponent: int = EXPONENT) -> DataFrame:
+def explode_tiles(docs: DataFrame, exponent: int = EXPONENT, shortest: int = SHORTEST) -> DataFrame:
     """``key``, ``text`` -> one row per tile that may hold a part of a run."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "scale", "start", "words"]
@@ -122,7 +199,7 @@ def explode_tiles(docs: DataFrame, exponent: int = EXPONENT) -> DataFrame:
         for batch in batches:
             rows, held = [], 0
             for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                for scale, start, words in tiles_of(codes_of(text.split()), exponent):
+                for scale, start, words in tiles_of(text.split(), exponent, shortest):
                     rows.append((key, scale, start, words))
                     held += len(words)
                     if held > 1 << 20:
@@ -217,26 +294,22 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     kind = narrow.schema["__id"].dataType.simpleString()
 
-    def in_question(words: list[bytes]) -> bool:
-        return next(tiles_of(codes_of(words), exponent), None) is not None
-
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([in_question(t.split()) for t in text_bytes(batch.column(1))], pa.bool_()))
+            yield batch.filter(pa.array(screen([t.split() for t in text_bytes(batch.column(1))], exponent, shortest)))
 
     def finish_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [t.split() for t in text_bytes(batch.column(1))]
-            plain = [not in_question(w) for w in every]
-            every = [w for w, p in zip(every, plain) if p]
+            plain = ~screen(every, exponent, shortest)
+            every = [w for w, p in zip(every, plain.tolist()) if p]
             runs = pa.array([[]] * len(every), ARROW_RUNS)
-            yield _finished(batch.column(0).filter(pa.array(plain, pa.bool_())), [len(w) for w in every], runs,
-                            [b" ".join(w) for w in every])
+            yield _finished(batch.column(0).filter(pa.array(plain)), [len(w) for w in every], runs, [b" ".join(w) for w in every])
 
     # keys are given once, in a written table, so that they hold for every later read
-    open_docs = cut(narrow.mapInArrow(screen, f"__id {kind}, text string")
+    open_docs = cut(narrow.mapInArrow(open_texts, f"__id {kind}, text string")
                     .select(F.monotonically_increasing_id().alias("key"), "__id", "text"), "runs-open")
-    tiles = explode_tiles(open_docs, exponent).repartition("key", "scale", "start")
+    tiles = explode_tiles(open_docs, exponent, shortest).repartition("key", "scale", "start")
     runs = (stitch(solve_tiles(tiles), exponent, shortest).groupBy("key")
             .agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
             .select("key", F.transform("runs", lambda r: F.struct(r["start"], r["length"], r["period"])).alias("runs")))

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from data import SF001, docs_of, odd_docs
 
-from repochron.llm.periodic import (codes_of, explode_tiles, fragments, op13_tiled_runs, periodic_runs, tile_words, tiles_of,
-                                    z_function)
+from repochron.llm.periodic import (codes_of, explode_tiles, fragments, op13_tiled_runs, periodic_runs, screen, tile_words,
+                                    tiles_of, z_function)
 
 
 def words_of(text):
@@ -102,14 +102,27 @@ def test_a_long_text_is_dealt_in_tiles_and_stitched(spark):
 
 def test_tiles_hold_every_stretch():
     words = np.array([0, 1, 2] * 4000 + list(range(5, 900)), np.int32)
-    for scale, start, part in tiles_of(words):
+    names = [str(w).encode() for w in words]
+    assert (codes_of(names)[:3] == words[:3]).all()
+    for scale, start, part in tiles_of(names):
         for period, spans in fragments(part, scale, start).items():
             assert scale <= period < 2 * scale
             for low, high in spans:
-                assert (words[low:high] == words[low + period: high + period]).all()
+                assert (words[low:high] == words[low + period: high + period]).all() and high <= len(words) - period
                 assert high - low <= tile_words(scale) + 3 * scale
 
 
+def test_screening_depends_on_the_text_alone():
+    """Alone, in any company and order, a text is in question or not, and every text with a run is."""
+    texts = [[w.encode() for w in words_of(t)] for t in random_texts()]
+    alone = [bool(screen([t])[0]) for t in texts]
+    assert alone == [next(tiles_of(t), None) is not None for t in texts]
+    order = list(range(len(texts)))
+    random.Random(1).shuffle(order)
+    assert [alone[i] for i in order] == screen([texts[i] for i in order]).tolist()
+    assert all(a for t, a in zip(texts, alone) if brute([w.decode() for w in t])) and not all(alone)
+
+
 def test_z_function():
     rng = random.Random(2)
     for _ in range(200):
