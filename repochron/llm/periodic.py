@@ -15,9 +15,22 @@ from repochron.llm.common import U64, cut, mix64, table, text_bytes
 EXPONENT = 4       # a run is at least so many periods long
 SHORTEST = 6       # and at least so many words
 TILE = 4096        # words that a tile answers for, unless its octave asks for more
+PORTION = 1 << 20  # bytes of texts that a task holds as words
 SIDE_BY_SIDE = 1 << 18   # words of texts that are screened together
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``most`` bytes of text (a longer text is a part of its own)."""
+    sizes, start, held = [len(t) for t in text_bytes(batch.column(column))], 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def codes_of(words: list[bytes]) -> np.ndarray:
     """Words as numbers: equal exactly if the words are."""
     seen: dict[bytes, int] = {}
@@ -259,7 +272,7 @@ def without_repeats(words: list[bytes], runs: list[dict]) -> list[bytes]:
 def collapse(docs: DataFrame) -> DataFrame:
     """``__id``, ``text``, ``runs`` -> ``n_words``, ``runs``, ``collapsed``."""
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             every = [t.split() for t in text_bytes(batch.column(1))]
             kept = [b" ".join(without_repeats(w, runs) if runs else w) for w, runs in zip(every, batch.column(2).to_pylist())]
             yield _finished(batch.column(0), [len(w) for w in every], batch.column(2), kept)
@@ -295,11 +308,11 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = narrow.schema["__id"].dataType.simpleString()
 
     def open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             yield batch.filter(pa.array(screen([t.split() for t in text_bytes(batch.column(1))], exponent, shortest)))
 
     def finish_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             every = [t.split() for t in text_bytes(batch.column(1))]
             plain = ~screen(every, exponent, shortest)
             every = [w for w, p in zip(every, plain.tolist()) if p]
@@ -309,7 +322,8 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # keys are given once, in a written table, so that they hold for every later read
     open_docs = cut(narrow.mapInArrow(open_texts, f"__id {kind}, text string")
                     .select(F.monotonically_increasing_id().alias("key"), "__id", "text"), "runs-open")
-    tiles = explode_tiles(open_docs, exponent, shortest).repartition("key", "scale", "start")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))   # a fixed number: little data, much work
+    tiles = explode_tiles(open_docs, exponent, shortest).repartition(spread, "key", "scale", "start")
     runs = (stitch(solve_tiles(tiles), exponent, shortest).groupBy("key")
             .agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
             .select("key", F.transform("runs", lambda r: F.struct(r["start"], r["length"], r["period"])).alias("runs")))
