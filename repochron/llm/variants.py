@@ -169,11 +169,17 @@ def gram_dictionary(words: DataFrame, shortest: int, long_list: int = LIST, most
                                                   pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))],
                                                  names=["c", "q", "gram", "n"])
 
-    counts = cut(words.select("word").mapInArrow(count, "c long, q long, gram long, n long")
-                 .groupBy("c", "q", "gram").agg(F.sum("n").alias("n")), "grams")
-    bounds = counts.groupBy("c", "q").agg(F.sum("n").alias("total"))
-    kept = (counts.join(F.broadcast(bounds), ["c", "q"])
-            .where((F.col("n") > long_list) & (F.col("n") * most > F.col("total"))).select("c", "q", "gram"))
+    lengths = F.least(F.length("word"), F.lit(CLASSES + 1)).alias("l")
+    total: Counter[tuple[int, int]] = Counter()
+    for r in words.groupBy(lengths).agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("word")).alias("s")).collect():
+        for m, _ in roles(r["l"], shortest):
+            for q in range(QMIN, longest_gram(m)):
+                total[gram_class(m), q] += r["s"] + r["k"] * (3 - q)
+    bound = [F.when((F.col("c") == c) & (F.col("q") == q), max(long_list, n // most)) for (c, q), n in total.items()]
+    if not bound:
+        return {}
+    kept = (words.select("word").mapInArrow(count, "c long, q long, gram long, n long")
+            .groupBy("c", "q", "gram").agg(F.sum("n").alias("n")).where(F.col("n") > F.coalesce(*bound)).drop("n"))
     out: dict[tuple[int, int], list[int]] = {}
     for r in kept.collect():
         out.setdefault((r["c"], r["q"]), []).append(r["gram"])
@@ -199,7 +205,7 @@ def list_lengths(words: DataFrame, frequent: dict, shortest: int, size: int = SK
 
 
 def list_keys(words: DataFrame, frequent: dict, lists: np.ndarray, shortest: int, long_list: int = LIST) -> DataFrame:
-    """The lists in which a word is entered: ``m``, ``key``, ``role``, ``word``, ``n``.
+    """The lists in which a word is entered: ``key``, ``role``, ``word``, ``n``.
 
     A word of g grams, of which one edit touches at most a, shares g - a or more (two at least) with a word one edit
     away. So their first common gram, rarest first, is among its a + 1 rarest grams, and the second one
@@ -228,11 +234,10 @@ def list_keys(words: DataFrame, frequent: dict, lists: np.ndarray, shortest: int
                                           for r, c, k in picked])
                     source = pa.array(at[row])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), m, np.int64)), pa.array(key.view(np.int64)),
-                         pa.array(np.full(len(row), role, np.int32)), batch.column(0).take(source), batch.column(1).take(source)],
-                        names=["m", "key", "role", "word", "n"])
+                        [pa.array(key.view(np.int64)), pa.array(np.full(len(row), role, np.int32)),
+                         batch.column(0).take(source), batch.column(1).take(source)], names=["key", "role", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(enter, "m long, key long, role int, word string, n long")
+    return words.select("word", "n").mapInArrow(enter, "key long, role int, word string, n long")
 
 
 def near_words(words: DataFrame, shortest: int = LENGTH, long_list: int = LIST) -> DataFrame:
@@ -242,9 +247,9 @@ def near_words(words: DataFrame, shortest: int = LENGTH, long_list: int = LIST)
     frequent = gram_dictionary(words, shortest, long_list)
     lists = list_lengths(words, frequent, shortest)
     entered = cut(list_keys(words, frequent, lists, shortest, long_list), "lists")
-    left = entered.where("role = 0").select("m", "key", F.col("word").alias("a"), F.col("n").alias("a_n"))
-    right = entered.select("m", "key", "role", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = left.join(right, ["m", "key"]).where("(role = 1 or a < b) and levenshtein(a, b, 1) = 1")
+    left = entered.where("role = 0").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    right = entered.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    met = left.join(right, "key").where("(a < b or length(a) < length(b)) and levenshtein(a, b, 1) = 1")
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 
