@@ -246,10 +246,14 @@ def near_words(words: DataFrame, shortest: int = LENGTH, long_list: int = LIST)
     once."""
     frequent = gram_dictionary(words, shortest, long_list)
     lists = list_lengths(words, frequent, shortest)
-    entered = cut(list_keys(words, frequent, lists, shortest, long_list), "lists")
-    left = entered.where("role = 0").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
-    right = entered.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = left.join(right, "key").where("(a < b or length(a) < length(b)) and levenshtein(a, b, 1) = 1")
+    entered = list_keys(words, frequent, lists, shortest, long_list)
+
+    def side(x: str) -> DataFrame:
+        return entered.select("key", F.col("role").alias(f"{x}_role"), F.col("word").alias(x), F.col("n").alias(f"{x}_n"))
+
+    # one condition over both sides: nothing is filtered before the shuffle, so that both sides read the same one
+    met = side("a").hint("merge").join(side("b"), "key").where(
+        "(a_role < b_role or (a_role + b_role = 0 and a < b)) and levenshtein(a, b, 1) = 1")
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 
