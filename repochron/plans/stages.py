@@ -9,6 +9,7 @@ analysis, and the repositories that lack commits or repo info.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +32,14 @@ LOG_ENTITIES = ("issues", "issue_comments", "issue_events", "pull_requests")
 
 
 def land(spark: SparkSession, root: str, entities: Sequence[str] = ENTITIES) -> dict[str, DataFrame]:
-    """Parse every landed file once: Parquet tables under the shared folder by name, and
-    ``unreadable`` with the files that hold no JSON. All stages take the result."""
-    tables = {"commits": write_through(ld.read_commits(spark, root), "land-commits"),
-              "repo_info": write_through(ld.read_repo_info(spark, root), "land-repo-info")}
-    for name in entities:
-        tables[name] = write_through(ld.read_entity(spark, root, name), f"land-{name}")
-    tables["unreadable"] = write_through(
-        ld.unreadable_files(spark, root, ["commits", "repo_info", *entities]), "land-unreadable")
+    """Parse every landed file once: tables by name, written under the shared folder, and ``unreadable`` with the files
+    that the same parse rejects. All stages take the result."""
+    tables, rejects = {}, []
+    for name in ("commits", "repo_info", *entities):
+        rows, bad = ld.landed(spark, root, name)
+        tables[name] = write_through(rows, "land-repo-info") if name == "repo_info" else rows
+        rejects.append(bad)
+    tables["unreadable"] = write_through(reduce(DataFrame.unionByName, rejects), "land-unreadable")
     return tables
 
 
