@@ -37,7 +37,7 @@ def value_key(rng):
 
 def documents(rng, n):
     for k in range(n):
-        size = rng.choice((0, 1, 3, 40, 120))
+        size = rng.choice((0, 1, 3, 60, 200))
         doc = ([value(rng) for _ in range(size)] if k % 2 else {f"{i}{value_key(rng)}": value(rng) for i in range(size)})
         yield json.dumps(doc, indent=rng.choice((None, None, 1)), ensure_ascii=bool(k % 3),
                          separators=rng.choice(((",", ":"), (", ", ": ")))) + rng.choice(("", "\n", "  "))
