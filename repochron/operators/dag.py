@@ -1,25 +1,33 @@
 """Commit-graph traversal.
 
-The graph is an edge table ``(key, child, parent, pos)`` exploded from the
-``parents`` arrays. Refs are walked from child to parent. A commit with exactly one
-child and no ref of its own only hands on what its child has, so such commits are
-collapsed first: pointer doubling finds the head of each straight chain in a number
-of rounds that grows with the logarithm of the chain's length. Labels then travel
-over heads alone (refs, merge bases and forks), only changed labels in each round,
-and the chains take theirs from their heads in one join at the end. Every round is
-written under the checkpoint folder, so lineage stays short.
+The graph is an edge table ``(key, child, parent, pos)`` exploded from the ``parents`` arrays; refs are
+walked from child to parent. Histories are cut into blocks of commits:
+
+* A repository of up to ``block`` parent edges is one block. All such repositories are solved by one shuffle:
+  a task takes block after block and visits its commits once, children first.
+* A larger one is laid out by the depth of its first-parent chains (pointer doubling: rounds grow with the logarithm of
+  the longest chain) and cut into blocks of commits that lie next to each other. Each block is reduced to its *entries*, the commits
+  that are refs or have a child in another block, with an edge from each to every commit outside that it reaches through the block
+  (the hops are kept). What is left is a smaller graph of entries, which is laid out and cut again until it is one
+  block. Its labels are then handed back down, level by level, each block once more by itself.
+
+So the number of rounds grows with the logarithm of the commits, not with their number of merges, and a task holds one
+block. Only where a history is so wide that cutting it leaves most commits as entries does the next block grow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repochron.operators.ordered import ordered_scan
 from repochron.session import write_through, write_through_counted
 
 KEY = ("owner", "repo")
+BLOCK = 1 << 16     # parent edges of a repository, or commits of a block, that one task visits at once
 
 
 def parent_edges(commits: DataFrame, key: Sequence[str] = KEY, hash_col: str = "hash",
@@ -37,96 +45,252 @@ def with_parent_dates(commits: DataFrame, key: Sequence[str] = KEY) -> DataFrame
     return e.join(p, [*key, "parent"], "left")
 
 
-def collapse_chains(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
-    """``(chains, links)``: ``chains`` has ``(key, hash, head, dist)`` for every commit that hangs on
-    one child alone, ``links`` the weighted edges ``(key, head, hash, dist)`` into all others.
+# --- one block -------------------------------------------------------------------------
+#: Rows of a block: an edge ``a -> b`` (``hops``; ``out`` if b lies in another block), an entry ``a``, or a label (``hops``, ``ref``)
+#: of ``a``.
+ROW = "g string, block long, kind string, a string, b string, hops long, out boolean, ref string"
+LABEL = "g string, hash string, depth long, ref string"
 
-    Raises if the edges run in a circle, which no commit history does."""
-    k = list(key)
-    e = write_through(edges.select(*k, "child", F.col("parent").alias("hash")).distinct(), "edges")
-    lone = (e.groupBy(*k, "hash").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("up")).where("n = 1")
-            .join(refs.select(*k, "hash"), [*k, "hash"], "left_anti"))
-    ptr, n = write_through_counted(
-        lone.select(*k, "hash", F.col("up").alias("head"), F.lit(1).cast("bigint").alias("dist")), "chain")
+
+class _Block:
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.edges: list[tuple[int, int, int]] = []
+        self.leaving: list[tuple[int, str, int]] = []
+        self.entries: list[int] = []
+        self.labels: list[tuple[int, int, str]] = []
+
+    def add(self, kind: str, a: str, b: str | None, hops: int | None, out: bool | None, ref: str | None) -> None:
+        i = self.ids.setdefault(a, len(self.ids))
+        if kind == "label":
+            self.labels.append((i, hops, ref))
+        elif kind == "entry":
+            self.entries.append(i)
+        elif out:
+            self.leaving.append((i, b, hops))
+        else:
+            self.edges.append((i, self.ids.setdefault(b, len(self.ids)), hops))
+
+    def order(self) -> tuple[list[int], list[list[tuple[int, int]]]]:
+        """Commits, children first, and each one's parents in the block."""
+        parents: list[list[tuple[int, int]]] = [[] for _ in self.ids]
+        waiting = [0] * len(self.ids)
+        for a, b, hops in self.edges:
+            parents[a].append((b, hops))
+            waiting[b] += 1
+        order = [i for i, n in enumerate(waiting) if not n]
+        for i in order:
+            for b, _ in parents[i]:
+                waiting[b] -= 1
+                if not waiting[b]:
+                    order.append(b)
+        if len(order) < len(parents):
+            raise ValueError("the parent edges run in a circle")
+        return order, parents
+
+    def nearest(self) -> Iterator[tuple[str, int, str]]:
+        """(hash, hops, ref): the nearest label, ties by name."""
+        order, parents = self.order()
+        best: list[tuple[int, str] | None] = [None] * len(order)
+        for i, hops, ref in self.labels:
+            if best[i] is None or (hops, ref) < best[i]:
+                best[i] = (hops, ref)
+        for i in order:
+            if best[i] is not None:
+                depth, ref = best[i]
+                for b, hops in parents[i]:
+                    if best[b] is None or (depth + hops, ref) < best[b]:
+                        best[b] = (depth + hops, ref)
+        return ((h, *best[i]) for h, i in self.ids.items() if best[i] is not None)
+
+    def every(self) -> Iterator[tuple[str, int, str]]:
+        """(hash, 0, ref): all labels that reach a commit; sets are bits of one number per commit."""
+        order, parents = self.order()
+        names = sorted({ref for _, _, ref in self.labels})
+        bit = {ref: 1 << k for k, ref in enumerate(names)}
+        held = [0] * len(order)
+        for i, _, ref in self.labels:
+            held[i] |= bit[ref]
+        for i in order:
+            if held[i]:
+                for b, _ in parents[i]:
+                    held[b] |= held[i]
+        for h, i in self.ids.items():
+            bits = held[i]
+            while bits:
+                low = bits & -bits
+                yield h, 0, names[low.bit_length() - 1]
+                bits ^= low
+
+    def reduced(self) -> Iterator[tuple[str, str, int]]:
+        """(entry, commit outside, hops): the fewest hops through this block."""
+        order, parents = self.order()
+        leaving: dict[int, list[tuple[str, int]]] = {}
+        for i, b, hops in self.leaving:
+            leaving.setdefault(i, []).append((b, hops))
+        place, names = {i: k for k, i in enumerate(order)}, {i: h for h, i in self.ids.items()}
+        for entry in set(self.entries):
+            hops_to, found = {entry: 0}, {}
+            for i in order[place[entry]:]:
+                if i in hops_to:
+                    for b, hops in parents[i]:
+                        hops_to[b] = min(hops_to.get(b, hops_to[i] + hops), hops_to[i] + hops)
+                    for b, hops in leaving.get(i, ()):
+                        found[b] = min(found.get(b, hops_to[i] + hops), hops_to[i] + hops)
+            yield from ((names[entry], b, hops) for b, hops in found.items())
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], result: str, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows -> what ``_Block.<result>`` gives for each block."""
+    kinds = {"hash": pa.string(), "a": pa.string(), "b": pa.string(), "ref": pa.string()}
+    at, block, out = None, None, []
+
+    def batch():
+        rows = list(zip(*out)) or [()] * (len(names) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64()) if n != "g" else pa.string())
+                                           for n, c in zip(["g", *names], rows)], names=["g", *names])
+
+    for b in batches:
+        for g, k, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if (g, k) != at:
+                if block is not None:
+                    for found in getattr(block, result)():
+                        out.append((at[0], *found))
+                        if len(out) >= 1 << 16:
+                            yield batch()
+                            out = []
+                at, block = (g, k), _Block()
+            block.add(*row)
+    if block is not None:
+        for found in getattr(block, result)():
+            out.append((at[0], *found))
+            if len(out) >= 1 << 16:
+                yield batch()
+                out = []
+    yield batch()
+
+
+def _solve(rows: DataFrame, result: str) -> DataFrame:
+    """All blocks, each in one task, sorted so that a task meets the rows of a block together."""
+    names = ["a", "b", "hops"] if result == "reduced" else ["hash", "depth", "ref"]
+    schema = "g string, a string, b string, hops long" if result == "reduced" else LABEL
+    dealt = rows.repartition("g", "block").sortWithinPartitions("g", "block")
+    return dealt.mapInArrow(lambda batches: _by_block(batches, result, names), schema)
+
+
+def _rows(edges: DataFrame | None = None, labels: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """Rows of ``ROW``; edges bring ``g, block, a, b, hops, out``, the others ``g, block, hash`` and what they hold."""
+    null = [F.lit(None).cast("string").alias("b"), F.lit(None).cast("boolean").alias("out")]
+    parts = []
+    if edges is not None:
+        parts.append(edges.select("g", "block", F.lit("edge").alias("kind"), "a", "b", "hops", "out", F.lit(None).cast("string").alias("ref")))
+    if labels is not None:
+        parts.append(labels.select("g", "block", F.lit("label").alias("kind"), F.col("hash").alias("a"), null[0],
+                                   F.col("depth").alias("hops"), null[1], "ref"))
+    if entries is not None:
+        parts.append(entries.select("g", "block", F.lit("entry").alias("kind"), F.col("hash").alias("a"), null[0],
+                                    F.lit(None).cast("long").alias("hops"), null[1], F.lit(None).cast("string").alias("ref")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*[c.split()[0] for c in ROW.split(", ")])
+
+
+# --- many blocks of one repository -------------------------------------------------------
+def first_parent_depth(edges: DataFrame) -> DataFrame:
+    """``g, hash, at``: hops from each commit to the end of its first-parent chain, by pointer doubling.
+
+    Raises if the chains run in a circle, which no commit history does."""
+    first = edges.groupBy("g", F.col("a").alias("hash")).agg(F.min_by("b", F.struct("pos", "b")).alias("up"))
+    ptr, n = write_through_counted(first.select("g", "hash", "up", F.lit(1).cast("long").alias("at")), "chain")
     for _ in range(n.bit_length() + 1):              # the followed length doubles each round
-        onward = ptr.select(*k, F.col("hash").alias("head"), F.col("head").alias("__h"), F.col("dist").alias("__d"))
-        step = ptr.join(onward, [*k, "head"], "left").select(
-            *k, "hash", F.coalesce("__h", "head").alias("head"),
-            (F.col("dist") + F.coalesce("__d", F.lit(0))).alias("dist"), F.col("__h").isNotNull().alias("__moved"))
-        step = write_through(step, "chain")
-        ptr = step.drop("__moved")
-        if step.where("__moved").isEmpty():
+        onward = ptr.select("g", F.col("hash").alias("up"), F.col("up").alias("__up"), F.col("at").alias("__at"))
+        step = write_through(ptr.join(onward, ["g", "up"], "left").select(
+            "g", "hash", F.coalesce("__up", "up").alias("up"), (F.col("at") + F.coalesce("__at", F.lit(0))).alias("at"),
+            F.col("__up").isNotNull().alias("moved")), "chain")
+        ptr = step.drop("moved")
+        if step.where("moved").isEmpty():
             break
     else:
         raise ValueError("the parent edges run in a circle")
-    into = e.join(ptr.select(*k, "hash"), [*k, "hash"], "left_anti")
-    tail = ptr.select(*k, F.col("hash").alias("child"), "head", "dist")
-    links = into.join(tail, [*k, "child"], "left").select(
-        *k, F.coalesce("head", "child").alias("head"), "hash", (F.coalesce("dist", F.lit(0)) + 1).alias("dist"))
-    links = links.groupBy(*k, "head", "hash").agg(F.min("dist").alias("dist"))
-    return ptr, write_through(links, "links")
-
-
-def nearest_ref(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY,
-                cut_every: int = 4) -> DataFrame:
-    """For every commit reachable from a ref, the nearest ref by number of
-    parent hops (ties: smallest ref name) and the name ``ref`` / ``ref~n``.
-
-    ``refs``: ``(key, hash, ref)``. The best (depth, ref) label of a commit is the
-    minimum over its children's labels plus one, so propagating only the best
-    label per commit is exact; a label that improves travels again."""
-    k = list(key)
-    start = write_through(refs.groupBy(*k, "hash").agg(F.min("ref").alias("ref"))
-                          .select(*k, "hash", F.struct(F.lit(0).cast("bigint").alias("depth"), "ref").alias("b")), "refs")
-    chains, links = collapse_chains(edges, start, k)
-    settled = frontier = start
-    level = 0
+    ends = edges.select("g", F.col("b").alias("hash")).distinct().join(ptr.select("g", "hash"), ["g", "hash"], "left_anti")
+    return ptr.select("g", "hash", "at").unionByName(ends.select("g", "hash", F.lit(0).cast("long").alias("at")))
+
+
+def _layout(commits: DataFrame, block: int) -> DataFrame:
+    """``g, hash, at, block``: neighbours by ``at`` share a block of ``block`` commits."""
+    ranked = ordered_scan(commits, ["g"], ["at", "hash"], F.floor(F.col("at") / F.lit(max(1, block))).cast("long"), index="rank")
+    return write_through(ranked.select("g", "hash", F.col("rank").alias("at"), F.floor(F.col("rank") / F.lit(block)).cast("long").alias("block")),
+                         "layout")
+
+
+def _placed(edges: DataFrame, layout: DataFrame) -> DataFrame:
+    """Edges with the block of their child, and whether the parent lies elsewhere."""
+    a = layout.select("g", F.col("hash").alias("a"), "block")
+    b = layout.select("g", F.col("hash").alias("b"), F.col("block").alias("__b"))
+    return edges.join(a, ["g", "a"]).join(b, ["g", "b"]).select("g", "block", "a", "b", "hops", (F.col("block") != F.col("__b")).alias("out"))
+
+
+def _large(edges: DataFrame, labels: DataFrame, block: int, result: str) -> DataFrame:
+    """Labels of all commits of repositories that don't fit one block."""
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    commits = write_through(first_parent_depth(edges).join(labels.select("g", "hash").distinct(), ["g", "hash"], "full")
+                            .select("g", "hash", F.coalesce("at", F.lit(0)).alias("at")), "commits")
+    edges, size = edges.select("g", "a", "b", F.lit(1).cast("long").alias("hops")), None
     while True:
-        level += 1
-        step = (frontier.withColumnRenamed("hash", "head").join(links, [*k, "head"])
-                .groupBy(*k, "hash").agg(F.min(F.struct((F.col("b.depth") + F.col("dist")).alias("depth"),
-                                                        F.col("b.ref").alias("ref"))).alias("b")))
-        old = settled.groupBy(*k, "hash").agg(F.min("b").alias("__old"))
-        better = (step.join(old, [*k, "hash"], "left").where(F.col("__old").isNull() | (F.col("b") < F.col("__old")))
-                  .select(*k, "hash", "b"))
-        frontier, n_new = write_through_counted(better, "frontier")
-        if n_new == 0:
+        layout = _layout(commits, block)
+        n, last = layout.agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("last")).first()
+        if last == 0:
             break
-        settled = settled.unionByName(frontier)
-        if level % cut_every == 0:
-            settled = write_through(settled.groupBy(*k, "hash").agg(F.min("b").alias("b")), "settled")
-    heads = settled.groupBy(*k, "hash").agg(F.min("b").alias("b")).select(*k, "hash", "b.depth", "b.ref")
-    heads = write_through(heads, "heads")
-    rest = chains.join(heads.withColumnRenamed("hash", "head"), [*k, "head"]).select(
-        *k, "hash", (F.col("depth") + F.col("dist")).alias("depth"), "ref")
-    out = heads.unionByName(rest)
-    name = F.when(F.col("depth") == 0, F.col("ref")).otherwise(
-        F.concat(F.col("ref"), F.lit("~"), F.col("depth").cast("string")))
-    return out.select(*k, "hash", "ref", "depth", name.alias("name"))
-
-
-def tags_containing(edges: DataFrame, tags: DataFrame, key: Sequence[str] = KEY,
-                    cut_every: int = 4) -> DataFrame:
-    """Every (commit, tag) with the commit in the tag's history (the tagged
-    commit included). Tag sets travel over chain heads; a chain's commits take their
-    head's set in the final join. That output is tags x ancestors by its meaning, so
-    pass only the tags asked for."""
+        if size is not None and n > 0.75 * size:
+            block *= 4                               # too wide: most commits are entries
+            continue
+        size = n
+        placed = write_through(_placed(edges, layout), "placed")
+        levels.append((placed, layout))
+        entries = (placed.where("out").select("g", F.col("b").alias("hash")).unionByName(labels.select("g", "hash")).distinct())
+        commits = write_through(layout.join(entries, ["g", "hash"], "left_semi").select("g", "hash", "at", "block"), "entries")
+        edges = write_through(_solve(_rows(placed, None, commits), "reduced"), "reduced")
+        commits = commits.drop("block")
+    whole = F.lit(0).cast("long").alias("block")
+    top = edges.select("g", whole, "a", "b", "hops", F.lit(False).alias("out"))
+    found = write_through(_solve(_rows(top, labels.select("g", whole, "hash", "depth", "ref")), result), "labels")
+    for placed, layout in reversed(levels):
+        known = found.unionByName(labels).join(layout.select("g", "hash", "block"), ["g", "hash"])
+        found = write_through(_solve(_rows(placed.where("not out"), known), result), "labels")
+    return found
+
+
+def _labels(edges: DataFrame, starts: DataFrame, key: Sequence[str], block: int, result: str) -> DataFrame:
+    """``key, hash, depth, ref`` from edges and ``(key, hash, ref)``."""
     k = list(key)
-    start = write_through(tags.select(*k, "hash", "tag").distinct(), "tags")
-    chains, links = collapse_chains(edges, start, k)
-    links = links.select(*k, "head", "hash")
-    seen = frontier = start
-    level = 0
-    while True:
-        level += 1
-        step = (frontier.withColumnRenamed("hash", "head").join(links, [*k, "head"])
-                .select(*k, "hash", "tag").distinct())
-        frontier, n_new = write_through_counted(step.join(seen, [*k, "hash", "tag"], "left_anti"), "tagfrontier")
-        if n_new == 0:
-            break
-        seen = seen.unionByName(frontier)
-        if level % cut_every == 0:
-            seen = write_through(seen, "tagseen")
-    seen = write_through(seen, "tagheads")
-    rest = chains.join(seen.withColumnRenamed("hash", "head"), [*k, "head"]).select(*k, "hash", "tag")
-    return seen.unionByName(rest).select(*k, F.col("hash").alias("commit_hash"), "tag")
+    g = F.to_json(F.struct(*k)).alias("g")
+    pos = F.col("pos") if "pos" in edges.columns else F.lit(0).alias("pos")
+    e = write_through(edges.where("child is not null and parent is not null")
+                      .select(g, F.col("child").alias("a"), F.col("parent").alias("b"), pos), "edges")
+    labels = write_through(starts.where("hash is not null").select(
+        g, "hash", F.lit(0).cast("long").alias("depth"), "ref").distinct(), "refs")
+    large, n_large = write_through_counted(e.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("g"), "large")
+    small_e, small_l = (e, labels) if not n_large else (e.join(large, "g", "left_anti"), labels.join(large, "g", "left_anti"))
+    whole = F.lit(0).cast("long").alias("block")
+    out = _solve(_rows(small_e.select("g", whole, "a", "b", F.lit(1).cast("long").alias("hops"), F.lit(False).alias("out")),
+                       small_l.select("g", whole, "hash", "depth", "ref")), result)
+    if n_large:
+        out = out.unionByName(_large(e.join(large, "g", "left_semi"), labels.join(large, "g", "left_semi"), block, result))
+    names = F.from_json("g", edges.select(*k).schema)
+    return out.select(names.alias("k"), "hash", "depth", "ref").select(*[F.col(f"k.{c}").alias(c) for c in k], "hash", "depth", "ref")
+
+
+def nearest_ref(edges: DataFrame, refs: DataFrame, key: Sequence[str] = KEY, block: int = BLOCK) -> DataFrame:
+    """For every commit reachable from a ref, the nearest ref by number of parent hops (ties: smallest ref
+    name) and the name ``ref`` / ``ref~n``. ``refs``: ``(key, hash, ref)``."""
+    found = _labels(edges, refs.select(*key, "hash", "ref"), key, block, "nearest")
+    name = F.when(F.col("depth") == 0, F.col("ref")).otherwise(F.concat(F.col("ref"), F.lit("~"), F.col("depth").cast("string")))
+    return found.withColumn("name", name)
+
+
+def tags_containing(edges: DataFrame, tags: DataFrame, key: Sequence[str] = KEY, block: int = BLOCK) -> DataFrame:
+    """Every (commit, tag) with the commit in the tag's history (the tagged commit included). That output is tags x
+    ancestors by its meaning, so pass only the tags asked for."""
+    found = _labels(edges, tags.select(*key, "hash", F.col("tag").alias("ref")), key, block, "every")
+    return found.select(*key, F.col("hash").alias("commit_hash"), F.col("ref").alias("tag"))

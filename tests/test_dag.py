@@ -1,7 +1,11 @@
 """Commit-graph traversal against brute force on a small DAG with merges."""
 
 import collections
+import random
 
+import pytest
+
+from repochron import session
 from repochron.operators import dag
 
 # c0 <- c1 <- c2 <- c4 (merge of c2 and c3) <- c5 ; c1 <- c3 ; c6 root alone
@@ -49,52 +53,98 @@ def test_tags_containing(spark):
     assert got == want
 
 
-def test_random_histories_with_long_chains(spark):
-    import random
-    rnd = random.Random(6)
+def random_history(rnd, n, merges=0.12):
+    names = [f"n{i:03d}" for i in range(n)]
     parents = {}
-    names = [f"n{i:03d}" for i in range(150)]
     for i, h in enumerate(names):
         kind = rnd.random()
         if i == 0 or kind < 0.03:
             parents[h] = []
-        elif kind < 0.15:
-            parents[h] = rnd.sample(names[max(0, i - 20): i], min(2, i))
+        elif kind < 0.03 + merges:
+            parents[h] = rnd.sample(names[max(0, i - 20): i], min(rnd.choice((2, 2, 3)), i))
         else:
             parents[h] = [names[i - 1]]
-    refs = {"n149": ["main"], "n070": ["t1"], "n071": ["t2"], "n020": ["t3", "t0"]}
-    commits = spark.createDataFrame([("o", r, h, p) for r in ("a", "b") for h, p in parents.items()],
+    return parents
+
+
+def walk(parents, start):
+    dist, queue = {start: 0}, collections.deque([start])
+    while queue:
+        u = queue.popleft()
+        for p in parents[u]:
+            if p not in dist:
+                dist[p] = dist[u] + 1
+                queue.append(p)
+    return dist
+
+
+def check(spark, histories, refs, block):
+    """``histories``: repo -> parents; ``refs``: (repo, hash, ref)."""
+    commits = spark.createDataFrame([("o", r, h, p) for r, parents in histories.items() for h, p in parents.items()],
                                     "owner string, repo string, hash string, parents array<string>")
-    tags = spark.createDataFrame([("o", "a", h, t) for h, ts in refs.items() for t in ts] + [("o", "b", "n010", "x")],
-                                 "owner string, repo string, hash string, ref string")
+    tags = spark.createDataFrame([("o", *x) for x in refs], "owner string, repo string, hash string, ref string")
     edges = dag.parent_edges(commits)
-
-    def walk(start):
-        dist, queue = {start: 0}, collections.deque([start])
-        while queue:
-            u = queue.popleft()
-            for p in parents[u]:
-                if p not in dist:
-                    dist[p] = dist[u] + 1
-                    queue.append(p)
-        return dist
-
-    every = {("a", c, t): d for h, ts in refs.items() for t in ts for c, d in walk(h).items()}
-    every |= {("b", c, "x"): d for c, d in walk("n010").items()}
-    got = {(r["repo"], r["commit_hash"], r["tag"])
-           for r in dag.tags_containing(edges, tags.withColumnRenamed("ref", "tag")).collect()}
-    assert got == set(every)
+    every = {}
+    for repo, h, t in refs:
+        for c, d in walk(histories[repo], h).items():
+            every[repo, c, t] = min(d, every.get((repo, c, t), d))
+    got = [(r["repo"], r["commit_hash"], r["tag"])
+           for r in dag.tags_containing(edges, tags.withColumnRenamed("ref", "tag"), block=block).collect()]
+    assert set(got) == set(every) and len(got) == len(every)
     best = {}
     for (repo, c, t), d in every.items():
         best[repo, c] = min(best.get((repo, c), (d, t)), (d, t))
-    near = dag.nearest_ref(edges, tags).collect()
+    near = dag.nearest_ref(edges, tags, block=block).collect()
     assert {(r["repo"], r["hash"]): (r["depth"], r["ref"]) for r in near} == best and len(near) == len(best)
 
 
-def test_a_circle_is_an_error(spark):
-    import pytest
+@pytest.mark.parametrize("block", [1000, 20])
+def test_random_histories(spark, block):
+    """In one block per repository, and cut into many blocks over several levels."""
+    rnd = random.Random(6)
+    a = random_history(rnd, 220)
+    refs = [("a", h, t) for h, ts in {"n219": ["main"], "n070": ["t1"], "n071": ["t2", "t9"], "n020": ["t3", "t0"]}.items() for t in ts]
+    check(spark, {"a": a, "b": random_history(rnd, 15), "c": random_history(rnd, 60, 0.5), "lone": {"x": []}},
+          [*refs, ("b", "n010", "x"), ("c", "n059", "y"), ("c", "n003", "z"), ("lone", "x", "only")], block)
+
+
+def ladder(n):
+    """A merge at every commit: two lines, each commit has a parent in both."""
+    return {f"{s}{i}": [f"{s}{i - 1}", f"{'ab'[s == 'a']}{i - 1}"] if i else [] for i in range(n) for s in "ab"}
+
+
+def test_rounds_do_not_grow_with_merges(spark, monkeypatch):
+    """Ladders of any length are one block; cut into blocks, written tables grow with the logarithm of the length."""
+    tables = []
+
+    def count(n, block):
+        tables.clear()
+        for name in ("write_through", "write_through_counted"):
+            monkeypatch.setattr(dag, name, (lambda f: lambda df, label="": tables.append(label) or f(df, label))(getattr(session, name)))
+        check(spark, {"r": ladder(n)}, [("r", f"a{n - 1}", "top"), ("r", f"b{n // 2}", "mid")], block)
+        monkeypatch.undo()
+        return len(tables)
+    assert count(20, dag.BLOCK) == count(500, dag.BLOCK) <= 6
+    few, many = count(64, 16), count(256, 16)
+    assert many - few <= 22         # 2 runs x (2 doublings + at most 2 levels of 4 tables)
+
+
+@pytest.mark.parametrize("block", [1000, 1])
+def test_a_circle_is_an_error(spark, block):
     ring = spark.createDataFrame([("o", "r", a, [b]) for a, b in (("x", "y"), ("y", "z"), ("z", "x"))],
                                  "owner string, repo string, hash string, parents array<string>")
-    none = spark.createDataFrame([], "owner string, repo string, hash string, ref string")
-    with pytest.raises(ValueError):
-        dag.collapse_chains(dag.parent_edges(ring), none)
+    ref = spark.createDataFrame([("o", "r", "x", "main")], "owner string, repo string, hash string, ref string")
+    with pytest.raises(Exception, match="circle"):
+        dag.nearest_ref(dag.parent_edges(ring), ref, block=block).collect()
+
+
+def test_no_edges_no_refs_and_null_parents(spark):
+    commits = spark.createDataFrame([("o", "r", "x", []), ("o", "r", "y", ["x", None]), (None, "q", "z", ["w"])],
+                                    "owner string, repo string, hash string, parents array<string>")
+    edges = dag.parent_edges(commits)
+    refs = spark.createDataFrame([("o", "r", "y", "v"), (None, "q", "z", "w"), ("o", "r", None, "n")],
+                                 "owner string, repo string, hash string, ref string")
+    assert sorted((r["repo"], r["hash"], r["name"]) for r in dag.nearest_ref(edges, refs).collect()) == [
+        ("q", "w", "w~1"), ("q", "z", "w"), ("r", "x", "v~1"), ("r", "y", "v")]
+    assert dag.nearest_ref(edges, refs.limit(0)).collect() == []
+    assert [r["name"] for r in dag.nearest_ref(edges.limit(0), refs.where("repo = 'r'")).collect()] == ["v"]
