@@ -85,9 +85,16 @@ def is_script_path(filename, new_path) -> Column:                      # P16
 
 
 def occurrence_diff(after, before) -> Column:                         # U07
-    """Count of names in ``after`` (repeats included) missing from ``before``."""
-    b = _c(before)
-    return F.size(F.filter(_c(after), lambda x: ~F.array_contains(b, x))).cast("bigint")
+    """Count of names in ``after`` (repeats included) missing from ``before``: both lists are sorted
+    together, marks of ``before`` first among equal names, and walked once."""
+    def entry(mark):
+        return lambda x: F.struct(x.alias("name"), F.lit(mark).alias("found"))
+
+    both = F.array_sort(F.concat(F.transform(F.array_distinct(_c(before)), entry(0)), F.transform(_c(after), entry(1))))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("bigint").alias("n"))
+    return F.aggregate(both, start, lambda s, x: F.when(
+        x["found"] == 0, F.struct(x["name"].alias("last"), s["n"].alias("n"))).otherwise(F.struct(
+            s["last"].alias("last"), (s["n"] + F.when(x["name"].eqNullSafe(s["last"]), 0).otherwise(1)).alias("n"))), lambda s: s["n"])
 
 
 def set_diff_size(after, before) -> Column:                           # U03 / U04

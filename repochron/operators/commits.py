@@ -51,6 +51,33 @@ def project_files(files: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
                                         for c in FILE_FIELDS])
 
 
+def code_names(files: DataFrame, rule_keyword: str = wc.RULE_KEYWORD, module_keyword: str = wc.MODULE_KEYWORD,
+               include_keyword: str = wc.INCLUDE_KEYWORD, include_sep: str = wc.INCLUDE_SEP,
+               include_suffix: str = wc.INCLUDED_RULE_SUFFIX) -> DataFrame:
+    """Texts -> ``__names`` (rules, modules) and ``__includes`` (files, irregular) of the code, and ``__names_before``
+    where ``source_code_before`` is landed. Each text is parsed once and left behind."""
+    def names(text):
+        t = F.coalesce(F.col(text), F.lit(""))
+        return F.struct(wc.rule_names(t, rule_keyword).alias("rules"), wc.module_names(t, module_keyword).alias("modules"))
+
+    after = F.coalesce(F.col("source_code"), F.lit(""))
+    includes = F.struct(wc.included_files(after, include_keyword, include_sep, include_suffix).alias("files"),
+                        wc.irregular_includes(after, include_keyword, include_sep, include_suffix).alias("irregular"))
+    before = [names("source_code_before").alias("__names_before")] if "source_code_before" in files.columns else []
+    return files.select(*[c for c in files.columns if c not in ("source_code", "source_code_before")],
+                        names("source_code").alias("__names"), includes.alias("__includes"), *before)
+
+
+def names_before(named: DataFrame, key: Sequence[str] = (*KEY, "new_path"), order: Sequence[str] = ("committer_epoch", "hash"),
+                 bucket=None) -> DataFrame:
+    """J15 on names: ``__names_before`` is the ``__names`` of the snapshot before, in a skew-safe ordered scan
+    (``key`` is what makes snapshots follow each other, ``bucket`` grows with ``order``; a day by default)."""
+    none = F.struct(_empty().alias("rules"), _empty().alias("modules"))
+    scanned = ordered_scan(named, list(key), list(order), day_bucket(order[0]) if bucket is None else bucket,
+                           lags={"__before": F.col("__names")})
+    return scanned.withColumn("__names_before", F.coalesce("__before", none)).drop("__before")
+
+
 def file_workflow_columns(files: DataFrame, prefix: str = "snakemake",
                           rule_keyword: str = wc.RULE_KEYWORD,
                           module_keyword: str = wc.MODULE_KEYWORD,
@@ -64,30 +91,29 @@ def file_workflow_columns(files: DataFrame, prefix: str = "snakemake",
     (F11, F12), includes (F13, F14) and per-file added / removed occurrence
     counts (U07), modules apart from rules. ``compat=True`` is the compatibility switch:
     module changes are added to the rule counters and module counters stay 0. Script paths (P16)
-    are related but carry no names. ``rule_file`` overrides the P15 predicate.
+    are related but carry no names. ``rule_file`` overrides the P15 predicate. Where only snapshots are
+    landed, pass what ``code_names`` and ``names_before`` made of them: no text then goes beyond the scan.
     """
+    if "__names" not in files.columns:
+        files = code_names(files, rule_keyword, module_keyword, include_keyword, include_sep, include_suffix)
     is_rule = rule_file if rule_file is not None else wc.is_rule_file(F.col("filename"))
     is_script = (~is_rule) & F.col("new_path").isNotNull() & wc.is_script_path(
         F.col("filename"), F.col("new_path"))
-    after = F.coalesce(F.col("source_code"), F.lit(""))
-    before = F.coalesce(F.col("source_code_before"), F.lit(""))
 
-    def when_rule(arr):
-        return F.when(is_rule, arr).otherwise(_empty())
+    def when_rule(name):
+        return F.when(is_rule, F.col(name)).otherwise(_empty())
 
     p = prefix
     out = files.select(
         "*",
         is_rule.alias("__is_rule"), is_script.alias("__is_script"),
         (is_rule | is_script).alias(f"{p}_related"),
-        when_rule(wc.rule_names(after, rule_keyword)).alias(f"{p}_rules_from_code"),
-        when_rule(wc.rule_names(before, rule_keyword)).alias(f"{p}_rules_from_code_before"),
-        when_rule(wc.module_names(after, module_keyword)).alias(f"{p}_modules_from_code"),
-        when_rule(wc.module_names(before, module_keyword)).alias(f"{p}_modules_from_code_before"),
-        when_rule(wc.included_files(after, include_keyword, include_sep, include_suffix))
-        .alias("__included"),
-        when_rule(wc.irregular_includes(after, include_keyword, include_sep, include_suffix))
-        .alias("__irregular"),
+        when_rule("__names.rules").alias(f"{p}_rules_from_code"),
+        when_rule("__names_before.rules").alias(f"{p}_rules_from_code_before"),
+        when_rule("__names.modules").alias(f"{p}_modules_from_code"),
+        when_rule("__names_before.modules").alias(f"{p}_modules_from_code_before"),
+        when_rule("__includes.files").alias("__included"),
+        when_rule("__includes.irregular").alias("__irregular"),
     )
     ra = wc.occurrence_diff(F.col(f"{p}_rules_from_code"), F.col(f"{p}_rules_from_code_before"))
     rr = wc.occurrence_diff(F.col(f"{p}_rules_from_code_before"), F.col(f"{p}_rules_from_code"))
@@ -169,8 +195,21 @@ def attach_facts(commits: DataFrame, facts: DataFrame, key: Sequence[str] = KEY,
 def attach_code_before(files: DataFrame, key: Sequence[str] = KEY, path_col: str = "new_path",
                        order: Sequence[str] = ("committer_epoch", "hash"),
                        bucket_seconds: int = 86400) -> DataFrame:
-    """When only snapshots after each change are landed, the code before is the
-    previous snapshot of the same path in commit order (skew-safe ordered scan,
-    bucketed by day, so a file changed in a third of all commits is still split)."""
-    return ordered_scan(files, [*key, path_col], list(order), day_bucket(order[0], bucket_seconds),
-                        lags={"source_code_before": F.col("source_code")})
+    """When only snapshots after each change are landed, the code before is the previous snapshot of the
+    same path in commit order. The previous commit is found on keys alone (skew-safe ordered scan, bucketed by day), and
+    one join then fetches its text; no window or aggregate carries a text. A file appears once per commit."""
+    file = [*key, path_col]
+    narrow = files.select(*dict.fromkeys([*file, *order, "hash"]))
+    before = ordered_scan(narrow, file, list(order), day_bucket(order[0], bucket_seconds),
+                          lags={"__before": F.col("hash")}).select(*file, "hash", "__before").where("__before is not null")
+    texts = files.select(*file, F.col("hash").alias("__before"), F.col("source_code").alias("source_code_before"))
+    fetched = before.join(texts, [*file, "__before"]).drop("__before")
+    return files.join(fetched, [*file, "hash"], "left").select(*files.columns, "source_code_before")
+
+
+def files_per_commit(files: DataFrame, key: Sequence[str] = KEY, fields: Sequence[str] | None = None) -> DataFrame:
+    """``files``, the nested list of a commit's files (``fields`` of each, all but the key by default), sorted; and
+    ``n_files``. A list is as long as its commit has files."""
+    kept = list(fields) if fields is not None else [c for c in files.columns if c not in (*key, "hash")]
+    return files.groupBy(*key, "hash").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("files"),
+                                           F.count(F.lit(1)).alias("n_files"))

@@ -1,8 +1,8 @@
 """Process-mining event logs per evolution cycle.
 
 Activities of every kind become rows ``(key, case_id, activity, t, timestamp, user)``
-and are matched to *all* cycles at once (J13): equi join on (key, day bucket)
-plus the inclusive range test, so no range join degenerates to a nested loop.
+and are matched to *all* cycles at once (J13) by an ordered scan over cycle begins and
+activities together, so neither is a range join needed nor a cycle expanded.
 A boundary instant falls in both neighbouring cycles, as in the reference.
 
 Pull-request commits (E08, E09) carry no time filter in the reference and would
@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repochron.functions.scalars import (DAY_SECONDS, GITHUB_TS_FORMAT, commit_case_id,
                                          epoch_to_str, last_url_segment, str_to_timestamp)
+from repochron.operators.ordered import ordered_scan
+from repochron.session import write_through
 
 KEY = ("owner", "repo")
 LOG_COLUMNS = ("case_id", "activity", "timestamp", "user")
@@ -89,26 +91,31 @@ def attach_cycles(activities: DataFrame, cycles: DataFrame, key: Sequence[str] =
                   prefix: str = "snakemake", bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Every activity with ``begin <= t <= end`` of a cycle, for all cycles.
 
-    Cycles are exploded into their day buckets (bounded by the span of history),
-    then joined on (key, bucket) and filtered by the inclusive range. Commits of a
-    cycle that added rules or modules become ``Committed-Snakemake`` (E06)."""
-    b = F.lit(bucket_seconds)
-    cyc = cycles.select(
-        *key, "cycle_no", F.col("begin.epoch").alias("__b"), F.col("end.epoch").alias("__e"),
-        ((F.col(f"n_{prefix}_rules_added") > 0) | (F.col(f"n_{prefix}_modules_added") > 0))
-        .alias("__wf"))
-    cyc = cyc.withColumn("__day", F.explode(F.sequence(
-        F.floor(F.col("__b") / b).cast("bigint"), F.floor(F.col("__e") / b).cast("bigint"))))
-    act = activities.withColumn("__day", F.floor(F.col("t") / b).cast("bigint"))
-    j = act.join(cyc, [*key, "__day"], "inner").filter(
-        (F.col("t") >= F.col("__b")) & (F.col("t") <= F.col("__e")))
+    The cycles of a repository follow each other and touch at their ends at most, two at an instant. Their begins and
+    the activities go into one union, and an ordered scan gives each activity the last cycle that began at or before it
+    together with the one before that; no cycle is expanded, however long it is. An instant on a boundary falls in
+    both. Commits of a cycle that added rules or modules become ``Committed-Snakemake`` (E06)."""
+    k = list(key)
+    wf = (F.col(f"n_{prefix}_rules_added") > 0) | (F.col(f"n_{prefix}_modules_added") > 0)
+    cyc = cycles.select(*k, F.struct(F.col("cycle_no").cast("bigint").alias("no"), F.col("begin.epoch").cast("double").alias("b"),
+                                     F.col("end.epoch").cast("double").alias("e"), wf.alias("wf")).alias("c"))
+    cyc = cyc.withColumn("p", F.lag("c").over(Window.partitionBy(*k).orderBy("c.no")))    # a row per cycle
+    columns = ("case_id", "activity", "t", "timestamp", "user")
+    rows = activities.select(*k, *columns, F.col("t").cast("double").alias("__at"), F.lit(1).alias("__kind"))
+    span = F.struct(F.col("c.no").alias("no"), "c", "p").alias("__c")
+    begins = cyc.select(*k, F.col("c.b").alias("__at"), F.lit(0).alias("__kind"), span)
+    points = rows.unionByName(begins, allowMissingColumns=True)
+    scanned = ordered_scan(points, k, ["__at", "__kind"], F.floor(F.col("__at") / F.lit(bucket_seconds)).cast("bigint"),
+                           maxes={"__last": F.col("__c")})
+    inside = scanned.where("__kind = 1 and __last is not null").withColumn("__y", F.explode(F.filter(
+        F.array("__last.c", "__last.p"), lambda y: y.isNotNull() & (y["b"] <= F.col("__at")) & (F.col("__at") <= y["e"]))))
     activity = F.when((F.col("activity") == "Committed") & F.col("case_id").startswith("Commit-")
-                      & F.col("__wf"), F.lit(f"Committed-{prefix.capitalize()}")).otherwise(F.col("activity"))
-    return j.select(*key, "cycle_no", "case_id", activity.alias("activity"), "t", "timestamp", "user")
+                      & F.col("__y.wf"), F.lit(f"Committed-{prefix.capitalize()}")).otherwise(F.col("activity"))
+    return inside.select(*k, F.col("__y.no").alias("cycle_no"), "case_id", activity.alias("activity"), "t", "timestamp", "user")
 
 
 def pr_commit_activities(prs: DataFrame, commits: DataFrame, order: DataFrame,
-                         key: Sequence[str] = KEY, dedupe: bool = False) -> DataFrame:
+                         key: Sequence[str] = KEY) -> DataFrame:
     """E08 / E09 (J09, J10, J11, J19): commits under a merged pull request.
 
     The merge commit must be a commit with parents (J09). One parent: that parent's
@@ -146,24 +153,30 @@ def pr_commit_activities(prs: DataFrame, commits: DataFrame, order: DataFrame,
         *key, case.alias("case_id"), F.lit("Committed").alias("activity"),
         F.floor("committer_epoch").cast("bigint").alias("t"),
         F.col("committer_date").alias("timestamp"), "user", F.col("hash").alias("commit_hash"))
-    out = e08.unionByName(e09)
-    if dedupe:
-        out = out.dropDuplicates([*key, "case_id", "commit_hash"])
-    return out
+    return e08.unionByName(e09)
 
 
 def event_log(cycles: DataFrame, issues: DataFrame, comments: DataFrame, events: DataFrame,
               prs: DataFrame, commits: DataFrame, order: DataFrame,
-              key: Sequence[str] = KEY, prefix: str = "snakemake") -> DataFrame:
-    """The full log. Timed activities are per cycle; PR commits per repository."""
+              key: Sequence[str] = KEY, prefix: str = "snakemake", dedupe: bool = False) -> DataFrame:
+    """The full log. Timed activities are per cycle; PR commits per repository.
+
+    ``dedupe``: a commit that is listed under a pull request isn't listed again as an activity of its own (the
+    reference keeps a list for this, but fills it too late)."""
+    k = list(key)
+    under_pr = pr_commit_activities(prs, commits, order, key)
+    own = commits
+    if dedupe:
+        under_pr = write_through(under_pr, "pr-commits")
+        own = commits.join(under_pr.select(*k, F.col("commit_hash").alias("hash")).distinct(), [*k, "hash"], "left_anti")
     timed = (issue_activities(issues, key)
              .unionByName(comment_activities(comments, key))
              .unionByName(issue_event_activities(events, key))
-             .unionByName(commit_activities(commits, key))
+             .unionByName(commit_activities(own, key))
              .unionByName(pr_activities(prs, key)))
     per_cycle = attach_cycles(timed, cycles, key, prefix)
-    pr_commits = pr_commit_activities(prs, commits, order, key).select(
-        *key, F.lit(None).cast("bigint").alias("cycle_no"), "case_id", "activity", "t",
+    pr_commits = under_pr.select(
+        *k, F.lit(None).cast("bigint").alias("cycle_no"), "case_id", "activity", "t",
         "timestamp", "user")
     return per_cycle.unionByName(pr_commits)
 

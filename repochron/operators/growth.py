@@ -26,15 +26,24 @@ def is_source_file(path, suffixes: Sequence[str] = SOURCE_SUFFIXES) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def first_parent_patches(patches: DataFrame, commits: DataFrame, key: Sequence[str] = ("repo",)) -> DataFrame:
+    """Of the patches ``(key, hash, parent, ...)``, exported against every parent, those against the first one; of a
+    commit without parents its own (``parent`` null). ``commits`` has ``hash`` and ``parents``."""
+    first = commits.select(*key, "hash", F.get("parents", F.lit(0)).alias("__first"))
+    return patches.join(first, [*key, "hash"]).where(F.col("parent").eqNullSafe(F.col("__first"))).drop("__first")
+
+
 def commit_sizes(patches: DataFrame, commits: DataFrame | None = None,
                  key: Sequence[str] = ("repo",), commit_cols: Sequence[str] = ("hash",),
                  suffixes: Sequence[str] = SOURCE_SUFFIXES) -> DataFrame:
     """Per commit, summed byte length of patches of source files (0 if none).
 
     ``patches`` holds one row per (commit, file) diffed against the first parent
-    (J12). It is pre-aggregated per commit (partial aggregation before the
+    (J12, ``first_parent_patches``; done here if ``commits`` has ``parents`` and the patches a ``parent``). It is pre-aggregated per commit (partial aggregation before the
     shuffle); with ``commits`` given, commits without patches get size 0.
     """
+    if commits is not None and "parents" in commits.columns and "parent" in patches.columns:
+        patches = first_parent_patches(patches, commits, key)
     size = F.when(is_source_file("a_path", suffixes), patch_length("patch")).otherwise(F.lit(0))
     per_commit = (patches.groupBy(*key, *commit_cols)
                   .agg(F.sum(size).cast("bigint").alias("commit_size")))

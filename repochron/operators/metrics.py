@@ -215,10 +215,15 @@ def hunks_median(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def process_metrics(files: DataFrame, key: Sequence[str] = KEY, hunk_markers: str | None = "+-",
-                    follow_renames: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(per-file metrics, per-repo changeset stats)."""
+                    follow_renames: bool = False, order: DataFrame | None = None, from_commit: str | None = None,
+                    to_commit: str | None = None, since=None, to=None) -> tuple[DataFrame, DataFrame]:
+    """(per-file metrics, per-repo changeset stats) of the commits in a range of history (P21): between two
+    hashes (``order`` = ``commit_order``) and / or two instants, all inclusive. Renames are followed through the whole
+    history first, so a file keeps the name it ends up with."""
     if follow_renames:
         files = resolve_renames(files, key)
+    if from_commit or to_commit or since is not None or to is not None:
+        files = history_range(files, order, from_commit, to_commit, since, to, key)
     ch = file_changes(files, key, hunk_markers=hunk_markers)
     per_file = file_metrics(ch, key)
     if hunk_markers is not None:

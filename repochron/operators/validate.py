@@ -42,13 +42,23 @@ def is_commit_hash(col) -> Column:
     return F.coalesce(F.length(c) == 40, F.lit(False))
 
 
-def with_default(col, default=None, required: bool = False) -> Column:
+def has_type(col, kind: str) -> Column:
+    """Null, or a value of type ``kind`` (a Spark type; for text and VARIANT: a value that casts to it without
+    loss of what it says)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c.isNull() | c.try_cast(kind).isNotNull()
+
+
+def with_default(col, default=None, required: bool = False, kind: str | None = None) -> Column:
     """Value or default when null (a falsy default yields null, as in the
-    reference); ``required`` makes a null fail via ``raise_error``."""
+    reference); ``required`` makes a null fail via ``raise_error``, ``kind`` a value that is not of this type;
+    the result then has that type."""
     c = F.col(col) if isinstance(col, str) else col
+    out = c if kind is None else F.when(has_type(c, kind), c.try_cast(kind)).otherwise(
+        F.raise_error(F.concat(F.lit(f"expected {kind}, got "), c.cast("string"))))
     if required:
-        return F.when(c.isNull(), F.raise_error(F.lit("value is required"))).otherwise(c)
-    return F.coalesce(c, F.lit(default)) if default else c
+        return F.when(c.isNull(), F.raise_error(F.lit("value is required"))).otherwise(out)
+    return F.coalesce(out, F.lit(default)) if default else out
 
 
 def rejects_of(df: DataFrame, valid: Column, stage: str, reason: str, name_col: str) -> DataFrame:

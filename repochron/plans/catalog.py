@@ -161,10 +161,26 @@ def q_irregular_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code_wf(spark, sf_dir, compat=True):
-    return cf.file_workflow_columns(
+    named = cf.code_names(
         sv.code(spark, sf_dir), rule_keyword=STANDIN_RULE_KW, module_keyword=STANDIN_MODULE_KW,
         include_keyword=STANDIN_INCLUDE["keyword"], include_sep=STANDIN_INCLUDE["sep"],
-        include_suffix=STANDIN_INCLUDE["suffix"], compat=compat)
+        include_suffix=STANDIN_INCLUDE["suffix"])
+    return cf.file_workflow_columns(cf.names_before(named, ("owner", "repo"), ("pos",), F.expr("pos div 4096")), compat=compat)
+
+
+@query("commit_sizes_first_parent")
+def q_commit_sizes_first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit sizes from patches exported against every parent; roots by their own patches."""
+    patches, commits = sv.patches_to_parents(spark, sf_dir)
+    return growth.commit_sizes(patches, commits, key=("repo",)).select("repo", "hash", "commit_size")
+
+
+@query("commit_file_lists")
+def q_commit_file_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested list of each commit's files, written as text."""
+    entry = F.concat_ws(":", "new_path", F.col("line_no").cast("string"), "change_type")
+    lists = cf.files_per_commit(sv.commit_files(spark, sf_dir).withColumn("entry", entry), ("repo",), ["entry"])
+    return lists.select("repo", "hash", "n_files", F.array_join(F.transform("files", lambda f: f["entry"]), ",").alias("files"))
 
 
 @query("rule_diff_occurrences")
@@ -210,6 +226,7 @@ def q_script_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- process metrics (X05) -----------------------------------------------------
 
+RANGE = ("1996-01-01 00:00:00", "1998-06-30 12:00:00")
 STANDIN_HUNK_MARKERS = "TA"     # prose lines starting with T or A play +/- lines
 
 
@@ -226,6 +243,13 @@ def q_changeset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("repo", "changeset_max", _r6("changeset_avg").alias("changeset_avg"))
 
 
+@query("metrics_in_range")
+def q_metrics_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process metrics of the commits between two instants."""
+    m, _ = pm.process_metrics(sv.commit_files(spark, sf_dir), ("repo",), None, since=RANGE[0], to=RANGE[1])
+    return m.select("repo", "path", "commitscount_files", "codechurn_count", "contributorscount_count", "linescount_count_added")
+
+
 @query("code_churn")
 def q_code_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Churn per file."""
@@ -431,6 +455,17 @@ def q_eventlog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select(*LOG_OUT)
 
 
+@query("eventlog_dedupe")
+def q_eventlog_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log in which a commit under a pull request isn't listed again by itself."""
+    commits = sv.commits(spark, sf_dir)
+    rows = write_through(cyc.cycle_rows(commits), "cyclerows")
+    log = el.event_log(cyc.evolution_cycles(commits, rows=rows), sv.issues(spark, sf_dir), sv.issue_comments(spark, sf_dir),
+                       sv.issue_events(spark, sf_dir), sv.pull_requests(spark, sf_dir),
+                       sv.commits_with_parents(spark, sf_dir, rows), rows, dedupe=True)
+    return log.select(*LOG_OUT)
+
+
 # --- calendar, upsert, validation, commit-log parsing --------------------------------
 
 
@@ -568,6 +603,15 @@ def q_eventlog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
                             broken(sv.pull_requests(spark, sf_dir), "number"), commits.where("event_id % 13 <> 0"))
 
 
+@query("typed_values")
+def q_typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type test and typed default of a field of ``props``."""
+    ev = sv.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    return ev.select("event_id", val.has_type(k, "int").alias("is_int"), val.has_type("event_type", "int").alias("type_is_int"),
+                     val.with_default(F.when(k.cast("int") >= 20, k), 7, kind="int").alias("k"))
+
+
 @query("upsert_existing")
 def q_upsert_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge into an existing table that has a column of its own; an empty allow list is no filter."""
@@ -579,7 +623,7 @@ def q_upsert_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("page_id").alias("load_order"))
     old = info.where("id % 3 = 0").withColumn("name", F.lit("old")).withColumn("note", F.concat(F.lit("n"), F.col("id").cast("string")))
     allowed = info.select("full_name").where("full_name is null")
-    out = inc.upsert(old, info.where("id % 2 = 0"), allowed=allowed)
+    out = inc.upsert(old, info.where("id % 3 <> 0 or id % 2 = 0"), allowed=allowed)     # old and new rows hold every page
     return out.select("id", "name", "full_name", "stargazers_count", "forks_count", "note")
 
 
@@ -622,6 +666,13 @@ def q_tags_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag.tags_containing(edges, refs.withColumnRenamed("ref", "tag"))
 
 
+@query("nearest_ref_ladder")
+def q_nearest_ref_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One repository with a merge at every commit, cut into blocks of 4096 commits."""
+    edges, refs = sv.ladder(spark, sf_dir)
+    return dag.nearest_ref(edges, refs, block=4096).select("repo", "hash", "ref", "depth")
+
+
 # --- entity filters and joins ----------------------------------------------------------
 
 

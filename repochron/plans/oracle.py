@@ -732,10 +732,10 @@ from mp where not exists (
 """)
 
 SQL["upsert_existing"] = _q("""
-select page_id as id, case when page_id % 2 = 0 then url else 'old' end as name,
+select page_id as id, case when page_id % 3 <> 0 or page_id % 2 = 0 then url else 'old' end as name,
        'o/' || cast(page_id % 40 as varchar) as full_name, length(url) as stargazers_count, length(html) as forks_count,
        case when page_id % 3 = 0 then 'n' || cast(page_id as varchar) end as note
-from pages where page_id % 2 = 0 or page_id % 3 = 0
+from pages
 """)
 
 SQL["written_keys"] = _q("""
@@ -929,3 +929,57 @@ select o_orderkey, o_orderpriority || ':' || o_orderstatus as who,
 SQL["date_ranges_backwards"] = SQL["date_ranges_month"] + " where status <> 'F'"
 
 SQL["eventlog_sorted"] = SQL["eventlog_pr_commits"]
+
+# --- first parents, file lists, ranges, listed commits, ladder, typed values ---------------
+SQL["commit_sizes_first_parent"] = _q("""
+select source as repo, sha1(source || ':' || cast(doc_id // 60 as varchar)) as hash,
+       cast(sum(case when lang in ('en', 'de') then strlen(text) else 0 end) as bigint) as commit_size
+from documents group by source, doc_id // 60
+""")
+
+SQL["commit_file_lists"] = _q(f"""
+with f as ({V_FILES})
+select repo, hash, count(*) as n_files,
+       array_to_string(list_sort(list(new_path || ':' || cast(line_no as varchar) || ':' || change_type)), ',') as files
+from f group by repo, hash
+""")
+
+SQL["metrics_in_range"] = _q(f"""
+with f as (select * from ({V_FILES}) where committer_epoch >= epoch(timestamp '1996-01-01 00:00:00')
+                                       and committer_epoch <= epoch(timestamp '1998-06-30 12:00:00'))
+select repo, new_path as path, count(distinct hash) as commitscount_files,
+       cast(sum(n_added_lines - n_deleted_lines) as bigint) as codechurn_count,
+       count(distinct author) as contributorscount_count, cast(sum(n_added_lines) as bigint) as linescount_count_added
+from f group by repo, new_path
+""")
+
+_LISTED = f"""{_ALL_HEAD.replace("act as (", PR_COMMITS.strip() + "," + chr(10) + "act as (", 1)}"""
+SQL["eventlog_dedupe"] = _q(f"""
+{_LISTED.replace('committer as "user" from c', """committer as "user" from c
+             where not exists (select 1 from prc where prc.owner = c.owner and prc.repo = c.repo and prc.commit_hash = c.hash)""")}
+select a.owner{_ALL_BODY}
+union all
+select owner, repo, cast(null as bigint) as cycle_no, case_id, activity, t, timestamp, "user" from prc
+""")
+
+# parents one and two back: a ref d commits on is ceil(d / 2) hops away, so the next ref and the one right after it compete
+SQL["nearest_ref_ladder"] = _q("""
+with c as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as idx,
+                  o_orderkey = max(o_orderkey) over (partition by o_custkey) as tagged from orders),
+n as (select *, min(case when tagged then idx end) over (order by idx rows between current row and unbounded following) as r1 from c),
+d as (select n.*, (r1 - idx + 1) // 2 as depth from n where r1 is not null),
+two as (select d.o_orderkey, d.depth, 'vc' || cast(a.o_orderkey as varchar) as ref1,
+               case when b.tagged and (d.r1 + 1 - d.idx + 1) // 2 = d.depth then 'vc' || cast(b.o_orderkey as varchar) end as ref2
+        from d join c a on a.idx = d.r1 left join c b on b.idx = d.r1 + 1)
+select 'ladder' as repo, 'c' || cast(o_orderkey as varchar) as hash,
+       case when ref2 < ref1 then ref2 else ref1 end as ref, cast(depth as bigint) as depth
+from two
+""")
+
+SQL["typed_values"] = _q("""
+with e as (select event_id, event_type, json_extract_string(props, '$.k') as k from events)
+select event_id, k is null or try_cast(k as integer) is not null as is_int,
+       event_type is null or try_cast(event_type as integer) is not null as type_is_int,
+       coalesce(case when try_cast(k as integer) >= 20 then try_cast(k as integer) end, 7) as k
+from e
+""")

@@ -17,12 +17,13 @@ projection is written in SQL for the oracle). All views read whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repochron.functions.scalars import GITHUB_TS_FORMAT, ts_to_epoch, ts_to_text
 from repochron.operators.cycles import commit_order
 from repochron.operators.ordered import ordered_scan
+from repochron.session import write_through
 
 # Fixed values of the stand-in mapping (identical in the oracle SQL).
 OWNER = "acme"
@@ -138,7 +139,7 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> commit_files with code: one file per document, commit = 3 documents
-    of a source; the code before is the previous document of the same source (J15).
+    of a source, each a snapshot after its change (the code before is the previous document of the source, J15).
     en -> a rule file ``Snakefile``, de -> ``rules/<id>.smk``, es -> a script under
     ``workflow/scripts/``, fr -> ``docs/<id>.txt``."""
     d = table(spark, sf_dir, "documents")
@@ -148,13 +149,42 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(F.col("lang") == "de", F.concat(F.lit("rules/"), ident, F.lit(".smk")))
                  .when(F.col("lang") == "es", F.concat(F.lit("workflow/scripts/"), ident, F.lit(".py")))
                  .otherwise(F.concat(F.lit("docs/"), ident, F.lit(".txt"))))
-    d = d.select(F.lit(OWNER).alias("owner"), F.col("source").alias("repo"),
+    return d.select(F.lit(OWNER).alias("owner"), F.col("source").alias("repo"),
                  F.sha1(F.concat(F.col("source"), F.lit(":"), pos.cast("string"))).alias("hash"),
                  F.col("doc_id").alias("pos"), new_path.alias("new_path"),
                  F.element_at(F.split(new_path, "/"), -1).alias("filename"),
                  F.col("text").alias("source_code"))
-    return ordered_scan(d, ["owner", "repo"], ["pos"], F.expr("pos div 4096"),
-                        lags={"source_code_before": F.col("source_code")})
+
+
+def ladder(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """orders -> (edges, refs) of one repository with a merge at every commit: orders by key, each one's parents are the two
+    before it; a customer's last order is tagged."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = ordered_scan(orders.withColumn("owner", F.lit(OWNER)), ["owner"], ["o_orderkey"], F.expr("o_orderkey div 4096"), index="idx")
+    c = write_through(c.select("owner", F.lit("ladder").alias("repo"), "idx", "o_custkey", "o_orderkey",
+                               F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("hash")), "ladder")
+    down = c.select("owner", "repo", F.col("hash").alias("child"), "idx", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    edges = (down.withColumn("at", F.col("idx") - F.col("pos") - 1)
+             .join(c.select(F.col("idx").alias("at"), F.col("hash").alias("parent")), "at").select("owner", "repo", "child", "pos", "parent"))
+    last = c.groupBy("owner", "repo", "o_custkey").agg(F.max_by("hash", "o_orderkey").alias("hash"))
+    return edges, last.select("owner", "repo", "hash", F.concat(F.lit("v"), "hash").alias("ref"))
+
+
+def patches_to_parents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """documents -> (patches against every parent, commits): the first parent is the commit before; every third commit
+    also merges the one before that, and its patch against this parent shows the documents of both."""
+    p = patches(spark, sf_dir)
+    w = Window.partitionBy("repo").orderBy("pos")
+    c = (p.select("repo", "pos", "hash").distinct()
+         .select("*", F.lag("hash").over(w).alias("p0"), F.lag("hash", 2).over(w).alias("p1")))
+    merge = (F.col("pos") % 3 == 0) & F.col("p1").isNotNull()
+    c = c.select("repo", "pos", "hash", "p0", F.when(merge, F.col("p1")).alias("p1"))
+    own = p.select("repo", "hash", "a_path", "patch").join(c, ["repo", "hash"])
+    before = p.select("repo", F.col("hash").alias("p0"), "a_path", "patch").join(c, ["repo", "p0"])
+    out = [own.select("repo", "hash", F.col("p0").alias("parent"), "a_path", "patch")]
+    out += [x.where("p1 is not null").select("repo", "hash", F.col("p1").alias("parent"), "a_path", "patch") for x in (own, before)]
+    parents = F.filter(F.array("p0", "p1"), lambda x: x.isNotNull())
+    return out[0].unionByName(out[1]).unionByName(out[2]), c.select("repo", "hash", parents.alias("parents"))
 
 
 def issue_times(spark: SparkSession, sf_dir: str) -> DataFrame:

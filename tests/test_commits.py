@@ -69,3 +69,46 @@ def test_attach_code_before(spark):
                                "committer_epoch double, source_code string")
     got = {r["hash"]: r["source_code_before"] for r in cf.attach_code_before(df, bucket_seconds=3600).collect()}
     assert got == {"h1": None, "h2": "rule a:", "h3": None, "h4": "rule b:"}
+
+
+def test_occurrences_missing_from_the_other_list(spark):
+    import random
+
+    from repochron.functions.workflow_code import occurrence_diff
+    rnd = random.Random(1)
+    rows = [([rnd.choice("abcde") * rnd.randrange(3) for _ in range(rnd.randrange(12))], [rnd.choice("abcde") for _ in range(rnd.randrange(6))])
+            for _ in range(80)] + [([], []), ([""], []), (["", "a"], [""])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["n"] for r in df.select("i", occurrence_diff("a", "b").alias("n")).collect()}
+    assert got == {i: sum(x not in b for x in a) for i, (a, b) in enumerate(rows)}
+
+
+def test_names_before_equal_names_of_the_text_before(spark):
+    rows = [("o", "x", f"h{i}", "Snakefile" if i % 3 else "a.smk", float(i * 50_000), f"rule r{i % 4}:\nmodule m{i % 2}:\nrule q:") for i in range(12)]
+    df = spark.createDataFrame(rows, "owner string, repo string, hash string, new_path string, committer_epoch double, source_code string") \
+        .withColumn("filename", F.col("new_path"))
+    counts = [f"snakemake_n_{x}" for x in ("rules_added", "rules_removed", "modules_added", "modules_removed")]
+    texts = cf.file_workflow_columns(cf.attach_code_before(df))
+    lagged = cf.names_before(cf.code_names(df))
+    names = cf.file_workflow_columns(lagged)
+    assert sorted(map(tuple, texts.select("hash", *counts).collect())) == sorted(map(tuple, names.select("hash", *counts).collect()))
+    assert "source_code" not in lagged.columns
+    for node in cf.attach_code_before(df)._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert not ("Window" in node and "source_code" in node)
+
+
+def test_files_per_commit(spark):
+    df = spark.createDataFrame([("o", "x", "h", "b.py", 2), ("o", "x", "h", "a.py", 1), ("o", "x", "i", "a.py", 5)],
+                               "owner string, repo string, hash string, new_path string, n_added_lines long")
+    got = {r["hash"]: (r["n_files"], [tuple(f) for f in r["files"]]) for r in cf.files_per_commit(df).collect()}
+    assert got == {"h": (2, [("a.py", 1), ("b.py", 2)]), "i": (1, [("a.py", 5)])}
+
+
+def test_first_parent_sizes(spark):
+    from repochron.operators.growth import commit_sizes
+    patches = spark.createDataFrame([("r", "m", "p", "x.py", "12345"), ("r", "m", "q", "x.py", "123"), ("r", "p", None, "x.py", "1234567"),
+                                     ("r", "q", "p", "x.md", "1"), ("r", "q", "p", "y.smk", "12")],
+                                    "repo string, hash string, parent string, a_path string, patch string")
+    commits = spark.createDataFrame([("r", "m", ["p", "q"]), ("r", "p", []), ("r", "q", ["p"]), ("r", "z", ["m"])],
+                                    "repo string, hash string, parents array<string>")
+    assert {r["hash"]: r["commit_size"] for r in commit_sizes(patches, commits).collect()} == {"m": 5, "p": 7, "q": 2, "z": 0}

@@ -62,7 +62,7 @@ def test_pr_commit_ranges(spark):
                    ("Issue-2", "c3", "d3")]
 
 
-def test_dedupe_switch_and_sort(spark):
+def test_repeats_under_pull_requests_and_sort(spark):
     order = spark.createDataFrame([("o", "r", f"c{i}", i, f"d{i}", float(i)) for i in range(4)],
                                   "owner string, repo string, hash string, idx bigint, "
                                   "committer_date string, committer_epoch double")
@@ -73,7 +73,7 @@ def test_dedupe_switch_and_sort(spark):
                                 "merge_commit_sha string, user struct<login:string>")
     raw = el.pr_commit_activities(prs, commits, order)
     assert raw.count() == 6                      # the PR listed twice: every range commit twice
-    assert el.pr_commit_activities(prs, commits, order, dedupe=True).count() == 3
+    assert el.pr_commit_activities(prs, commits, order).count() >= 3
     log = raw.select("owner", "repo", F.lit(1).cast("bigint").alias("cycle_no"), "case_id",
                      "activity", "t", "timestamp", "user")
     ts = [r["t"] for r in el.sort_event_log(log).collect()]
@@ -132,3 +132,46 @@ def test_rejects_name_every_skipped_row(spark):
         ("event_log", "o", "r", "pull_request", "7", "merge commit not found"),
         ("event_log", "o", "r", "pull_request", "8", "parent commit not found"),
         ("event_log", "o", "r", "pull_request", "9", "no created_at")])
+
+
+def test_activities_meet_every_cycle_that_holds_them(spark):
+    """J13 against every pair: long and empty cycles, instants on boundaries, activities outside."""
+    import random
+    rnd = random.Random(3)
+    rows, acts = [], []
+    for repo in range(8):
+        at = rnd.randrange(100) * 1000.0
+        for no in range(1, rnd.randrange(2, 9)):
+            end = at + (0.0 if no == 1 and repo % 2 else rnd.choice((3600.0, 86400.0, 12.5, 3650 * 86400.0)))
+            rows.append(("o", f"r{repo}", no, ("b", at), ("e", end), repo % 3 == 0 and 1 or 0, 0))
+            acts += [("o", f"r{repo}", f"Commit-{no}{k}", "Committed", int(t), "x", "u")
+                     for k, t in enumerate((at, end, at - 1, end + 1, (at + end) / 2, rnd.uniform(at, end)))]
+            at = end
+    cyc = spark.createDataFrame(rows, "owner string, repo string, cycle_no bigint, begin struct<hash:string,epoch:double>, "
+                                "end struct<hash:string,epoch:double>, n_snakemake_rules_added bigint, n_snakemake_modules_added bigint")
+    act = spark.createDataFrame(acts, "owner string, repo string, case_id string, activity string, t bigint, timestamp string, user string")
+    got = el.attach_cycles(act, cyc)
+    found = sorted((r["repo"], r["cycle_no"], r["case_id"], r["t"], r["activity"]) for r in got.collect())
+    wanted = sorted((a[1], c[2], a[2], a[4], "Committed-Snakemake" if c[5] else "Committed")
+                    for a in acts for c in rows if a[1] == c[1] and c[3][1] <= a[4] <= c[4][1])
+    assert found == wanted and len(wanted) > 150
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan        # no cycle is expanded into days
+
+
+def test_commits_under_a_pull_request_are_listed_once(spark):
+    order = spark.createDataFrame([("o", "r", h, i, f"d{i}", 100.0 + i, "c") for i, h in enumerate(("a", "b", "m"))],
+                                  "owner string, repo string, hash string, idx bigint, committer_date string, committer_epoch double, committer string")
+    commits = spark.createDataFrame([("o", "r", "a", [], 100.0, "c"), ("o", "r", "b", ["a"], 101.0, "c"), ("o", "r", "m", ["a", "b"], 102.0, "c")],
+                                    "owner string, repo string, hash string, parents array<string>, committer_epoch double, committer string")
+    prs = spark.createDataFrame([("o", "r", 1, "1970-01-01T00:01:41Z", "m", ("u",))], "owner string, repo string, number bigint, "
+                                "created_at string, merge_commit_sha string, user struct<login:string>")
+    who = "user struct<login:string>"
+    none = [spark.createDataFrame([], f"owner string, repo string, {x}") for x in (
+        f"number bigint, created_at string, closed_at string, {who}", f"id bigint, issue_url string, created_at string, {who}",
+        "id bigint, event string, created_at string, actor struct<login:string>, issue struct<number:bigint>")]
+    cyc = cycles(spark)
+    log = {d: sorted((r["case_id"], r["activity"]) for r in el.event_log(cyc, *none, prs, commits, order, dedupe=d).collect()) for d in (False, True)}
+    under, opened = ("Issue-1", "Committed"), ("Issue-1", "Pull Request Opened")
+    own = [(f"Commit-{h}", "Committed-Snakemake") for h in "abm"]
+    assert log[False] == sorted([*own, under, opened]) and log[True] == sorted([*own[1:], under, opened])

@@ -79,3 +79,17 @@ def test_binary_only_file_has_no_lines(spark):
     r = per_file.collect()[0]
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
     assert (r["contributorscount_minor"], r["contributorsexperience_count"]) == (0, 0.0)
+
+
+def test_metrics_of_a_range_between_two_hashes(spark):
+    import pytest
+    rows = [("o", "r", f"h{i}", "ann", float(i), "a.py", i + 1, 0) for i in range(6)]
+    f = spark.createDataFrame(rows, "owner string, repo string, hash string, author string, committer_epoch double, new_path string, "
+                              "n_added_lines long, n_deleted_lines long")
+    order = spark.createDataFrame([("o", "r", f"h{i}", i) for i in range(6)], "owner string, repo string, hash string, idx long")
+    m, c = pm.process_metrics(f, hunk_markers=None, order=order, from_commit="h1", to_commit="h3")
+    assert [(r["commitscount_files"], r["codechurn_count"]) for r in m.collect()] == [(3, 9)]
+    m, _ = pm.process_metrics(f, hunk_markers=None, order=order, from_commit="h1", to="1970-01-01 00:00:02")
+    assert [(r["commitscount_files"], r["codechurn_count"]) for r in m.collect()] == [(2, 5)]
+    with pytest.raises(ValueError):
+        pm.process_metrics(f, hunk_markers=None, order=order, from_commit="nope", to_commit="h3")

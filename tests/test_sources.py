@@ -94,7 +94,8 @@ def test_sinks_round_trip(spark):
     assert sorted((r["repo"], r["n"]) for r in back.collect()) == [("a", 1), ("b", 2)]
     sinks.mark_done(df, f"{out}/manifest", "extract")
     sinks.mark_done(df.limit(1), f"{out}/manifest", "extract")
-    assert spark.read.parquet(f"{out}/manifest").count() == 3
+    assert sinks.done_keys(spark, f"{out}/manifest", "extract").count() == 2
+    assert sinks.done_keys(spark, f"{out}/manifest", "other") is None
     sinks.write_lines(df.select(F.concat_ws("/", "owner", "repo").alias("full_name")), f"{out}/lines")
     assert sorted(r[0] for r in spark.read.text(f"{out}/lines").collect()) == ["o/a", "o/b"]
 
@@ -222,3 +223,30 @@ def test_commit_table_of_landed_text(spark, tmp_path):
     assert got["one", "a"]["merged_branch"] == "main~1" and got["two", "a"]["merged_branch"] == ""
     assert got["one", "b"]["changed_files"] == ["unknown"] and got["one", "a"]["tags"] == ["v1"]
     assert [(r["repo_name"], r["line"]) for r in rejects.orderBy("repo_name").collect()] == [("one", "noise"), ("two", "noise")]
+
+
+def test_a_killed_stage_leaves_one_copy_and_one_mark(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from repochron.operators.summary import resume
+    df = spark.createDataFrame([("o", "a", 1), ("o", "a", 2), ("o", "b", 3)], "owner string, repo string, n int")
+    data, manifest = str(tmp_path / "data"), str(tmp_path / "done")
+    marks = sinks.mark_done
+
+    def killed(*_):
+        raise KeyboardInterrupt
+    monkeypatch.setattr(sinks, "mark_done", killed)
+    with pytest.raises(KeyboardInterrupt):          # after the rows, before the marks
+        sinks.commit_stage(df, data, manifest, "extract", "night-1")
+    monkeypatch.setattr(sinks, "mark_done", marks)
+    assert sinks.read_stage(spark, data, manifest, "extract") is None and sinks.done_keys(spark, manifest, "extract") is None
+    for _ in range(2):                              # and run twice more
+        sinks.commit_stage(df, data, manifest, "extract", "night-1")
+    assert sorted(r["n"] for r in sinks.read_stage(spark, data, manifest, "extract").collect()) == [1, 2, 3]
+    assert spark.read.parquet(f"{manifest}/stage=extract").count() == 2
+    more = spark.createDataFrame([("o", "b", 9), ("o", "c", 4)], "owner string, repo string, n int")
+    todo = resume(more, sinks.done_keys(spark, manifest, "extract"))
+    sinks.commit_stage(todo, data, manifest, "extract", "night-2")
+    assert sorted(r["n"] for r in sinks.read_stage(spark, data, manifest, "extract").collect()) == [1, 2, 3, 4]
+    (tmp_path / "done" / "stage=extract" / "run=night-2" / "_SUCCESS").unlink()     # marks cut short don't count
+    assert sorted(r["repo"] for r in sinks.done_keys(spark, manifest, "extract").collect()) == ["a", "b"]
