@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into pieces; TF-IDF vectors of the pieces (document frequencies from the
+Benchmark items are cut into overlapping pieces; TF-IDF vectors of the pieces (document frequencies from the
 whole corpus) are reduced by a distributed randomised SVD. Every passage of every document is
 folded into that latent space, pieces with a high cosine are its candidates (pieces that the space
 holds badly are also compared by their exact TF-IDF vectors), and a candidate
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from repochron.llm.common import U64, cut, mix64, table
 
 PIECE_WORDS = 64          # words of a benchmark piece at most
+PIECE_STEP = 32           # words from one piece of a long item to the next
 PASSAGE = 96              # words of a corpus passage
 STRIDE = 32               # any 64 words in a row lie in one passage
 RANK = 256                # dimensions of the latent space at most
@@ -29,12 +30,13 @@ COSINE = 0.4
 LCS = 0.7
 ANSWER = 0.6              # of an answer's words; without an answer column the LCS decides alone
 BLOCK = 256               # pieces searched in one pass over the corpus; not above RANK, so that the space holds them
-BUFFER = 1 << 20
+BUFFER = 1 << 18         # bytes of text that are taken apart at once
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     _WORD[_c] = True
 _MULT = U64(0x9E3779B97F4A7C15)
+_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))     # of each byte
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,22 +47,24 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return np.zeros(0, np.uint64), at
     # prefix sums of byte * m^i modulo 2^64; a word's value is a difference, scaled to its start
-    n = len(data)
-    value = mix64(data.astype(np.uint64) + U64(1))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * _powers(n)[0][:n], dtype=np.uint64)))
-    return mix64((total[end] - total[at]) * _powers(n)[1][at]), at
+    up, down = _powers(len(data))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * up, dtype=np.uint64)))
+    return mix64((total[end] - total[at]) * down[at]), at
 
 
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """m^i and m^-i modulo 2^64 for i < n, grown on demand."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * BUFFER)
-        inverse = U64(pow(int(_MULT), -1, 1 << 64))
-        _POWERS[:] = [np.cumprod(np.concatenate(([U64(1)], np.full(size - 1, m, np.uint64)))) for m in (_MULT, inverse)]
-    return _POWERS
+    """m^i and m^-i modulo 2^64 for i < n; those of a usual buffer are kept, those of a longer text are not."""
+    if not _POWERS:
+        _POWERS[:] = _powers_of(2 * BUFFER)
+    return [p[:n] for p in _POWERS] if n <= 2 * BUFFER else _powers_of(n)
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    inverse = U64(pow(int(_MULT), -1, 1 << 64))
+    return [np.cumprod(np.concatenate(([U64(1)], np.full(n - 1, m, np.uint64)))) for m in (_MULT, inverse)]
 
 
 def word_lists(texts: list[str | None]):
@@ -105,7 +109,6 @@ class Index:
     item: list[int]                   # item of each piece
     pieces: list[list[int]]           # word hashes
     answers: list[list[int]]          # of each piece's item; empty without an answer
-    size: dict[int, int]              # pieces of each item
     basis: np.ndarray | None = None   # words x rank
     latent: np.ndarray | None = None  # unit rows
     weak: np.ndarray | None = None    # pieces that lose too much of their norm in the latent space
@@ -113,6 +116,7 @@ class Index:
     least: float = 0.0                # smallest weight of the wanted share of a piece's words
     flat: np.ndarray | None = None    # vocabulary indices of all pieces' words
     at: np.ndarray | None = None      # where each piece starts in ``flat``
+    known: np.ndarray | None = None   # low bits of the vocabulary's hashes
 
     def lay_out(self) -> None:
         self.flat = self.features(np.array([w for p in self.pieces for w in p], np.uint64)).astype(np.int64)
@@ -128,10 +132,11 @@ class Index:
 
     def features(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary index of each word, or -1."""
-        known = np.zeros(1 << 20, bool)
-        known[(self.vocabulary & U64((1 << 20) - 1)).astype(np.int64)] = True
+        if self.known is None:
+            self.known = np.zeros(1 << 20, bool)
+            self.known[(self.vocabulary & U64((1 << 20) - 1)).astype(np.int64)] = True
         out = np.full(len(h), -1, np.int32)
-        maybe = np.flatnonzero(known[(h & U64((1 << 20) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.known[(h & U64((1 << 20) - 1)).astype(np.int64)])
         if len(maybe):
             at = np.searchsorted(self.vocabulary, h[maybe])
             at[at == len(self.vocabulary)] = 0
@@ -156,7 +161,7 @@ def make_pieces(benchmark: DataFrame, id_col: str, text_col: str, answer_col: st
             for item, text, answer in zip(b.column(0).to_pylist(), texts, answers):
                 w = next(word_lists([text]))[1].tolist()
                 said = next(word_lists([answer]))[1].tolist() if answer else []
-                for k, at in enumerate(range(0, len(w), PIECE_WORDS)):
+                for k, at in enumerate(range(0, max(1, len(w) - PIECE_WORDS + PIECE_STEP) if w else 0, PIECE_STEP)):
                     at = max(0, min(at, len(w) - PIECE_WORDS))
                     for o, v in zip(out, (item, k, w[at: at + PIECE_WORDS], said)):
                         o.append(v)
@@ -176,7 +181,7 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, np.zeros(0), [], [], [], {})
+        index = Index(shared.value, np.zeros(0), [], [], [])
         total, n = np.zeros(len(shared.value), np.int64), 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -305,7 +310,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           cosine: float = COSINE, share: float = LCS, answer: float = ANSWER, block: int = BLOCK) -> DataFrame:
     """Benchmark items found in documents: ``doc_id``, ``item_id``, ``cosine``, ``lcs`` (best piece).
 
-    An item is found in a document if at least half of its pieces are: a piece counts in a
+    Items of over 64 words are cut into pieces that overlap by half. An item is found in a document if one of its pieces is,
+    so an excerpt of a long item is found too: a piece counts in a
     passage if their latent cosine (or the exact one, for pieces that the ``rank`` dimensions hold
     badly) reaches ``cosine``, their longest common subsequence of
     words reaches ``share`` of the piece, and, if the item has an answer (``answer_col``), the share
@@ -349,9 +355,7 @@ def _indexes(src: DataFrame, benchmark: DataFrame, item_col: str, item_text: str
             continue
         got = got.sort_by([("item", "ascending"), ("k", "ascending")])
         said, asked = ([np.array(x, np.int64).view(np.uint64).tolist() for x in got[c].to_pylist()] for c in ("w", "a"))
-        index = Index(np.zeros(0, np.uint64), np.zeros(0), got["item"].to_pylist(), said, asked, {})
-        for i in index.item:
-            index.size[i] = index.size.get(i, 0) + 1
+        index = Index(np.zeros(0, np.uint64), np.zeros(0), got["item"].to_pylist(), said, asked)
         index.vocabulary = np.unique(np.array([w for p in index.pieces for w in p], np.uint64))
         n, df = document_frequency(src, index.vocabulary)
         index.idf = np.log((n + 1.0) / (df + 1.0)) + 0.05
@@ -375,9 +379,8 @@ def _items(idx: Index, texts: list[str | None], cosine: float, share: float, ans
             seen = best.setdefault((rows[row], idx.item[piece]), {})
             seen[piece] = max(seen.get(piece, (0.0, 0.0)), (part, cos))
         for (row, item), seen in sorted(best.items()):
-            if 2 * len(seen) >= idx.size[item]:
-                part, cos = max(seen.values())
-                yield row, item, cos, part
+            part, cos = max(seen.values())
+            yield row, item, cos, part
 
 
 def _found(src: DataFrame, index: Index, cosine: float, share: float, answer: float) -> DataFrame:

@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, special=True)
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 512):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from functools import lru_cache
@@ -21,18 +22,21 @@ def default_path(name: str = JSON_NAME) -> str:
 
 
 class Encoder:
-    """Ids by the ``tokenizers`` file ``path``; special tokens' strings are ordinary text.
+    """Ids by the ``tokenizers`` file ``path``. Special tokens' strings are ordinary text, or, with ``special``, the
+    special ids that the file gives them.
 
     If the same vocabulary lies beside it as a rank file, texts of Latin characters go
-    through that (the same ids, several times faster); all others go through the file itself.
+    through that (the same ids, several times faster); all others go through the file itself, which is loaded
+    when the first of them comes.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
-        self.fast = None
+    def __init__(self, path: str, special: bool = False):
+        self.path, self.special, self._exact = path, special, None
+        self.fast, self.apart = None, None
+        if special:
+            with open(path, encoding="utf-8") as f:
+                added = [t["content"] for t in json.load(f).get("added_tokens") or []]
+            self.apart = re.compile("|".join(map(re.escape, added))) if added else None
         ranks = path[: -len(".json")] + ".tiktoken" if path.endswith(".json") else ""
         if ranks and os.path.exists(ranks):
             import public_tokenizers
@@ -42,16 +46,25 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
                                           mergeable_ranks=pairs, special_tokens={})
 
+    @property
+    def exact(self):
+        if self._exact is None:
+            from tokenizers import Tokenizer
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self._exact = Tokenizer.from_file(self.path)
+            self._exact.encode_special_tokens = not self.special
+        return self._exact
+
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids of one whole text; null is empty."""
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fast is not None and not _OTHER.search(text):
+        if self.fast is not None and not _OTHER.search(text) and not (self.apart and self.apart.search(text)):
             return np.asarray(self.fast.encode_ordinary(text), np.uint32)
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """One encoder per worker process and file."""
-    return Encoder(path)
+    return Encoder(path, special)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,9 @@ def word_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole[long_] = whole[long_] * _MULT + data[starts[long_] + k]
         k += 1
         long_ = long_[size[long_] > k]
-        if k >= 64:                                      # a run of letters this long counts by its head
+        if k >= 64:                                      # the few runs that are longer, whole
+            for i in long_.tolist():
+                whole[i] = xxhash.xxh64_intdigest(data[starts[i]: ends[i]].tobytes())
             break
     feats.append(mix64(whole * _MULT + U64(99)))
     at.append(starts)

@@ -28,6 +28,21 @@ def test_both_libraries_agree_on_latin_characters():
         assert enc.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_get_their_ids():
+    tok, enc = Tokenizer.from_file(default_path()), encoder(default_path(), special=True)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "plain", "中 <|endoftext|>", "a<|endoftext|><|endoftext|>"):
+        assert enc.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert 50256 in enc.ids("a <|endoftext|> b") and 50256 not in encoder(default_path()).ids("a <|endoftext|> b")
+
+
+def test_packed_ids_are_those_of_the_named_call(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "ß und mehr"), (3, "漢字 <|endoftext|>")], "doc_id long, text string")
+    tok = Tokenizer.from_file(default_path())
+    for r in pack_documents(docs).join(docs, "doc_id").collect():
+        ids = [*tok.encode(r["text"], add_special_tokens=False).ids, 2]
+        assert r["length"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 @given(st.lists(st.integers(1, 30), max_size=200), st.integers(1, 8))
 @settings(max_examples=200, deadline=None)
 def test_best_fit_against_a_list_of_bins(lengths, limit):

@@ -90,3 +90,10 @@ def test_odd_rows(spark):
     same = without_toxic(docs, labels.limit(0))
     assert same.schema.names == docs.schema.names and same.count() == 10
     assert score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_runs_of_letters_count_whole():
+    """Two runs that differ only beyond byte 64 have different features, and equal ones equal features."""
+    a, b = "x" * 70 + "a" + "y" * 500, "x" * 70 + "b" + "y" * 500
+    assert counted([a])[1].tolist() != counted([b])[1].tolist()
+    assert counted([a])[1].tolist() == counted([f"{a} "])[1].tolist() and counted(["漢" * 400])[1].tolist() != counted(["漢" * 401])[1].tolist()
