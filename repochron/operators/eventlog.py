@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repochron.functions.scalars import (DAY_SECONDS, GITHUB_TS_FORMAT, commit_case_id,
@@ -23,6 +23,7 @@ from repochron.operators.ordered import ordered_scan
 from repochron.session import write_through
 
 KEY = ("owner", "repo")
+LEVELS = (0, 5, 10, 15, 20, 25, 30)      # blocks of 1, 32, 1024, ... positions
 LOG_COLUMNS = ("case_id", "activity", "timestamp", "user")
 
 
@@ -114,6 +115,44 @@ def attach_cycles(activities: DataFrame, cycles: DataFrame, key: Sequence[str] =
     return inside.select(*k, F.col("__y.no").alias("cycle_no"), "case_id", activity.alias("activity"), "t", "timestamp", "user")
 
 
+def range_blocks(begin: Column, end: Column) -> Column:
+    """``[begin, end)`` as aligned blocks ``(level, no)`` of ``2^level`` positions, at most 62 of each level: those
+    at its ends that no block of the next level covers, and all that are left on the highest level."""
+    def inside(level):
+        size = F.lit(1 << level)
+        return F.ceil(begin / size).cast("bigint"), F.floor(end / size).cast("bigint")
+
+    def blocks(level, low, high):
+        return F.when(low < high, F.transform(F.sequence(low, high - 1), lambda no: F.struct(F.lit(level).alias("level"), no.alias("no")))) \
+            .otherwise(F.array().cast("array<struct<level:int,no:bigint>>"))
+
+    parts = []
+    for level, above in zip(LEVELS, LEVELS[1:]):
+        low, high = inside(level)
+        up_low, up_high = inside(above)
+        covered, step = up_low < up_high, 1 << (above - level)
+        parts += [blocks(level, low, F.when(covered, up_low * step).otherwise(high)),
+                  blocks(level, F.when(covered, up_high * step).otherwise(high), high)]
+    parts.append(blocks(LEVELS[-1], *inside(LEVELS[-1])))
+    return F.concat(*parts)
+
+
+def commits_in_ranges(ranges: DataFrame, order: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``ranges`` (``key``, ``__b``, ``__e``, ...) with the commits at positions ``[__b, __e)`` of ``order`` (``idx``).
+
+    A range is shuffled as a few aligned blocks, whatever its width, and a commit once for each level of blocks
+    that occurs; the rows of the result first arise where both meet. Blocks of a hot repository are keys of their
+    own, so its ranges spread over all tasks."""
+    k = list(key)
+    cut = write_through(ranges.where("__b < __e").withColumn("__blk", F.explode(range_blocks(F.col("__b"), F.col("__e"))))
+                        .select("*", "__blk.level", "__blk.no").drop("__blk"), "ranges")
+    levels = sorted(r["level"] for r in cut.select("level").distinct().collect())      # seven at most
+    at = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright("idx", level).alias("no")) for level in levels])) \
+        if levels else F.explode(F.array().cast("array<struct<level:int,no:bigint>>"))
+    placed = order.withColumn("__at", at).select(*order.columns, "__at.level", "__at.no")
+    return cut.join(placed, [*k, "level", "no"]).drop("level", "no", "__b", "__e")
+
+
 def pr_commit_activities(prs: DataFrame, commits: DataFrame, order: DataFrame,
                          key: Sequence[str] = KEY) -> DataFrame:
     """E08 / E09 (J09, J10, J11, J19): commits under a merged pull request.
@@ -147,9 +186,7 @@ def pr_commit_activities(prs: DataFrame, commits: DataFrame, order: DataFrame,
               .join(ix.withColumnRenamed("hash", "__p1").withColumnRenamed("idx", "__e"),
                     [*key, "__p1"], "inner")
               .filter(F.col("__b") < F.col("__e")))
-    rng = double.select(*key, "number", "user",
-                        F.explode(F.sequence(F.col("__b"), F.col("__e") - 1)).alias("idx"))
-    e09 = rng.join(idx, [*key, "idx"], "inner").select(
+    e09 = commits_in_ranges(double.select(*key, "number", "user", "__b", "__e"), idx, key).select(
         *key, case.alias("case_id"), F.lit("Committed").alias("activity"),
         F.floor("committer_epoch").cast("bigint").alias("t"),
         F.col("committer_date").alias("timestamp"), "user", F.col("hash").alias("commit_hash"))

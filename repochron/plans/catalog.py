@@ -441,6 +441,15 @@ def q_eventlog_pr_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.select("owner", "repo", "case_id", "activity", "t", "timestamp", "user", "commit_hash")
 
 
+@query("eventlog_pr_wide")
+def q_eventlog_pr_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits under pull requests whose ranges are as wide as the history, per pull request."""
+    found = el.pr_commit_activities(*sv.wide_pull_requests(spark, sf_dir))
+    return found.groupBy("repo", "case_id", "user").agg(
+        F.count(F.lit(1)).alias("n_commits"), F.sum("t").alias("sum_t"), F.min("commit_hash").alias("first_hash"),
+        F.max("commit_hash").alias("last_hash"))
+
+
 @query("eventlog_all")
 def q_eventlog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log (per-cycle activities plus PR commits per repository).

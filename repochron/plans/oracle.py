@@ -983,3 +983,14 @@ select event_id, k is null or try_cast(k as integer) is not null as is_int,
        coalesce(case when try_cast(k as integer) >= 20 then try_cast(k as integer) end, 7) as k
 from e
 """)
+
+SQL["eventlog_pr_wide"] = _q("""
+with c as (select *, row_number() over (order by o_orderkey) - 1 as idx from orders),
+r as (select o_orderpriority as login, min(o_orderkey) as number, min(idx) as b, max(idx) as e from c
+      group by o_orderpriority, o_orderstatus)
+select 'wide' as repo, 'Issue-' || cast(r.number as varchar) as case_id, r.login as "user", count(*) as n_commits,
+       cast(sum(cast(floor(epoch(c.o_orderdate)) as bigint)) as bigint) as sum_t,
+       min('c' || cast(c.o_orderkey as varchar)) as first_hash, max('c' || cast(c.o_orderkey as varchar)) as last_hash
+from r join c on c.idx >= r.b and c.idx < r.e
+group by r.number, r.login
+""")

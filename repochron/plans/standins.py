@@ -170,6 +170,23 @@ def ladder(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return edges, last.select("owner", "repo", "hash", F.concat(F.lit("v"), "hash").alias("ref"))
 
 
+def wide_pull_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """orders -> (pull requests, commits, order) of one repository: orders by key are its commits; a pull request for each
+    priority and status merges the first and the last of its orders, so ranges are as wide as the history."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", ts_to_epoch("o_orderdate").alias("committer_epoch"),
+                                              ts_to_text("o_orderdate").alias("committer_date"))
+    order = ordered_scan(o.select(F.lit(OWNER).alias("owner"), F.lit("wide").alias("repo"), "*"), ["owner", "repo"], ["o_orderkey"],
+                         F.expr("o_orderkey div 4096"), index="idx")
+    order = write_through(order.withColumn("hash", F.concat(F.lit("c"), F.col("o_orderkey").cast("string"))), "wide")
+    ends = order.groupBy("owner", "repo", "o_orderpriority", "o_orderstatus").agg(
+        F.min_by("hash", "idx").alias("first"), F.max_by("hash", "idx").alias("last"), F.min("o_orderkey").alias("number"))
+    sha = F.concat(F.lit("m"), F.col("number").cast("string"))
+    commits = ends.select("owner", "repo", sha.alias("hash"), F.array("first", "last").alias("parents"))
+    prs = ends.select("owner", "repo", "number", F.lit("2024-01-01T00:00:00Z").alias("created_at"), sha.alias("merge_commit_sha"),
+                      F.struct(F.col("o_orderpriority").alias("login")).alias("user"))
+    return prs, commits, order.select("owner", "repo", "hash", "idx", "committer_date", "committer_epoch")
+
+
 def patches_to_parents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """documents -> (patches against every parent, commits): the first parent is the commit before; every third commit
     also merges the one before that, and its patch against this parent shows the documents of both."""

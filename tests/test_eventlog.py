@@ -175,3 +175,28 @@ def test_commits_under_a_pull_request_are_listed_once(spark):
     under, opened = ("Issue-1", "Committed"), ("Issue-1", "Pull Request Opened")
     own = [(f"Commit-{h}", "Committed-Snakemake") for h in "abm"]
     assert log[False] == sorted([*own, under, opened]) and log[True] == sorted([*own[1:], under, opened])
+
+
+def test_ranges_as_blocks(spark):
+    """Every position of a range is in exactly one of its blocks, and wide ranges have few."""
+    import random
+    rnd = random.Random(4)
+    ranges = [(b, b + w) for b in (0, 1, 31, 32, 33, 1000, 32767) for w in (1, 2, 31, 32, 33, 64, 1023, 1025, 5000)]
+    ranges += [(b := rnd.randrange(10**6), b + rnd.randrange(1, 40_000)) for _ in range(40)] + [(5, 3_000_000_005)]
+    df = spark.createDataFrame(ranges, "b bigint, e bigint")
+    for r in df.select("b", "e", el.range_blocks(F.col("b"), F.col("e")).alias("x")).collect():
+        spans = sorted((x["no"] << x["level"], (x["no"] + 1) << x["level"]) for x in r["x"])
+        assert spans[0][0] == r["b"] and spans[-1][1] == r["e"] and len(spans) <= 62 * 7
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_commits_of_overlapping_ranges(spark):
+    n = 3000
+    order = spark.createDataFrame([("o", r, f"c{i}", i) for r in "pq" for i in range(n)], "owner string, repo string, hash string, idx bigint")
+    ranges = [("o", "p", k, b, e) for k, (b, e) in enumerate(((0, n), (5, 6), (100, 1500), (90, 2048), (7, 7), (9, 2)))] + [("o", "q", 9, 1, n - 1)]
+    df = spark.createDataFrame(ranges, "owner string, repo string, k int, __b bigint, __e bigint")
+    got = el.commits_in_ranges(df, order)
+    found = {(r["repo"], r["k"]): (r["n"], r["lo"], r["hi"], r["d"]) for r in got.groupBy("repo", "k").agg(
+        F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count_distinct("hash").alias("d")).collect()}
+    assert found == {(r, k): (e - b, b, e - 1, e - b) for _, r, k, b, e in ranges if b < e}
+    assert el.commits_in_ranges(df.limit(0), order).count() == 0
