@@ -190,8 +190,12 @@ def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str =
     act = F.col("active")
     z = F.lit(0).cast("bigint")
 
+    # a row per extension, of which the first stands for the commit: a cycle's state holds its extensions, not their combinations
+    rows = rows.select("*", F.posexplode_outer("file_extensions").alias("__pos", "__ext"))
+    one = F.coalesce(F.col("__pos"), F.lit(0)) == 0
+
     def active_sum(name):
-        return F.coalesce(F.sum(F.when(act, F.col(name).cast("bigint"))), z)
+        return F.coalesce(F.sum(F.when(act & one, F.col(name).cast("bigint"))), z)
 
     cur = F.struct(F.col(hash_col).alias("hash"), F.col(epoch).alias("epoch"))
     prev = F.struct(F.col("prev_hash").alias("hash"), F.col("prev_epoch").alias("epoch"))
@@ -199,15 +203,14 @@ def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str =
         F.when(F.col("cycle_no") == 1, F.min_by(cur, "idx")).otherwise(F.min_by(prev, "idx")).alias("begin"),
         F.max_by(cur, "idx").alias("end"),
         F.max("closes").alias("closed"),
-        F.count(F.lit(1)).alias("n_commits"),
-        F.count_if(F.coalesce(F.col(c["related"]), F.lit(False)) & (F.col("idx") > 0))
+        F.count_if(one).alias("n_commits"),
+        F.count_if(one & F.coalesce(F.col(c["related"]), F.lit(False)) & (F.col("idx") > 0))
          .alias(f"n_commits_{prefix}_related"),
         active_sum(c["ra"]).alias(f"n_{prefix}_rules_added"),
         active_sum(c["rr"]).alias(f"n_{prefix}_rules_removed"),
         active_sum(c["ma"]).alias(f"n_{prefix}_modules_added"),
         active_sum(c["mr"]).alias(f"n_{prefix}_modules_removed"),
-        # Distinct extension lists only: bounded by the few combinations, not by rows.
-        F.collect_set(F.when(act, F.col("file_extensions"))).alias("__ext_sets"),
+        F.collect_set(F.when(act, F.col("__ext"))).alias("__exts"),
     )
     # A leftover (unclosed) cycle needs begin != end: a one-commit history has none.
     agg = agg.filter(F.col("closed") | (F.col("begin.hash") != F.col("end.hash")))
@@ -220,7 +223,7 @@ def evolution_cycles(commits: DataFrame, key: Sequence[str] = KEY, prefix: str =
         "n_commits", f"n_commits_{prefix}_related",
         f"n_{prefix}_rules_added", f"n_{prefix}_rules_removed",
         f"n_{prefix}_modules_added", f"n_{prefix}_modules_removed",
-        F.array_sort(F.array_distinct(F.flatten(F.col("__ext_sets")))).alias("file_extensions"),
+        F.array_sort("__exts").alias("file_extensions"),
         F.col("closed").alias("is_closed"),
     )
 

@@ -142,3 +142,13 @@ def test_repo_workflow_summary_counts_first_commit(spark):
     assert s["n_commits_snakemake_related"] == 2 and s["n_evolution_cycles"] == 1
     c = s["evolution_cycles"][0]
     assert c["n_commits_snakemake_related"] == 1 and c["n_commits"] == 2
+
+
+def test_extensions_of_a_cycle_and_counts_once_per_commit(spark):
+    rows = [("o", "r", f"h{i}", float(i * 1000), exts, 1 if i == 1 else 0, 0, 0, 0, True)
+            for i, exts in enumerate((["py", "smk"], [], None, ["smk", "md", "py"], ["md"]))]
+    c = ("owner string, repo string, hash string, committer_epoch double, file_extensions array<string>, snakemake_n_rules_added bigint, "
+         "snakemake_n_rules_removed bigint, snakemake_n_modules_added bigint, snakemake_n_modules_removed bigint, snakemake_related boolean")
+    r = cyc.evolution_cycles(spark.createDataFrame(rows, c)).collect()
+    assert [(x["n_commits"], x["n_commits_snakemake_related"], x["n_snakemake_rules_added"], x["file_extensions"]) for x in r] == [
+        (5, 4, 1, ["md", "py", "smk"])]
