@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from repochron.functions import workflow_code as wc
 from repochron.functions.scalars import file_extension
 from repochron.operators.ordered import day_bucket, ordered_scan
+from repochron.session import write_through
 
 KEY = ("owner", "repo")
 
@@ -73,6 +74,7 @@ def names_before(named: DataFrame, key: Sequence[str] = (*KEY, "new_path"), orde
     """J15 on names: ``__names_before`` is the ``__names`` of the snapshot before, in a skew-safe ordered scan
     (``key`` is what makes snapshots follow each other, ``bucket`` grows with ``order``; a day by default)."""
     none = F.struct(_empty().alias("rules"), _empty().alias("modules"))
+    named = write_through(named, "names")       # both branches of the scan read it, texts are parsed once
     scanned = ordered_scan(named, list(key), list(order), day_bucket(order[0]) if bucket is None else bucket,
                            lags={"__before": F.col("__names")})
     return scanned.withColumn("__names_before", F.coalesce("__before", none)).drop("__before")

@@ -93,23 +93,24 @@ def attach_cycles(activities: DataFrame, cycles: DataFrame, key: Sequence[str] =
     """Every activity with ``begin <= t <= end`` of a cycle, for all cycles.
 
     The cycles of a repository follow each other and touch at their ends at most, two at an instant. Their begins and
-    the activities go into one union, and an ordered scan gives each activity the last cycle that began at or before it
-    together with the one before that; no cycle is expanded, however long it is. An instant on a boundary falls in
-    both. Commits of a cycle that added rules or modules become ``Committed-Snakemake`` (E06)."""
+    the activities go into one union, and an ordered scan gives each activity the last cycle that began at or before it;
+    that one and the one before it are looked up by number. No cycle is expanded, however long it is. An instant on a
+    boundary falls in both. Commits of a cycle that added rules or modules become ``Committed-Snakemake`` (E06)."""
     k = list(key)
     wf = (F.col(f"n_{prefix}_rules_added") > 0) | (F.col(f"n_{prefix}_modules_added") > 0)
     cyc = cycles.select(*k, F.struct(F.col("cycle_no").cast("bigint").alias("no"), F.col("begin.epoch").cast("double").alias("b"),
                                      F.col("end.epoch").cast("double").alias("e"), wf.alias("wf")).alias("c"))
     cyc = cyc.withColumn("p", F.lag("c").over(Window.partitionBy(*k).orderBy("c.no")))    # a row per cycle
+    cyc = write_through(cyc, "cycles")
     columns = ("case_id", "activity", "t", "timestamp", "user")
     rows = activities.select(*k, *columns, F.col("t").cast("double").alias("__at"), F.lit(1).alias("__kind"))
-    span = F.struct(F.col("c.no").alias("no"), "c", "p").alias("__c")
-    begins = cyc.select(*k, F.col("c.b").alias("__at"), F.lit(0).alias("__kind"), span)
-    points = rows.unionByName(begins, allowMissingColumns=True)
+    begins = cyc.select(*k, F.col("c.b").alias("__at"), F.lit(0).alias("__kind"), F.col("c.no").alias("__no"))
+    points = write_through(rows.unionByName(begins, allowMissingColumns=True), "points")     # both branches of the scan read it
     scanned = ordered_scan(points, k, ["__at", "__kind"], F.floor(F.col("__at") / F.lit(bucket_seconds)).cast("bigint"),
-                           maxes={"__last": F.col("__c")})
-    inside = scanned.where("__kind = 1 and __last is not null").withColumn("__y", F.explode(F.filter(
-        F.array("__last.c", "__last.p"), lambda y: y.isNotNull() & (y["b"] <= F.col("__at")) & (F.col("__at") <= y["e"]))))
+                           maxes={"__last": F.col("__no")})
+    met = scanned.where("__kind = 1 and __last is not null").join(cyc.withColumn("__last", F.col("c.no")), [*k, "__last"])
+    inside = met.withColumn("__y", F.explode(F.filter(
+        F.array("c", "p"), lambda y: y.isNotNull() & (y["b"] <= F.col("__at")) & (F.col("__at") <= y["e"]))))
     activity = F.when((F.col("activity") == "Committed") & F.col("case_id").startswith("Commit-")
                       & F.col("__y.wf"), F.lit(f"Committed-{prefix.capitalize()}")).otherwise(F.col("activity"))
     return inside.select(*k, F.col("__y.no").alias("cycle_no"), "case_id", activity.alias("activity"), "t", "timestamp", "user")
