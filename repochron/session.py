@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -77,6 +79,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers where they wouldn't find it by themselves: it lies neither in the working
+    folder nor on ``PYTHONPATH`` (with ``--py-files`` it is a zip already). Once per context."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.realpath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
+    sc = spark.sparkContext
+    if not os.path.isdir(root) or os.path.realpath(root) in known or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="repochron-ship-")         # Spark itself hands the file to the executors
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "repochron"), "zip", root, "repochron"))
+
+
+_SHIPPED: set[str] = set()
+
 #: Folders written by this process, for ``drop_written``.
 _WRITTEN: list[str] = []
 
