@@ -7,12 +7,14 @@ small partial counts), joined onto the repository table.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repochron.functions.scalars import epoch_to_str, now
 from repochron.operators.cycles import repo_workflow_summary
+from repochron.operators.distincts import distinct_counts
 
 KEY = ("owner", "repo")
 # Output names of the per-entity totals, in the reference's order.
@@ -45,17 +47,21 @@ def repo_general_summary(commits: DataFrame, key: Sequence[str] = KEY,
     ``first_commit_at_epoch = min(now, min epoch)``, ``last = max(0, max epoch)``;
     ``as_of`` pins "now" for reproducible runs. ``approx_distinct`` counts authors and
     committers with HyperLogLog sketches (mergeable partial aggregates, no exact
-    distinct step) for very large histories; exact is the default."""
+    distinct step) for very large histories; exact is the default. Exact counts that are
+    kept between loads and merged are in ``distincts``."""
     e = F.col("committer_epoch")
-    distinct = (lambda c: F.approx_count_distinct(c)) if approx_distinct else F.count_distinct
+    kinds = {"n_commits_distinct": "hash", "n_authors": "author", "n_committers": "committer"}
+    sketch = [F.approx_count_distinct(c).cast("bigint").alias(k) for k, c in kinds.items()] if approx_distinct else []
     agg = commits.groupBy(*key).agg(
-        F.count(F.lit(1)).cast("bigint").alias("x_total_commits"),
-        distinct("hash").cast("bigint").alias("n_commits_distinct"),
-        distinct("author").cast("bigint").alias("n_authors"),
-        distinct("committer").cast("bigint").alias("n_committers"),
+        F.count(F.lit(1)).cast("bigint").alias("x_total_commits"), *sketch,
         F.min(e).alias("__min"), F.max(e).alias("__max"),
         F.min_by("committer_date", F.struct(e, "hash")).alias("first_committer_date"),
         F.max_by("committer_date", F.struct(e, "hash")).alias("last_committer_date"))
+    if not approx_distinct:
+        exact = distinct_counts(commits, key, kinds)
+        same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
+        agg = agg.alias("a").join(exact.alias("b"), same, "left").select(
+            "a.*", *[F.coalesce(f"b.{k}", F.lit(0).cast("bigint")).alias(k) for k in kinds])
     first = F.least(now(is_epoch=True, fractional=False, as_of=as_of).cast("double"), F.col("__min"))
     last = F.greatest(F.lit(0.0), F.col("__max"))
     return agg.select(

@@ -17,6 +17,7 @@ from repochron.operators import calendar as cal
 from repochron.operators import commits as cf
 from repochron.operators import cycles as cyc
 from repochron.operators import dag
+from repochron.operators import distincts as dis
 from repochron.operators import entities as ent
 from repochron.operators import eventlog as el
 from repochron.operators import growth
@@ -304,6 +305,7 @@ def q_hunks_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- repository summary and list joins ------------------------------------------
 
 AS_OF = 1767225600.0        # "now" pinned for A14 (2026-01-01T00:00:00Z)
+MID_JANUARY = 1705363200.0  # 2024-01-16T00:00:00Z, where the second load of repo_distincts_merged begins
 
 
 @query("repo_totals")
@@ -317,6 +319,21 @@ def q_repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "last_committer_date")
 
 
+@query("repo_distincts_merged")
+def q_repo_distincts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts of two loads (before and from mid-January 2024), each a state of bitmaps, merged."""
+    key, kinds = ("owner", "repo"), {"n_commits_distinct": "hash", "n_authors": "author", "n_committers": "committer"}
+    commits = sv.commits(spark, sf_dir)
+    late = F.col("committer_epoch") >= MID_JANUARY
+    first = write_through(dis.distinct_values(commits.where(~late), key, kinds), "values")
+    numbers = write_through(dis.dictionary(first, key), "dictionary")
+    second = write_through(dis.distinct_values(commits.where(late), key, kinds), "values")
+    more = write_through(dis.dictionary(second, key, known=numbers), "dictionary")
+    state = dis.merge_states(dis.distinct_state(first, numbers, key),
+                             dis.distinct_state(second, numbers.unionByName(more), key), key=key)
+    return dis.state_counts(state, key, list(kinds))
+
+
 @query("entity_counts_joined")
 def q_entity_counts_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-entity totals next to every repository, absent -> 0."""

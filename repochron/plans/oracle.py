@@ -383,6 +383,13 @@ select owner, repo, cast(n as bigint) as x_total_commits, cast(nd as bigint) as
 from a
 """)
 
+SQL["repo_distincts_merged"] = _q(f"""
+with c as ({V_COMMITS})
+select owner, repo, cast(count(distinct hash) as bigint) as n_commits_distinct,
+       cast(count(distinct author) as bigint) as n_authors, cast(count(distinct committer) as bigint) as n_committers
+from c group by owner, repo
+""")
+
 ISSUES = """
 it as (select conv_id, max(turn) as max_turn, arg_min(role, turn) as opener,
               1704067200 + (conv_id * 2621189) % 2592000 as ce
