@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from repochron.functions.scalars import is_merge, lenient_int, split_parents
 
-# Anchored parse: a subject may itself contain bars.
-_LOG_RE = r"^([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)\|([0-9A-Fa-f ]*)$"
+# What a line must look like: four fields, a subject that may itself hold bars, parent hashes. The format
+# string reaches git unquoted-by-shell, so a line may begin and end with a quote.
+_LOG_RE = r"^(?:[^|]*+\|){4}.*\|[0-9A-Fa-f ]*'?$"
 
 
 # Forks share hashes: a commit is known by repository and hash.
 COMMIT = ("repo_name", "commit_hash")
 
 
-def _unquote(col):
-    """The format string reaches git unquoted-by-shell: drop one leading / trailing quote."""
-    return F.regexp_replace(col, "^'|'$", "")
+def _log_parts(value, strict: bool):
+    """The bar-separated parts of a line and whether it is a commit (null for a null line)."""
+    parts = F.split(value, r"\|", -1)
+    return parts, (F.size(parts) == 6) & value.isNotNull() if strict else value.rlike(_LOG_RE)
 
 
 def parse_log_lines(lines: DataFrame, repo_col: str = "repo", value_col: str = "value",
@@ -33,30 +35,27 @@ def parse_log_lines(lines: DataFrame, repo_col: str = "repo", value_col: str = "
     A subject may hold bars: the line is read from both ends. ``strict=True`` is the
     compatibility switch that takes exactly six bar-separated parts. What is not valid
     is for ``log_rejects``, never dropped unseen."""
-    v = _unquote(F.col(value_col))
-    if strict:
-        parts = F.split(v, r"\|", -1)
-        ok = F.size(parts) == 6
-        fields = [parts[i] for i in range(6)]
-    else:
-        ok = v.rlike(_LOG_RE)
-        fields = [F.regexp_extract(v, _LOG_RE, i) for i in range(1, 7)]
-    names = ("commit_hash", "author", "committer", "date", "message", "parent_commit")
-    out = lines.select(F.col(repo_col).alias("repo_name"),
-                       *[F.when(ok, f).alias(n) for f, n in zip(fields, names)],
-                       ok.alias("valid"))
-    return out
+    parts, ok = _log_parts(F.col(value_col), strict)
+    # the line is tested by one pattern and split once; the fields are picked from its parts
+    rows = lines.select(F.col(repo_col).alias("repo_name"), parts.alias("__p"), ok.alias("valid"))
+    p, n = F.col("__p"), F.size("__p")
+    last = F.get(p, n - 1)
+    fields = {
+        "commit_hash": F.when(p[0].startswith("'"), F.substr(p[0], F.lit(2))).otherwise(p[0]),
+        "author": p[1], "committer": p[2], "date": p[3],
+        "message": F.when(n == 6, p[4]).otherwise(F.array_join(F.slice(p, F.lit(5), n - 5), "|")),
+        "parent_commit": F.when(last.endswith("'"), F.left(last, F.length(last) - 1)).otherwise(last)}
+    return rows.select("repo_name", *[F.when(F.col("valid"), f).alias(k) for k, f in fields.items()], "valid")
 
 
 def log_rejects(lines: DataFrame, repo_col: str = "repo", value_col: str = "value",
                 strict: bool = False) -> DataFrame:
     """The lines that are no commit, with the reason."""
     rows = lines.select(F.col(repo_col).alias("repo_name"), F.col(value_col).alias("line"))
-    v = _unquote(F.col("line"))
-    ok = (F.size(F.split(v, r"\|", -1)) == 6) if strict else v.rlike(_LOG_RE)
+    parts, ok = _log_parts(F.col("line"), strict)
     return rows.where(~F.coalesce(ok, F.lit(False))).select(
         F.lit("commit_log").alias("stage"), "repo_name", "line",
-        F.when(F.size(F.split(v, r"\|", -1)) > 6, F.lit("bar in a field"))
+        F.when(F.size(parts) > 6, F.lit("bar in a field"))
          .otherwise(F.lit("not six fields")).alias("reason"))
 
 
@@ -106,7 +105,8 @@ def assemble_commits(log: DataFrame, totals: DataFrame | None = None,
     tags ``[]``, files ``["unknown"]``, counts 0 (P14). ``merged_branch`` is the name
     of parent 0 for merges, empty where it has none, null for others (F19-F21)."""
     key = list(COMMIT)
-    out = log.filter("valid").drop("valid")
+    # a hash that can't be null needs no test of its own for the joins, which would parse each line once more
+    out = log.filter("valid").drop("valid").withColumn("commit_hash", F.coalesce("commit_hash", F.lit("")))
     if totals is not None:
         out = out.join(totals, key, "left")
     else:

@@ -1,6 +1,8 @@
 """Date ranges: literal rows and properties; commit-log text parsing."""
 
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -112,3 +114,24 @@ def test_date_ranges_cover_without_gap_or_overlap(spark):
                     assert b == e or (b + one).day == 1
                 if interval == "w":
                     assert a.weekday() == 0 and (b == e or b.weekday() == 6)
+
+
+def test_log_lines_are_read_from_both_ends(spark):
+    """Against the pattern with one group per field, on lines with bars, quotes, blanks and missing fields."""
+    pattern = re.compile(r"([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)\|([0-9A-Fa-f ]*)", re.S)
+    rng = random.Random(5)
+    lines = ["'" * rng.randrange(2) + "".join(rng.choice("a0|||' é") for _ in range(rng.randrange(16))) + "'" * rng.randrange(2)
+             for _ in range(3000)] + ["", "'", "|||||", "'|||||'", None, "h|a|c|d|" + "s|" * 500 + "ab cd"]
+    df = spark.createDataFrame([("r", k, v) for k, v in enumerate(lines)], "repo string, k int, value string")
+    names = ("commit_hash", "author", "committer", "date", "message", "parent_commit")
+    want = {}
+    for line in lines:
+        v = None if line is None else re.sub(r"^'|'\Z", "", line)
+        m = None if v is None else pattern.fullmatch(v)
+        want[line] = m.groups() if m else None
+    assert sum(w is not None for w in want.values()) > 100
+    parsed = gl.parse_log_lines(df.select("repo", "value")).collect()
+    got = [tuple(r[n] for n in names) if r["valid"] else None for r in parsed]
+    assert got == [want[line] for line in lines]
+    refused = [r["line"] for r in gl.log_rejects(df.select("repo", "value")).collect()]
+    assert refused == [line for line in lines if want[line] is None]
