@@ -7,8 +7,10 @@ whole corpus; buckets with one occurrence end there. The windows of one anchor o
 lie side by side: their joint bytes (the *context*) are hashed, equal contexts collapse to
 one row, and the different contexts of a bucket are laid out in one text whose suffix
 buckets are refined by the bucket identifiers of later offsets until ``min_len`` bytes are
-sorted. A bucket with more contexts than one task should hold is refined by the cluster
-instead: its windows are grouped by their 128-bit hash.
+sorted. A bucket with more contexts than one task should hold is split on the cluster first: its
+windows are dealt by their offset to the anchor, and the bytes that all windows of such a range
+have in common with the bucket's text become the next, longer gram. Ranges narrow until the bucket
+fits or the gram is the window itself.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from repochron.llm.common import U64, cut, mix64, table, text_bytes
 
 MIN_LEN = 400
 GRAM = 128
-GROUP_LIMIT = 12_000        # contexts of one bucket refined in one task
+GROUP_LIMIT = 12_000        # contexts of one bucket refined in one task; larger buckets are split
+RANGES = 4                  # ranges of offsets that a range is split into
 CHUNK = 1 << 22             # bytes of one text hashed at a time
 PIECE = 1 << 20
 _POS = U64((1 << 24) - 1)
@@ -249,30 +252,74 @@ def _shared_windows(contexts: DataFrame, min_len: int) -> DataFrame:
     return dealt.select("key", "c", "n", "doc_id", "t", "n_win", "lo", "ctx").mapInArrow(run, SPANS)
 
 
-def _shared_hashes(contexts: DataFrame, min_len: int) -> DataFrame:
-    """The same for buckets too large for a task: windows grouped by their 128-bit hash."""
+SUB = "doc_id long, t long, key long, c long, n long, n_win int, lo long, p int, ctx binary"
+
+
+def split_context(ctx: bytes, key: int, n_win: int, p: int, width: int, min_len: int, gram: int
+                  ) -> Iterator[tuple[int, int, int, int]]:
+    """One bucket's context by ranges of ``width`` offsets between window and anchor (at ``p``).
+
+    Yields (bucket, first window, windows, context hash) per range. All windows of a range hold the
+    same stretch around the anchor, whose hash names the bucket: equal windows have the same offset
+    and bytes, so they fall into one bucket.
+    """
+    for r in range((p - n_win + 1) // width, p // width + 1):
+        low, high = r * width, min(r * width + width - 1, min_len - gram)
+        first, last = max(0, p - high), min(n_win - 1, p - low)
+        core = ctx[p - low: p - high + min_len]
+        sub = ctx[first: last + min_len]
+        yield (xxhash.xxh3_64_intdigest(core, (key + r * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF), first,
+               last - first + 1, xxhash.xxh3_64_intdigest(sub, (p - first) * 65536 + last - first + 1))
+
+
+def _split(contexts: DataFrame, width: int, min_len: int, gram: int) -> DataFrame:
+    """Contexts of large buckets, split by ranges of offsets; ``p`` is the anchor's place (null: not searched yet)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                wins = part.column(5).to_pylist()
-                digest = b"".join(xxhash.xxh3_128_digest(ctx[k: k + min_len])
-                                  for ctx, w in zip(text_bytes(part.column(7)), wins) for k in range(w))
-                h = np.frombuffer(digest, "<i8").reshape(-1, 2)
-                row = pa.array(np.repeat(np.arange(part.num_rows), wins))
-                off = np.concatenate([np.arange(w) for w in wins])
-                lo = np.array(part.column(6).to_pylist(), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(3).take(row), part.column(4).take(row),
-                     pa.array(np.repeat(lo, wins) + off), part.column(2).take(row),
-                     pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))],
-                    ["doc_id", "t", "lo", "n", "h1", "h2"])
-
-    src = contexts.dropDuplicates(["key", "c"]).select("key", "c", "n", "doc_id", "t", "n_win", "lo", "ctx")
-    windows = src.mapInArrow(run, "doc_id long, t long, lo long, n long, h1 long, h2 long")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
-    return (windows.where("n = 1").join(twice, ["h1", "h2"], "left_semi")
-            .select("doc_id", "t", "lo", F.lit(1).alias("n_win")))
+            for at in range(0, b.num_rows, 256):
+                out: tuple[list, ...] = tuple([] for _ in range(9))
+                cols = [b.column(i).slice(at, 256).to_pylist() for i in range(8)]
+                for doc, t, key, n, n_win, lo, p, ctx in zip(*cols):
+                    if p is None:
+                        raw = mix64(gram_hashes(np.frombuffer(ctx, np.uint8), gram)).view(np.int64)
+                        p = int(np.argmax(raw == key))       # the leftmost one is the anchor
+                    for bucket, first, wins, c in split_context(ctx, key, n_win, p, width, min_len, gram):
+                        row = (doc, t, bucket, c, n, wins, lo + first, p - first, ctx[first: first + wins + min_len - 1])
+                        for o, v in zip(out, row):
+                            o.append(v)
+                for i in (2, 3):
+                    out[i][:] = np.array(out[i], np.uint64).view(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names)
+
+    names = ["doc_id", "t", "key", "c", "n", "n_win", "lo", "p", "ctx"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return contexts.select("doc_id", "t", "key", "n", "n_win", "lo", "p", "ctx").mapInArrow(run, SUB)
+
+
+def _refined(contexts: DataFrame, any_large: bool, min_len: int, gram: int, group_limit: int) -> DataFrame:
+    """Runs of repeated windows in contexts that occur once, of buckets of any size.
+
+    Buckets of up to ``group_limit`` contexts are refined in a task. Larger ones are split, at most
+    log(min_len) / log(RANGES) times; sub-contexts found twice are settled there, the rest of a
+    bucket goes on without its equal copies, and buckets of one sub-context end.
+    """
+    out = _shared_windows(contexts.where(F.col("d") <= group_limit), min_len)
+    large = contexts.where(F.col("d") > group_limit).dropDuplicates(["key", "c"]).withColumn("p", F.lit(None).cast("int"))
+    width = min_len - gram + 1
+    while any_large and width > 1:
+        width = -(-width // RANGES)
+        parts = cut(_split(large, width, min_len, gram), "split-buckets")
+        each = cut(parts.groupBy("key", "c").agg(
+            F.sum("n").alias("n"), F.min(F.struct("doc_id", "t", "lo", "n_win", "p")).alias("r"),
+            F.first("ctx").alias("ctx")).select("key", "c", "n", "r.*", "ctx"), "split-contexts")
+        out = out.unionByName(parts.where("n = 1").join(each.where("n > 1").select("key", "c"), ["key", "c"], "left_semi")
+                              .select("doc_id", "t", "lo", "n_win"))
+        sizes = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "split-sizes")
+        rest = each.join(sizes, "key")
+        out = out.unionByName(_shared_windows(rest.where(F.col("d") <= group_limit), min_len))
+        large = rest.where(F.col("d") > group_limit)
+        any_large = not sizes.where(F.col("d") > group_limit).isEmpty()
+    return out
 
 
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM,
@@ -314,9 +361,8 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM,
                 .select("a.doc_id", "a.t", "a.text", "b.asked")
                 .mapInArrow(slices, "doc_id long, t long, key long, c long, n long, n_win int, lo long, d long, ctx binary"))
     contexts = cut(contexts, "context-bytes")
-    small = _shared_windows(contexts.where(F.col("d") <= group_limit), min_len)
-    large = _shared_hashes(contexts.where(F.col("d") > group_limit), min_len)
-    return whole.unionByName(small).unionByName(large)
+    any_large = not many.where(F.col("d") > group_limit).isEmpty()
+    return whole.unionByName(_refined(contexts, any_large, min_len, gram, group_limit))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from repochron.llm import suffixdedup
-from repochron.llm.suffixdedup import anchors, buffers, gram_hashes, refine, remove_repeats
+from repochron.llm.suffixdedup import anchors, buffers, gram_hashes, refine, remove_repeats, split_context
 
 
 def expected(rows, m):
@@ -84,7 +84,40 @@ def test_long_texts_come_in_overlapping_chunks(monkeypatch):
 def test_planted_passages_match_brute_force(spark):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (12_000, 2):                      # refined in a task, or by window hashes
+    for limit in (12_000, 2):                      # refined in a task, or split first
+        got = remove_repeats(docs, min_len=40, gram=12, group_limit=limit).collect()
+        assert sorted((tuple(r) for r in got), key=str) == expected(rows, 40)
+
+
+@given(st.binary(min_size=1, max_size=120).map(lambda b: bytes(x % 2 for x in b)), st.integers(2, 30), st.integers(1, 30),
+       st.integers(1, 30))
+@settings(max_examples=200, deadline=None)
+def test_split_contexts_keep_each_window_and_equal_ones_together(data, m, gram, width):
+    gram = min(gram, m)
+    text = np.frombuffer(data, np.uint8)
+    by_text, seen = {}, []
+    for key, pos, lo, n in zip(*[a.tolist() for a in anchors(text, np.full(len(text), len(text)), m, gram)]):
+        ctx = data[lo: lo + n + m - 1]
+        for bucket, first, wins, _ in split_context(ctx, key, n, pos - lo, width, m, gram):
+            seen += range(lo + first, lo + first + wins)
+            for w in range(lo + first, lo + first + wins):
+                assert by_text.setdefault(data[w: w + m], bucket) == bucket
+    assert sorted(seen) == list(range(max(0, len(data) - m + 1)))
+    if width == 1:                                 # the gram is the window: a bucket holds one text
+        assert len(set(by_text.values())) == len(by_text)
+
+
+def test_a_large_bucket_is_split(spark):
+    """One passage, a little too short to go, in all texts: with unlike neighbours, few neighbours, copies."""
+    rng = random.Random(6)
+    common = "".join(rng.choice("abcd") for _ in range(36))
+    rows = []
+    for i in range(120):
+        left, right = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
+        rows.append((i, left + common[rng.randrange(3):] + right))
+    rows += [(200, rows[0][1]), (200, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1, 20):
         got = remove_repeats(docs, min_len=40, gram=12, group_limit=limit).collect()
         assert sorted((tuple(r) for r in got), key=str) == expected(rows, 40)
 
