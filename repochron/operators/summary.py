@@ -21,6 +21,7 @@ KEY = ("owner", "repo")
 ENTITY_TOTALS = ("commits", "issues", "issue_events", "issue_comments", "pull_requests",
                  "commit_comments", "cicd_artifacts", "cicd_workflows", "cicd_workflow_runs",
                  "releases", "pages")
+DISTINCTS = {"n_commits_distinct": "hash", "n_authors": "author", "n_committers": "committer"}
 SUMMARY_TEXT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss' '"   # "%Y-%m-%dT%H:%M:%S %z" of a naive time
 
 
@@ -40,7 +41,8 @@ def entity_counts(repos: DataFrame, entities: Mapping[str, DataFrame],
 
 
 def repo_general_summary(commits: DataFrame, key: Sequence[str] = KEY,
-                         as_of: float | None = None, approx_distinct: bool = False) -> DataFrame:
+                         as_of: float | None = None, approx_distinct: bool = False,
+                         distincts: Sequence[str] = tuple(DISTINCTS)) -> DataFrame:
     """A12 authors, A13 committers, A14 first and A15 last commit (epoch and
     text), A16 first / last committer date, A17 distinct hashes, A01 total.
 
@@ -48,16 +50,17 @@ def repo_general_summary(commits: DataFrame, key: Sequence[str] = KEY,
     ``as_of`` pins "now" for reproducible runs. ``approx_distinct`` counts authors and
     committers with HyperLogLog sketches (mergeable partial aggregates, no exact
     distinct step) for very large histories; exact is the default. Exact counts that are
-    kept between loads and merged are in ``distincts``."""
+    kept between loads and merged are in ``operators/distincts.py``. ``distincts`` names the counts
+    wanted: that of the hashes shuffles every commit, the others only a repository's people."""
     e = F.col("committer_epoch")
-    kinds = {"n_commits_distinct": "hash", "n_authors": "author", "n_committers": "committer"}
+    kinds = {k: DISTINCTS[k] for k in distincts}
     sketch = [F.approx_count_distinct(c).cast("bigint").alias(k) for k, c in kinds.items()] if approx_distinct else []
     agg = commits.groupBy(*key).agg(
         F.count(F.lit(1)).cast("bigint").alias("x_total_commits"), *sketch,
         F.min(e).alias("__min"), F.max(e).alias("__max"),
         F.min_by("committer_date", F.struct(e, "hash")).alias("first_committer_date"),
         F.max_by("committer_date", F.struct(e, "hash")).alias("last_committer_date"))
-    if not approx_distinct:
+    if kinds and not approx_distinct:
         exact = distinct_counts(commits, key, kinds)
         same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
         agg = agg.alias("a").join(exact.alias("b"), same, "left").select(
@@ -65,7 +68,7 @@ def repo_general_summary(commits: DataFrame, key: Sequence[str] = KEY,
     first = F.least(now(is_epoch=True, fractional=False, as_of=as_of).cast("double"), F.col("__min"))
     last = F.greatest(F.lit(0.0), F.col("__max"))
     return agg.select(
-        *key, "x_total_commits", "n_commits_distinct", "n_authors", "n_committers",
+        *key, "x_total_commits", *kinds,
         first.alias("first_commit_at_epoch"), last.alias("last_commit_at_epoch"),
         epoch_to_str(first, SUMMARY_TEXT_FORMAT).alias("first_commit_at"),
         epoch_to_str(last, SUMMARY_TEXT_FORMAT).alias("last_commit_at"),
@@ -161,7 +164,8 @@ def analysis(kind: str) -> Callable[..., DataFrame]:
 
 @register_analysis("general")
 def _general(repo_info: DataFrame, commits: DataFrame, key: Sequence[str] = KEY, **kw) -> DataFrame:
-    return repo_info.join(repo_general_summary(commits, key, kw.get("as_of")), list(key), "inner")
+    return repo_info.join(repo_general_summary(
+        commits, key, kw.get("as_of"), distincts=kw.get("distincts", tuple(DISTINCTS))), list(key), "inner")
 
 
 @register_analysis("snakemake")

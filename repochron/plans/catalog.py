@@ -729,7 +729,7 @@ def q_repo_info_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "issue_events": sv.issue_events(spark, sf_dir),
                                     "issue_comments": sv.issue_comments(spark, sf_dir),
                                     "pull_requests": sv.pull_requests(spark, sf_dir), "pages": pages})
-    ext = sm.analysis("snakemake")(info, commits, as_of=AS_OF)
+    ext = sm.analysis("snakemake")(info, commits, as_of=AS_OF, distincts=("n_authors", "n_committers"))
     return ext.select(
         "owner", "repo", "full_name", "x_total_commits", "x_total_issues", "x_total_issue_events",
         "x_total_issue_comments", "x_total_pull_requests", "x_total_pages", "n_authors", "n_committers",

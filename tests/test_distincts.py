@@ -74,3 +74,6 @@ def test_summary_needs_no_expansion(spark):
     assert "Expand" not in summary._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["owner"], r["repo"]): (r["n_commits_distinct"], r["n_authors"]) for r in summary.collect()}
     assert got == {**expected([r[:4] for r in rows]), ("o", "only-nulls"): (0, 0)}
+    few = sm.repo_general_summary(commits, as_of=1e9, distincts=("n_authors",))
+    assert "n_commits_distinct" not in few.columns and "n_committers" not in few.columns
+    assert {(r["owner"], r["repo"]): r["n_authors"] for r in few.collect()} == {k: v[1] for k, v in got.items()}
