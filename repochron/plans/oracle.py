@@ -881,7 +881,7 @@ from cyc
 
 SQL["issue_pull_requests"] = _q(f"""
 with {ISSUES}
-select owner, repo, number, max_turn as n_reviews from iss where number % 6 = 0
+select owner, repo, number, max_turn as n_reviews from iss where number % 3 = 0
 """)
 
 SQL["related_commits"] = _q(f"""
