@@ -2,7 +2,8 @@
 
 A dictionary gives every value of a group a number from 1 without gaps; the values seen
 in a part of the data are then a few bitmaps per group, and parts merge by a bitwise or. So a day's
-commits are counted once and added to the totals without reading the older ones again.
+commits are counted once and added to the totals without reading the older ones again. A bitmap holds
+its words of 64 numbers that aren't zero, so groups of a few values stay small in memory too.
 """
 
 from __future__ import annotations
@@ -64,27 +65,36 @@ def dictionary(values: DataFrame, key: Sequence[str], known: DataFrame | None =
                     (F.col("a.__rank") + F.col("b.__before")).cast("bigint").alias("id")))
 
 
+def _bitmaps(words: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``(*key, kind, bucket, no, word)`` -> a row per bucket, the words with equal ``no`` put together."""
+    group = [*key, "kind", "bucket"]
+    return (words.repartition(*group).groupBy(*group, "no").agg(F.bit_or("word").alias("word"))
+            .groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("no", "word"))).alias("bits")))
+
+
 def distinct_state(values: DataFrame, numbers: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Bitmaps of the values seen: ``(*key, kind, bucket, bits)``, 32,768 numbers a bucket.
+    """Bitmaps of the values seen: ``(*key, kind, bucket, bits)``, 32,768 numbers a bucket, ``bits`` its words
+    of 64 numbers (``no``, ``word``) that hold any, 512 at most.
 
     Every value must stand in the dictionary ``numbers`` (``dictionary`` of all parts so far)."""
     group = [*key, "kind"]
+    at = F.bitmap_bit_position("id").alias("at")
     ids = (values.alias("a").join(numbers.alias("b"), _same("a", "b", [*group, "value"]))
-           .select(*[F.col(f"a.{c}").alias(c) for c in group], "b.id"))
-    return (ids.groupBy(*group, F.bitmap_bucket_number("id").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")))
+           .select(*[F.col(f"a.{c}").alias(c) for c in group], F.bitmap_bucket_number("id").alias("bucket"), at))
+    return _bitmaps(ids.select(*group, "bucket", F.shiftright("at", 6).cast("int").alias("no"),
+                               F.expr("shiftleft(1L, cast(at % 64 as int))").alias("word")), key)
 
 
 def merge_states(first: DataFrame, *others: DataFrame, key: Sequence[str]) -> DataFrame:
     """One state that has seen what any of the given states has; all must use one dictionary."""
     union = reduce(DataFrame.unionByName, others, first)
-    return union.groupBy(*key, "kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return _bitmaps(union.select(*key, "kind", "bucket", F.inline("bits")), key)
 
 
 def state_counts(state: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     """Exact distinct counts of a (merged) state, one column per kind, 0 where a group has none of it.
 
     States that were not merged yet may repeat a bucket; merge them first."""
-    bits = F.bitmap_count("bits")
+    bits = F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w["word"]))
     return state.groupBy(*key).agg(*[
         F.coalesce(F.sum(F.when(F.col("kind") == k, bits)), F.lit(0)).cast("bigint").alias(k) for k in kinds])

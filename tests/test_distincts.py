@@ -67,6 +67,16 @@ def test_numbers_past_one_bitmap(spark):
     assert as_dict(dis.state_counts(state, KEY, list(KINDS))) == {("o", "r"): (n, 1)}
 
 
+def test_bitmaps_of_few_values_are_small(spark):
+    df = spark.range(600).selectExpr("'o' as owner", "concat('r', id % 200) as repo", "cast(id as string) as hash", "'A' as author")
+    values = dis.distinct_values(df, KEY, KINDS)
+    state = dis.distinct_state(values, dis.dictionary(values, KEY), KEY)
+    merged = dis.merge_states(state, state, key=KEY)
+    for s in (state, merged):
+        assert s.selectExpr("max(length(to_json(struct(bits))))").first()[0] < 100
+    assert set(as_dict(dis.state_counts(merged, KEY, list(KINDS))).values()) == {(3, 1)}
+
+
 def test_summary_needs_no_expansion(spark):
     rows = [(*r, "C", float(i), f"d{i}") for i, r in enumerate(history(100, 4))]
     commits = spark.createDataFrame(rows, SCHEMA + ", committer string, committer_epoch double, committer_date string")
