@@ -5,11 +5,12 @@ walked from child to parent. Histories are cut into blocks of commits:
 
 * A repository of up to ``block`` parent edges is one block. All such repositories are solved by one shuffle:
   a task takes block after block and visits its commits once, children first.
-* A larger one is laid out by the depth of its first-parent chains (pointer doubling: rounds grow with the logarithm of
-  the longest chain) and cut into blocks of commits that lie next to each other. Each block is reduced to its *entries*, the commits
-  that are refs or have a child in another block, with an edge from each to every commit outside that it reaches through the block
-  (the hops are kept). What is left is a smaller graph of entries, which is laid out and cut again until it is one
-  block. Its labels are then handed back down, level by level, each block once more by itself.
+* A larger one is laid out by the depth of its first-parent chains (a fourth of the commits is picked, the others follow their chain
+  to the next one, and the picked ones are a shorter chain) and cut into blocks of commits that lie next to each other. Each block
+  is reduced to its *entries*, the commits that have a child in another block, with an edge from each to every commit outside that it
+  reaches through the block (the hops are kept), and its refs to the labels that they bring to commits outside. What is left is a
+  smaller graph of entries, which is laid out and cut again until it is one block. Its labels are then handed back down, level by
+  level, each block once more by itself.
 
 So the number of rounds grows with the logarithm of the commits, not with their number of merges, and a task holds one
 block. Only where a history is so wide that cutting it leaves most commits as entries does the next block grow.
@@ -18,6 +19,7 @@ block. Only where a history is so wide that cutting it leaves most commits as en
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ from repochron.session import write_through, write_through_counted
 
 KEY = ("owner", "repo")
 BLOCK = 1 << 16     # parent edges of a repository, or commits of a block, that one task visits at once
+CHAIN = 1 << 16     # commits whose chains one task follows to their ends
+PICKED = 4          # of longer chains one commit of so many is picked
 
 
 def parent_edges(commits: DataFrame, key: Sequence[str] = KEY, hash_col: str = "hash",
@@ -88,9 +92,7 @@ class _Block:
             raise ValueError("the parent edges run in a circle")
         return order, parents
 
-    def nearest(self) -> Iterator[tuple[str, int, str]]:
-        """(hash, hops, ref): the nearest label, ties by name."""
-        order, parents = self.order()
+    def _best(self, order: list[int], parents: list[list[tuple[int, int]]]) -> list[tuple[int, str] | None]:
         best: list[tuple[int, str] | None] = [None] * len(order)
         for i, hops, ref in self.labels:
             if best[i] is None or (hops, ref) < best[i]:
@@ -101,11 +103,25 @@ class _Block:
                 for b, hops in parents[i]:
                     if best[b] is None or (depth + hops, ref) < best[b]:
                         best[b] = (depth + hops, ref)
+        return best
+
+    def nearest(self) -> Iterator[tuple[str, int, str]]:
+        """(hash, hops, ref): the nearest label, ties by name."""
+        best = self._best(*self.order())
         return ((h, *best[i]) for h, i in self.ids.items() if best[i] is not None)
 
-    def every(self) -> Iterator[tuple[str, int, str]]:
-        """(hash, 0, ref): all labels that reach a commit; sets are bits of one number per commit."""
+    def nearest_reduced(self) -> Iterator[tuple[str | None, str, int, str | None]]:
+        """``reduced``, and (null, commit outside, hops, ref): the nearest label that the block brings there."""
         order, parents = self.order()
+        yield from self.reduced(order, parents)
+        best, found = self._best(order, parents), {}
+        for i, b, hops in self.leaving:
+            if best[i] is not None:
+                label = (best[i][0] + hops, best[i][1])
+                found[b] = min(found.get(b, label), label)
+        yield from ((None, b, *label) for b, label in found.items())
+
+    def _held(self, order: list[int], parents: list[list[tuple[int, int]]]) -> tuple[list[int], list[str]]:
         names = sorted({ref for _, _, ref in self.labels})
         bit = {ref: 1 << k for k, ref in enumerate(names)}
         held = [0] * len(order)
@@ -115,16 +131,24 @@ class _Block:
             if held[i]:
                 for b, _ in parents[i]:
                     held[b] |= held[i]
-        for h, i in self.ids.items():
-            bits = held[i]
-            while bits:
-                low = bits & -bits
-                yield h, 0, names[low.bit_length() - 1]
-                bits ^= low
-
-    def reduced(self) -> Iterator[tuple[str, str, int]]:
-        """(entry, commit outside, hops): the fewest hops through this block."""
+        return held, names
+
+    def every(self) -> Iterator[tuple[str, int, str]]:
+        """(hash, 0, ref): all labels that reach a commit; sets are bits of one number per commit."""
+        held, names = self._held(*self.order())
+        return ((h, 0, ref) for h, i in self.ids.items() for ref in _of_bits(held[i], names))
+
+    def every_reduced(self) -> Iterator[tuple[str | None, str, int, str | None]]:
+        """``reduced``, and (null, commit outside, 0, ref): all labels that the block brings there."""
         order, parents = self.order()
+        yield from self.reduced(order, parents)
+        (held, names), found = self._held(order, parents), {}
+        for i, b, _ in self.leaving:
+            found[b] = found.get(b, 0) | held[i]
+        yield from ((None, b, 0, ref) for b, bits in found.items() for ref in _of_bits(bits, names))
+
+    def reduced(self, order: list[int], parents: list[list[tuple[int, int]]]) -> Iterator[tuple[str, str, int, None]]:
+        """(entry, commit outside, hops, null): the fewest hops through this block."""
         leaving: dict[int, list[tuple[str, int]]] = {}
         for i, b, hops in self.leaving:
             leaving.setdefault(i, []).append((b, hops))
@@ -137,7 +161,14 @@ class _Block:
                         hops_to[b] = min(hops_to.get(b, hops_to[i] + hops), hops_to[i] + hops)
                     for b, hops in leaving.get(i, ()):
                         found[b] = min(found.get(b, hops_to[i] + hops), hops_to[i] + hops)
-            yield from ((names[entry], b, hops) for b, hops in found.items())
+            yield from ((names[entry], b, hops, None) for b, hops in found.items())
+
+
+def _of_bits(bits: int, names: Sequence[str]) -> Iterator[str]:
+    while bits:
+        low = bits & -bits
+        yield names[low.bit_length() - 1]
+        bits ^= low
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], result: str, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +203,9 @@ def _by_block(batches: Iterator[pa.RecordBatch], result: str, names: Sequence[st
 
 def _solve(rows: DataFrame, result: str) -> DataFrame:
     """All blocks, each in one task, sorted so that a task meets the rows of a block together."""
-    names = ["a", "b", "hops"] if result == "reduced" else ["hash", "depth", "ref"]
-    schema = "g string, a string, b string, hops long" if result == "reduced" else LABEL
+    smaller = result.endswith("_reduced")
+    names = ["a", "b", "hops", "ref"] if smaller else ["hash", "depth", "ref"]
+    schema = "g string, a string, b string, hops long, ref string" if smaller else LABEL
     dealt = rows.repartition("g", "block").sortWithinPartitions("g", "block")
     return dealt.mapInArrow(lambda batches: _by_block(batches, result, names), schema)
 
@@ -197,24 +229,69 @@ def _rows(edges: DataFrame | None = None, labels: DataFrame | None = None, entri
 
 
 # --- many blocks of one repository -------------------------------------------------------
-def first_parent_depth(edges: DataFrame) -> DataFrame:
-    """``g, hash, at``: hops from each commit to the end of its first-parent chain, by pointer doubling.
+def first_parent_depth(edges: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """``g, hash, at``: hops from each commit to the end of its first-parent chain.
 
     Raises if the chains run in a circle, which no commit history does."""
     first = edges.groupBy("g", F.col("a").alias("hash")).agg(F.min_by("b", F.struct("pos", "b")).alias("up"))
-    ptr, n = write_through_counted(first.select("g", "hash", "up", F.lit(1).cast("long").alias("at")), "chain")
+    links, n = write_through_counted(first.select("g", "hash", "up", F.lit(1).cast("long").alias("at")), "chain")
+    ends = write_through(edges.select("g", F.col("b").alias("hash")).distinct().join(links.select("g", "hash"), ["g", "hash"], "left_anti")
+                         .select("g", "hash", F.lit(0).cast("long").alias("at")), "chain-ends")
+    return _chain_depth(links, n, ends, chain, 0).unionByName(ends)
+
+
+def _chain_depth(links: DataFrame, n: int, ends: DataFrame, chain: int, level: int) -> DataFrame:
+    """``g, hash, at`` of links ``g, hash, up, at`` (``at`` hops to ``up``), ``n`` of them.
+
+    Every commit follows its chain to the next picked one (by a hash of its name) by pointer doubling; only those on
+    their way take part in the next round. The chain of picked ones is solved likewise, so the rows of all rounds
+    together grow with the commits, not with the commits times the logarithm of their chain."""
+    if n <= chain:
+        return links.repartition("g").mapInArrow(_followed, "g string, hash string, at long")
+
+    def picked(name):
+        return F.pmod(F.xxhash64("g", name, F.lit(level)), F.lit(PICKED)) == 0
+
+    waiting = links.withColumn("done", picked("up"))
+    there = [ends.select("g", "hash", F.col("hash").alias("up"), "at", F.lit(True).alias("done")), waiting.where("done")]
+    waiting = waiting.where("not done")
     for _ in range(n.bit_length() + 1):              # the followed length doubles each round
-        onward = ptr.select("g", F.col("hash").alias("up"), F.col("up").alias("__up"), F.col("at").alias("__at"))
-        step = write_through(ptr.join(onward, ["g", "up"], "left").select(
-            "g", "hash", F.coalesce("__up", "up").alias("up"), (F.col("at") + F.coalesce("__at", F.lit(0))).alias("at"),
-            F.col("__up").isNotNull().alias("moved")), "chain")
-        ptr = step.drop("moved")
-        if step.where("moved").isEmpty():
+        onward = reduce(DataFrame.unionByName, there, waiting).select(
+            "g", F.col("hash").alias("up"), F.col("up").alias("__up"), F.col("at").alias("__at"), F.col("done").alias("__done"))
+        step = write_through(waiting.select("g", "hash", "up", "at").join(onward, ["g", "up"]).select(
+            "g", "hash", F.col("__up").alias("up"), (F.col("at") + F.col("__at")).alias("at"), F.col("__done").alias("done")), "chain")
+        there, waiting = [*there, step.where("done")], step.where("not done")
+        if waiting.isEmpty():
             break
     else:
         raise ValueError("the parent edges run in a circle")
-    ends = edges.select("g", F.col("b").alias("hash")).distinct().join(ptr.select("g", "hash"), ["g", "hash"], "left_anti")
-    return ptr.select("g", "hash", "at").unionByName(ends.select("g", "hash", F.lit(0).cast("long").alias("at")))
+    found = reduce(DataFrame.unionByName, there[1:]).select("g", "hash", "up", "at")
+    short, m = write_through_counted(found.where(picked("hash")), "chain")
+    known = write_through(_chain_depth(short, m, ends, chain, level + 1), "chain-depth")
+    after = known.unionByName(ends).select("g", F.col("hash").alias("up"), F.col("at").alias("__at"))
+    rest = found.where(~picked("hash")).join(after, ["g", "up"])
+    return known.unionByName(rest.select("g", "hash", (F.col("at") + F.col("__at")).alias("at")))
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of whole chains -> depths."""
+    links = {(g, h): (up, at) for b in batches
+             for g, h, up, at in zip(*(b.column(c).to_pylist() for c in ("g", "hash", "up", "at")))}
+    depth: dict[tuple[str, str], int] = {}
+    for start in links:
+        path, node = {}, start
+        while node in links and node not in depth:
+            if node in path:
+                raise ValueError("the parent edges run in a circle")
+            path[node] = links[node][1]
+            node = (node[0], links[node][0])
+        hops = depth.get(node, 0)
+        for passed, at in reversed(path.items()):
+            hops += at
+            depth[passed] = hops
+    g, h = zip(*depth) if depth else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(h, pa.string()), pa.array(depth.values(), pa.int64())],
+                                     ["g", "hash", "at"])
 
 
 def _layout(commits: DataFrame, block: int) -> DataFrame:
@@ -233,7 +310,7 @@ def _placed(edges: DataFrame, layout: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame, labels: DataFrame, block: int, result: str) -> DataFrame:
     """Labels of all commits of repositories that don't fit one block."""
-    levels: list[tuple[DataFrame, DataFrame]] = []
+    levels: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     commits = write_through(first_parent_depth(edges).join(labels.select("g", "hash").distinct(), ["g", "hash"], "full")
                             .select("g", "hash", F.coalesce("at", F.lit(0)).alias("at")), "commits")
     edges, size = edges.select("g", "a", "b", F.lit(1).cast("long").alias("hops")), None
@@ -247,16 +324,19 @@ def _large(edges: DataFrame, labels: DataFrame, block: int, result: str) -> Data
             continue
         size = n
         placed = write_through(_placed(edges, layout), "placed")
-        levels.append((placed, layout))
-        entries = (placed.where("out").select("g", F.col("b").alias("hash")).unionByName(labels.select("g", "hash")).distinct())
+        levels.append((placed, layout, labels))
+        entries = placed.where("out").select("g", F.col("b").alias("hash")).distinct()
         commits = write_through(layout.join(entries, ["g", "hash"], "left_semi").select("g", "hash", "at", "block"), "entries")
-        edges = write_through(_solve(_rows(placed, None, commits), "reduced"), "reduced")
+        brought = labels.join(layout.select("g", "hash", "block"), ["g", "hash"])
+        smaller = write_through(_solve(_rows(placed, brought, commits), f"{result}_reduced"), "reduced")
+        edges = smaller.where("a is not null").select("g", "a", "b", "hops")
+        labels = smaller.where("a is null").select("g", F.col("b").alias("hash"), F.col("hops").alias("depth"), "ref")
         commits = commits.drop("block")
     whole = F.lit(0).cast("long").alias("block")
     top = edges.select("g", whole, "a", "b", "hops", F.lit(False).alias("out"))
     found = write_through(_solve(_rows(top, labels.select("g", whole, "hash", "depth", "ref")), result), "labels")
-    for placed, layout in reversed(levels):
-        known = found.unionByName(labels).join(layout.select("g", "hash", "block"), ["g", "hash"])
+    for placed, layout, own in reversed(levels):
+        known = found.unionByName(own).join(layout.select("g", "hash", "block"), ["g", "hash"])
         found = write_through(_solve(_rows(placed.where("not out"), known), result), "labels")
     return found
 

@@ -129,6 +129,29 @@ def test_rounds_do_not_grow_with_merges(spark, monkeypatch):
     assert many - few <= 22         # 2 runs x (2 doublings + at most 2 levels of 4 tables)
 
 
+def test_refs_do_not_stay_in_the_smaller_graph(spark, monkeypatch):
+    """Every commit is tagged: only the commits that blocks enter are laid out again."""
+    laid = []
+    monkeypatch.setattr(dag, "_layout", (lambda f: lambda commits, block: laid.append((commits.count(), block)) or f(commits, block))(dag._layout))
+    check(spark, {"r": ladder(100)}, [("r", h, f"t{h}") for h in ladder(100) if h[0] == "a"], 40)
+    assert max(block for _, block in laid) == 40 and sorted(n for n, _ in laid)[:2] == [8, 8]
+
+
+def test_long_chains_are_followed_by_picked_commits(spark):
+    rnd = random.Random(3)
+    up = {f"n{i}": f"n{i - 1 if rnd.random() < 0.9 else rnd.randrange(i)}" for i in range(1, 300)}
+    want = {("r", "n0"): 0, ("q", "y"): 0, ("q", "x"): 1}
+    for i in range(1, 300):
+        want["r", f"n{i}"] = want["r", up[f"n{i}"]] + 1
+    rows = [("r", a, b, 0) for a, b in up.items()] + [("r", a, "n0", 1) for a in list(up)[5:9]] + [("q", "x", "y", 0)]
+    edges = spark.createDataFrame(rows, "g string, a string, b string, pos int")
+    got = dag.first_parent_depth(edges, chain=20).collect()
+    assert {(r["g"], r["hash"]): r["at"] for r in got} == want and len(got) == len(want)
+    ring = spark.createDataFrame([("r", f"n{i}", f"n{(i + 1) % 90}", 0) for i in range(90)], edges.schema)
+    with pytest.raises(Exception, match="circle"):
+        dag.first_parent_depth(ring, chain=20).collect()
+
+
 @pytest.mark.parametrize("block", [1000, 1])
 def test_a_circle_is_an_error(spark, block):
     ring = spark.createDataFrame([("o", "r", a, [b]) for a, b in (("x", "y"), ("y", "z"), ("z", "x"))],
