@@ -202,6 +202,8 @@ def event_log(cycles: DataFrame, issues: DataFrame, comments: DataFrame, events:
     ``dedupe``: a commit that is listed under a pull request isn't listed again as an activity of its own (the
     reference keeps a list for this, but fills it too late)."""
     k = list(key)
+    # read by pull requests and by the commits' own activities
+    commits = write_through(commits.select(*k, "hash", "parents", "committer_epoch", "committer"), "log-commits")
     under_pr = pr_commit_activities(prs, commits, order, key)
     own = commits
     if dedupe:

@@ -200,3 +200,31 @@ def test_commits_of_overlapping_ranges(spark):
         F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count_distinct("hash").alias("d")).collect()}
     assert found == {(r, k): (e - b, b, e - 1, e - b) for _, r, k, b, e in ranges if b < e}
     assert el.commits_in_ranges(df.limit(0), order).count() == 0
+
+
+def test_commits_of_the_log_are_computed_once(spark):
+    """Pull requests and the commits' own activities read one written table, not the commits' plan twice."""
+    def gh(t):
+        return f"1970-01-01T00:0{t // 60}:{t % 60:02d}Z"
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "owner string, repo string, hash string, parents array<string>, committer_epoch double, committer string, committer_date string"
+    commits = spark.createDataFrame(
+        [("o", "r", f"h{i}", [f"h{i - 1}"] if i else [], 100.0 * (i + 1), "c:x", f"d{i}") for i in range(5)], schema)
+    order = commits.selectExpr("owner", "repo", "hash", "cast(substr(hash, 2) as bigint) as idx", "committer_date", "committer_epoch")
+    item = "owner string, repo string, number bigint, created_at string, closed_at string, user struct<login:string>"
+    com = "owner string, repo string, id bigint, issue_url string, created_at string, user struct<login:string>"
+    ev = "owner string, repo string, id bigint, event string, created_at string, actor struct<login:string>, issue struct<number:bigint>"
+    pr = "owner string, repo string, number bigint, created_at string, merge_commit_sha string, user struct<login:string>"
+    prs = spark.createDataFrame([("o", "r", 7, gh(200), "h2", ("ann",))], pr)
+    log = el.event_log(cycles(spark), spark.createDataFrame([], item), spark.createDataFrame([], com), spark.createDataFrame([], ev),
+                       prs, commits.mapInArrow(counted, schema), order, dedupe=True)
+    got = sorted((r["case_id"], r["activity"]) for r in log.collect())
+    assert ("Issue-7", "Committed") in got and ("Commit-h1", "Committed-Snakemake") not in got
+    assert seen.value == 5
