@@ -302,7 +302,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("o_orderstatus"),
                         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")),
                         subject, parents)
-    return o.select(F.explode(_log_repos(k)).alias("repo"), value.alias("value"))
+    # the line is built before a commit's repositories part
+    return o.select(_log_repos(k).alias("repos"), value.alias("value")).select(F.explode("repos").alias("repo"), "value")
 
 
 def _log_repos(order_key) -> F.Column:
@@ -336,6 +337,7 @@ def numstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = (F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), F.lit("x"))
                .otherwise(F.round(F.col("l_tax") * 100).cast("bigint").cast("string")))
     path = F.concat(F.lit("src/f"), (F.col("l_partkey") % 200).cast("string"), F.lit(".py"))
-    return li.select(F.explode(_log_repos(F.col("l_orderkey"))).alias("repo"),
-                     F.sha1(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("hash"),
-                     F.concat_ws("\t", first, second, path).alias("value"))
+    lines = li.select(_log_repos(F.col("l_orderkey")).alias("repos"),
+                      F.sha1(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("hash"),
+                      F.concat_ws("\t", first, second, path).alias("value"))
+    return lines.select(F.explode("repos").alias("repo"), "hash", "value")

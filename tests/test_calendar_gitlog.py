@@ -135,3 +135,22 @@ def test_log_lines_are_read_from_both_ends(spark):
     assert got == [want[line] for line in lines]
     refused = [r["line"] for r in gl.log_rejects(df.select("repo", "value")).collect()]
     assert refused == [line for line in lines if want[line] is None]
+
+
+def test_lines_are_built_once(spark):
+    """No filter or join makes a line a second time; ``lines`` counts the calls that make one."""
+    h, calls = "a" * 40, spark.sparkContext.accumulator(0)
+
+    def made(text):
+        calls.add(1)
+        return text
+
+    made = F.udf(made, "string")
+    log = spark.createDataFrame([("r", f"{h}|A|C|d|m|"), ("r", "no commit"), ("r", f"{'b' * 40}|A|C|d|m|{h}")],
+                                "repo string, value string").withColumn("value", made("value"))
+    ns = spark.createDataFrame([("r", h, "3\t1\tf.py"), ("r", h, "no count"), ("r", None, "1\t1\tg.py"), (None, h, "1\t1\tg.py")],
+                               "repo string, hash string, value string").withColumn("value", made("value"))
+    rows = gl.assemble_commits(gl.parse_log_lines(log), totals=gl.numstat_commit_stats(gl.parse_numstat(ns))).collect()
+    assert sorted((r["commit_hash"], r["lines_added"], r["changed_files"]) for r in rows) == [
+        (h, 3, ["f.py"]), ("b" * 40, 0, ["unknown"])]
+    assert calls.value <= 7                             # the lines of a null key may be left out before
