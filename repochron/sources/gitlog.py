@@ -116,6 +116,16 @@ def assemble_commits(log: DataFrame, totals: DataFrame | None = None,
     key = list(COMMIT)
     # a hash that can't be null needs no test of its own for the joins, which would parse each line once more
     out = log.filter("valid").drop("valid").withColumn("commit_hash", F.coalesce("commit_hash", F.lit("")))
+    parents = split_parents(F.col("parent_commit"))
+    out = out.withColumn("__p0", F.get(parents, F.lit(0))).withColumn("is_merge_commit", is_merge(parents))
+    if branches is not None:
+        b = branches.groupBy(*key).agg(F.min("branch").alias("branch"))
+        # the join by another key comes first, while the rows are short; all others share one exchange
+        b0 = b.select(F.col("commit_hash").alias("__p0"), "repo_name", F.col("branch").alias("__b0"))
+        out = out.join(b0, ["__p0", "repo_name"], "left").join(b, key, "left")
+    else:
+        out = out.withColumn("branch", F.lit(None).cast("string")) \
+                 .withColumn("__b0", F.lit(None).cast("string"))
     if totals is not None:
         out = out.join(totals, key, "left")
     else:
@@ -130,15 +140,6 @@ def assemble_commits(log: DataFrame, totals: DataFrame | None = None,
         out = out.join(t, key, "left")
     else:
         out = out.withColumn("tags", F.lit(None).cast("array<string>"))
-    parents = split_parents(F.col("parent_commit"))
-    out = out.withColumn("__p0", F.get(parents, F.lit(0))).withColumn("is_merge_commit", is_merge(parents))
-    if branches is not None:
-        b = branches.groupBy(*key).agg(F.min("branch").alias("branch"))
-        b0 = b.select(F.col("commit_hash").alias("__p0"), "repo_name", F.col("branch").alias("__b0"))
-        out = out.join(b, key, "left").join(b0, ["__p0", "repo_name"], "left")
-    else:
-        out = out.withColumn("branch", F.lit(None).cast("string")) \
-                 .withColumn("__b0", F.lit(None).cast("string"))
     unknown = F.lit("unknown")
     return out.select(
         "repo_name", "commit_hash", "author", "committer", "date", "message", "parent_commit",

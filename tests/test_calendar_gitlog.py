@@ -154,3 +154,21 @@ def test_lines_are_built_once(spark):
     assert sorted((r["commit_hash"], r["lines_added"], r["changed_files"]) for r in rows) == [
         (h, 3, ["f.py"]), ("b" * 40, 0, ["unknown"])]
     assert calls.value <= 7                             # the lines of a null key may be left out before
+
+
+def test_names_of_first_parents_are_joined_before_the_path_lists(spark):
+    h, p = "a" * 40, "b" * 40
+    lines = spark.createDataFrame([("r", f"{h}|A|C|d|m|{p} {'c' * 40}"), ("r", f"{p}|A|C|d|m|")], "repo string, value string")
+    ns = spark.createDataFrame([("r", h, "3\t1\tf.py")], "repo string, hash string, value string")
+    names = spark.createDataFrame([("r", p, "main")], "repo_name string, commit_hash string, branch string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = gl.assemble_commits(gl.parse_log_lines(lines), totals=gl.numstat_commit_stats(gl.parse_numstat(ns)), branches=names)
+        plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"\) Exchange *\nInput \[\d+\]: (.*)", plan)
+        assert moved and not any("changed_files" in m for m in moved)
+        assert {r["commit_hash"][0]: (r["branch"], r["merged_branch"]) for r in out.collect()} == {
+            "a": ("unknown", "main"), "b": ("main", None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
