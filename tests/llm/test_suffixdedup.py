@@ -122,6 +122,28 @@ def test_a_large_bucket_is_split(spark):
         assert sorted((tuple(r) for r in got), key=str) == expected(rows, 40)
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    """Each passage is in two unlike documents; ``n_bytes`` stays the input's length, ``n_removed`` tells what went."""
+    rng = random.Random(8)
+
+    def prose(size):
+        words = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 7))) for _ in range(size // 4))
+        return words[: size - 1] + "k"
+
+    rows, gone = [(i, prose(rng.randrange(500, 900))) for i in range(20)], {}
+    for i, size in enumerate((330, 399, 400, 401, 650, 1200)):
+        passage = prose(size)
+        assert len(passage.split()) > 50
+        for k in range(2):                         # digits end the common string at both sides
+            doc = 100 + 2 * i + k
+            rows.append((doc, f"{prose(rng.randrange(200, 900))}{k}{passage}{k}{prose(rng.randrange(200, 900))}"))
+            gone[doc] = size if size >= 400 else 0
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected(rows, 400)
+    assert {r.doc_id: r.n_removed for r in got} == {i: gone.get(i, 0) for i, _ in rows}
+    assert {r.doc_id: r.n_bytes for r in got} == {i: len(t) for i, t in rows}
+
+
 def test_documents_match_brute_force(spark):
     docs = docs_of(spark)
     got = sorted((tuple(r) for r in remove_repeats(docs).collect()), key=str)
