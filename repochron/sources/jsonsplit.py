@@ -27,6 +27,7 @@ from repochron.session import write_through
 
 BREAK = "},"
 EMPTY = "empty"
+ROW_GROUP = 8 << 20         # bytes; Spark reads up to 4096 values of a row group at once, and a value may be a whole entry
 #: In a piece: a whole string, one that the piece doesn't end, a bracket or a comma.
 TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+"|"|[{}\[\],]', re.S)
 STRING_END = re.compile(rb'(?:[^"\\]++|\\.)*+"', re.S)
@@ -282,7 +283,7 @@ def json_entries(spark: SparkSession, paths: str | Sequence[str]) -> Documents:
     begun = (numbered.join(states, ["path", "at"], "left").sortWithinPartitions("path", "at", "nth")
              .select(*narrow, "offset", "in_string", "depth", "root", "value"))
     single = whole.where("span >= size").select(*narrow, *none, "value").mapInArrow(_cut, PART)
-    parts = write_through(single.unionByName(begun.mapInArrow(_cut, PART)), "json-parts")
+    parts = write_through(single.unionByName(begun.mapInArrow(_cut, PART)), "json-parts", ROW_GROUP)
 
     order = Window.partitionBy("path").orderBy("at", "no")
     crossing = (parts.where("kind = 'part'").withColumn("entry", F.sum(F.col("opens").cast("long")).over(order))
