@@ -2,10 +2,12 @@
 
 import json
 
+import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
 from repochron.operators.summary import entity_counts
+from repochron.session import write_through
 from repochron.sources import landing as ld
 from repochron.sources.jsonsplit import json_entries
 
@@ -85,6 +87,15 @@ def test_a_large_map_is_read_by_several_tasks(spark, tmp_path):
     assert docs.faults.count() == 0
 
 
+def test_row_groups_are_bounded_by_the_bytes_that_are_read(spark):
+    """Rows that compress well: a row group holds its bytes, not those of the compressed file."""
+    rows = spark.range(0, 300, 1, 1).select("id", F.repeat(F.format_string("%04d", "id"), 10_000).alias("value"))
+    out = write_through(rows, "row-groups", 1 << 20)
+    groups = [g for p in ds.dataset(out.inputFiles()[0].removeprefix("file://")).get_fragments() for g in p.row_groups]
+    assert max(g.total_byte_size for g in groups) < 5 << 20 and sum(g.num_rows for g in groups) == 300
+    assert out.where(F.length("value") == 40_000).count() == 300
+
+
 def pages(folder, listings):
     for name, contents in listings.items():
         for page, content in contents.items():
